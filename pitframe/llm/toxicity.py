@@ -35,12 +35,19 @@ from . import common
 ALPHABET = "^abcdefghijklmnopqrstuvwxyzàáâäæçèéêëìíîïñòóôöœßùúûüÿåøš"
 SIZE, GAP, DECAY = 64, 2, 0.6
 LANDMARKS = 600
+#: Word values below this need no exact norm: they count as this or as their bound, if that is less.
+EXACT_ABOVE = 1.0
 #: Bounds of the training sample: labelled rows, telling words and other words.
 SAMPLE_ROWS, TOXIC_WORDS, CLEAN_WORDS = 9000, 400, 3000
 KEEP_WORDS = 300_000
 _code = {c: i + 1 for i, c in enumerate(ALPHABET)}
 _spaced = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 STEPS = [(a, b) for a in range(1, GAP + 2) for b in range(1, GAP + 2)]
+WEIGHTS = np.array([DECAY ** (a + b + 1) for a, b in STEPS])
+_table = np.zeros(0x180, np.int32)
+for _c, _i in _code.items():
+    if _c != "^":
+        _table[ord(_c)] = _i
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,39 +59,48 @@ def words_of(text: str | None) -> list[str]:
 
 
 def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of the subsequence occurrences of words of like length, a row a word; code 0 has weight 0."""
+    """Codes of the subsequence occurrences of words of like length, a row a word, a column a place and step; 0 where none.
+
+    Also each word's norm, the root of the sum of its occurrences' squared weights.
+    """
     width = max(map(len, words)) + 2
+    letters = np.zeros((len(words), width - 2), np.uint32)
+    letters[:] = np.array(words, f"<U{width - 2}").view(np.uint32).reshape(len(words), -1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.zeros((len(words), width + 2 * GAP + 2), np.int32)
-    for r, w in enumerate(words):
-        chars[r, : len(w) + 2] = [1, *(_code.get(c, 0) for c in w), 1]
-    codes, weights = [], []
-    for a, b in STEPS:
-        x, y, z = chars[:, :width], chars[:, a : a + width], chars[:, a + b : a + b + width] if a + b + width <= chars.shape[1] else np.zeros_like(chars[:, :width])
+    chars[:, 1 : width - 1] = _table[np.minimum(letters, len(_table) - 1)]
+    chars[:, 0] = 1
+    chars[np.arange(len(words)), sizes + 1] = 1
+    codes = np.zeros((len(words), len(STEPS) * width), np.int32)
+    square = np.zeros(len(words))
+    for k, (a, b) in enumerate(STEPS):
+        n = chars.shape[1] - a - b
+        n = min(n, width)
+        x, y, z = chars[:, :n], chars[:, a : a + n], chars[:, a + b : a + b + n]
         there = (x > 0) & (y > 0) & (z > 0)
-        codes.append(np.where(there, (x * SIZE + y) * SIZE + z, 0))
-        weights.append(np.where(there, np.float32(DECAY ** (a + b + 1)), np.float32(0)))
-    return np.concatenate(codes, axis=1), np.concatenate(weights, axis=1)
+        codes[:, k * width : k * width + n] = there * ((x * SIZE + y) * SIZE + z)
+        square += there.sum(axis=1) * WEIGHTS[k] ** 2
+    return codes, np.sqrt(square)
 
 
-def norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Square root of each row's kernel with itself."""
-    order = np.argsort(codes, axis=1, kind="stable")
-    c, w = np.take_along_axis(codes, order, 1), np.take_along_axis(weights, order, 1).astype(np.float64)
+def norms(codes: np.ndarray) -> np.ndarray:
+    """Root of each word's kernel with itself: equal occurrences add up before they are squared."""
+    weights = np.repeat(WEIGHTS, codes.shape[1] // len(STEPS))[None, :] * (codes > 0)
+    order = np.argsort(codes, axis=1)
+    c, w = np.take_along_axis(codes, order, 1), np.take_along_axis(weights, order, 1)
     start = np.ones_like(c, bool)
     start[:, 1:] = c[:, 1:] != c[:, :-1]
-    group = np.cumsum(start.ravel()) - 1
-    sums = np.bincount(group, w.ravel())
-    rows = np.arange(len(c)).repeat(c.shape[1])[start.ravel()]
-    return np.sqrt(np.bincount(rows, sums * sums, len(c)))
+    sums = np.add.reduceat(w.ravel(), np.flatnonzero(start.ravel()))
+    return np.sqrt(np.bincount(np.nonzero(start)[0], sums * sums, len(c)))
 
 
 def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each word's distinct codes with their normed values."""
     out = []
     for w in words:
-        codes, weights = occurrences([w])
+        codes, norm = occurrences([w])
         keys, where = np.unique(codes[0], return_inverse=True)
-        values = np.bincount(where, weights[0])
+        values = np.bincount(where, np.repeat(WEIGHTS, len(codes[0]) // len(STEPS)))
         keys, values = keys[keys > 0], values[keys > 0]
         norm = np.sqrt((values**2).sum())
         out.append((keys, values / norm if norm else values))
@@ -119,10 +135,12 @@ class Model:
             while to < len(by_length) and len(words[by_length[to]]) <= longest and (to - at) * longest < 1 << 18:
                 to += 1
             block = by_length[at:to]
-            codes, weights = occurrences([words[i] for i in block])
-            raw = (self.table[codes] * weights).sum(axis=1)
-            if len(hit := np.flatnonzero(raw > 0)):
-                out[[block[i] for i in hit]] = raw[hit] / norms(codes[hit], weights[hit])
+            codes, norm = occurrences([words[i] for i in block])
+            raw = self.table[codes].reshape(len(block), len(STEPS), -1).sum(axis=2) @ WEIGHTS
+            value = np.maximum(raw, 0) / np.maximum(norm, 1e-9)  # at least the true one
+            if len(high := np.flatnonzero(value > EXACT_ABOVE)):
+                value[high] = np.maximum(raw[high] / norms(codes[high]), EXACT_ABOVE)
+            out[block] = value
             at = to
         return out
 
