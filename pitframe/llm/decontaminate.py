@@ -117,25 +117,31 @@ class Matcher:
         return sorted(out)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, per_error: int = PER_ERROR, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item, distance, match_end): each document and benchmark item that it holds within the item's error budget."""
+def with_matches(docs: DataFrame, benchmark: DataFrame, *, per_error: int = PER_ERROR, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", to: str = "matches") -> DataFrame:
+    """``docs`` with an array of (item, distance, match_end) added: the items that each text holds; no row moves."""
     spark = common.session(docs)
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, {item_col} long, distance int, match_end long"
+    kind = "array<struct<item:long,distance:int,match_end:long>>"
+    arrow = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("match_end", pa.int64())]))
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 + total // block_chars
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = None
+    found = []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()  # about block_chars characters
         shared = spark.sparkContext.broadcast(sorted((r.i, x) for r in own if (x := normalise(r.t))))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf(kind)
+        def run(texts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
             matcher = Matcher(shared.value, per_error)
-            for batch in batches:
-                found = [(k, *m) for k, t in enumerate(batch.column("text").to_pylist()) for m in matcher.matches(normalise(t))]
-                yield pa.record_batch([batch.column("id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())], [id_col, item_col, "distance", "match_end"])
+            for t in texts:
+                yield pa.array([[dict(zip(("item", "distance", "match_end"), m, strict=True)) for m in matcher.matches(normalise(x))] for x in t.to_pylist()], arrow)
+
+        found.append(run(F.col(text_col)))
+    return docs.withColumn(to, F.concat(*found) if len(found) > 1 else found[0])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **settings) -> DataFrame:
+    """(id, item, distance, match_end): each document and benchmark item that it holds within the item's error budget."""
+    rows = with_matches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, item_col=item_col, **settings)
+    rows = rows.select("id", F.explode("matches").alias("m"))
+    return rows.select(F.col("id").alias(id_col), F.col("m.item").alias(item_col), "m.distance", "m.match_end")

@@ -122,12 +122,13 @@ def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + window).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, then ``units.columns``) of every row of ``docs``, a null text being empty."""
+def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns in ``carry``, then ``units.columns``) of every row of ``docs``, a null text being empty."""
     common.session(docs)
     # never null, so that no use of the contents gets a filter of its own and one shuffle of the texts serves all
     key = F.coalesce(F.expr("substring(unhex(sha2(content, 256)), 1, 16)"), F.lit(bytearray(b"")))
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("content")).withColumn("digest", key)
+    own = [F.col(c).alias(f"carried_{c}") for c in carry]
+    rows = docs.select(F.col(id_col).alias("id"), *own, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("content")).withColumn("digest", key)
     contents = rows.groupBy("digest").agg(F.first("content").alias("content"), F.count("*").alias("copies"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,4 +210,5 @@ def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", tex
             yield pa.record_batch([batch.column("digest"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], ["digest", *names])
 
     done = contents.join(removed, "digest", "left").mapInArrow(finish, f"digest binary, {units.columns}")
-    return rows.select("id", "digest").join(done, "digest").select(F.col("id").alias(id_col), *names)
+    back = [F.col(f"carried_{c}").alias(c) for c in carry]
+    return rows.drop("content").join(done, "digest").select(F.col("id").alias(id_col), *back, *names)

@@ -97,9 +97,9 @@ def units(window: int = 35, gram: int = 4, text: bool = False) -> Units:
     return Units(window, gram, _symbols, _pack(window), _repeated(window), finish, "kept_text string")
 
 
-def remove_repeated_words(docs: DataFrame, *, window: int = 35, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, text: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256) of every row, or with ``text`` (id, kept_text).
+def remove_repeated_words(docs: DataFrame, *, window: int = 35, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry, n_words, n_removed, kept_sha256) of every row, or with ``text`` (id, carry, kept_text).
 
     Kept words are joined by one space; with ``text`` a row that loses nothing keeps its text as it is.
     """
-    return remove_repeats(docs, units(window, gram, text), id_col=id_col, text_col=text_col, hot=hot)
+    return remove_repeats(docs, units(window, gram, text), id_col=id_col, text_col=text_col, hot=hot, carry=carry)
