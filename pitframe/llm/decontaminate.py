@@ -117,11 +117,22 @@ class Matcher:
         return sorted(out)
 
 
+_MATCH = pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("match_end", pa.int64())])
+
+
+def _searcher(shared, per_error: int):
+    @F.arrow_udf("array<struct<item:long,distance:int,match_end:long>>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(shared.value, per_error)
+        for t in texts:
+            yield pa.array([[dict(zip(("item", "distance", "match_end"), m, strict=True)) for m in matcher.matches(normalise(x))] for x in t.to_pylist()], pa.list_(_MATCH))
+
+    return run
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, *, per_error: int = PER_ERROR, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", to: str = "matches") -> DataFrame:
     """``docs`` with an array of (item, distance, match_end) added: the items that each text holds; no row moves."""
     spark = common.session(docs)
-    kind = "array<struct<item:long,distance:int,match_end:long>>"
-    arrow = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("match_end", pa.int64())]))
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 + total // block_chars
@@ -130,13 +141,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, per_error: int = PER_
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()  # about block_chars characters
         shared = spark.sparkContext.broadcast(sorted((r.i, x) for r in own if (x := normalise(r.t))))
 
-        @F.arrow_udf(kind)
-        def run(texts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            matcher = Matcher(shared.value, per_error)
-            for t in texts:
-                yield pa.array([[dict(zip(("item", "distance", "match_end"), m, strict=True)) for m in matcher.matches(normalise(x))] for x in t.to_pylist()], arrow)
-
-        found.append(run(F.col(text_col)))
+        found.append(_searcher(shared, per_error)(F.col(text_col)))
     return docs.withColumn(to, F.concat(*found) if len(found) > 1 else found[0])
 
 
