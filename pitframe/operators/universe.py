@@ -15,8 +15,8 @@ def newest_first():
 
 def evaluation_dates(spark, first: str, last: str) -> DataFrame:
     """Sundays of a range; a range without one gives no row."""
-    one = spark.sql(f"SELECT next_day(date_sub(date'{first}', 1), 'SUN') AS a, date'{last}' AS b").filter("a <= b")
-    return one.select(F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("date"))
+    one = spark.sql(f"SELECT next_day(date_sub(date'{first}', 1), 'SUN') AS a, date'{last}' AS b")
+    return one.select("b", F.explode(F.expr("sequence(a, greatest(a, b), interval 7 days)")).alias("date")).filter("date <= b").select("date")
 
 
 def liquidity(prices: DataFrame, day, bars: int = 20, min_price: float = 5, min_volume: float = 2e6, history: int = 250) -> DataFrame:

@@ -88,9 +88,14 @@ PARTS = {
     "attributed": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screen_ids, bool_or(screen_id = 'S1') AS is_candidate FROM chosen GROUP BY date, ticker",
     "articles": "SELECT *, coalesce(published_at > DATE '2024-01-30' - 7 AND published_at <= DATE '2024-01-30', FALSE) AS in_window, ceil(length(content) / 3.5)::BIGINT AS tokens FROM headline",
     "budget": "SELECT * FROM (SELECT *, row_number() OVER w AS rn, sum(tokens) OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM articles WHERE in_window WINDOW w AS (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id)) WHERE rn = 1 OR upto <= 1200",
+    "pairs": "SELECT m.ticker, m.date FROM members m WHERE m.date IN (SELECT min(date) FROM days GROUP BY quarter(date))",
 }
 
 BODIES = {
+    "record_membership": "SELECT p.ticker, p.date, s.date AS since, sector, size_bucket, round(market_cap, 2) AS market_cap, is_active FROM pairs p ASOF LEFT JOIN security_daily s ON p.ticker = s.ticker AND p.date >= s.date",
+    "record_recent_bars": 'SELECT ticker, "on", date, rn, rn = 1 AS newest, volume FROM (SELECT p.ticker, p.date AS "on", b.date, volume, row_number() OVER (PARTITION BY p.ticker, p.date ORDER BY b.date DESC) AS rn FROM pairs p JOIN price_daily b ON p.ticker = b.ticker AND b.date <= p.date) WHERE rn <= 5',
+    "record_filings": 'SELECT ticker, "on", period_end, rn, rn = 1 AS newest FROM (SELECT p.ticker, p.date AS "on", period_end, row_number() OVER (PARTITION BY p.ticker, p.date ORDER BY period_end DESC) AS rn FROM pairs p JOIN snapshot b ON p.ticker = b.ticker AND filing_date_effective <= p.date) WHERE rn <= 4',
+    "record_metrics": "SELECT p.ticker, p.date, metric, round(value, 4) AS value, round(pctile, 4) AS pctile, ranked_in, CASE WHEN sector IS NOT NULL THEN cn END AS cell_members, bn AS bucket_members FROM pairs p JOIN (SELECT date, ticker, sector, 'dist_200dma' AS metric, dist_200dma AS value, dist_200dma_pctile AS pctile, dist_200dma_scope AS ranked_in, dist_200dma_cn AS cn, dist_200dma_bn AS bn FROM ranked UNION ALL SELECT date, ticker, sector, 'median_dollar_volume_20d', median_dollar_volume_20d, median_dollar_volume_20d_pctile, median_dollar_volume_20d_scope, median_dollar_volume_20d_cn, median_dollar_volume_20d_bn FROM ranked) r ON p.date = r.date AND p.ticker = r.ticker",
     "price_daily": "SELECT * FROM price_daily",
     "universe_asof": "SELECT s.* FROM (SELECT s.ticker, s.date, s.sector, s.size_bucket, round(s.market_cap, 2) AS market_cap, s.is_active FROM universe) s",
     "members_asof": "SELECT s.* FROM (SELECT s.ticker, s.date, s.sector, s.size_bucket, round(s.market_cap, 2) AS market_cap, s.is_active FROM universe) s WHERE is_active",
@@ -119,7 +124,7 @@ BODIES = {
     "sector_composite": "SELECT sector, date, round(mean_return, 6) AS mean_return, members, round(composite, 6) AS composite FROM composite",
     "rs_vs_sector": f"SELECT ticker, date, round(x / nullif(before, 0) - 1, 6) AS rs_change_vs_sector FROM (SELECT ticker, date, x, lag(x, 63) OVER (PARTITION BY ticker ORDER BY date) AS before FROM (SELECT a.ticker, a.date, c / composite AS x FROM adj a LEFT JOIN all_members m ON a.ticker = m.ticker AND a.date = m.date LEFT JOIN composite k ON k.sector = m.sector AND k.date = a.date)) WHERE date BETWEEN {FIRST} AND {LAST}",
     "carried_indicators": "SELECT ticker, date, round(dist_200dma, 6) AS dist_200dma, base_breakout_flag FROM features",
-    "fundamentals_readable": "SELECT ticker, at, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("ttm_ebit", "ttm_cash", "ttm_capex", "net_debt", "shares", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend", "cash_on_hand", "quarterly_burn_rate")) + " FROM basics",
+    "fundamentals_readable": "SELECT ticker, at, " + ", ".join(f"CASE WHEN round({c}, 6) <> 0 THEN round({c}, 6) WHEN {c} IS NOT NULL THEN 0.0 END AS {c}" for c in ("ttm_ebit", "ttm_cash", "ttm_capex", "net_debt", "shares", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend", "cash_on_hand", "quarterly_burn_rate")) + " FROM basics",
     "valuation_priced": "SELECT ticker, date, round(fcf_yield, 6) AS fcf_yield, round(ev_ebit, 6) AS ev_ebit FROM now_priced",
     "month_ends": "SELECT ticker, date, round(close, 6) AS close FROM month_end",
     "ev_ebit_own_history": "SELECT p.ticker, p.date, round(CASE WHEN count(x) >= 6 AND quantile_cont(x, 0.5) > 0 THEN any_value(ev_ebit) / quantile_cont(x, 0.5) END, 6) AS ev_ebit_vs_own_5y FROM now_priced p LEFT JOIN then_priced h ON h.ticker = p.ticker AND h.at < p.date AND h.at >= p.date - INTERVAL 60 MONTHS GROUP BY p.ticker, p.date",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.operators import asof, filings, flow, market, measure, news, percentile, screens, selection, sentiment, technical, universe, valuation
+from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, selection, sentiment, technical, universe, valuation
 from pitframe.sources.adapters import Tables, config_rows
 
 DAY, FIRST, LAST = "1999-03-15", "1999-01-04", "1999-12-31"
@@ -18,7 +18,9 @@ S2 = screens.parse_screen("S2", '[{"metric":"dist_52w_high","direction":"low","w
 
 
 def _round(df: DataFrame, n: int = 6) -> DataFrame:
-    return df.select(*(F.round(F.col(c).cast("double"), n).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes))
+    """Doubles rounded, and no negative zero."""
+    value = lambda c: F.round(F.col(c).cast("double"), n)
+    return df.select(*(F.when(value(c) != 0, value(c)).when(F.col(c).isNotNull(), F.lit(0.0)).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes))
 
 
 def _year(df: DataFrame) -> DataFrame:
@@ -80,7 +82,16 @@ def _attribution(t: Tables) -> DataFrame:
     return selection.attribution(c.filter("screen_id = 'S1'"), c.filter("screen_id = 'S2'"), _market(t), _gate(t), 3)
 
 
+def _pairs(t: Tables) -> DataFrame:
+    """Every member on the first of each quarter of the year."""
+    return _members(t).join(F.broadcast(asof.sessions(t.price_daily(), FIRST, LAST).groupBy(F.quarter("date")).agg(F.min("date").alias("date")).select("date")), "date").select("ticker", "date")
+
+
 QUERIES = {
+    "record_membership": lambda t: _round(record.membership(_pairs(t), t.security_daily()), 2),
+    "record_recent_bars": lambda t: record.recent(_pairs(t), t.price_daily(), 5).select("ticker", "on", "date", F.col("rn").cast("long"), "newest", "volume"),
+    "record_filings": lambda t: record.recent(_pairs(t), t.fundamental_snapshot(), 4, "filing_date_effective", "period_end").select("ticker", "on", "period_end", F.col("rn").cast("long"), "newest"),
+    "record_metrics": lambda t: _round(record.metrics(_pairs(t), _ranked(t), METRICS[:2], percentile.cell_ledger(_features(t), METRICS[:2], FLOOR)), 4),
     "price_daily": lambda t: t.price_daily(),
     "universe_asof": lambda t: _round(asof.universe_as_of(t.security_daily(), DAY), 2),
     "members_asof": lambda t: _round(asof.members_as_of(t.security_daily(), DAY), 2),
