@@ -102,6 +102,7 @@ def _in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect (node, fp) rows, distinct in fp, whenever a chain of pairs within the radius does."""
     spark = common.session(nodes)
+    bucket = max(bucket, 1 << radius)
     masks = [(t, _signed(m)) for t, m in enumerate(covering(list(range(BITS)), radius))]
     fixed = dict(enumerate(covering(list(range(BITS)), radius)))
     members = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).cast("long").alias("mask")) for t, m in masks))).alias("x"))
@@ -120,11 +121,10 @@ def links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
             break
         deeper, rows = {}, []
         for t in hot:
-            left = [p for p in range(BITS) if not fixed[t] >> p & 1]
-            for m in covering(left, radius) if len(left) > radius else [(1 << BITS) - 1 ^ fixed[t]]:
-                # with no more bits left than the radius, all members of the bucket are within it: any chain does
-                deeper[len(deeper)] = fixed[t] | m if len(left) > radius else fixed[t]
-                rows.append((t, len(deeper) - 1, _signed(deeper[len(deeper) - 1])))
+            # more members than 2^radius differ in more than radius of the bits left
+            for m in covering([p for p in range(BITS) if not fixed[t] >> p & 1], radius):
+                rows.append((t, len(deeper), _signed(fixed[t] | m)))
+                deeper[len(deeper)] = fixed[t] | m
         again = spark.createDataFrame(rows, "t long, t2 long, mask long")
         members = members.join(large, ["t", "key"]).join(F.broadcast(again), "t").select("node", "fp", F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         members, fixed = common.cut(members), deeper
