@@ -17,7 +17,12 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, Units, remove_repeats
+from .repeats import Units, remove_repeats, span_hashes
+
+#: Contents above which a minimiser's windows are counted one by one: its strings still fit a task in classes of hashes.
+HOT = 400_000
+#: Bytes whose hashes are made at once, and bytes of one minimiser's strings beyond which classes of hashes take turns.
+BLOCK, LARGE = 4 << 20, 8 << 20
 
 
 def suffix_order(text: bytes, depth: int) -> np.ndarray:
@@ -69,24 +74,84 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     return order
 
 
+def _blocks(strings: list[bytes]):
+    """Strings put end to end in blocks of some megabytes: (number of the first, text, ends)."""
+    at = 0
+    while at < len(strings):
+        to, size = at, 0
+        while to < len(strings) and (size == 0 or size + len(strings[to]) <= BLOCK):
+            size += len(strings[to])
+            to += 1
+        yield at, b"".join(strings[at:to]), np.cumsum([len(x) for x in strings[at:to]])
+        at = to
+
+
+def _twice(strings: list[bytes], window: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of one class of hashes whose hash occurs twice or more: string, offset, hash. Others cannot be repeated."""
+    found = []
+    for first, text, ends in _blocks(strings):
+        raw = np.frombuffer(text, np.uint8)
+        at = np.arange(max(0, len(raw) - window + 1))
+        whose = np.searchsorted(ends, at, side="right")
+        at, whose = at[inside := at + window <= ends[whose]], whose[inside]  # none crosses into the next string
+        h = span_hashes(raw, at, at + window)
+        if parts > 1:
+            at, whose, h = (x[own] for own in [h % np.uint64(parts) == part] for x in (at, whose, h))
+        found.append((whose + first, at - np.concatenate([[0], ends])[whose], h))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    whose, at, h = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.sort(h)
+    again = np.unique(order[1:][order[1:] == order[:-1]])
+    keep = again[np.minimum(np.searchsorted(again, h), max(0, len(again) - 1))] == h if len(again) else np.zeros(len(h), bool)
+    return whose[keep], at[keep], h[keep]
+
+
+def _sorted_repeats(strings: list[bytes], window: int) -> list[np.ndarray]:
+    """Repeated windows of distinct strings by their suffix order and the common prefixes of neighbours."""
+    text = b"".join(strings)
+    ends = np.cumsum([len(s) for s in strings])
+    order = suffix_order(text, window)
+    order = order[order + window <= ends[np.searchsorted(ends, order, side="right")]]
+    found = np.zeros(len(text), bool)
+    raw = np.frombuffer(text, np.uint8)
+    if len(order) > 1:
+        a, b = order[:-1], order[1:]
+        for i in np.flatnonzero((raw[a] == raw[b]) & (raw[a + window - 1] == raw[b + window - 1])).tolist():
+            x, y = int(a[i]), int(b[i])
+            if text[x : x + window] == text[y : y + window]:  # the common prefix is a window or more
+                found[x] = found[y] = True
+    starts = ends - np.array([len(s) for s in strings])
+    return [np.flatnonzero(found[s:e]) for s, e in zip(starts, ends, strict=True)]
+
+
 def _repeated(window: int):
     def repeated(strings: list[bytes]) -> list[np.ndarray]:
-        text = b"".join(strings)
-        ends = np.cumsum([len(s) for s in strings])
-        order = suffix_order(text, window)
-        whose = np.searchsorted(ends, order, side="right")
-        order = order[order + window <= ends[whose]]  # windows that would cross into the next string are none
-        found = np.zeros(len(text), bool)
-        raw = np.frombuffer(text, np.uint8)
-        if len(order) > 1:
-            a, b = order[:-1], order[1:]
-            ends_alike = (raw[a] == raw[b]) & (raw[a + window - 1] == raw[b + window - 1]) & (raw[a + window // 2] == raw[b + window // 2])
-            for i in np.flatnonzero(ends_alike).tolist():
-                x, y = int(a[i]), int(b[i])
-                if text[x : x + window] == text[y : y + window]:  # the common prefix is a window or more
-                    found[x] = found[y] = True
-        starts = ends - np.array([len(s) for s in strings])
-        return [np.flatnonzero(found[s:e]) for s, e in zip(starts, ends, strict=True)]
+        """Stretches of windows whose hash occurs twice are cut out, equal ones put together, and the rest is suffix-sorted.
+
+        Strings of one minimiser that are too many for that are compared window by window in classes of hashes.
+        """
+        parts = 1 + sum(map(len, strings)) // LARGE
+        found: list[list] = [[] for _ in strings]
+        for part in range(parts):
+            whose, at, h = _twice(strings, window, part, parts)
+            if parts == 1:
+                cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(whose) != 0)) + 1
+                places: dict[bytes, list[tuple[int, int]]] = {}
+                for k, run in zip(np.split(whose, cuts), np.split(at, cuts), strict=True):
+                    if len(run):
+                        places.setdefault(strings[k[0]][run[0] : run[-1] + window], []).append((int(k[0]), int(run[0])))
+                for (piece, where), own in zip(places.items(), _sorted_repeats(list(places), window) if places else [], strict=True):
+                    own = np.arange(len(piece) - window + 1) if len(where) > 1 else own
+                    for k, start in where:
+                        found[k].append(own + start)
+                continue
+            order = np.argsort(h, kind="stable")
+            for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+                if h[i] == h[j] and strings[whose[i]][at[i] : at[i] + window] == strings[whose[j]][at[j] : at[j] + window]:
+                    found[whose[i]].append(at[i : i + 1])
+                    found[whose[j]].append(at[j : j + 1])
+        return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in found]
 
     return repeated
 

@@ -56,6 +56,19 @@ def test_small(spark, words, window, gram, hot, monkeypatch):
     compare(spark, fixture(1, words), words, window, gram, hot)
 
 
+def test_many_strings_of_one_minimiser(monkeypatch):
+    from pitframe.llm import suffixes
+
+    r = random.Random(5)
+    strings = ["".join(r.choices("ab", k=r.randint(5, 60))).encode() for _ in range(40)]
+    seen = Counter(s[i : i + 12] for s in strings for i in range(len(s) - 11))
+    expected = [[i for i in range(len(s) - 11) if seen[s[i : i + 12]] > 1] for s in strings]
+    for block, large in ((1 << 20, 1 << 20), (100, 200)):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        monkeypatch.setattr(suffixes, "LARGE", large)
+        assert [x.tolist() for x in suffixes._repeated(12)(strings)] == expected
+
+
 def test_production_windows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
