@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from . import common
 
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 250_000
+REMEMBERED, SHORT = 300_000, 200
+_ONE = (1,)
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -52,13 +54,14 @@ class Codec:
         self.penalty = min(self.scores.values()) - 10.0
         #: what each id decodes to, as bytes
         self.raw = [self.texts[i].replace(MARK, " ").encode() if i in self.texts else bytes([self.values[i]]) if i in self.values else b"" if i in self.controls else " ⁇ ".encode() for i in range(n)]
-        #: lengths of the pieces of two or more characters by their last two
+        #: lengths of the pieces by their last two characters, the longest first, as those fit most often
         self.lengths: dict[str, list[int]] = {}
         for p in self.ids:
             if len(p) > 1:
                 own = self.lengths.setdefault(p[-2:], [])
                 if len(p) not in own:
                     own.append(len(p))
+        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in self.lengths.items()}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -96,7 +99,7 @@ class Codec:
         """
         best = None
         ids, pairs, bpe = self.ids, self.pairs, self.kind == "bpe"
-        for n in (1, *self.lengths.get(text[end - 2 : end], ())):
+        for n in self.lengths.get(text[end - 2 : end], _ONE):
             if n > end or (before := window[end - n]) is None:
                 continue
             piece = text[end - n : end]
@@ -161,30 +164,39 @@ class Codec:
                 out += self.unmatched("\n")
                 out += self._known(p) if p else ()
             return tuple(out)
-        return tuple(i for part in self.stream(iter(word)) for i in part)
-
-    def _known(self, word: str) -> tuple[int, ...]:
+        if len(word) > 2 * self.longest:
+            return tuple(i for part in self.stream(iter(word)) for i in part)
+        window: list[tuple[float, str, int] | None] = [(0.0, "", -1)]  # the whole word fits the window: nothing to commit early
+        for end in range(1, len(word) + 1):
+            window.append(self._survivor(word, window, end, 0))
+        return tuple(self._ids(window, 0, len(word)))
+
+    def _known(self, word: str, marks: int = 0) -> tuple[int, ...]:
+        """Ids of a word with its marks before it; those of short words with one mark are remembered."""
+        if marks != 1 or len(word) > SHORT:
+            return self._word(MARK * marks + word)
         ids = self.words.get(word)
         if ids is None:
             ids = self.older.get(word)
-            if ids is None:
-                ids = self._word(word)
-            if len(word) < 64:
-                if len(self.words) > REMEMBERED:
-                    self.older, self.words = self.words, {}
-                self.words[word] = ids
+            ids = self.words[word] = self._word(MARK + word) if ids is None else ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        plain = self.library.normalize(text)
-        words, marks, out = plain.split(MARK), 0, []
+        words = self.library.normalize(text).split(MARK)
+        if len(self.words) > REMEMBERED:
+            self.older, self.words = self.words, {}
+        if words[0] == "" and len(words) > 1 and "" not in words[1:] and max(map(len, words)) <= SHORT:
+            del words[0]
+            for w in set(words).difference(self.words):
+                self._known(w, 1)
+            return list(chain.from_iterable(map(self.words.__getitem__, words)))
+        marks, out = 0, []
         for k, w in enumerate(words):
             marks += k > 0
-            if w or k + 1 == len(words):
-                if marks or w:
-                    out += self._known(MARK * marks + w)
+            if w or (marks and k + 1 == len(words)):
+                out += self._known(w, marks)
                 marks = 0
         return out
 
