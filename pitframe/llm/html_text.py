@@ -3,8 +3,10 @@
 A page is parsed into a tree that forgives unclosed and stray tags. Subtrees that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments by tag, role or class leave first. Every other node gets its
 density, characters per tag scaled down by how much of it is links, and the sum of its children's densities. The node
-with the greatest sum is the core; the least density on its path to the body is the threshold, and the text is the
-widest ancestor that is an ``article`` or ``main`` of at least that density, or the core itself.
+with the greatest sum is the core, and the least density on its path to the body is the threshold. From the body down, of
+each node that reaches the threshold the part with the greatest sum is kept; so is the widest ``article`` or ``main`` around the
+core. Above kept parts, text that stands directly in a node stays with them, as do blocks between them, headings over them
+and what else is in a node of which at least half is kept, unless it is mostly links.
 
 Defined cases: a null or empty page, or one with no text left, gives an empty text; ties go to the earlier node; repeated
 rows are treated alike; an empty table gives an empty result; other columns are not carried. Pages are never cut.
@@ -119,8 +121,8 @@ def parse(source: str) -> Page:
     return page
 
 
-def _densities(page: Page, body: int) -> tuple[list[float], list[float]]:
-    """Composite density of each node and the sum over its children."""
+def _densities(page: Page, body: int) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite density of each node, the sum over its children, and its characters, all and in links."""
     n = len(page.tags)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):  # children come after their parents
@@ -145,10 +147,77 @@ def _densities(page: Page, body: int) -> tuple[list[float], list[float]]:
             ratio = chars[i] / max(1, link_chars[i]) * max(1, tags[i]) / max(1, link_tags[i])
             density[i] = chars[i] / max(1, tags[i]) * math.log(max(ratio, 1.0) + 1e-9) / max(1e-9, math.log(base + 1e-9) if base > 1.0001 else 1.0)
     sums = [sum(density[x] for x in page.content[i] if not isinstance(x, str)) for i in range(n)]
-    return density, sums
+    return density, sums, chars, link_chars
 
 
-def _blocks(page: Page, top: int) -> list[str]:
+def _marked(page: Page, inside: list[bool], density: list[float], sums: list[float], body: int, threshold: float) -> list[bool]:
+    """The nodes that are kept whole: of each node reaching the threshold, under nodes that reach it, the part of greatest sum."""
+    n = len(page.tags)
+    best = list(range(n))
+    for i in range(n - 1, body, -1):
+        if inside[i] and (sums[best[i]], -best[i]) > (sums[best[up := page.parents[i]]], -best[up]):
+            best[up] = best[i]
+    whole, reached = [False] * n, [False] * n
+    for i in range(body, n):
+        up = page.parents[i]
+        if not inside[i]:
+            continue
+        whole[i] |= i > body and whole[up]
+        if not whole[i] and density[i] >= threshold and (i == body or reached[up]):
+            reached[i] = True
+            whole[best[i]] = True
+    return whole
+
+
+def _shown(page: Page, inside: list[bool], whole: list[bool], chars: list[int], link_chars: list[int], body: int) -> dict[int, list]:
+    """What is shown of the nodes above kept ones; ``whole`` gets the blocks that stay with kept ones."""
+    out: dict[int, list] = {}
+    got = [0] * len(page.tags)
+    linked = lambda x: 2 * link_chars[x] > chars[x]
+    for i in range(len(page.tags) - 1, body - 1, -1):
+        if not inside[i]:
+            continue
+        nodes = [x for x in page.content[i] if not isinstance(x, str) and inside[x]]
+        kept = [k for k, x in enumerate(nodes) if whole[x] or x in out]
+        if whole[i]:
+            got[i] = chars[i]
+        elif kept:
+            first, last = kept[0], kept[-1]
+            if i != body and 2 * sum(got[nodes[k]] for k in kept) >= chars[i]:
+                first, last = 0, len(nodes) - 1
+            for k in range(first - 1, -1, -1):
+                if chars[nodes[k]] and linked(nodes[k]):
+                    break
+                if chars[nodes[k]] and re.fullmatch("h[1-6]", page.tags[nodes[k]]):
+                    first = k
+            for x in nodes[first : last + 1]:
+                if x not in out and not linked(x):
+                    whole[x], got[x] = True, chars[x]
+            shown: list = []
+            run: list = []
+            for x in [*page.content[i], None]:
+                if isinstance(x, str) or (x is not None and (page.tags[x] in INLINE or page.tags[x] == "br")):
+                    run.append(x)
+                    continue
+                own = sum(len(" ".join(y.split())) for y in run if isinstance(y, str))
+                parts = [y for y in run if not isinstance(y, str) and inside[y]]
+                if own and 2 * sum(link_chars[y] for y in parts) <= own + sum(chars[y] for y in parts):
+                    shown += run  # a sentence with its links
+                    got[i] += own
+                    for y in parts:
+                        whole[y], got[y] = True, chars[y]
+                        out.pop(y, None)
+                else:
+                    shown += [y for y in parts if whole[y] or y in out or page.tags[y] == "br"]
+                run = []
+                if x is not None:
+                    shown.append(x)
+            got[i] += sum(got[x] for x in nodes)
+            out[i] = shown
+    return out
+
+
+def _blocks(page: Page, top: int, whole: list[bool], shown: dict[int, list]) -> list[str]:
     out: list[list[str]] = [[]]
     todo: list = [top]
     while todo:  # not recursive: pages may be nested deeply
@@ -163,7 +232,7 @@ def _blocks(page: Page, top: int) -> list[str]:
             elif page.tags[x] not in INLINE:
                 out.append([])
                 todo.append(-1)
-            todo += reversed(page.content[x])
+            todo += reversed(page.content[x] if whole[x] else shown.get(x, ()))
     return [b for parts in out if (b := " ".join(html.unescape("".join(parts)).split()))]
 
 
@@ -171,7 +240,7 @@ def main_text(source: str | None) -> str:
     """The article's blocks, joined by two line ends."""
     page = parse(source or "")
     body = next((i for i, t in enumerate(page.tags) if t == "body"), 0)
-    density, sums = _densities(page, body)
+    density, sums, chars, link_chars = _densities(page, body)
     inside = [False] * len(page.tags)
     inside[body] = True
     for i in range(body + 1, len(page.tags)):
@@ -183,8 +252,15 @@ def main_text(source: str | None) -> str:
     while path[-1] != body and page.parents[path[-1]] >= 0:
         path.append(page.parents[path[-1]])
     threshold = min(density[i] for i in path)
-    wide = [i for i in path if page.tags[i] in ("article", "main") and density[i] >= threshold]
-    return "\n\n".join(_blocks(page, wide[-1] if wide else core))
+    whole = _marked(page, inside, density, sums, body, threshold)
+    for i in path:
+        whole[i] |= i == core or page.tags[i] in ("article", "main")
+    for i in range(body + 1, len(page.tags)):
+        whole[i] |= inside[i] and whole[page.parents[i]]
+    shown = {} if whole[body] else _shown(page, inside, whole, chars, link_chars, body)
+    for i in range(body + 1, len(page.tags)):
+        whole[i] |= inside[i] and whole[page.parents[i]]
+    return "\n\n".join(_blocks(page, body, whole, shown))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

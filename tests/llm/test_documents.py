@@ -136,6 +136,22 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>") == "deep"
 
 
+def test_main_text_of_pages_without_article():
+    long = lambda k: f"{k} " + "plain words of a section " * 8
+    section = lambda k: "<section>" + "".join(f"<p>{long(f'{k}{i}')}</p>" for i in range(5)) + "</section>"
+    links = "<div><a href=x>one</a> | <a href=y>two</a></div><ul><li><a href=z>three</a><li><a href=w>four</a></ul>"
+    shown = [long(f"{k}{i}").strip() for k in "AB" for i in range(5)]
+    for head in ("", "<h1>Head</h1>", "<h1>Head</h1><p>By me.</p>"):
+        lead = re.findall(r">([^<]+)<", head)
+        assert html_text.main_text(f"<body><div>{head}{section('A')}{section('B')}</div></body>").split("\n\n") == lead + shown
+        for page in (f"{head}{section('A')}<p>Be.</p>{section('B')}", f"<div>{head}{section('A')}<p>Be.</p>{section('B')}</div>"):
+            assert html_text.main_text(f"<body>{links}{page}{links}</body>").split("\n\n") == [*lead, *shown[:5], "Be.", *shown[5:]]
+    assert html_text.main_text(f"<body><div>{section('A')}{section('B')}<p>End.</p>{links}</div></body>").split("\n\n") == [*shown, "End."]
+    assert html_text.main_text(f"<body>{links}<article>{section('A')}</article><div>{section('B')}</div></body>").split("\n\n") == shown
+    own = "Own words, with <a href=x>a link</a>, " + "of the node. " * 20
+    assert html_text.main_text(f"<body><div>{section('A')}{own}{section('B')}</div></body>").split("\n\n") == [*shown[:5], re.sub("<.*?>", "", own).strip(), *shown[5:]]
+
+
 # 8
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
