@@ -1,7 +1,9 @@
 """Main text of HTML pages by composite text density (operator 7).
 
 A page is parsed into a tree that forgives unclosed and stray tags. Subtrees that are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments by tag, role or class leave first. Every other node gets its
+notices, adverts, forms, scripts, styles or reader comments by tag, role or a whole name in class or id leave first; names
+do not count on a node that holds the greatest ``article`` or ``main``, or, where all of these are under such names or there
+are none, at least half of the text outside links. Every other node gets its
 density, characters per tag scaled down by how much of it is links, and the sum of its children's densities. The node
 with the greatest sum is the core, and the least density on its path to the body is the threshold. From the body down, of
 each node that reaches the threshold the part with the greatest sum is kept; so is the widest ``article`` or ``main`` around the
@@ -33,7 +35,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: What is never main text: tags, roles, and words of class and id attributes.
+#: What is never main text: tags, roles, and whole names in class and id attributes.
 DROP_TAGS = frozenset("head nav header footer aside form button select input textarea script style title noscript template iframe object svg canvas dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header menu nav navbar navigation newsletter notice notices pagination popup modal promo promotion related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
@@ -43,29 +45,61 @@ class Page:
     """Nodes of one page in document order: tag, parent, and the text and child nodes that each holds, in order."""
 
     def __init__(self):
-        self.tags, self.parents, self.dropped, self.content = ["#page"], [-1], [False], [[]]
+        self.tags, self.parents, self.dropped, self.named, self.content = ["#page"], [-1], [False], [False], [[]]
 
-    def add(self, tag: str, parent: int, dropped: bool) -> int:
+    def add(self, tag: str, parent: int, dropped: bool, named: bool) -> int:
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(dropped)
+        self.named.append(named)
         self.content.append([])
         self.content[parent].append(len(self.tags) - 1)
         return len(self.tags) - 1
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the node is never main text, and whether it has a name of such nodes."""
     if tag in DROP_TAGS:
-        return True
+        return True, False
+    named = False
     if not attributes.strip(" /\n\t\r"):
-        return False
+        return False, False
     for m in _attribute.finditer(attributes):
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in DROP_ROLES) or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not DROP_WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not DROP_WORDS.isdisjoint(value.split()):
+            named = True
+    return False, named
+
+
+def _drop_named(page: Page) -> None:
+    """Nodes with names of what is no main text are dropped, but for those that hold it."""
+    n = len(page.tags)
+    if True not in page.named:
+        return
+    plain, in_link, under = [0] * n, [False] * n, [False] * n  # characters outside links
+    for i in range(1, n):
+        up = page.parents[i]
+        in_link[i] = in_link[up] or page.tags[i] == "a"
+        under[i] = under[up] or page.named[i]
+    for i in range(n - 1, -1, -1):
+        if page.dropped[i]:
+            continue
+        if not in_link[i]:
+            plain[i] += sum(len(" ".join(x.split())) for x in page.content[i] if isinstance(x, str))
+        if i:
+            plain[page.parents[i]] += plain[i]
+    texts = [i for i in range(n) if page.tags[i] in ("article", "main") and plain[i]]
+    holds = [False] * n
+    if texts:
+        i = max(texts, key=lambda i: (plain[i], -i))
+        while i >= 0:
+            holds[i], i = True, page.parents[i]
+    free = any(not under[i] for i in texts)
+    for i in range(1, n):  # parents come before their children
+        kept = holds[i] or (not free and 2 * plain[i] >= plain[0] > 0)
+        page.dropped[i] = page.dropped[i] or page.dropped[page.parents[i]] or (page.named[i] and not kept)
 
 
 def parse(source: str) -> Page:
@@ -111,13 +145,15 @@ def parse(source: str) -> Page:
                     break
         if tag == "body":
             close(2 if len(stack) > 1 and page.tags[stack[1]] == "html" else 1)
-        node = page.add(tag, stack[-1], page.dropped[stack[-1]] or _unwanted(tag, m[3]))
+        dropped, named = _unwanted(tag, m[3])
+        node = page.add(tag, stack[-1], page.dropped[stack[-1]] or dropped, named)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     text(source[at:])
+    _drop_named(page)
     return page
 
 

@@ -152,6 +152,24 @@ def test_main_text_of_pages_without_article():
     assert html_text.main_text(f"<body><div>{section('A')}{own}{section('B')}</div></body>").split("\n\n") == [*shown[:5], re.sub("<.*?>", "", own).strip(), *shown[5:]]
 
 
+def test_main_text_under_names_of_other_parts():
+    words = "plain words of a page " * 20
+    text = words.strip()
+    for page in (
+        f"<div class='content has-sidebar'><article><p>{words}</p></article></div>",
+        f"<div class='content sidebar'><div id=widget><main><p>{words}</p></main></div></div><div class=related><p>other</p></div>",
+        f"<div id=header><p>{words}</p></div><div class='ad'>buy</div>",
+        f"<div class=widget><p>{words}</p></div><div class='related'><article>card</article><a href=x>{words}{words}</a></div>",
+        f"<article><p>{words}</p></article><div class=related><article>card</article></div><div class=comments>{words}{words}</div>",
+    ):
+        assert text in html_text.main_text(f"<body>{page}</body>")
+        assert not re.search("buy|other", html_text.main_text(f"<body>{page}</body>"))
+    assert html_text.main_text(f"<body><article><p>{words}</p></article><div class=related><article>card</article></div><div class=comments>{words}{words}</div></body>") == text
+    assert html_text.main_text("<body><article><p>Brief.</p></article><div class=ad>a much longer advert</div></body>") == "Brief."
+    inside = f"<article><p>{words}</p><h2 id='related-work'>Related work</h2><section id=share-price><p>Price.</p></section><div class=share>tell</div></article>"
+    assert html_text.main_text(f"<body>{inside}</body>").split("\n\n") == [text, "Related work", "Price."]
+
+
 # 8
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
