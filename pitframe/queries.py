@@ -120,7 +120,7 @@ QUERIES = {
     "relative_strength": lambda t: _round(_year(_bars(t)).select("ticker", "date", "rs_change_21d", "rs_change_63d", "rs_21d_63d_change", "rs_20d_slope"), 8),
     "sector_composite": lambda t: _round(_composite(t).select("sector", "date", "mean_return", "members", "composite")),
     "rs_vs_sector": lambda t: _round(_year(technical.relative_to_sector(t.price_daily(), _member_sectors(t), _composite(t)))),
-    "wilder_atr_adx": lambda t: _round(_year(technical.wilder(t.price_daily()))),
+    "wilder_atr_adx": lambda t: _round(technical.wilder(t.price_daily())),
     "carried_indicators": lambda t: _round(_features(t).select("ticker", "date", "dist_200dma", "base_breakout_flag")),
     "fundamentals_readable": lambda t: _round(valuation.fundamentals(t.fundamental_snapshot())),
     "valuation_priced": lambda t: _round(valuation.priced(_year(t.price_daily()).select("ticker", "date", F.col("close").cast("double").alias("close")), valuation.fundamentals(t.fundamental_snapshot())).select("ticker", "date", "fcf_yield", "ev_ebit")),

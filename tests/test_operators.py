@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitframe import queries
 from pitframe.functions.series import jaccard, slot_quota, token_estimate
 from pitframe.operators import asof, filings, flow, measure, news, percentile, screens, universe
 from pitframe.operators.technical import wilder_arrays
 from pitframe.plans import upsert as writes
 from pitframe.sources import flatten
+from pitframe.sources.adapters import Tables
 
 D = dt.date
 
@@ -28,6 +30,12 @@ def test_wilder_closed_forms():
     assert np.isnan(wilder_arrays(gap, flat - 1, flat, 250, 14)[0][-1])
 
 
+def test_wilder_query_has_every_bar(spark):
+    bars = queries.QUERIES["price_daily"](t := Tables(spark, "/root/testdata/sf0.001")).select("ticker", "date")
+    rows = queries.QUERIES["wilder_atr_adx"](t).select("ticker", "date")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, bars.collect()))
+
+
 def test_wilder_recursion_by_hand():
     r = np.random.default_rng(3)
     c = 100 + r.normal(size=60).cumsum()
