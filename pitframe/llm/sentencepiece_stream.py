@@ -4,8 +4,10 @@ The normalised text runs through a window of the last ``longest`` characters, th
 in the window keeps one surviving path: for unigram models the one of highest score, for byte-pair models the one whose
 neighbouring pieces are each what merging their joint text would give, which is the library's segmentation. As soon as
 the surviving paths of the whole window go back to one boundary, the ids up to it are committed and forgotten, so memory
-is bounded by the longest piece wherever paths converge, whatever the length of the text. No piece holds a word's first
-mark after another character, so paths always converge there, and the ids of words met before are reused.
+is bounded by the longest piece wherever paths converge, whatever the length of the text. The library normalises the
+whole text first. In models where no piece holds a mark after another character, paths always converge at the first mark of
+a word: there the text is split, the ids of words met before are reused, and only words longer than twice the longest piece
+need the stream. With other models the whole text goes through the stream.
 
 Decoding turns ids to pieces and runs of byte pieces to characters.
 
@@ -51,6 +53,9 @@ class Codec:
         self.values = {i: b for b, i in self.bytes.items()}
         self.controls = {i for i in range(n) if self.library.is_control(i)}
         self.longest = max(map(len, self.ids))
+        #: whether no piece goes over the start of a word, so that words can be encoded one by one; the same of line ends
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.by_line = not any("\n" in p for p in self.ids)
         self.penalty = min(self.scores.values()) - 10.0
         #: what each id decodes to, as bytes
         self.raw = [self.texts[i].replace(MARK, " ").encode() if i in self.texts else bytes([self.values[i]]) if i in self.values else b"" if i in self.controls else " ⁇ ".encode() for i in range(n)]
@@ -157,7 +162,7 @@ class Codec:
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a stretch between two points where all paths converge: marks of words, and line ends, which no piece holds."""
-        if "\n" in word and "\n" not in self.ids:
+        if self.by_line and "\n" in word:
             parts = word.split("\n")
             out = list(self._known(parts[0])) if parts[0] else []
             for p in parts[1:]:
@@ -184,6 +189,8 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
+        if not self.by_word:
+            return [i for part in self.stream(iter(self.library.normalize(text))) for i in part]
         words = self.library.normalize(text).split(MARK)
         if len(self.words) > REMEMBERED:
             self.older, self.words = self.words, {}

@@ -40,6 +40,19 @@ def test_pieces_equal_the_library():
         assert [i for part in codec.stream(iter(codec.library.normalize(text))) for i in part] == ids  # the whole text as one stream
 
 
+def test_pieces_over_several_words(tmp_path):
+    import sentencepiece
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["of the", "in the", "a cat", "to be", "sat"]) for _ in range(12)) for _ in range(300)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(tmp_path / "over"), model_type="bpe", vocab_size=60, split_by_whitespace=False, hard_vocab_limit=False, minloglevel=2)
+    codec = sentencepiece_stream.Codec(str(tmp_path / "over.model"), "bpe")
+    assert any("▁" in p.lstrip("▁") for p in codec.ids) and not codec.by_word
+    for text in [*texts, "of the of the", "a cat sat " * 300]:
+        assert codec.encode(text) == codec.library.encode(text)
+    assert sentencepiece_stream.Codec(tokenizer_path("piece_bpe_32k.model"), "bpe").by_word
+
+
 def test_unigram_is_the_best_path_and_windows_are_bounded():
     codec = sentencepiece_stream.Codec(tokenizer_path("piece_bpe_32k.model"), "unigram")
     r = random.Random(2)
