@@ -1,24 +1,29 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search (operator 1).
 
-The normalised text runs through a window of the last ``longest`` characters, the length of the longest piece. Each boundary
-in the window keeps one surviving path: for unigram models the one of highest score, for byte-pair models the one whose
-neighbouring pieces are each what merging their joint text would give, which is the library's segmentation. As soon as
-the surviving paths of the whole window go back to one boundary, the ids up to it are committed and forgotten, so memory
-is bounded by the longest piece wherever paths converge, whatever the length of the text. The library normalises the
-whole text first. In models where no piece holds a mark after another character, paths always converge at the first mark of
-a word: there the text is split, the ids of words met before are reused, and only words longer than twice the longest piece
-need the stream. With other models the whole text goes through the stream.
+The normalised text runs through a window bounded by the longest piece. Each boundary in the window keeps one surviving
+path: for unigram models the one of highest score, for byte-pair models the one whose neighbouring pieces stay apart when
+their joint text is merged, which is the library's segmentation. As soon as the surviving paths of the whole window go back
+to one boundary, the ids up to it are committed and forgotten, so memory is bounded by the longest piece wherever paths
+converge, whatever the length of the text.
+
+In models where no piece holds a mark after another character (and none a line end with others), every surviving path goes
+through the boundary before a mark or at a line end: there ids are committed without tracing paths back. Between two such
+boundaries lies a stretch. The stretches of a batch that fit the window (twice the longest piece) advance side by side, one
+boundary of each at a time, over an array automaton of the pieces; ids committed for a stretch are remembered, as the same
+stretch always gives the same. Longer stretches, and with other models whole texts, advance one character at a time and
+commit by tracing back. The library normalises each whole text first.
 
 Decoding turns ids to pieces and runs of byte pieces to characters.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; characters that no piece covers become
 byte pieces, or the unknown id in models without them; repeated rows are treated alike; an empty table gives an empty result;
-other columns stay as they are. Texts are never cut.
+other columns stay as they are, and one that has the name of the new column is replaced. Texts are never cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Words and pairs of pieces that a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED, SHORT = 300_000, 200
+#: Stretches and pairs of pieces that a worker remembers; beyond that the older half goes.
+REMEMBERED = 300_000
 _ONE = (1,)
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -70,11 +75,19 @@ class Codec:
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: stretches between boundaries through which all paths go
+        self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if self.by_line else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.arrays = Arrays(self) if kind == "bpe" and all(c in self.ids for p in self.ids for c in p) else None
 
     def unmatched(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
-    def merges(self, text: str) -> list[str]:
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge of the piece's characters joins, or None if merging does not make it."""
+        steps: list[tuple[str, str]] = []
+        return steps[-1] if self.merges(piece, steps) == [piece] and steps else None
+
+    def merges(self, text: str, steps: list | None = None) -> list[str]:
         """Pieces of a short text by merging neighbours, the best scored first, the leftmost among equals."""
         parts = list(text)
         while True:
@@ -85,6 +98,8 @@ class Codec:
                     best, where = self.scores[k], i
             if best is None:
                 return parts
+            if steps is not None:
+                steps.append((parts[where], parts[where + 1]))
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
     def fit(self, left: str, right: str) -> bool:
@@ -160,58 +175,163 @@ class Codec:
             end = before
         return [i for ids in reversed(out) for i in ids]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a stretch between two points where all paths converge: marks of words, and line ends, which no piece holds."""
-        if self.by_line and "\n" in word:
-            parts = word.split("\n")
-            out = list(self._known(parts[0])) if parts[0] else []
-            for p in parts[1:]:
-                out += self.unmatched("\n")
-                out += self._known(p) if p else ()
-            return tuple(out)
-        if len(word) > 2 * self.longest:
-            return tuple(i for part in self.stream(iter(word)) for i in part)
-        window: list[tuple[float, str, int] | None] = [(0.0, "", -1)]  # the whole word fits the window: nothing to commit early
-        for end in range(1, len(word) + 1):
-            window.append(self._survivor(word, window, end, 0))
-        return tuple(self._ids(window, 0, len(word)))
-
-    def _known(self, word: str, marks: int = 0) -> tuple[int, ...]:
-        """Ids of a word with its marks before it; those of short words with one mark are remembered."""
-        if marks != 1 or len(word) > SHORT:
-            return self._word(MARK * marks + word)
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            ids = self.words[word] = self._word(MARK + word) if ids is None else ids
-        return ids
-
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text; the stretches of all of them that are not known yet go through the window together."""
+        plain = [self.library.normalize(t) if t else "" for t in texts]
         if not self.by_word:
-            return [i for part in self.stream(iter(self.library.normalize(text))) for i in part]
-        words = self.library.normalize(text).split(MARK)
+            return [[i for part in self.stream(iter(t)) for i in part] for t in plain]
+        stretches = [self.cut.findall(t) for t in plain]
         if len(self.words) > REMEMBERED:
             self.older, self.words = self.words, {}
-        if words[0] == "" and len(words) > 1 and "" not in words[1:] and max(map(len, words)) <= SHORT:
-            del words[0]
-            for w in set(words).difference(self.words):
-                self._known(w, 1)
-            return list(chain.from_iterable(map(self.words.__getitem__, words)))
-        marks, out = 0, []
-        for k, w in enumerate(words):
-            marks += k > 0
-            if w or (marks and k + 1 == len(words)):
-                out += self._known(w, marks)
-                marks = 0
-        return out
+        fresh, long = [], {}
+        for x in set(chain.from_iterable(stretches)).difference(self.words):
+            if (ids := self.older.get(x)) is not None:
+                self.words[x] = ids
+            elif len(x) > 2 * self.longest or self.arrays is None:
+                long[x] = None
+            else:
+                fresh.append(x)
+        if fresh:
+            self.words.update(zip(fresh, self.arrays.encode(fresh), strict=True))
+        if not long:
+            return [list(chain.from_iterable(map(self.words.__getitem__, x))) for x in stretches]
+        return [[i for x in own for i in (chain.from_iterable(self.stream(iter(x))) if x in long else self.words[x])] for own in stretches]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Arrays:
+    """The pieces as an array automaton, and the window of many stretches side by side, for byte-pair models.
+
+    Pieces are numbered in the order in which merging makes them: characters first. ``left`` and ``right`` are what a piece
+    was merged from, itself for characters; pieces that merging never makes are left out.
+    """
+
+    def __init__(self, codec: Codec):
+        chars = sorted(p for p in codec.ids if len(p) == 1)
+        made = sorted((p for p in codec.ids if len(p) > 1), key=lambda p: -codec.scores[codec.ids[p]])
+        halves = {p: h for p in made if (h := codec.halves(p))}
+        order = chars + [p for p in made if p in halves]
+        number = {p: k for k, p in enumerate(order)}
+        self.size, self.longest = len(order) + 1, codec.longest
+        self.ids = [(codec.ids[p],) for p in order]
+        self.unmatched = codec.unmatched
+        #: when merging makes a piece: 0 for characters, then by falling score, alike for equal scores
+        scores = sorted({codec.scores[codec.ids[p]] for p in halves}, reverse=True)
+        turn = {x: k + 1 for k, x in enumerate(scores)}
+        self.turn = np.array([turn[codec.scores[codec.ids[p]]] if p in halves else 0 for p in order])
+        self.left = np.array([number[halves[p][0]] if p in halves else k for k, p in enumerate(order)])
+        self.right = np.array([number[halves[p][1]] if p in halves else k for k, p in enumerate(order)])
+        joins = sorted((number[p[:i]] * self.size + number[p[i:]], number[p]) for p in halves for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        self.join_keys, self.joined = np.array([k for k, _ in joins] + [1 << 62]), np.array([v for _, v in joins] + [0])
+        nodes: dict[tuple[int, int], int] = {}
+        piece = [-1]
+        for k, p in enumerate(order):
+            at = 0
+            for c in p:
+                key = (at, ord(c))
+                if key not in nodes:
+                    nodes[key] = len(piece)
+                    piece.append(-1)
+                at = nodes[key]
+            piece[at] = k
+        edges = sorted(((a << 21) | c, b) for (a, c), b in nodes.items())
+        self.edges, self.targets, self.piece = np.array([k for k, _ in edges] + [1 << 62]), np.array([b for _, b in edges] + [0]), np.array(piece)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether neighbours stay apart: undoing the later merge of the two sides step by step, none of the pairs that met
+        at their border would have been merged before the step that was just undone."""
+        out, limit = np.ones(len(a), bool), np.full(len(a), self.size + 1)
+        live = np.arange(len(a))
+        while len(live):
+            key = a * self.size + b
+            at = np.searchsorted(self.join_keys, key)
+            joined = (self.join_keys[at] == key) & (self.turn[self.joined[at]] < limit)
+            out[live[joined]] = False
+            next_a, next_b = self.right[a], self.left[b]
+            can_a, can_b = next_a != a, next_b != b
+            go_a = can_a & ((self.turn[a] > self.turn[b]) | ~can_b)
+            go_b = can_b & ~go_a
+            limit = np.where(go_a, self.turn[a], self.turn[b] + 1)
+            a, b = np.where(go_a, next_a, a), np.where(go_b, next_b, b)
+            on = ~joined & (go_a | go_b)
+            live, a, b, limit = live[on], a[on], b[on], limit[on]
+        return out
+
+    def encode(self, stretches: list[str]) -> list[tuple[int, ...]]:
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        whose = np.repeat(np.arange(len(stretches)), sizes)
+        place = np.arange(len(chars)) - begin[whose]
+        room = sizes[whose] - place
+        # every occurrence of a piece: first character, length, number
+        first, length, number = [], [], []
+        live, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for n in range(1, self.longest + 1):
+            on = room[live] >= n
+            live, state = live[on], state[on]
+            key = state << 21 | chars[live + (n - 1)]
+            at = np.searchsorted(self.edges, key)
+            on = self.edges[at] == key
+            if n == 1 and not on.all():  # a character without a piece stands alone
+                lost = live[~on]
+                first.append(lost)
+                length.append(np.ones(len(lost), np.int64))
+                number.append(np.full(len(lost), -1))
+            live, state = live[on], self.targets[at[on]]
+            if not len(live):
+                break
+            hit = (k := self.piece[state]) >= 0
+            first.append(live[hit])
+            length.append(np.full(int(hit.sum()), n))
+            number.append(k[hit])
+        first, length, number = (np.concatenate(x) for x in (first, length, number))
+        by_end = np.argsort(place[first] + length, kind="stable")
+        first, length, number = first[by_end], length[by_end], number[by_end]
+        ends = place[first] + length
+        # survivors at each boundary: number of the last piece (-1: none or a lone character) and its length (0: no path)
+        source = first + whose[first]
+        target = source + length
+        last, back = np.full(len(chars) + len(stretches), -1), np.zeros(len(chars) + len(stretches), np.int64)
+        back[begin + np.arange(len(stretches))] = 1
+        bounds = np.searchsorted(ends, np.arange(1, int(sizes.max()) + 2))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = np.flatnonzero(back[source[a:b]] > 0) + a
+            before, piece = last[source[own]], number[own]
+            check = np.flatnonzero((before >= 0) & (piece >= 0))
+            fits = np.ones(len(own), bool)
+            fits[check] = self.apart(before[check], piece[check])
+            own = own[fits]
+            last[target[own]], back[target[own]] = number[own], length[own]
+        # back from the ends, all stretches at once
+        heads, at, live = begin + np.arange(len(stretches)), begin + np.arange(len(stretches)) + sizes, np.arange(len(stretches))
+        found, owner = [], []
+        while len(live):
+            found.append(at[live])
+            owner.append(live)
+            at[live] -= back[at[live]]
+            live = live[at[live] > heads[live]]
+        found, owner = np.concatenate(found)[::-1], np.concatenate(owner)[::-1]
+        order = np.argsort(owner, kind="stable")
+        found, counts = found[order], np.bincount(owner, minlength=len(stretches))
+        pieces = last[found].tolist()
+        lone = np.flatnonzero(last[found] < 0)
+        parts = [self.ids[k] for k in pieces]
+        for i in lone.tolist():
+            parts[i] = tuple(self.unmatched(chr(chars[found[i] - owner[order[i]] - 1])))
+        out, a = [], 0
+        for n in counts.tolist():
+            out.append(tuple(chain.from_iterable(parts[a : a + n])))
+            a += n
+        return out
+
+
 def codec(path: str, kind: str) -> Codec:
     if (path, kind) not in _codecs:
         _codecs[path, kind] = Codec(path, kind)
@@ -226,7 +346,7 @@ def encode(docs: DataFrame, model: str, *, kind: str = "bpe", text_col: str = "t
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(model, kind)
         for t in texts:
-            yield pa.array([own.encode(x) for x in t.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array(own.encode_all(t.to_pylist()), pa.list_(pa.int32()))
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
 
@@ -256,8 +376,8 @@ def round_trip(docs: DataFrame, model: str, *, kind: str = "bpe", id_col: str =
         own = codec(model, kind)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                ids = own.encode(text)
+            texts = batch.column("text").to_pylist()
+            for text, ids in zip(texts, own.encode_all(texts), strict=True):
                 back = own.decode(ids)
                 rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back), back == (text or "")))
             yield pa.record_batch([batch.column("id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())))], ["id", "n_pieces", "ids_sha256", "decoded_sha256", "n_chars", "exact"])

@@ -40,6 +40,27 @@ def test_pieces_equal_the_library():
         assert [i for part in codec.stream(iter(codec.library.normalize(text))) for i in part] == ids  # the whole text as one stream
 
 
+def test_pieces_stay_apart_as_merging_says():
+    codec = sentencepiece_stream.Codec(tokenizer_path("piece_bpe_32k.model"), "bpe")
+    names = {k: codec.texts[i] for k, (i,) in enumerate(codec.arrays.ids)}
+    r = random.Random(7)
+    joins = [divmod(int(k), codec.arrays.size) for k in r.sample(codec.arrays.join_keys[:-1].tolist(), 1500)]
+    pairs = joins + [(r.randrange(len(names)), r.randrange(len(names))) for _ in range(3000)] + [(k, k) for k in r.sample(range(len(names)), 300)]
+    got = codec.arrays.apart(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [codec.merges(names[a] + names[b]) == [names[a], names[b]] for a, b in pairs]
+
+
+def test_stretches_and_the_stream_agree(monkeypatch):
+    codec = sentencepiece_stream.Codec(tokenizer_path("piece_bpe_32k.model"), "bpe")
+    texts = [r * 3 for r in ("two words\n\nthree  words ", "漢字かな交じり文", "ab\u200bcd 🙂", "x" * 40 + " y")]
+    expected = [codec.library.encode(t) for t in texts]
+    assert codec.encode_all(texts) == expected and codec.encode_all(texts[::-1]) == expected[::-1]
+    monkeypatch.setattr(sentencepiece_stream, "REMEMBERED", 2)
+    assert codec.encode_all(texts) == expected  # after forgetting
+    codec.arrays, codec.words, codec.older = None, {}, {}
+    assert codec.encode_all(texts) == expected  # every stretch through the window that commits by tracing back
+
+
 def test_pieces_over_several_words(tmp_path):
     import sentencepiece
 
