@@ -25,32 +25,28 @@ WITH d AS (
          CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_line_rate,
          CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_rate
   FROM c
+), t AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r
 ), v AS (
-  SELECT lang, source, 'letters_rate' AS rate, letters_rate AS value FROM r UNION ALL SELECT lang, source, 'symbol_rate', symbol_rate FROM r
-  UNION ALL SELECT lang, source, 'dup_line_rate', dup_line_rate FROM r UNION ALL SELECT lang, source, 'repeat_rate', repeat_rate FROM r
+  SELECT lang, source, 'letters_rate' AS rate, letters_rate AS value FROM t WHERE NOT base_failed UNION ALL SELECT lang, source, 'symbol_rate' AS rate, symbol_rate AS value FROM t WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_line_rate' AS rate, dup_line_rate AS value FROM t WHERE NOT base_failed UNION ALL SELECT lang, source, 'repeat_rate' AS rate, repeat_rate AS value FROM t WHERE NOT base_failed
 ), b AS (
-  SELECT lang, source, rate, (value >> greatest(length(bin(value)) - 6, 0)::BIGINT) << greatest(length(bin(value)) - 6, 0)::BIGINT AS bucket FROM v
+  SELECT lang, source, rate, ((value >> greatest(length(bin(value)) - 6, 0)::BIGINT) << greatest(length(bin(value)) - 6, 0)::BIGINT) AS bucket FROM v
 ), sk AS (SELECT lang, source, rate, bucket, count(*) AS n FROM b GROUP BY ALL),
 q0 AS (SELECT lang, source, rate, bucket, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, rate) AS total FROM sk),
 q1 AS (SELECT lang, rate, bucket, sum(n) OVER (PARTITION BY lang, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, rate) AS total FROM (SELECT lang, rate, bucket, sum(n) AS n FROM sk GROUP BY ALL)),
 q2 AS (SELECT rate, bucket, sum(n) OVER (PARTITION BY rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY rate) AS total FROM (SELECT rate, bucket, sum(n) AS n FROM sk GROUP BY ALL)),
-a0 AS (SELECT lang, source, rate, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q25, min(bucket) FILTER (upto * 4 >= total * 3) AS q75 FROM q0 GROUP BY ALL),
-a1 AS (SELECT lang, rate, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q25, min(bucket) FILTER (upto * 4 >= total * 3) AS q75 FROM q1 GROUP BY ALL),
-a2 AS (SELECT rate, min(bucket) FILTER (upto * 4 >= total) AS q25, min(bucket) FILTER (upto * 4 >= total * 3) AS q75 FROM q2 GROUP BY ALL),
+a0 AS (SELECT lang, source, rate, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS low, min(bucket) FILTER (upto * 2 >= total) AS mid, min(bucket) FILTER (upto * 100 >= total * CASE rate WHEN 'letters_rate' THEN 75 WHEN 'symbol_rate' THEN 88 ELSE 99 END) AS high FROM q0 GROUP BY ALL),
+a1 AS (SELECT lang, rate, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS low, min(bucket) FILTER (upto * 2 >= total) AS mid, min(bucket) FILTER (upto * 100 >= total * CASE rate WHEN 'letters_rate' THEN 75 WHEN 'symbol_rate' THEN 88 ELSE 99 END) AS high FROM q1 GROUP BY ALL),
+a2 AS (SELECT rate, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS low, min(bucket) FILTER (upto * 2 >= total) AS mid, min(bucket) FILTER (upto * 100 >= total * CASE rate WHEN 'letters_rate' THEN 75 WHEN 'symbol_rate' THEN 88 ELSE 99 END) AS high FROM q2 GROUP BY ALL),
 p AS (
-  SELECT a0.lang, a0.source, a0.rate,
-         CASE WHEN a0.total >= 200 THEN a0.q25 WHEN a1.total >= 200 THEN a1.q25 ELSE a2.q25 END AS q25,
-         CASE WHEN a0.total >= 200 THEN a0.q75 WHEN a1.total >= 200 THEN a1.q75 ELSE a2.q75 END AS q75,
-         CASE a0.rate WHEN 'dup_line_rate' THEN 400 WHEN 'repeat_rate' THEN 150 ELSE 100 END AS slack
+  SELECT a0.lang, a0.source, a0.rate, CASE WHEN a0.total >= 200 THEN a0.low WHEN a1.total >= 200 THEN a1.low ELSE a2.low END AS low, CASE WHEN a0.total >= 200 THEN a0.mid WHEN a1.total >= 200 THEN a1.mid ELSE a2.mid END AS mid, CASE WHEN a0.total >= 200 THEN a0.high WHEN a1.total >= 200 THEN a1.high ELSE a2.high END AS high
   FROM a0 JOIN a1 ON a0.lang IS NOT DISTINCT FROM a1.lang AND a0.rate = a1.rate JOIN a2 ON a0.rate = a2.rate
+), x AS (
+  SELECT lang, source, rate, low - CASE rate WHEN 'letters_rate' THEN 12 WHEN 'symbol_rate' THEN 8 ELSE 0 END * (mid - low) AS lo, high + CASE rate WHEN 'letters_rate' THEN 12 WHEN 'symbol_rate' THEN 8 ELSE 0 END * (high - mid) AS hi FROM p
 ), f AS (
-  SELECT lang, source, max(q25 - 3 * (q75 - q25) - slack) FILTER (rate = 'letters_rate') AS lo, max(q75 + 3 * (q75 - q25) + slack) FILTER (rate = 'letters_rate') AS hi,
-         max(q75 + 3 * (q75 - q25) + slack) FILTER (rate = 'symbol_rate') AS sym, max(q75 + 3 * (q75 - q25) + slack) FILTER (rate = 'dup_line_rate') AS dup,
-         max(q75 + 3 * (q75 - q25) + slack) FILTER (rate = 'repeat_rate') AS rep
-  FROM p GROUP BY ALL
+  SELECT lang, source, max(lo) FILTER (rate = 'letters_rate') AS lo, max(hi) FILTER (rate = 'letters_rate') AS letters_rate_hi, max(hi) FILTER (rate = 'symbol_rate') AS symbol_rate_hi, max(hi) FILTER (rate = 'dup_line_rate') AS dup_line_rate_hi, max(hi) FILTER (rate = 'repeat_rate') AS repeat_rate_hi FROM x GROUP BY ALL
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND letters_rate BETWEEN lo AND hi AND symbol_rate <= sym AND dup_line_rate <= dup AND repeat_rate <= rep AS kept
-FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(((letters_rate >> greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) << greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) >= lo AND ((letters_rate >> greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) << greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) <= letters_rate_hi AND ((symbol_rate >> greatest(length(bin(symbol_rate)) - 6, 0)::BIGINT) << greatest(length(bin(symbol_rate)) - 6, 0)::BIGINT) <= symbol_rate_hi AND ((dup_line_rate >> greatest(length(bin(dup_line_rate)) - 6, 0)::BIGINT) << greatest(length(bin(dup_line_rate)) - 6, 0)::BIGINT) <= dup_line_rate_hi AND ((repeat_rate >> greatest(length(bin(repeat_rate)) - 6, 0)::BIGINT) << greatest(length(bin(repeat_rate)) - 6, 0)::BIGINT) <= repeat_rate_hi, FALSE) AS kept
+FROM t LEFT JOIN f ON t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source
 """

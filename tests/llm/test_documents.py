@@ -115,6 +115,19 @@ def test_quality(spark):
     assert quality(frame(spark, []).limit(0)).collect() == []
 
 
+def test_limits_follow_the_group(spark):
+    """Symbols are odd where few texts have any, and usual where all have; a text far out of its own group goes."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(3, 7)))
+    text = lambda symbols: " ".join([word() for _ in range(100 - symbols)] + ["|"] * symbols if symbols else [word() for _ in range(100)])
+    mixed = lambda symbols: " ".join(w for _ in range(symbols) for w in (word(), word(), word() + "|")) + " " + " ".join(word() for _ in range(100 - 3 * symbols))
+    rows = [(i, text(0), "en", "prose") for i in range(300)] + [(1000 + i, mixed(10), "en", "prose") for i in range(20)]
+    rows += [(2000 + i, mixed(8 + i % 5), "en", "code") for i in range(300)] + [(3000, mixed(33).replace("|", "||||||"), "en", "code")]
+    kept = {x.doc_id for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if x.kept}
+    assert not kept & set(range(1000, 1020)) and 3000 not in kept
+    assert len(kept & set(range(300))) > 290 and len(kept & set(range(2000, 2300))) > 290
+
+
 # 5
 def test_kernel_tolerates_gaps():
     value = lambda a, b: toxicity.kernel(toxicity.features([a]), toxicity.features([b]))[0, 0]
@@ -141,9 +154,11 @@ def test_toxicity_without_labels(spark):
 
 
 # 6
-def test_token_counts_and_cache(spark, tmp_path):
+def test_token_counts_and_cache(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
+    from pitframe.llm import token_counts as token_counts_module
+
     path, cache = tokenizer_path("word_bpe_49k.json"), str(tmp_path / "cache")
     library = Tokenizer.from_file(path)
     texts = ODD + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
@@ -154,7 +169,14 @@ def test_token_counts_and_cache(spark, tmp_path):
         expected.add((i if i != 3 else None, len((t or "").encode()), n, n > 50))
     assert count() == expected
     stored = spark.read.parquet(cache).count()
-    assert count() == expected and spark.read.parquet(cache).count() == stored  # nothing is encoded again
+    monkeypatch.setattr(token_counts_module.Counter, "count", None)
+    monkeypatch.setattr(token_counts_module, "_counter", None)  # nothing is encoded again: no encoder is there
+    assert count() == expected and spark.read.parquet(cache).count() == stored
+    monkeypatch.undo()
+    monkeypatch.setattr(token_counts_module, "FEW", 0)  # by a shuffle
+    more = texts + ["one more"]
+    got = token_counts(frame(spark, more), path, cache, limit=50, by_word=True).collect()
+    assert {tuple(r) for r in got if r.doc_id != len(texts)} == expected and spark.read.parquet(cache).count() == stored + 1
     assert token_counts(frame(spark, []).limit(0), path, str(tmp_path / "none"), limit=50, by_word=True).collect() == []
 
 
