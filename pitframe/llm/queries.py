@@ -49,7 +49,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return token_counts(docs, tokenizer_path("word_bpe_49k.json"), common.new_path(spark, "token-cache"), limit=2048, by_word=True)
+    cache = f"{common.shared_folder(spark).rstrip('/')}/token-counts"  # stays: a second run finds its counts there
+    return token_counts(docs, tokenizer_path("word_bpe_49k.json"), cache, limit=2048, by_word=True)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Token counts behind a digest cache (operator 6).
 
 ``token_counts`` joins a digest of the normalised content and a digest of the tokenizer file to stored counts, encodes
-one text for each digest that is not stored, appends the new counts to the cache and joins them back to the rows.
+one text for each digest that is not stored, appends the new counts to the cache and joins them back to the rows. The cache is
+a table partitioned by the tokenizer's digest, so that another version's counts are not even read. Only ids and digests move
+until it is known what is missing: with nothing missing no text is read again, with up to ``FEW`` missing digests these go to the texts
+by broadcast (some 100 bytes each), and only beyond that the missing texts are shuffled. Rows of frequent contents are dealt
+over all tasks when they get their counts.
 
 Defined cases: a null text counts as empty; a row with a null id is counted like any other; an empty text has no tokens; repeated texts and repeated rows are encoded
 once and each row gets its count; an empty table gives an empty result; columns of the input other than the id and the
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
+CACHE = "content_digest string, n_tokens long, tokenizer_digest string"
+#: Missing digests that are broadcast; more of them are joined by a shuffle.
+FEW = 200_000
 #: Distinct words that a worker remembers between texts; beyond that it forgets all and starts again.
 WORDS = 300_000
 
@@ -87,28 +93,31 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int, by_
     version = tokenizer_digest(tokenizer)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     content = F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ") if by_word else F.col("text")
-    keyed = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(content, 256).alias("content_digest"))
-    keyed = common.cut(keyed)
-    stored = _stored(spark, cache).filter(F.col("tokenizer_digest") == version)
+    keyed = common.cut(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(content, 256).alias("content_digest")))
+    stored = _stored(spark, cache, version)
     # one row for each digest not stored: the smallest id stands for it
-    missing = keyed.groupBy("content_digest").agg(F.min("id").alias("id")).join(stored, "content_digest", "left_anti")
-    # id and digest together: ids may repeat with different texts, and may be null
-    texts = rows.withColumn("d", F.sha2(content, 256)).join(missing.withColumnRenamed("id", "first_id"), (F.col("d") == F.col("content_digest")) & F.col("id").eqNullSafe(F.col("first_id"))).select("content_digest", "text")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer, by_word)
-        for batch in batches:
-            n = counter.count(batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("content_digest"), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
-
-    fresh = texts.mapInArrow(encode, "content_digest string, n_tokens long").groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
-    fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    counts = _stored(spark, cache).filter(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
-    out = keyed.join(counts, "content_digest")
+    counted = keyed.groupBy("content_digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    missing = common.cut(counted.join(stored, "content_digest", "left_anti").select("content_digest", "first_id"))
+    if n_missing := missing.count():
+        few = F.broadcast(missing) if n_missing <= FEW else missing
+        # id and digest together: ids may repeat with different texts, and may be null
+        texts = rows.withColumn("d", F.sha2(content, 256)).join(few, (F.col("d") == F.col("content_digest")) & F.col("id").eqNullSafe(F.col("first_id"))).select("content_digest", "text")
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counter = _counter(tokenizer, by_word)
+            for batch in batches:
+                n = counter.count(batch.column("text").to_pylist())
+                yield pa.record_batch([batch.column("content_digest"), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
+
+        fresh = texts.mapInArrow(encode, "content_digest string, n_tokens long").groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
+        fresh.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+    counts = _stored(spark, cache, version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
+    out = common.join_unique(keyed, counts, "content_digest", common.frequent(counted, "content_digest", "n"))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _stored(spark, cache: str) -> DataFrame:
+def _stored(spark, cache: str, version: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
+    rows = spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
+    return rows.filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
