@@ -137,7 +137,7 @@ def links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the least id reachable over pairs within ``radius`` differing bits."""
     prints = common.cut(fingerprints(docs, shingle, id_col, text_col))
-    nodes = common.cut(prints.groupBy("fp").agg(F.min("id").alias("node")))
+    nodes = common.cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("rows")))
     parts = components(links(nodes.filter("node is not null"), radius))
     classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return common.join_unique(prints, classes, "fp", common.frequent(nodes, "fp", "rows")).select(F.col("id").alias(id_col), "fp", "component")
