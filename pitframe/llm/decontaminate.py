@@ -6,12 +6,14 @@ items) find every candidate place; Myers' algorithm then measures the least dist
 text around the place. Texts are compared in lower case with every run of other characters than letters and digits as
 one space.
 
-Items go to the tasks in blocks of at most ``block_chars`` characters, each block against all documents, so memory is
-bounded whatever the number of items.
+Items go to the tasks in blocks of about ``block_chars`` characters, one block after the other against all documents: between
+blocks the rows are written to the shared folder, so that a worker holds the machine of one block only (about 60 bytes for each
+character of items) and memory is bounded whatever the number of items.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer characters than ``per_error`` must occur
 exactly, between word ends; repeated items each give their row; repeated rows are searched one by one; empty tables give an
-empty result; columns other than ids and texts are not carried. Texts are never cut.
+empty result. ``with_matches`` keeps all columns, and one that has the name of the new column is replaced; ``contaminated``
+carries ids only. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_ERROR = 16
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 _other = re.compile(r"[\W_]+")
 
 
@@ -136,13 +138,15 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, per_error: int = PER_
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 + total // block_chars
-    found = []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()  # about block_chars characters
         shared = spark.sparkContext.broadcast(sorted((r.i, x) for r in own if (x := normalise(r.t))))
-
-        found.append(_searcher(shared, per_error)(F.col(text_col)))
-    return docs.withColumn(to, F.concat(*found) if len(found) > 1 else found[0])
+        found = _searcher(shared, per_error)(F.col(text_col))
+        docs = docs.withColumn(to, F.concat(to, found) if block else found)
+        if blocks > 1:
+            docs = common.cut(docs)
+            shared.destroy()
+    return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **settings) -> DataFrame:
