@@ -147,7 +147,7 @@ def prefix_tree(chats: DataFrame, *, id_col: str = "conv_id", turn_col: str = "t
     """(segments, members): every node once with its place, position and attention, and the nodes of each conversation."""
     spark = common.session(chats)
     named = chats.select(F.col(id_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    turns = _turns(named).mapInArrow(_nodes, "conv long, depth int, node binary, parent binary, position long, tokens string, loss_start int, loss_end int")
+    turns = common.cut(_turns(named).mapInArrow(_nodes, "conv long, depth int, node binary, parent binary, position long, tokens string, loss_start int, loss_end int"))
     nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "position", "tokens", "loss_start", "loss_end")))
     leaves = turns.mapInArrow(_paths, _PATH).groupBy("leaf").agg(F.first("path").alias("path"))
     ordered = leaves.select("path").repartitionByRange(common.partitions(spark), "path").sortWithinPartitions("path")
@@ -200,6 +200,7 @@ def read_back(segments: DataFrame, members: DataFrame, *, id_col: str = "conv_id
             yield pack([row()])
 
     spark = common.session(segments)
-    rows = members.join(segments.select("node", "tokens", "loss_start", "loss_end"), "node").withColumnRenamed(id_col, "id")
+    shared = common.frequent(members.groupBy("node").agg(F.count("*").alias("n")), "node", "n")  # a first turn may be in most conversations
+    rows = common.join_unique(members, segments.select("node", "tokens", "loss_start", "loss_end"), "node", shared).withColumnRenamed(id_col, "id")
     rows = rows.select("id", "depth", "tokens", "loss_start", "loss_end").repartition(common.partitions(spark), "id").sortWithinPartitions("id", "depth")
     return rows.mapInArrow(run, "id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("id", id_col)

@@ -1,8 +1,8 @@
 """Main text of HTML pages by composite text density (operator 7).
 
 A page is parsed into a tree that forgives unclosed and stray tags. Subtrees that are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments by tag, role or a whole name in class or id leave first; names
-do not count on a node that holds the greatest ``article`` or ``main``, or, where all of these are under such names or there
+notices, adverts, forms, scripts, styles or reader comments by tag, role or a whole name in class or id leave first; the name
+``header`` does not count inside an ``article`` or ``main``, where it is a lead, and no name counts on a node that holds the greatest ``article`` or ``main``, or, where all of these are under such names or there
 are none, at least half of the text outside links. Every other node gets its
 density, characters per tag scaled down by how much of it is links, and the sum of its children's densities. The node
 with the greatest sum is the core, and the least density on its path to the body is the threshold. From the body down, of
@@ -39,6 +39,8 @@ CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 DROP_TAGS = frozenset("head nav header footer aside form button select input textarea script style title noscript template iframe object svg canvas dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header menu nav navbar navigation newsletter notice notices pagination popup modal promo promotion related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Names that do not count inside these tags.
+LEADS, MAIN = frozenset(["header"]), frozenset(["article", "main"])
 
 
 class Page:
@@ -57,8 +59,8 @@ class Page:
         return len(self.tags) - 1
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the node is never main text, and whether it has a name of such nodes."""
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the node is never main text, and whether it has a name of such nodes; ``inside`` an article or main leads may be named header."""
     if tag in DROP_TAGS:
         return True, False
     named = False
@@ -68,8 +70,8 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in DROP_ROLES) or (name == "style" and "display:none" in value.replace(" ", "")):
             return True, False
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not DROP_WORDS.isdisjoint(value.split()):
-            named = True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            named = named or not (DROP_WORDS - LEADS if inside else DROP_WORDS).isdisjoint(value.split())
     return False, named
 
 
@@ -105,7 +107,11 @@ def _drop_named(page: Page) -> None:
 def parse(source: str) -> Page:
     page, stack, at = Page(), [0], 0
 
+    main = 0  # open articles and mains
+
     def close(to: int) -> None:
+        nonlocal main
+        main -= sum(page.tags[i] in MAIN for i in stack[to:])
         del stack[to:]
 
     def text(piece: str) -> None:
@@ -145,13 +151,14 @@ def parse(source: str) -> Page:
                     break
         if tag == "body":
             close(2 if len(stack) > 1 and page.tags[stack[1]] == "html" else 1)
-        dropped, named = _unwanted(tag, m[3])
+        dropped, named = _unwanted(tag, m[3], main > 0)
         node = page.add(tag, stack[-1], page.dropped[stack[-1]] or dropped, named)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            main += tag in MAIN
     text(source[at:])
     _drop_named(page)
     return page

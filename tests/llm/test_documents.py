@@ -226,6 +226,67 @@ def test_main_text_under_names_of_other_parts():
     assert html_text.main_text(f"<body>{inside}</body>").split("\n\n") == [text, "Related work", "Price."]
 
 
+def brute_density(page, body):
+    """Densities from the definition, each node by itself over its whole subtree."""
+
+    def walk(i):
+        chars = tags = link_chars = link_tags = 0
+        for x in page.content[i]:
+            if isinstance(x, str):
+                chars += len(" ".join(x.split()))
+            elif not page.dropped[x]:
+                c, t, lc, lt = walk(x)
+                chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt + (page.tags[x] == "a")
+        return chars, tags, chars if page.tags[i] == "a" else link_chars, link_tags
+
+    import math
+
+    c0, _, l0, _ = walk(body)
+    out = []
+    for i in range(len(page.tags)):
+        c, t, lc, lt = walk(i)
+        if page.dropped[i] or not c:
+            out.append(0.0)
+            continue
+        inner = math.log(c / max(1, c - lc) * lc + l0 / max(1, c0) * c + math.e)
+        base = math.log(inner + 1e-9) if inner > 1.0001 else 1.0
+        out.append(c / max(1, t) * math.log(max(c / max(1, lc) * max(1, t) / max(1, lt), 1.0) + 1e-9) / max(1e-9, base))
+    return out
+
+
+def test_densities_by_brute_force():
+    r = random.Random(11)
+
+    def part(depth):
+        if depth == 0 or r.random() < 0.3:
+            return "".join(r.choices("abc  ", k=r.randint(0, 40)))
+        tag = r.choice(["div", "p", "a", "ul", "li", "section", "b"])
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(r.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        page = html_text.parse("<body>" + "".join(part(4) for _ in range(4)) + "</body>")
+        body = page.tags.index("body")
+        density, sums, _, _ = html_text._densities(page, body)
+        expected = brute_density(page, body)
+        assert density == pytest.approx(expected)
+        assert sums == pytest.approx([sum(expected[x] for x in c if not isinstance(x, str)) for c in page.content])
+
+
+def test_density_finds_the_article_without_names(spark):
+    """Adverts that carry no name leave by their density alone, and an article needs no tag of its own."""
+    pages = [x.html for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    named = [html_text.main_text(x) for x in pages]
+    bare = [re.sub("<(/?)article", r"<\1div", re.sub(' class="ad"', "", x)) for x in pages]
+    assert all(' class="ad"' in x for x in pages)
+    assert sum(html_text.main_text(x) == y for x, y in zip(bare, named)) >= 0.98 * len(pages)
+
+
+def test_lead_named_header_stays_in_an_article():
+    words = "plain words of a page " * 20
+    page = f"<body><div class=header>site</div><article><section class='header'><p>Lead.</p></section><p>{words}</p><div id=share-prices>Shares.</div></article></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Lead.", words.strip(), "Shares."]
+
+
 # 8
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
