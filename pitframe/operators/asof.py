@@ -62,10 +62,18 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[
 
 
 def range_members(security: DataFrame, days: DataFrame) -> DataFrame:
-    """(date, ticker, sector, size_bucket, market_cap) of the members of every session."""
-    spans = intervals(security, ["ticker"])
-    joined = days.join(spans.withColumnRenamed("date", "since"), in_force(F.col("date"), F.col("since"), F.col("until")))
-    return joined.filter("is_active").select("date", "ticker", "sector", "size_bucket", "market_cap")
+    """(date, ticker, sector, size_bucket, market_cap) of the members of every session.
+
+    Epochs are numbered, a ticker's row is repeated for each epoch that it is in force, and sessions meet members by the number of
+    their epoch: an equi-join in which sessions, one row a date, are the broadcast side, so that members do not move.
+    """
+    numbered = security.select(F.col("date").alias("epoch")).distinct().withColumn("no", F.row_number().over(W.orderBy("epoch")))
+    one, two = F.broadcast(numbered.select(F.col("epoch").alias("date"), F.col("no").alias("a"))), F.broadcast(numbered.select(F.col("epoch").alias("until"), F.col("no").alias("b")))
+    last = F.broadcast(numbered.agg(F.max("no").alias("last")))
+    spans = intervals(security, ["ticker"]).filter("is_active").join(one, "date").join(two, "until", "left").crossJoin(last)
+    members = spans.select("ticker", "sector", "size_bucket", "market_cap", F.explode(F.sequence("a", F.coalesce(F.col("b") - 1, F.col("last")))).alias("no"))
+    placed = epoch_map(days, numbered.select(F.col("epoch").alias("date"))).join(F.broadcast(numbered), "epoch").select("date", "no")
+    return members.join(F.broadcast(placed), "no").select("date", "ticker", "sector", "size_bucket", "market_cap")
 
 
 def param_as_of(config: DataFrame, day, prefix: str = "", zone: str = "America/New_York") -> DataFrame:
@@ -74,7 +82,22 @@ def param_as_of(config: DataFrame, day, prefix: str = "", zone: str = "America/N
     return seen.groupBy("key").agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
 
 
+def params_on(config: DataFrame, days: DataFrame, prefix: str = "", zone: str = "America/New_York") -> DataFrame:
+    """B9 for every day: (date, key, value, version), the highest version of each key set by the day. Settings and days are few."""
+    seen = config.filter(F.col("key").startswith(prefix)).withColumn("since", F.to_date(F.from_utc_timestamp("set_at", zone)))
+    rows = days.select("date").distinct().join(F.broadcast(seen), F.col("since") <= F.col("date"))
+    return rows.groupBy("date", "key").agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
+
+
 def config_version(config: DataFrame, day, zone: str = "America/New_York") -> DataFrame:
     """One more than the number of revisions in force, or null if nothing is."""
     seen = F.to_date(F.from_utc_timestamp("set_at", zone)) <= F.lit(day).cast("date")
     return config.agg(F.when(F.count_if(seen) > 0, 1 + F.count_if(seen & (F.col("version") > 1))).alias("config_version"))
+
+
+def config_versions_on(config: DataFrame, days: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """B10 for every day: (date, config_version). Settings are few and come as one array of the days on which they were set."""
+    since = F.to_date(F.from_utc_timestamp("set_at", zone))
+    one = config.agg(F.collect_list(since).alias("any_set"), F.collect_list(F.when(F.col("version") > 1, since)).alias("revised"))
+    by = lambda c: F.size(F.filter(c, lambda d: d <= F.col("date")))
+    return days.select("date").distinct().crossJoin(F.broadcast(one)).select("date", F.when(by("any_set") > 0, (1 + by("revised")).cast("long")).alias("config_version"))

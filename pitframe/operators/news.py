@@ -56,14 +56,21 @@ def rotate(candidates: DataFrame, k: int = 2) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(W.partitionBy("date").orderBy("hash", "ticker"))).filter(F.col("rn") <= k)
 
 
+#: Fixed value: the digest text that says that there was nothing to tell.
+NO_MATERIAL_NEWS = "NO MATERIAL NEWS"
+
+
 def outcome(rows: DataFrame) -> DataFrame:
-    """Adds outcome to rows with digest_exists and digest."""
-    text = F.lower(F.trim("digest"))
-    return rows.withColumn("outcome", F.when(~F.coalesce("digest_exists", F.lit(False)), "no_row").when(F.col("digest").isNull() | (text == ""), "no_articles").when(text.startswith("no material news"), "no_material_news").otherwise("prose"))
+    """Adds outcome to rows with digest_exists and digest. The text is compared as it is; an empty one is prose."""
+    return rows.withColumn("outcome", F.when(~F.coalesce("digest_exists", F.lit(False)), "no_row").when(F.col("digest").isNull(), "no_articles").when(F.col("digest") == NO_MATERIAL_NEWS, "no_material_news").otherwise("prose"))
 
 
 def token_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds cost to (model, kind, tokens) with rates (rates: JSON of kind to dollars a million); unknown ones are an error."""
-    r = rates.select(F.explode(F.from_json("value", "map<string,double>")).alias("kind", "rate"))
-    rows = usage.join(F.broadcast(r), "kind", "left")
-    return rows.select("*", F.when(F.col("rate").isNull(), F.raise_error(F.concat(F.lit("no rate for "), "kind"))).otherwise(F.col("tokens") * F.col("rate") / 1e6).alias("cost"))
+    """Adds cost to (model, kind, tokens), null tokens being none.
+
+    ``rates`` holds a JSON value {model: {kind: dollars a million tokens}}; a model, or a kind of a model, without rate is an error.
+    """
+    r = rates.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("model", "kinds")).select("model", F.explode("kinds").alias("kind", "rate"))
+    rows = usage.join(F.broadcast(r), ["model", "kind"], "left")
+    missing = F.raise_error(F.concat(F.lit("no rate for "), F.coalesce("model", F.lit("null")), F.lit(" "), F.coalesce("kind", F.lit("null"))))
+    return rows.select("*", F.when(F.col("rate").isNull(), missing).otherwise(F.coalesce("tokens", F.lit(0)) * F.col("rate") / 1e6).alias("cost"))

@@ -9,27 +9,34 @@ from pyspark.sql import functions as F
 CELL, BUCKET = ["date", "size_bucket", "sector"], ["date", "size_bucket"]
 
 
-def _windows(rows: DataFrame, metric: str) -> DataFrame:
-    m = F.col(metric).cast("float")  # stored as such
-    out = rows.withColumn("_m", m)
-    for name, keys in (("cell", CELL), ("bucket", BUCKET)):
-        out = out.withColumns({f"_{name}_n": F.count("_m").over(W.partitionBy(*keys)), f"_{name}_r": F.rank().over(W.partitionBy(*keys).orderBy(F.col("_m").asc_nulls_last()))})
-    return out
+#: The metrics that are ranked, by the table they are on. Fixed values.
+REGISTRY = {
+    "indicator_daily": ["atr_pct", "adx14", "dist_20dma", "dist_200dma", "dist_52w_high", "dist_52w_high_20d_change", "rs_change_21d", "rs_change_63d", "rs_21d_63d_change", "rs_20d_slope", "rs_change_vs_sector", "volume_vs_50d_avg", "ma50_200_slope", "median_dollar_volume_20d"],
+    "valuation_daily": ["fcf_yield", "ev_ebit", "ev_ebit_vs_own_5y", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend"],
+    "flow_daily": ["insider_net_90d_usd", "distinct_buyer_count", "inst_ownership_change"],
+    "sentiment_derived_daily": ["article_count_z_own_90d", "sentiment_delta_7v30", "sentiment_7d_level"],
+}
 
 
-def _scope(floor: int):
-    known = F.col("_m").isNotNull() & F.col("size_bucket").isNotNull()
-    return F.when(known & F.col("sector").isNotNull() & (F.col("_cell_n") >= floor), "cell").when(known & (F.col("_bucket_n") >= floor), "bucket").when(known, "none")
+def long_percentiles(rows: DataFrame, metrics: list[str], floor: int = 15) -> DataFrame:
+    """I2, I3 as one row a metric that has a value: (date, ticker, size_bucket, sector, metric, value, pctile, scope).
+
+    All metrics share one shuffle, by date, size and metric, which serves cells and size buckets alike, and one sort for each of the two.
+    """
+    long = rows.select("date", "ticker", "size_bucket", "sector", F.expr(f"stack({len(metrics)}, {', '.join(f"'{m}', cast({m} as float)" for m in metrics)}) as (metric, value)")).filter("value is not null")
+    bucket, cell = W.partitionBy(*BUCKET, "metric"), W.partitionBy(*BUCKET, "metric", "sector")
+    long = long.withColumns({"_bn": F.count("value").over(bucket), "_br": F.rank().over(bucket.orderBy("value"))}).withColumns({"_cn": F.count("value").over(cell), "_cr": F.rank().over(cell.orderBy("value"))})
+    known = F.col("size_bucket").isNotNull()
+    scope = F.when(known & F.col("sector").isNotNull() & (F.col("_cn") >= floor), "cell").when(known & (F.col("_bn") >= floor), "bucket").when(known, "none")
+    share = lambda r, n: F.when(F.col(n) > 1, (F.col(r) - 1) * 100.0 / (F.col(n) - 1)).otherwise(0.0)
+    return long.withColumn("scope", scope).select("date", "ticker", "size_bucket", "sector", "metric", "value", F.when(F.col("scope") == "cell", share("_cr", "_cn")).when(F.col("scope") == "bucket", share("_br", "_bn")).alias("pctile"), "scope")
 
 
 def percentiles(rows: DataFrame, metrics: list[str], floor: int = 15) -> DataFrame:
-    """Adds m_pctile, and m_scope (cell, bucket, none), for each metric m of (date, ticker, size_bucket, sector, ...)."""
-    for m in metrics:
-        rows = _windows(rows, m)
-        share = lambda k: F.when(F.col(f"_{k}_n") > 1, (F.col(f"_{k}_r") - 1) * 100.0 / (F.col(f"_{k}_n") - 1)).otherwise(0.0)
-        scope = _scope(floor)
-        rows = rows.withColumns({f"{m}_pctile": F.when(scope == "cell", share("cell")).when(scope == "bucket", share("bucket")), f"{m}_scope": scope}).drop("_m", "_cell_n", "_cell_r", "_bucket_n", "_bucket_r")
-    return rows
+    """Adds m_pctile, and m_scope (cell, bucket, none), for each metric m of (date, ticker, size_bucket, sector, ...), one row a date and ticker."""
+    at = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
+    wide = long_percentiles(rows, metrics, floor).groupBy("date", "ticker").agg(*(at(c, m) for m in metrics for c in ("pctile", "scope")))
+    return rows.join(wide, ["date", "ticker"], "left")
 
 
 def cell_ledger(rows: DataFrame, metrics: list[str], floor: int = 15) -> DataFrame:

@@ -26,8 +26,9 @@ def parse_screen(screen_id: str, text: str, metrics: set[str], min_inputs: int)
 
 
 def screen_states(params: DataFrame) -> DataFrame:
-    """(screen_id, state) from parameters named screens.<id>.state in force."""
-    return params.filter("key rlike '^screens\\\\.[^.]+\\\\.state$'").select(F.split("key", "\\.")[1].alias("screen_id"), F.col("value").alias("state"))
+    """(screen_id, state), and the date where the parameters have one, from parameters named screens.<id>.state in force."""
+    own = [c for c in ("date",) if c in params.columns]
+    return params.filter("key rlike '^screens\\\\.[^.]+\\\\.state$'").select(*own, F.split("key", "\\.")[1].alias("screen_id"), F.col("value").alias("state"))
 
 
 def composite(screen: dict) -> Column:
@@ -48,6 +49,23 @@ def gated(score: Column, *conditions: Column) -> Column:
     return F.when(ok, score)
 
 
+def price_stabilising() -> Column:
+    """Above the 20-day mean, or relative strength rising; unknown if neither is known to be so."""
+    return (F.col("dist_20dma") > 0) | (F.col("rs_20d_slope") > 0)
+
+
+def news_settled(min_articles: int, z_max: float, delta_min: float) -> Column:
+    """With fewer than ``min_articles`` articles in seven days, none counting as zero, the news tests are passed; else the count must
+    be below ``z_max`` deviations of its own history and the sentiment not falling by more than ``delta_min``."""
+    return (F.coalesce("articles_7d", F.lit(0)) < min_articles) | ((F.col("article_count_z_own_90d") < z_max) & (F.col("sentiment_delta_7v30") >= delta_min))
+
+
+def eligible(quality: Column, quality_min: float, technical: Column, technical_max: float, *, min_articles: int, z_max: float, delta_min: float) -> list[Column]:
+    """The conditions of the eligibility gate, for ``gated``: a good enough quality composite, a low enough technical one, a
+    stabilising price, and settled news."""
+    return [quality >= quality_min, technical <= technical_max, price_stabilising(), news_settled(min_articles, z_max, delta_min)]
+
+
 def article_counts(sentiment: DataFrame, days: int = 7) -> DataFrame:
     """(ticker, date, articles_7d) on dates with a row."""
     w = W.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(1 - days, 0)
@@ -60,19 +78,31 @@ def scores(ranked: DataFrame, screens: list[dict]) -> DataFrame:
     return ranked.select("date", "ticker", "size_bucket", F.explode(each).alias("x")).select("x.screen_id", "date", "ticker", "size_bucket", "x.score")
 
 
-def floors(scored: DataFrame, lookback: int = 250, quantile: float = 0.98) -> DataFrame:
+def floors(scored: DataFrame, lookback: int = 250, quantile: float = 0.98, width: float = 0.5) -> DataFrame:
     """(screen_id, date, floor): exact quantile of all scores on the last scored dates, this one included.
 
-    Scores repeat from day to day: they are counted by (date, score) first, and each date joins the dates of its window.
+    In two passes. Scores are first counted by date and bin of ``width``; sliding sums over the dates of each bin tell in
+    which bins the two neighbours of the quantile lie. Then only scores of these bins are repeated for the dates that need them.
     """
-    counted = scored.filter("score is not null").groupBy("screen_id", "date", "score").agg(F.count("*").alias("n"))
+    counted = scored.filter("score is not null").groupBy("screen_id", "date", F.col("score").cast("double").alias("score")).agg(F.count("*").alias("n"))
+    counted = counted.withColumn("bin", F.floor(F.col("score") / width))
     dates = counted.select("screen_id", "date").distinct().withColumn("k", F.row_number().over(W.partitionBy("screen_id").orderBy("date")))
-    windows = dates.select("screen_id", "date", "k", F.explode(F.sequence(F.greatest(F.lit(1), F.col("k") - lookback + 1), "k")).alias("then"))
-    then = dates.select("screen_id", F.col("date").alias("d"), F.col("k").alias("then"))
-    source = windows.join(then, ["screen_id", "then"]).select("screen_id", "date", "k", "d")
-    rows = source.join(counted.withColumnRenamed("date", "d"), ["screen_id", "d"])
-    f = rows.groupBy("screen_id", "date", "k").agg(F.percentile(F.col("score").cast("double"), F.lit(quantile), F.col("n")).alias("floor"))
-    return f.select("screen_id", "date", F.when(F.col("k") >= lookback, F.col("floor")).alias("floor"))
+    counted = counted.join(F.broadcast(dates), ["screen_id", "date"])  # one row a screen and date
+    binned = counted.groupBy("screen_id", "k", "bin").agg(F.sum("n").alias("n"))
+    grid = dates.join(binned.select("screen_id", "bin").distinct(), "screen_id")  # dates by bins: no more with more names
+    window = W.partitionBy("screen_id", "bin").orderBy("k").rowsBetween(1 - lookback, 0)
+    sums = grid.join(binned, ["screen_id", "k", "bin"], "left").withColumn("n", F.coalesce(F.sum("n").over(window), F.lit(0)))
+    by = W.partitionBy("screen_id", "k")
+    sums = sums.withColumns({"all": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bin"))}).withColumn("at", (F.col("all") - 1) * quantile)
+    holds = lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto"))
+    wanted = sums.filter((F.col("k") >= lookback) & (holds(F.floor("at")) | holds(F.ceil("at")))).select("screen_id", "date", "k", "bin", "at", (F.col("upto") - F.col("n")).alias("below"))
+    rows = wanted.withColumn("then", F.explode(F.sequence(F.col("k") - lookback + 1, F.col("k")))).join(counted.select("screen_id", F.col("k").alias("then"), "bin", "score", "n"), ["screen_id", "then", "bin"])
+    each = rows.groupBy("screen_id", "date", "bin", "at", "below", "score").agg(F.sum("n").alias("n"))
+    each = each.withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy("screen_id", "date", "bin").orderBy("score")))
+    value = lambda r: F.min(F.when(F.col("upto") > r, F.col("score")))
+    f = each.groupBy("screen_id", "date").agg(F.first("at").alias("at"), value(F.floor("at")).alias("a"), value(F.ceil("at")).alias("b"))
+    f = f.select("screen_id", "date", ((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")).alias("mean"), "a", "b")
+    return dates.select("screen_id", "date").join(f, ["screen_id", "date"], "left").select("screen_id", "date", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("mean")).alias("floor"))
 
 
 def ranks(scored: DataFrame, floor: DataFrame) -> DataFrame:
@@ -81,9 +111,17 @@ def ranks(scored: DataFrame, floor: DataFrame) -> DataFrame:
     return above.withColumn("rank", F.row_number().over(W.partitionBy("screen_id", "date").orderBy(F.desc("score"), "ticker")))
 
 
-def unranked_dates(floor: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Dates on which floors were in force and no screen ranked anything: a fault."""
-    return floor.filter("floor is not null").select("date").distinct().join(ranked.select("date").distinct(), "date", "left_anti")
+def unranked_dates(floor: DataFrame, ranked: DataFrame, states: DataFrame) -> DataFrame:
+    """Dates on which some live screen had a floor and none of the live screens ranked anything; shadow screens do not count."""
+    live = states.filter("state = 'live'").select("screen_id")
+    with_floor = floor.filter("floor is not null").join(F.broadcast(live), "screen_id", "left_semi").select("date").distinct()
+    return with_floor.join(ranked.join(F.broadcast(live), "screen_id", "left_semi").select("date").distinct(), "date", "left_anti")
+
+
+def halt_on_fault(floor: DataFrame, ranked: DataFrame, states: DataFrame) -> None:
+    """A date of ``unranked_dates`` is a fault in the data and stops the run."""
+    if (day := unranked_dates(floor, ranked, states).agg(F.min("date")).first()[0]) is not None:
+        raise ValueError(f"every live screen with a floor ranked nothing on {day}")
 
 
 def coverage(scored: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def waterfall(prices: DataFrame, filings: DataFrame, listing: DataFrame, deliste
     rows = liquidity(prices, day, **liquid).join(readiness(filings, day), "ticker", "left").join(listing.select("ticker", F.lit(True).alias("listed")).distinct(), "ticker", "left").join(delisted, "ticker", "left")
     rows = rows.withColumn("market_cap", F.col("shares") * F.col("last_close"))
     criterion = (
-        F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("listed").isNull(), "not_common_stock").when(F.col("delisted_on") < d, "delisted").when(F.col("clean_gaps").isNull(), "no_fundamentals")
-        .when(F.col("clean_gaps") < min_gaps, "too_few_clean_gaps").when(F.col("shares").isNull(), "no_share_count").when(F.col("market_cap") < min_cap, "below_min_market_cap")
+        F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("listed").isNull(), "not_common_stock").when(F.col("delisted_on") < d, "delisted_on_date").when(F.col("clean_gaps").isNull(), "no_fundamentals")
+        .when(F.col("clean_gaps") < min_gaps, "below_clean_gaps").when(F.col("shares").isNull(), "no_share_count").when(F.col("market_cap") < min_cap, "below_market_cap")
     )
     rows = rows.withColumn("criterion", criterion).filter(F.col("criterion").isNull() | (F.col("last_seen") > F.date_sub(d, window)))
     return rows.select("ticker", "criterion", "sector", F.when(F.col("criterion").isNull(), size_bucket(F.col("market_cap"), large, mid)).alias("size_bucket"), "market_cap", "first_seen", "last_seen")

@@ -22,6 +22,9 @@ def _change(value: str, n: int) -> str:
     return f"({value} / nullif(lag({value}, {n}) OVER b, 0) - 1)"
 
 
+#: The settings of the adapter tables, with the days on which they were set in New York.
+CONFIG = [("gate.gap", 1, "0.08", "1994-01-01"), ("gate.gap", 2, "0.05", "1997-12-31"), ("gate.gap", 3, "0.06", "1999-06-01"), ("gate.cooldown", 1, "30", "1994-01-01"), ("screens.S1.state", 1, "live", "1994-01-01"), ("screens.S2.state", 1, "live", "1994-01-01"), ("screens.S2.state", 2, "shadow", "1998-12-31"), ("screens.S3.state", 1, "retired", "1994-01-01"), ("news.rates", 1, '{"small": {"input": 1.0, "output": 5.0}, "large": {"input": 3.0, "output": 15.0}}', "1994-01-01"), ("news.rates", 2, '{"small": {"input": 0.5, "output": 2.0}}', "2000-01-01")]
+
 PARTS = {
     "nsup": "SELECT count(*) AS n FROM supplier",
     "price_rows": "SELECT 'T' || l_suppkey AS ticker, l_shipdate::DATE AS date, (100 + l_extendedprice / 10000)::DECIMAL(20,6) AS u, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_quantity, 'e': l_extendedprice} AS at, l_quantity FROM lineitem",
@@ -40,9 +43,9 @@ PARTS = {
     "insiders": "SELECT 'T' || (1 + user_id % n) AS ticker, ts::DATE + (event_id % 5)::INTEGER AS filed_at, ts::DATE AS transaction_date, CASE WHEN event_id % 89 <> 0 THEN 'O' || (user_id % 37) END AS owner, CASE event_type WHEN 'purchase' THEN 'P' WHEN 'error' THEN 'S' WHEN 'signup' THEN 'M' ELSE 'A' END AS code, CASE WHEN event_type = 'error' THEN 'D' ELSE 'A' END AS side, CASE WHEN event_id % 3 <> 0 THEN (event_id % 100 + 1) * json_extract_string(props, '$.k')::DOUBLE WHEN event_id % 97 <> 0 THEN (event_id % 100 + 1) * json_extract_string(props, '$.k')::DOUBLE END AS value FROM events, nsup",
     "holdings": "SELECT 'T' || k AS ticker, report_date, p_brand AS holder_name, CASE WHEN (k + year(report_date) * 4 + quarter(report_date)) % 13 <> 0 THEN q END AS shares FROM (SELECT l_suppkey AS k, (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTHS - INTERVAL 1 DAY)::DATE AS report_date, p_brand, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)",
     "sentiment_daily": "SELECT 'T' || k AS ticker, date, CASE WHEN NOT (day(date) % 29 = 0 AND k % 2 = 1) THEN c END AS article_count, v / c / 1000000 AS sentiment_score FROM (SELECT 1 + user_id % n AS k, ts::DATE AS date, count(*) AS c, sum(round(value * 1000)::BIGINT)::BIGINT AS v FROM events, nsup GROUP BY ALL)",
-    "trades": "SELECT 'T' || (1 + o_custkey % n) AS ticker, o_orderstatus AS s, o_orderdate::DATE AS opened, o_orderdate::DATE + 40 AS closed FROM orders, nsup WHERE o_custkey % 50 = 0",
+    "trades": "SELECT 'T' || (1 + o_custkey % n) AS ticker, o_orderstatus AS s, o_orderdate::DATE AS opened, o_orderdate::DATE + 2 AS closed FROM orders, nsup",
     "headline": "SELECT 'T' || (1 + doc_id % n) AS ticker, doc_id AS article_id, CASE WHEN doc_id % 19 <> 0 THEN DATE '2024-01-30' - (doc_id % 12)::INTEGER END AS published_at, left(text, 40) AS title, text AS content FROM documents, nsup",
-    "days": f"SELECT DISTINCT date FROM price_daily WHERE date BETWEEN {FIRST} AND {LAST}",
+    "days": "SELECT DISTINCT date FROM price_daily",
     "spans": "SELECT *, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS until FROM security_daily",
     "members": "SELECT days.date, ticker, sector, size_bucket, market_cap FROM days JOIN spans ON spans.date <= days.date AND (until IS NULL OR days.date < until) WHERE is_active",
     "universe": f"SELECT arg_max(s, date) AS s FROM (SELECT date, ticker, {{'ticker': ticker, 'date': date, 'sector': sector, 'size_bucket': size_bucket, 'market_cap': market_cap, 'is_active': is_active}} AS s FROM security_daily WHERE date <= {DAY}) GROUP BY ticker",
@@ -50,20 +53,18 @@ PARTS = {
     "ind1": f"SELECT a.*, b.adj_close AS b, c / nullif(b.adj_close, 0) AS ratio, {_full('avg', 'c', 20)} AS ma20, {_full('avg', 'c', 50)} AS ma50, {_full('avg', 'c', 200)} AS ma200, {_full('max', 'h', 252)} AS high252, {_full('avg', 'v', 50)} AS v50, {_full('max', 'h', 60, 'b', -1)} AS base_high, {_full('min', 'l', 60, 'b', -1)} AS base_low, quantile_cont(close * volume, 0.5) OVER (b ROWS 19 PRECEDING) AS median_dollar_volume_20d FROM adj a LEFT JOIN benchmark_daily b USING (date) WINDOW b AS (PARTITION BY ticker ORDER BY date)",
     "ind2": "SELECT *, (c - ma20) / ma20 AS dist_20dma, (c - ma200) / ma200 AS dist_200dma, (c - high252) / high252 AS dist_52w_high, v / v50 AS volume_vs_50d_avg, ma50 / ma200 AS ma_ratio, CASE WHEN base_low > 0 THEN base_high - base_low <= 0.25 * base_low AND c > base_high END AS base_breakout_flag FROM ind1",
     "ind": f"SELECT *, dist_52w_high - lag(dist_52w_high, 20) OVER b AS dist_52w_high_20d_change, CASE WHEN count(ma_ratio) OVER (b ROWS 19 PRECEDING) = 20 THEN regr_slope(ma_ratio, bar) OVER (b ROWS 19 PRECEDING) / avg(ma_ratio) OVER (b ROWS 19 PRECEDING) END AS ma50_200_slope, CASE WHEN count(ratio) OVER (b ROWS 19 PRECEDING) = 20 THEN regr_slope(ratio, bar) OVER (b ROWS 19 PRECEDING) / avg(ratio) OVER (b ROWS 19 PRECEDING) END AS rs_20d_slope, {_change('ratio', 21)} AS rs_change_21d, {_change('ratio', 63)} AS rs_change_63d FROM ind2 WINDOW b AS (PARTITION BY ticker ORDER BY date)",
-    "ind_year": f"SELECT * FROM ind WHERE date BETWEEN {FIRST} AND {LAST}",
     "features": "SELECT m.*, i.dist_200dma, i.median_dollar_volume_20d, i.dist_52w_high, i.ma50_200_slope, i.base_breakout_flag FROM members m ASOF LEFT JOIN ind i ON m.ticker = i.ticker AND m.date >= i.date",
-    "all_members": "SELECT d.date, ticker, sector FROM (SELECT DISTINCT date FROM price_daily) d JOIN spans ON spans.date <= d.date AND (until IS NULL OR d.date < until) WHERE is_active",
     "returns": f"SELECT ticker, date, {_change('c', 1)} AS r FROM adj WINDOW b AS (PARTITION BY ticker ORDER BY date)",
-    "sector_days": "SELECT sector, date, avg(r) AS mean_return, count(r) AS members FROM returns JOIN all_members USING (ticker, date) WHERE r IS NOT NULL AND sector IS NOT NULL GROUP BY ALL HAVING count(r) >= 2",
+    "sector_days": "SELECT sector, date, avg(r) AS mean_return, count(r) AS members FROM returns JOIN members USING (ticker, date) WHERE r IS NOT NULL AND sector IS NOT NULL GROUP BY ALL HAVING count(r) >= 2",
     "composite": "SELECT *, exp(sum(ln(1 + mean_return)) OVER (PARTITION BY sector ORDER BY date)) AS composite FROM sector_days",
     "points": "SELECT p.ticker, p.at, f.* EXCLUDE (ticker), row_number() OVER (PARTITION BY p.ticker, p.at ORDER BY period_end DESC) AS rank, coalesce(reported_debt, total_debt - cash_eq - short_term_inv) AS net_debt, coalesce(gross_profit, total_revenue - cost_of_revenue) / total_revenue AS margin, total_assets - current_liabilities - goodwill - intangibles AS invested FROM (SELECT DISTINCT ticker, filing_date_effective AS at FROM snapshot WHERE filing_date_effective IS NOT NULL) p JOIN snapshot f ON f.ticker = p.ticker AND f.filing_date_effective <= p.at AND f.period_end > p.at - INTERVAL 84 MONTHS",
     "pivots": "SELECT ticker, at, " + ", ".join(f"CASE WHEN count({c}) FILTER (rank BETWEEN {s} AND {s + 3}) = 4 THEN sum({c}) FILTER (rank BETWEEN {s} AND {s + 3}) END AS {c}_t{s}" for c, s in (("ebit", 1), ("ebitda", 1), ("operating_cash", 1), ("capex", 1), ("net_income", 1), ("tax", 1), ("pretax", 1), ("ebit", 5), ("tax", 5), ("pretax", 5))) + ", " + ", ".join(f"max({c}) FILTER (rank = {r}) AS {c}_{r}" for c, r in (("net_debt", 1), ("shares", 1), ("shares", 5), ("invested", 1), ("invested", 5), ("margin", 1), ("margin", 5), ("total_assets", 1), ("total_assets", 5), ("cash_eq", 1), ("short_term_inv", 1), ("operating_cash", 1), ("investing_cash", 1), *(("total_revenue", r) for r in range(1, 9)))) + " FROM points GROUP BY ticker, at",
     "basics": "SELECT *, roic - roic_b AS roic_4q_change FROM (SELECT ticker, at, ebit_t1 AS ttm_ebit, operating_cash_t1 AS ttm_cash, capex_t1 AS ttm_capex, net_debt_1 AS net_debt, shares_1 AS shares, " + ", ".join(f"ebit_t{s} * (1 - CASE WHEN tax_t{s} / nullif(pretax_t{s}, 0) IS NULL THEN NULL ELSE least(greatest(tax_t{s} / nullif(pretax_t{s}, 0), 0), 0.5) END) / (CASE WHEN invested_{s} > 0 THEN invested_{s} END) AS {n}" for s, n in ((1, "roic"), (5, "roic_b"))) + ", margin_1 - margin_5 AS gross_margin_4q_change, net_debt_1 / (CASE WHEN ebitda_t1 > 0 THEN ebitda_t1 END) AS net_debt_ebitda, (net_income_t1 - operating_cash_t1) / ((total_assets_1 + total_assets_5) / 2) AS accruals, shares_1 / (CASE WHEN shares_5 > 0 THEN shares_5 END) - 1 AS share_count_change, (1.5 * (total_revenue_1 / total_revenue_5 - 1) + 0.5 * (total_revenue_2 / total_revenue_6 - 1) - 0.5 * (total_revenue_3 / total_revenue_7 - 1) - 1.5 * (total_revenue_4 / total_revenue_8 - 1)) / 5 AS revenue_growth_4q_trend, cash_eq_1 + coalesce(short_term_inv_1, 0) AS cash_on_hand, greatest(0, -(operating_cash_1 + investing_cash_1)) AS quarterly_burn_rate FROM pivots)",
     "month_end": "SELECT ticker, max(date) AS date, arg_max(close, date)::DOUBLE AS close FROM price_daily GROUP BY ticker, date_trunc('month', date)",
     "then_priced": "SELECT m.ticker, m.date AS at, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS x FROM month_end m ASOF JOIN basics b ON m.ticker = b.ticker AND m.date >= b.at",
-    "now_priced": f"SELECT m.ticker, m.date, (ttm_cash - ttm_capex) / (CASE WHEN shares * close > 0 THEN shares * close END) AS fcf_yield, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS ev_ebit FROM (SELECT ticker, date, close::DOUBLE AS close FROM price_daily WHERE date BETWEEN {FIRST} AND {LAST}) m ASOF LEFT JOIN basics b ON m.ticker = b.ticker AND m.date >= b.at",
+    "now_priced": f"SELECT m.ticker, m.date, (ttm_cash - ttm_capex) / (CASE WHEN shares * close > 0 THEN shares * close END) AS fcf_yield, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS ev_ebit FROM (SELECT ticker, date, close::DOUBLE AS close FROM price_daily) m ASOF LEFT JOIN basics b ON m.ticker = b.ticker AND m.date >= b.at",
     "event_days": "SELECT DISTINCT ts::DATE AS date FROM events",
-    "sundays": f"SELECT d::DATE AS date FROM (SELECT unnest(generate_series({FIRST}::TIMESTAMP, {LAST}::TIMESTAMP, INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) = 0",
+    "sundays": "SELECT d::DATE AS date FROM (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM (SELECT min(date) AS a, max(date) AS b FROM price_daily)) WHERE dayofweek(d) = 0",
     "counts": "SELECT date, n, quantile_cont(n, 0.5) OVER w AS median, count(n) OVER w AS prior FROM (SELECT date, count(*) AS n FROM price_daily GROUP BY date) WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
     "reported": f"SELECT DISTINCT ticker FROM calendar WHERE event_type = 'earnings' AND event_date > {DAY} - 20 AND event_date <= {DAY}",
     "delisted": "SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE s_suppkey % 13 = 0",
@@ -78,8 +79,11 @@ PARTS = {
     "floor_70": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) >= 20 THEN quantile_cont(s.score::DOUBLE, 0.7) END AS floor FROM score_dates a JOIN score_dates b ON a.screen_id = b.screen_id AND b.k BETWEEN a.k - 19 AND a.k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
     "screened": "SELECT s.*, row_number() OVER (PARTITION BY s.screen_id, s.date ORDER BY score DESC, ticker) AS rank FROM scored s JOIN floor_70 f ON s.screen_id = f.screen_id AND s.date = f.date WHERE score::DOUBLE >= floor",
     "bars": "SELECT ticker, date, open::DOUBLE AS open, volume, lag(close::DOUBLE) OVER (PARTITION BY ticker ORDER BY date) AS previous FROM price_daily",
-    "flags": "SELECT m.date, m.ticker, EXISTS (SELECT 1 FROM calendar c WHERE c.ticker = m.ticker AND event_type = 'earnings' AND m.date BETWEEN event_date - 5 AND event_date + 2) AS f1, coalesce(abs(open / nullif(previous, 0) - 1) > 0.05, FALSE) AS f2, coalesce(volume, 0) <= 0 AS f3, EXISTS (SELECT 1 FROM trades t WHERE t.ticker = m.ticker AND s = 'O' AND opened <= m.date AND closed > m.date) AS f4, EXISTS (SELECT 1 FROM trades t WHERE t.ticker = m.ticker AND s = 'F' AND closed <= m.date AND closed > m.date - 30) AS f5, EXISTS (SELECT 1 FROM calendar c WHERE event_type = 'earnings' AND m.date BETWEEN event_date - 5 AND event_date + 2) AS known FROM members m LEFT JOIN bars b ON m.ticker = b.ticker AND m.date = b.date",
-    "gate": "SELECT date, ticker, list_filter([CASE WHEN f1 THEN 'earnings_blackout' END, CASE WHEN f2 THEN 'open_gap' END, CASE WHEN f3 THEN 'halted' END, CASE WHEN f4 THEN 'already_held' END, CASE WHEN f5 THEN 'cooldown' END], lambda x: x IS NOT NULL) AS reasons, NOT (f1 OR f2 OR f3 OR f4 OR f5) AS passed, CASE WHEN f1 OR f2 OR f3 OR f4 OR f5 THEN 'failed' WHEN known THEN 'passed' ELSE 'passed_partial' END AS state FROM flags",
+    "blackouts": "SELECT DISTINCT ticker, unnest(generate_series((event_date - 2)::TIMESTAMP - INTERVAL 3 DAYS, (event_date + 2)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM calendar WHERE event_type = 'earnings'",
+    "helds": "SELECT DISTINCT ticker, unnest([opened, opened + 1]) AS date FROM trades WHERE s = 'O'",
+    "colds": "SELECT DISTINCT ticker, unnest([closed, closed + 1]) AS date FROM trades WHERE s = 'F'",
+    "flags": "SELECT m.date, m.ticker, e.ticker IS NOT NULL AS f1, coalesce(abs((open - previous) / nullif(previous, 0)) > 0.05, FALSE) AS f2, volume IS NULL OR volume = 0 AS f3, h.ticker IS NOT NULL AS f4, c.ticker IS NOT NULL AS f5, m.date IN (SELECT date FROM blackouts) AND m.date IN (SELECT date FROM helds) AND m.date IN (SELECT date FROM colds) AS known FROM members m LEFT JOIN bars b ON m.ticker = b.ticker AND m.date = b.date LEFT JOIN blackouts e ON e.ticker = m.ticker AND e.date = m.date LEFT JOIN helds h ON h.ticker = m.ticker AND h.date = m.date LEFT JOIN colds c ON c.ticker = m.ticker AND c.date = m.date",
+    "gate": "SELECT date, ticker, list_filter([CASE WHEN f1 THEN 'earnings_blackout' END, CASE WHEN f2 THEN 'gap' END, CASE WHEN f3 THEN 'halt' END, CASE WHEN f4 THEN 'already_held' END, CASE WHEN f5 THEN 'cooldown' END], lambda x: x IS NOT NULL) AS reasons, NOT (f1 OR f2 OR f3 OR f4 OR f5) AS passed, CASE WHEN known THEN 'passed' ELSE 'passed_partial' END AS state FROM flags",
     "chosen": "SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.date, screen_id, size_bucket ORDER BY rank, s.ticker) AS seat FROM screened s JOIN gate g ON s.date = g.date AND s.ticker = g.ticker AND passed) WHERE seat <= CASE screen_id WHEN 'S1' THEN CASE size_bucket WHEN 'large' THEN 1 WHEN 'mid' THEN 2 ELSE 3 END ELSE CASE size_bucket WHEN 'large' THEN 1 WHEN 'mid' THEN 1 ELSE 2 END END",
     "sets": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screens FROM chosen GROUP BY date, ticker",
     "breadths": "SELECT date, count(*) FILTER (dist_200dma > 0)::DOUBLE / nullif(count(dist_200dma), 0) AS breadth FROM features GROUP BY date",
@@ -88,10 +92,61 @@ PARTS = {
     "attributed": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screen_ids, bool_or(screen_id = 'S1') AS is_candidate FROM chosen GROUP BY date, ticker",
     "articles": "SELECT *, coalesce(published_at > DATE '2024-01-30' - 7 AND published_at <= DATE '2024-01-30', FALSE) AS in_window, ceil(length(content) / 3.5)::BIGINT AS tokens FROM headline",
     "budget": "SELECT * FROM (SELECT *, row_number() OVER w AS rn, sum(tokens) OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM articles WHERE in_window WINDOW w AS (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id)) WHERE rn = 1 OR upto <= 1200",
-    "pairs": "SELECT m.ticker, m.date FROM members m WHERE m.date IN (SELECT min(date) FROM days GROUP BY quarter(date))",
+    "pairs": "SELECT m.ticker, m.date FROM members m WHERE m.date IN (SELECT min(date) FROM days GROUP BY year(date), quarter(date))",
+    "config": "SELECT key, version, value, CAST(since AS DATE) AS since FROM (VALUES " + ", ".join(f"('{k}', {v}, '{x}', '{d}')" for k, v, x, d in CONFIG) + ") t(key, version, value, since)",
+    "params": "SELECT date, key, arg_max(value, version) AS value, max(version) AS version FROM days JOIN config ON since <= date GROUP BY date, key",
+}
+
+PARTS |= {
+    "listed": "SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE s_suppkey % 3 <> 0",
+    "old_bars": "SELECT ticker, date, open, close, volume FROM price_daily WHERE date < DATE '2000-01-15'",
+    "staged_bars": "SELECT ticker, date, (close * 2)::DECIMAL(20,6) AS close, volume + 1 AS volume FROM price_daily WHERE date >= DATE '1999-12-01'",
+    "insider_days": "SELECT s.date, s.ticker, CASE WHEN coalesce(unknown, 0) = 0 THEN coalesce(net, 0) END AS insider_net_90d_usd, CASE WHEN coalesce(nameless, 0) = 0 THEN coalesce(buyers, 0) END AS distinct_buyer_count FROM (SELECT DISTINCT d.date, i.ticker FROM insiders i JOIN flow_days d ON filed_at <= d.date) s LEFT JOIN (SELECT d.date, ticker, sum(CASE side WHEN 'A' THEN value ELSE -value END) AS net, count(*) FILTER (value IS NULL) AS unknown, count(DISTINCT owner) FILTER (code = 'P') AS buyers, count(*) FILTER (code = 'P' AND owner IS NULL) AS nameless FROM insiders JOIN flow_days d ON filed_at <= d.date AND transaction_date <= d.date AND transaction_date > d.date - 90 WHERE code IN ('P', 'S') GROUP BY ALL) g ON g.date = s.date AND g.ticker = s.ticker",
+    "flow_days": "SELECT date FROM event_days UNION SELECT date FROM sundays",
+    "owner_days": "SELECT d.date, ticker, total / (CASE WHEN previous > 0 THEN previous END) - 1 AS inst_ownership_change FROM (SELECT *, lag(total) OVER w AS previous, lead(report_date) OVER w AS nxt FROM (SELECT ticker, report_date, sum(shares) AS total FROM holdings GROUP BY ALL HAVING count(*) = count(shares)) WINDOW w AS (PARTITION BY ticker ORDER BY report_date)) t JOIN flow_days d ON report_date <= d.date - 45 AND (nxt IS NULL OR nxt > d.date - 45)",
+    "coverages": "SELECT 'prices' AS source, min(date) AS a, max(date) AS b FROM price_daily UNION ALL SELECT 'filings', min(filing_date_effective), max(filing_date_effective) FROM snapshot UNION ALL SELECT 'holdings', min(report_date), max(report_date) FROM holdings UNION ALL SELECT 'events', min(event_date), max(event_date) FROM calendar",
+    "strengths": "SELECT s.date, s.sector, round(sr / ur - 1, 6) AS strength FROM (SELECT sector, date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + mean_return)) OVER w) END AS sr FROM composite WINDOW w AS (PARTITION BY sector ORDER BY date ROWS 62 PRECEDING)) s JOIN (SELECT date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + u)) OVER w) END AS ur FROM (SELECT date, avg(mean_return) AS u FROM composite GROUP BY date) WINDOW w AS (ORDER BY date ROWS 62 PRECEDING)) u ON s.date = u.date",
+    "derived": "SELECT ticker, date, day(date) AS d, sum(article_count) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)::BIGINT AS articles_7d, CASE WHEN n >= 10 AND 90 * s2 - s * s > 0 THEN (article_count - s / 90) / (sqrt(90 * s2 - s * s) / 90) END AS z, CASE WHEN n >= 10 THEN m7 - m30 END AS delta FROM (SELECT ticker, date, article_count, count(*) OVER p AS n, coalesce(sum(coalesce(article_count, 0)) OVER p, 0) AS s, coalesce(sum(coalesce(article_count, 0) * coalesce(article_count, 0)) OVER p, 0) AS s2, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS m7, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS m30 FROM sentiment_daily WINDOW p AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))",
 }
 
+_SYMBOLS = "SELECT code || '.US' AS ticker, coalesce(name, code) AS name FROM (SELECT CASE WHEN s_suppkey % 29 <> 0 THEN 'T' || s_suppkey END AS code, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS name FROM supplier WHERE s_suppkey % 17 <> 0) WHERE code IS NOT NULL"
+_SESSIONS = "SELECT d::DATE AS date FROM (SELECT unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d::DATE IN (SELECT date FROM days)"
+
 BODIES = {
+    "flat_bulk_prices": "SELECT ticker || '.US' AS ticker, date, open, high, low, close, adj_close, volume FROM price_daily",
+    "flat_price_series": "SELECT ticker, date, open, high, low, close, adj_close, volume FROM price_daily",
+    "flat_statements": "SELECT ticker, period_end, filing_date, total_assets::DECIMAL(28,4) AS total_assets, total_revenue::DECIMAL(28,4) AS total_revenue, operating_cash::DECIMAL(28,4) AS operating_cash, investing_cash::DECIMAL(28,4) AS investing_cash, reported_debt::DECIMAL(28,4) AS net_debt, shares::DECIMAL(28,4) AS shares FROM raw_filings",
+    "flat_earnings": "SELECT ticker, period_end, report_date, round(CASE WHEN report_date IS NULL AND month(period_end) = 6 THEN 0.99 ELSE surprise_fraction END, 4) AS surprise_fraction, (month(period_end) = 6)::BIGINT AS collisions FROM earnings",
+    "flat_holders": "SELECT ticker, report_date, holder_name, shares::DECIMAL(28,4) AS shares FROM holdings WHERE ticker IN (SELECT ticker FROM raw_filings)",
+    "flat_sector": "SELECT ticker, max(sector) AS sector FROM raw_filings GROUP BY ticker",
+    "flat_insiders": "SELECT 'T' || (1 + user_id % n) AS ticker, event_id::VARCHAR AS accession_number, CASE WHEN event_type = 'error' THEN 'derivative' ELSE 'non_derivative' END AS transaction_side, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END::BIGINT AS transaction_ordinal, ts::DATE + (event_id % 5)::INTEGER AS filed_at, ts::DATE AS transaction_date, CASE event_type WHEN 'purchase' THEN 'P' WHEN 'error' THEN 'S' WHEN 'signup' THEN 'M' ELSE 'A' END AS transaction_code FROM events, nsup",
+    "flat_sentiment": "SELECT ticker, date, article_count, round(sentiment_score::REAL::DOUBLE, 4) AS sentiment_score FROM sentiment_daily",
+    "flat_calendar": "SELECT ticker, event_type, event_date FROM calendar WHERE event_type = 'earnings' AND ticker IN (SELECT ticker FROM listed)",
+    "flat_bulk_actions": "SELECT ticker, 'dividend_ex' AS event_type, event_date, event_date - 9 AS announced_date FROM calendar WHERE event_type = 'split' AND ticker IN (SELECT ticker FROM listed)",
+    "flat_ticker_actions": "SELECT ticker, event_type, event_date FROM calendar WHERE event_type = 'split'",
+    "flat_events": "SELECT ticker, event_type, event_date, NULL::DATE AS announced_date FROM calendar WHERE event_type = 'earnings' AND ticker IN (SELECT ticker FROM listed) UNION ALL SELECT ticker, 'dividend_ex', event_date, CASE WHEN ticker IN (SELECT ticker FROM listed) THEN event_date - 9 ELSE DATE '1999-01-01' END FROM calendar WHERE event_type = 'split'",
+    "flat_news": "SELECT ticker, strftime(published_at - INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M') AS published, source AS url, md5(content) AS md5 FROM (SELECT *, (SELECT source FROM documents d WHERE d.doc_id = article_id) AS source FROM headline)",
+    "flat_symbols": _SYMBOLS,
+    "exchange_sessions": _SESSIONS,
+    "recent_session": f"SELECT max(date) AS session FROM ({_SESSIONS}) WHERE date BETWEEN DATE '2000-04-20' AND DATE '2000-04-30'",
+    "upsert_bars": "SELECT coalesce(o.ticker, s.ticker) AS ticker, coalesce(o.date, s.date) AS date, open, CASE WHEN s.ticker IS NOT NULL THEN s.close ELSE o.close END AS close, CASE WHEN s.ticker IS NOT NULL THEN s.volume ELSE o.volume END AS volume FROM old_bars o FULL JOIN staged_bars s ON o.ticker = s.ticker AND o.date = s.date",
+    "update_bars": "SELECT o.ticker, o.date, open, o.close, s.volume FROM old_bars o LEFT JOIN staged_bars s ON o.ticker = s.ticker AND o.date = s.date",
+    "insert_absent_bars": "SELECT ticker, date, open, close, volume FROM old_bars UNION ALL SELECT ticker, date, close AS open, close, volume FROM staged_bars s WHERE NOT EXISTS (SELECT 1 FROM old_bars o WHERE o.ticker = s.ticker AND o.date = s.date)",
+    "replace_dates_bars": "SELECT ticker, date, open, close, volume FROM old_bars WHERE date NOT IN (SELECT date FROM staged_bars) UNION ALL SELECT ticker, date, close AS open, close, volume FROM staged_bars",
+    "coverage_intervals": "SELECT source, a AS covered_from, b + 5 AS covered_to FROM coverages",
+    "config_versions": "SELECT date, CASE WHEN count(*) FILTER (since <= date) > 0 THEN 1 + count(*) FILTER (since <= date AND version > 1) END AS config_version FROM days, config GROUP BY date",
+    "liquid_pool": "SELECT ticker FROM liquid WHERE last_close >= 101 AND median_dollar_volume >= 2500 AND bars >= 200 AND ticker IN (SELECT ticker FROM listed)",
+    "identity_rollup": "SELECT ticker, min(f) AS first_seen, max(l) AS last_seen, max(name) AS name FROM (" + " UNION ALL ".join(f"SELECT ticker, f, l, '{d[:7]} ' || ticker AS name FROM (SELECT ticker, arg_max(close, date)::DOUBLE AS c, quantile_cont(close::DOUBLE * volume, 0.5) FILTER (rn <= 20) AS m, min(date) AS f, max(date) AS l, count(*) AS bars FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_daily WHERE date <= DATE '{d}') GROUP BY ticker) WHERE c >= 101 AND m >= 2000 AND bars >= 150" for d in ("1999-03-15", "1999-09-15")) + ") GROUP BY ticker",
+    "flow_by_ticker": "SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(insider_net_90d_usd, 4) AS insider_net_90d_usd, distinct_buyer_count, round(inst_ownership_change, 4) AS inst_ownership_change FROM insider_days a FULL JOIN owner_days b ON a.date = b.date AND a.ticker = b.ticker",
+    "eligible_scores": "SELECT ticker, date, articles_7d, CASE WHEN d % 11 <> 0 AND d * 3 >= 20 AND d * 2 <= 50 AND (d % 5 > 2 OR (d % 3 <> 0 AND d % 4 > 2)) AND (coalesce(articles_7d, 0) < 2 OR (z < 1 AND delta >= -0.05)) THEN d::DOUBLE END AS score FROM derived",
+    "screen_faults": "SELECT DISTINCT f.date FROM floor_70 f WHERE f.screen_id = 'S1' AND floor IS NOT NULL AND f.date NOT IN (SELECT date FROM screened WHERE screen_id = 'S1' AND day(date) <> 13)",
+    "candidate_rows": "SELECT a.date, a.ticker, state AS gate_state FROM attributed a LEFT JOIN gate g ON g.date = a.date AND g.ticker = a.ticker WHERE is_candidate",
+    "chance_overlap": "SELECT screen_id, round(r, 6) AS mean_ranked, round(s, 6) AS mean_scored, round(r / (2 * s - r), 6) AS chance_overlap FROM (SELECT screen_id, avg(n) AS r FROM (SELECT screen_id, date, count(*) AS n FROM screened GROUP BY ALL) GROUP BY screen_id) JOIN (SELECT screen_id, avg(n) AS s FROM (SELECT screen_id, date, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY ALL) GROUP BY screen_id) USING (screen_id)",
+    "digest_outcomes": "SELECT ticker, CASE min(article_id) % 6 WHEN 0 THEN 'no_row' WHEN 1 THEN 'no_articles' WHEN 2 THEN 'no_material_news' ELSE CASE WHEN min(article_id) % 6 = 5 AND arg_min(content, article_id) IS NULL THEN 'no_articles' ELSE 'prose' END END AS outcome FROM headline GROUP BY ticker",
+    "record_thresholds": "SELECT date, key, value, version FROM params WHERE key LIKE 'gate.%' AND date IN (SELECT date FROM pairs)",
+    "record_covered": "SELECT ticker, date, date BETWEEN (SELECT max(a) FROM coverages) AND (SELECT min(b) FROM coverages) AS covered FROM pairs",
+    "record_market": "SELECT p.ticker, p.date, regime_label, round(breadth, 6) AS breadth, strength AS sector_strength FROM pairs p ASOF LEFT JOIN security_daily s ON p.ticker = s.ticker AND p.date >= s.date LEFT JOIN market m ON m.date = p.date LEFT JOIN strengths k ON k.date = p.date AND k.sector = s.sector",
+    "record_news": "SELECT ticker, article_id, in_window FROM articles WHERE published_at IS NULL OR published_at <= DATE '2024-01-30'",
     "record_membership": "SELECT p.ticker, p.date, s.date AS since, sector, size_bucket, round(market_cap, 2) AS market_cap, is_active FROM pairs p ASOF LEFT JOIN security_daily s ON p.ticker = s.ticker AND p.date >= s.date",
     "record_recent_bars": 'SELECT ticker, "on", date, rn, rn = 1 AS newest, volume FROM (SELECT p.ticker, p.date AS "on", b.date, volume, row_number() OVER (PARTITION BY p.ticker, p.date ORDER BY b.date DESC) AS rn FROM pairs p JOIN price_daily b ON p.ticker = b.ticker AND b.date <= p.date) WHERE rn <= 5',
     "record_filings": 'SELECT ticker, "on", period_end, rn, rn = 1 AS newest FROM (SELECT p.ticker, p.date AS "on", period_end, row_number() OVER (PARTITION BY p.ticker, p.date ORDER BY period_end DESC) AS rn FROM pairs p JOIN snapshot b ON p.ticker = b.ticker AND filing_date_effective <= p.date) WHERE rn <= 4',
@@ -110,19 +165,19 @@ BODIES = {
     "frontier": "SELECT max(date) AS frontier FROM counts WHERE prior < 20 OR n >= median * 0.95",
     "just_reported": "SELECT ticker FROM reported",
     "rotation": "SELECT p.ticker, attempted_at, r.ticker IS NOT NULL AS reported, u.ticker IS NOT NULL AS in_universe FROM (SELECT DISTINCT ticker FROM security_daily) p LEFT JOIN (SELECT ticker, max(closed) AS attempted_at FROM trades WHERE s = 'F' GROUP BY ticker) a USING (ticker) LEFT JOIN reported r USING (ticker) LEFT JOIN (SELECT s.ticker AS ticker FROM universe WHERE s.is_active) u USING (ticker) ORDER BY attempted_at IS NOT NULL, r.ticker IS NULL, attempted_at NULLS FIRST, u.ticker IS NULL, p.ticker LIMIT 25",
-    "evaluation_dates": "SELECT date FROM sundays WHERE date <= (SELECT max(date) FROM price_daily)",
+    "evaluation_dates": "SELECT date FROM sundays",
     "liquidity": "SELECT ticker, round(last_close, 6) AS last_close, round(median_dollar_volume, 6) AS median_dollar_volume, first_seen, last_seen, bars, CASE WHEN last_close < 101 THEN 'below_min_price' WHEN median_dollar_volume < 2500 THEN 'below_min_dollar_volume' WHEN bars < 200 THEN 'insufficient_history' END AS verdict FROM liquid",
-    "universe_waterfall": f"SELECT ticker, criterion, sector, CASE WHEN criterion IS NULL THEN CASE WHEN cap >= 1.16e8 THEN 'large' WHEN cap >= 1.12e8 THEN 'mid' WHEN cap IS NOT NULL THEN 'small' END END AS size_bucket, round(cap, 2) AS market_cap, first_seen, last_seen FROM (SELECT q.ticker, r.sector, shares * last_close AS cap, first_seen, last_seen, CASE WHEN last_close < 101 THEN 'below_min_price' WHEN median_dollar_volume < 2000 THEN 'below_min_dollar_volume' WHEN bars < 150 THEN 'insufficient_history' WHEN substr(q.ticker, 2)::INT % 17 = 0 THEN 'not_common_stock' WHEN dl.d < {DAY} THEN 'delisted' WHEN clean_gaps IS NULL THEN 'no_fundamentals' WHEN clean_gaps < 4 THEN 'too_few_clean_gaps' WHEN shares IS NULL THEN 'no_share_count' WHEN shares * last_close < 1e8 THEN 'below_min_market_cap' END AS criterion FROM liquid q LEFT JOIN ready r USING (ticker) LEFT JOIN (SELECT ticker, max(date) AS d FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) GROUP BY ticker) dl USING (ticker)) WHERE criterion IS NULL OR last_seen > {DAY} - 60",
-    "departures": f"SELECT ticker, NULL::VARCHAR AS sector, NULL::VARCHAR AS size_bucket, NULL::DOUBLE AS market_cap, FALSE AS is_active FROM (SELECT ticker, arg_max(is_active, date) AS a FROM security_daily WHERE date <= {FIRST} GROUP BY ticker) WHERE a AND ticker NOT IN (SELECT s.ticker FROM universe WHERE s.is_active)",
+    "universe_waterfall": f"SELECT ticker, criterion, sector, CASE WHEN criterion IS NULL THEN CASE WHEN cap >= 1.16e8 THEN 'large' WHEN cap >= 1.12e8 THEN 'mid' WHEN cap IS NOT NULL THEN 'small' END END AS size_bucket, round(cap, 2) AS market_cap, first_seen, last_seen FROM (SELECT q.ticker, r.sector, shares * last_close AS cap, first_seen, last_seen, CASE WHEN last_close < 101 THEN 'below_min_price' WHEN median_dollar_volume < 2000 THEN 'below_min_dollar_volume' WHEN bars < 150 THEN 'insufficient_history' WHEN substr(q.ticker, 2)::INT % 17 = 0 THEN 'not_common_stock' WHEN dl.d < {DAY} THEN 'delisted_on_date' WHEN clean_gaps IS NULL THEN 'no_fundamentals' WHEN clean_gaps < 4 THEN 'below_clean_gaps' WHEN shares IS NULL THEN 'no_share_count' WHEN shares * last_close < 1e8 THEN 'below_market_cap' END AS criterion FROM liquid q LEFT JOIN ready r USING (ticker) LEFT JOIN (SELECT ticker, max(date) AS d FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) GROUP BY ticker) dl USING (ticker)) WHERE criterion IS NULL OR last_seen > {DAY} - 60",
+    "departures": f"SELECT ticker, NULL::VARCHAR AS sector, NULL::VARCHAR AS size_bucket, NULL::DOUBLE AS market_cap, FALSE AS is_active FROM (SELECT ticker, arg_max(is_active, date) FILTER (date <= {FIRST}) AS a, arg_max(is_active, date) FILTER (date <= DATE '1999-07-15') AS b FROM security_daily GROUP BY ticker) WHERE a AND NOT b",
     "delisted_on": "SELECT ticker, max(date) AS delisted_on FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) GROUP BY ticker",
     "delisted_pool": f"SELECT DISTINCT ticker FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) AND date BETWEEN {FIRST} AND DATE '1999-01-31'",
-    "dist_200dma": "SELECT ticker, date, round(dist_20dma, 6) AS dist_20dma, round(dist_200dma, 6) AS dist_200dma FROM ind_year",
-    "high_and_volume": "SELECT ticker, date, round(dist_52w_high, 6) AS dist_52w_high, round(dist_52w_high_20d_change, 6) AS dist_52w_high_20d_change, round(volume_vs_50d_avg, 6) AS volume_vs_50d_avg FROM ind_year",
-    "ma_slope_breakout": "SELECT ticker, date, round(ma50_200_slope, 8) AS ma50_200_slope, base_breakout_flag FROM ind_year",
-    "median_dollar_volume": "SELECT ticker, date, round(median_dollar_volume_20d, 4) AS median_dollar_volume_20d FROM ind_year",
-    "relative_strength": "SELECT ticker, date, round(rs_change_21d, 8) AS rs_change_21d, round(rs_change_63d, 8) AS rs_change_63d, round(rs_change_21d - rs_change_63d, 8) AS rs_21d_63d_change, round(rs_20d_slope, 8) AS rs_20d_slope FROM ind_year",
+    "dist_200dma": "SELECT ticker, date, round(dist_20dma, 6) AS dist_20dma, round(dist_200dma, 6) AS dist_200dma FROM ind",
+    "high_and_volume": "SELECT ticker, date, round(dist_52w_high, 6) AS dist_52w_high, round(dist_52w_high_20d_change, 6) AS dist_52w_high_20d_change, round(volume_vs_50d_avg, 6) AS volume_vs_50d_avg FROM ind",
+    "ma_slope_breakout": "SELECT ticker, date, round(ma50_200_slope, 8) AS ma50_200_slope, base_breakout_flag FROM ind",
+    "median_dollar_volume": "SELECT ticker, date, round(median_dollar_volume_20d, 7) AS median_dollar_volume_20d FROM ind",
+    "relative_strength": "SELECT ticker, date, round(rs_change_21d, 8) AS rs_change_21d, round(rs_change_63d, 8) AS rs_change_63d, round(rs_change_21d - rs_change_63d, 8) AS rs_21d_63d_change, round(rs_20d_slope, 8) AS rs_20d_slope FROM ind",
     "sector_composite": "SELECT sector, date, round(mean_return, 6) AS mean_return, members, round(composite, 6) AS composite FROM composite",
-    "rs_vs_sector": f"SELECT ticker, date, round(x / nullif(before, 0) - 1, 6) AS rs_change_vs_sector FROM (SELECT ticker, date, x, lag(x, 63) OVER (PARTITION BY ticker ORDER BY date) AS before FROM (SELECT a.ticker, a.date, c / composite AS x FROM adj a LEFT JOIN all_members m ON a.ticker = m.ticker AND a.date = m.date LEFT JOIN composite k ON k.sector = m.sector AND k.date = a.date)) WHERE date BETWEEN {FIRST} AND {LAST}",
+    "rs_vs_sector": f"SELECT ticker, date, round(x / nullif(before, 0) - 1, 6) AS rs_change_vs_sector FROM (SELECT ticker, date, x, lag(x, 63) OVER (PARTITION BY ticker ORDER BY date) AS before FROM (SELECT a.ticker, a.date, c / composite AS x FROM adj a LEFT JOIN members m ON a.ticker = m.ticker AND a.date = m.date LEFT JOIN composite k ON k.sector = m.sector AND k.date = a.date))",
     "carried_indicators": "SELECT ticker, date, round(dist_200dma, 6) AS dist_200dma, base_breakout_flag FROM features",
     "fundamentals_readable": "SELECT ticker, at, " + ", ".join(f"CASE WHEN round({c}, 6) <> 0 THEN round({c}, 6) WHEN {c} IS NOT NULL THEN 0.0 END AS {c}" for c in ("ttm_ebit", "ttm_cash", "ttm_capex", "net_debt", "shares", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend", "cash_on_hand", "quarterly_burn_rate")) + " FROM basics",
     "valuation_priced": "SELECT ticker, date, round(fcf_yield, 6) AS fcf_yield, round(ev_ebit, 6) AS ev_ebit FROM now_priced",
@@ -136,13 +191,13 @@ BODIES = {
     "breadth": "SELECT date, round(breadth, 6) AS breadth FROM breadths",
     "benchmark_trend": "SELECT * FROM trend",
     "market_regime": "SELECT date, round(breadth, 6) AS breadth, benchmark_above, regime_label FROM market",
-    "sector_strength": f"SELECT date, sector, strength FROM (SELECT s.date, s.sector, round(sr / ur - 1, 6) AS strength FROM (SELECT sector, date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + mean_return)) OVER w) END AS sr FROM composite WINDOW w AS (PARTITION BY sector ORDER BY date ROWS 62 PRECEDING)) s JOIN (SELECT date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + u)) OVER w) END AS ur FROM (SELECT date, avg(mean_return) AS u FROM composite GROUP BY date) WINDOW w AS (ORDER BY date ROWS 62 PRECEDING)) u ON s.date = u.date) WHERE strength IS NOT NULL AND date BETWEEN {FIRST} AND {LAST}",
+    "sector_strength": f"SELECT date, sector, strength FROM (SELECT s.date, s.sector, round(sr / ur - 1, 6) AS strength FROM (SELECT sector, date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + mean_return)) OVER w) END AS sr FROM composite WINDOW w AS (PARTITION BY sector ORDER BY date ROWS 62 PRECEDING)) s JOIN (SELECT date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + u)) OVER w) END AS ur FROM (SELECT date, avg(mean_return) AS u FROM composite GROUP BY date) WINDOW w AS (ORDER BY date ROWS 62 PRECEDING)) u ON s.date = u.date) WHERE strength IS NOT NULL",
     "percentile_cells": "SELECT date, ticker, " + ", ".join(f"round({m}_pctile, 6) AS {m}_pctile, {m}_scope" for m in ("dist_200dma", "median_dollar_volume_20d")) + " FROM ranked",
     "cell_ledger": "SELECT date, size_bucket, sector, metric, CASE WHEN sector IS NOT NULL THEN n END AS cell_members, bucket_members, 5 AS floor, CASE WHEN sector IS NOT NULL AND n >= 5 THEN 'cell' WHEN bucket_members >= 5 THEN 'bucket' ELSE 'none' END AS scope FROM (SELECT *, sum(n) OVER (PARTITION BY date, size_bucket, metric)::BIGINT AS bucket_members FROM (SELECT date, size_bucket, sector, 'dist_200dma' AS metric, count(dist_200dma) AS n FROM features GROUP BY ALL UNION ALL SELECT date, size_bucket, sector, 'median_dollar_volume_20d', count(median_dollar_volume_20d) FROM features GROUP BY ALL))",
     "fallback_report": "SELECT date, metric, count(*) FILTER (scope = 'cell') AS in_cell, count(*) FILTER (scope = 'bucket') AS in_bucket, count(*) FILTER (scope = 'none') AS unranked, count(DISTINCT size_bucket || '/' || sector) FILTER (scope <> 'cell') AS thin_cells FROM (SELECT date, size_bucket, sector, 'dist_200dma' AS metric, dist_200dma_scope AS scope FROM ranked UNION ALL SELECT date, size_bucket, sector, 'median_dollar_volume_20d', median_dollar_volume_20d_scope FROM ranked) WHERE scope IS NOT NULL GROUP BY date, metric",
     "screen_scores": "SELECT screen_id, date, ticker, size_bucket, round(score::DOUBLE, 3) AS score FROM scored",
-    "screen_states": "SELECT screen_id, state, (SELECT count(score) FROM scored) AS scored_rows FROM (VALUES ('S1', 'live'), ('S2', 'shadow'), ('S3', 'retired')) t(screen_id, state)",
-    "param_asof": "SELECT * FROM (VALUES ('gate.gap', '0.05', 2), ('gate.cooldown', '30', 1), ('screens.S1.state', 'live', 1), ('screens.S2.state', 'shadow', 2), ('screens.S3.state', 'retired', 1), ('news.rates', '{\"a\": 3.0, \"b\": 15.0}', 1)) t(key, value, version)",
+    "screen_states": "SELECT date, split_part(key, '.', 2) AS screen_id, value AS state FROM params WHERE key LIKE 'screens.%.state'",
+    "param_asof": "SELECT date, key, value, version FROM params",
     "screen_floor": "SELECT screen_id, date, round(floor, 3) AS floor FROM floor_98",
     "screen_rank": "SELECT screen_id, date, ticker, rank FROM screened",
     "screen_coverage": "SELECT screen_id, count(DISTINCT date) AS scored_dates, (SELECT count(*) FROM days) AS sessions FROM scored WHERE score IS NOT NULL GROUP BY screen_id",
@@ -159,11 +214,11 @@ BODIES = {
     "overlap": "SELECT (SELECT round(count(*) FILTER (len(screens) > 1) / count(*), 6) FROM sets) AS candidate_overlap, (SELECT round(count(*) FILTER (n > 1) / count(*), 6) FROM (SELECT date, ticker, count(DISTINCT screen_id) AS n FROM screened GROUP BY ALL)) AS ranked_overlap",
     "completeness": "SELECT 0::BIGINT AS unattributed, 0::BIGINT AS unstamped, (SELECT count(*) FROM attributed WHERE NOT is_candidate) AS shadow_rows",
     "seats": "SELECT date, screen_id, count(DISTINCT ticker) AS seats FROM chosen GROUP BY date, screen_id",
-    "persistence": "SELECT screen_id, " + ", ".join(f"round(avg(CASE WHEN s IS NOT NULL AND p{n} IS NOT NULL THEN len(list_intersect(s, p{n})) / len(list_distinct(list_concat(s, p{n}))) END), 6) AS jaccard_{n}" for n in (1, 5, 21)) + ", round(avg(len(s)), 6) AS mean_size FROM (SELECT *, " + ", ".join(f"lag(s, {n}) OVER (PARTITION BY screen_id ORDER BY date) AS p{n}" for n in (1, 5, 21)) + " FROM score_dates LEFT JOIN (SELECT screen_id, date, list(ticker) AS s FROM screened GROUP BY ALL) USING (screen_id, date)) GROUP BY screen_id",
+    "persistence": "SELECT screen_id, " + ", ".join(f"round(avg(CASE WHEN s IS NOT NULL AND p{n} IS NOT NULL THEN len(list_intersect(s, p{n})) / len(list_distinct(list_concat(s, p{n}))) END), 6) AS jaccard_{n}" for n in (1, 5, 21)) + ", round(avg(len(s)), 6) AS mean_size, round(sum(large) / sum(n), 6) AS large_share FROM (SELECT *, " + ", ".join(f"lag(s, {n}) OVER (PARTITION BY screen_id ORDER BY date) AS p{n}" for n in (1, 5, 21)) + " FROM score_dates LEFT JOIN (SELECT screen_id, date, list(ticker) AS s, count(*) FILTER (size_bucket = 'large') AS large, count(*) AS n FROM screened GROUP BY ALL) USING (screen_id, date)) GROUP BY screen_id",
     "news_window": "SELECT article_id, ticker, published_at, in_window FROM articles",
     "article_budget": "SELECT ticker, article_id, rn, upto FROM budget",
     "digest_input": "SELECT ticker, md5(string_agg(title || chr(10) || content, chr(10) || chr(10) ORDER BY rn)) AS md5, sum(tokens)::BIGINT AS tokens FROM budget GROUP BY ticker",
-    "token_cost": "SELECT article_id, 'a' AS kind, tokens, 3.0::DOUBLE AS rate, round(tokens * 3.0::DOUBLE / 1e6, 6) AS cost FROM articles",
+    "token_cost": "SELECT *, round(tokens * rate / 1e6, 6) AS cost FROM (SELECT article_id, CASE WHEN article_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CASE WHEN article_id % 3 = 0 THEN 'output' ELSE 'input' END AS kind, tokens, CASE WHEN article_id % 6 = 0 THEN 5.0 WHEN article_id % 2 = 0 THEN 1.0 WHEN article_id % 3 = 0 THEN 15.0 ELSE 3.0 END::DOUBLE AS rate FROM articles)",
 }
 
 
@@ -182,5 +237,13 @@ def _with(body: str) -> str:
     return re.sub(r"\bat\b", '"at"', text)  # a keyword there
 
 
+def _rejections() -> str:
+    fall = BODIES["universe_waterfall"]
+    return f"SELECT p.ticker, p.date, {DAY} AS rejected_on, criterion FROM pairs p JOIN ({fall}) w ON p.ticker = w.ticker AND criterion IS NOT NULL AND p.date >= {DAY} ASOF LEFT JOIN security_daily s ON p.ticker = s.ticker AND p.date >= s.date WHERE s.date IS NULL OR s.date <= {DAY}"
+
+
+BODIES["record_rejection"] = _rejections()
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _with(body) for name, body in BODIES.items()}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, selection, sentiment, technical, universe, valuation
+from pitframe.plans import upsert as writes
+from pitframe.sources import flatten, landing
 from pitframe.sources.adapters import Tables, config_rows
 
 DAY, FIRST, LAST = "1999-03-15", "1999-01-04", "1999-12-31"
@@ -23,54 +25,49 @@ def _round(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*(F.when(value(c) != 0, value(c)).when(F.col(c).isNotNull(), F.lit(0.0)).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes))
 
 
-def _year(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("date").between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")))
-
-
 def _bars(t: Tables) -> DataFrame:
-    return technical.indicators(t.price_daily(), t.benchmark_daily())
+    return technical.indicators(t.prices(), t.benchmark_daily())
 
 
 def _members(t: Tables) -> DataFrame:
-    return asof.range_members(t.security_daily(), asof.sessions(t.price_daily(), FIRST, LAST))
+    return t.keep("members", lambda: asof.range_members(t.security_daily(), asof.sessions(t.prices())))
 
 
 def _features(t: Tables) -> DataFrame:
     """Members of each session with their last indicators."""
-    return technical.carry_forward(_members(t), _bars(t), [*METRICS, "base_breakout_flag"])
+    return t.keep("features", lambda: technical.carry_forward(_members(t), _bars(t), [*METRICS, "base_breakout_flag"]))
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return percentile.percentiles(_features(t), METRICS, FLOOR)
+    return t.keep("ranked", lambda: percentile.percentiles(_features(t), METRICS, FLOOR))
 
 
 def _scored(t: Tables) -> DataFrame:
-    return screens.scores(_ranked(t), [S1, S2])
+    return t.keep("scored", lambda: screens.scores(_ranked(t), [S1, S2]))
 
 
 def _screened(t: Tables) -> DataFrame:
-    scored = _scored(t)
-    return screens.ranks(scored, screens.floors(scored, LOOKBACK, 0.7))
+    return t.keep("screened", lambda: screens.ranks(_scored(t), screens.floors(_scored(t), LOOKBACK, 0.7)))
 
 
 def _gate(t: Tables) -> DataFrame:
-    return selection.gates(_members(t), t.price_daily(), t.events_calendar(), t.position(), t.trade_outcome(), gap=0.05)
+    return t.keep("gate", lambda: selection.gates(_members(t), t.prices(), t.events_calendar(), t.position(), t.trade_outcome(), gap=0.05, cooldown=2))
 
 
 def _chosen(t: Tables) -> DataFrame:
-    return selection.candidates(_screened(t), _gate(t), {"S1": 6, "S2": 4})
+    return t.keep("chosen", lambda: selection.candidates(_screened(t), _gate(t), {"S1": 6, "S2": 4}))
 
 
 def _member_sectors(t: Tables) -> DataFrame:
-    return asof.range_members(t.security_daily(), asof.sessions(t.price_daily())).select("ticker", "date", "sector")
+    return _members(t).select("ticker", "date", "sector")
 
 
 def _composite(t: Tables) -> DataFrame:
-    return technical.sector_composite(t.price_daily(), _member_sectors(t), COMPOSITE_MIN)
+    return t.keep("composite", lambda: technical.sector_composite(t.prices(), _member_sectors(t), COMPOSITE_MIN))
 
 
 def _market(t: Tables) -> DataFrame:
-    return market.market_context(_features(t), t.benchmark_daily(), _composite(t))
+    return t.keep("market", lambda: market.market_context(_features(t), t.benchmark_daily(), _composite(t)))
 
 
 def _event_days(t: Tables) -> DataFrame:
@@ -83,11 +80,136 @@ def _attribution(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Every member on the first of each quarter of the year."""
-    return _members(t).join(F.broadcast(asof.sessions(t.price_daily(), FIRST, LAST).groupBy(F.quarter("date")).agg(F.min("date").alias("date")).select("date")), "date").select("ticker", "date")
+    """The pairs asked for: every member on the first session of each quarter of the whole history."""
+    first = asof.sessions(t.prices()).groupBy(F.year("date"), F.quarter("date")).agg(F.min("date").alias("date")).select("date")
+    return t.keep("pairs", lambda: _members(t).join(F.broadcast(first), "date").select("ticker", "date"))
+
+
+def _sessions(t: Tables) -> DataFrame:
+    return asof.sessions(t.prices())
+
+
+def _states(t: Tables) -> DataFrame:
+    """Screen states in force on every session."""
+    return screens.screen_states(asof.params_on(config_rows(t.spark), _sessions(t), "screens."))
+
+
+def _listed(t: Tables) -> DataFrame:
+    """A universe for the event jobs: two names in three."""
+    return t.read("supplier").filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"))
+
+
+def _fundamentals(t: Tables) -> DataFrame:
+    return t.keep("landed", lambda: landing.fundamentals(t.raw_filings(), t.earnings_history(), t.institutional_holding()))
+
+
+def _codes(t: Tables) -> DataFrame:
+    """The listed names as the bulk feed of actions spells them: number, dot, letter."""
+    return _listed(t).select(F.concat(F.substring("ticker", 2, 20), F.lit(".T")).alias("ticker"))
+
+
+def _spelt(df: DataFrame) -> DataFrame:
+    return df.withColumn("ticker", F.concat(F.lit("T"), F.regexp_replace("ticker", "[.]T$", "")))
+
+
+def _actions(t: Tables) -> DataFrame:
+    bulk = _spelt(flatten.bulk_actions(landing.bulk_actions(t.events_calendar()), _codes(t), "dividend_ex"))
+    return flatten.merge_events(flatten.earnings_calendar(landing.calendar(t.events_calendar()), _listed(t)), bulk, flatten.ticker_actions(landing.ticker_actions(t.events_calendar()), "dividend_ex"))
+
+
+def _staged(t: Tables) -> DataFrame:
+    """Bars from December 1999 on with a new close and volume."""
+    return t.prices().filter("date >= '1999-12-01'").select("ticker", "date", (F.col("close") * 2).cast("decimal(20,6)").alias("close"), (F.col("volume") + 1).alias("volume"))
+
+
+def _old(t: Tables) -> DataFrame:
+    return t.prices().filter("date < '2000-01-15'").select("ticker", "date", "open", "close", "volume")
+
+
+def _news_pairs(t: Tables) -> DataFrame:
+    return t.headline().select("ticker").distinct().withColumn("date", F.lit(NEWS_DAY).cast("date"))
+
+
+def _coverages(t: Tables) -> DataFrame:
+    of = lambda df, name, d: df.agg(F.lit(name).alias("source"), F.min(d).alias("covered_from"), F.max(d).alias("covered_to"))
+    one, two = of(t.prices(), "prices", "date"), of(t.fundamental_snapshot(), "filings", "filing_date_effective")
+    return one.unionByName(two).unionByName(of(t.institutional_holding(), "holdings", "report_date")).unionByName(of(t.events_calendar(), "events", "event_date"))
+
+
+def _evaluations(t: Tables) -> DataFrame:
+    """Two evaluations of the universe, half a year apart, with the names that they admitted."""
+    rows = [universe.liquidity(t.prices(), day, min_price=101, min_volume=2000, history=150).filter("verdict is null").select("ticker", F.lit(day).cast("date").alias("date"), F.concat(F.lit(day[:7]), F.lit(" "), "ticker").alias("name"), "first_seen", "last_seen") for day in (DAY, "1999-09-15")]
+    return rows[0].unionByName(rows[1])
+
+
+def _eligible(t: Tables) -> DataFrame:
+    """Scores of the screens on the dates of the events, gated by price, composites and news."""
+    rows = t.sentiment_daily()
+    derived = sentiment.sentiment(rows, rows.select("ticker", "date"), min_days=10)
+    rows = derived.join(screens.article_counts(rows), ["ticker", "date"]).withColumn("day", F.dayofmonth("date"))
+    rows = rows.withColumns({"dist_20dma": (F.col("day") % 5 - 2) / 10, "rs_20d_slope": F.when(F.col("day") % 3 != 0, (F.col("day") % 4 - 2) / 10)})
+    gate = screens.eligible(F.when(F.col("day") % 11 != 0, F.col("day") * 3.0), 20.0, F.col("day") * 2.0, 50.0, min_articles=2, z_max=1.0, delta_min=-0.05)
+    return rows.select("ticker", "date", "articles_7d", screens.gated(F.col("day").cast("double"), *gate).alias("score"))
+
+
+def _digests(t: Tables) -> DataFrame:
+    """A digest of the tickers with news: none, unknown, the fixed text, near misses of it, or the first article."""
+    rows = t.headline().groupBy("ticker").agg(F.min_by("content", "article_id").alias("content"), F.min("article_id").alias("a"))
+    digest = F.when(F.col("a") % 6 == 1, F.lit(None)).when(F.col("a") % 6 == 2, "NO MATERIAL NEWS").when(F.col("a") % 6 == 3, "no material news").when(F.col("a") % 6 == 4, "NO MATERIAL NEWS. ").otherwise(F.substring("content", 1, 30))
+    return news.outcome(rows.select("ticker", (F.col("a") % 6 != 0).alias("digest_exists"), digest.alias("digest")))
+
+
+def _registry(t: Tables) -> DataFrame:
+    """All 30 metrics of members on sessions."""
+    i = percentile.REGISTRY["indicator_daily"]
+    bars = _bars(t).join(technical.wilder(t.prices()), ["ticker", "date"])
+    rows = technical.carry_forward(_members(t), bars, [m for m in i if m != "rs_change_vs_sector"])
+    rows = rows.join(technical.relative_to_sector(t.prices(), _member_sectors(t), _composite(t)), ["ticker", "date"], "left")
+    basics = t.keep("basics", lambda: valuation.fundamentals(t.fundamental_snapshot()))
+    close = t.prices().select("ticker", "date", F.col("close").cast("double").alias("close"))
+    v = valuation.priced(_members(t).select("ticker", "date").join(close, ["ticker", "date"], "left"), basics).join(valuation.own_history(t.prices(), basics, t.prices().select("ticker", "date"), OWN_POINTS), ["ticker", "date"], "left")
+    rows = rows.join(v.select("ticker", "date", *percentile.REGISTRY["valuation_daily"]), ["ticker", "date"], "left")
+    rows = rows.join(flow.flow(t.insider_transaction(), t.institutional_holding(), _sessions(t)), ["ticker", "date"], "left")
+    return rows.join(sentiment.sentiment(t.sentiment_daily(), _members(t).select("ticker", "date"), min_days=10), ["ticker", "date"], "left")
 
 
 QUERIES = {
+    "flat_bulk_prices": lambda t: flatten.bulk_prices(landing.bulk_prices(t.price_daily())),
+    "flat_price_series": lambda t: flatten.price_series(landing.price_series(t.price_daily())),
+    "flat_statements": lambda t: flatten.statements(_fundamentals(t)).select("ticker", "period_end", "filing_date", "total_assets", "total_revenue", "operating_cash", "investing_cash", "net_debt", "shares"),
+    "flat_earnings": lambda t: _round(flatten.earnings(_fundamentals(t)).select("ticker", "period_end", "report_date", "surprise_fraction", F.col("collisions").cast("long").alias("collisions")), 4),
+    "flat_holders": lambda t: flatten.holders(_fundamentals(t)).select("ticker", "report_date", "holder_name", "shares"),
+    "flat_sector": lambda t: flatten.sector(_fundamentals(t)),
+    "flat_insiders": lambda t: flatten.insiders(landing.insiders(t.insider_transaction())).select("ticker", "accession_number", "transaction_side", F.col("transaction_ordinal").cast("long"), "filed_at", "transaction_date", "transaction_code"),
+    "flat_sentiment": lambda t: _round(flatten.sentiment(landing.sentiment(t.sentiment_daily())).withColumn("article_count", F.col("article_count").cast("long")), 4),
+    "flat_calendar": lambda t: flatten.earnings_calendar(landing.calendar(t.events_calendar()), _listed(t)).select("ticker", "event_type", "event_date"),
+    "flat_bulk_actions": lambda t: _spelt(flatten.bulk_actions(landing.bulk_actions(t.events_calendar()), _codes(t), "dividend_ex")),
+    "flat_ticker_actions": lambda t: flatten.ticker_actions(landing.ticker_actions(t.events_calendar()), "split").select("ticker", "event_type", "event_date"),
+    "flat_events": _actions,
+    "flat_news": lambda t: flatten.news(landing.news(t.headline())).select("ticker", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), "url", F.md5("content").alias("md5")),
+    "flat_symbols": lambda t: flatten.symbols(landing.symbols(t.read("supplier"))),
+    "exchange_sessions": lambda t: flatten.exchange_sessions(landing.exchange(t.price_daily()), "1999-01-01", "2001-06-30"),
+    "recent_session": lambda t: flatten.most_recent_session(flatten.exchange_sessions(landing.exchange(t.price_daily()), "1999-01-01", "2001-06-30"), "2000-04-30"),
+    "upsert_bars": lambda t: writes.upsert(_old(t), _staged(t), ["ticker", "date"], ["close", "volume"]),
+    "update_bars": lambda t: writes.update_columns(_old(t), _staged(t).select("ticker", "date", "volume"), ["ticker", "date"]),
+    "insert_absent_bars": lambda t: writes.insert_absent(_old(t), _staged(t).withColumn("open", F.col("close")), ["ticker", "date"]),
+    "replace_dates_bars": lambda t: writes.replace_dates(_old(t), _staged(t).withColumn("open", F.col("close")), _staged(t)),
+    "coverage_intervals": lambda t: writes.coverage(_coverages(t), _coverages(t).withColumn("covered_to", F.date_add("covered_to", 5))),
+    "config_versions": lambda t: asof.config_versions_on(config_rows(t.spark), _sessions(t)),
+    "liquid_pool": lambda t: universe.liquid_pool(t.price_daily(), _listed(t), DAY, min_price=101, min_volume=2500, history=200),
+    "identity_rollup": lambda t: universe.identity(_evaluations(t)),
+    "flow_by_ticker": lambda t: _round(flow.flow(t.insider_transaction(), t.institutional_holding(), _event_days(t).unionByName(_sundays(t))), 4),
+    "percentile_registry": lambda t: _round(percentile.long_percentiles(_registry(t), [m for of in percentile.REGISTRY.values() for m in of], FLOOR).groupBy("date", "metric", "scope").agg(F.count("*").alias("n"), F.avg("pctile").alias("mean_pctile"))),
+    "eligible_scores": lambda t: _round(_eligible(t)),
+    "screen_faults": lambda t: screens.unranked_dates(screens.floors(_scored(t), LOOKBACK, 0.7), _screened(t).filter("dayofmonth(date) <> 13"), _states(t).groupBy("screen_id").agg(F.max_by("state", "date").alias("state"))),
+    "candidate_rows": lambda t: selection.candidate_view(_attribution(t)).select("date", "ticker", "gate_state"),
+    "chance_overlap": lambda t: _round(measure.chance(_screened(t), _scored(t))),
+    "digest_outcomes": lambda t: _digests(t).select("ticker", "outcome"),
+    "record_rejection": lambda t: record.rejection(_pairs(t), _waterfall(t).filter("criterion is not null").select("ticker", F.lit(DAY).cast("date").alias("date"), "criterion"), t.security_daily()),
+    "record_thresholds": lambda t: asof.params_on(config_rows(t.spark), _pairs(t), "gate."),
+    "record_covered": lambda t: record.covered(_pairs(t), _coverages(t)),
+    "record_market": lambda t: _round(record.market(_pairs(t), _market(t), t.security_daily())),
+    "record_news": lambda t: record.news_pool(_news_pairs(t), t.headline()).select("ticker", "article_id", "in_window"),
     "record_membership": lambda t: _round(record.membership(_pairs(t), t.security_daily()), 2),
     "record_recent_bars": lambda t: record.recent(_pairs(t), t.price_daily(), 5).select("ticker", "on", "date", F.col("rn").cast("long"), "newest", "volume"),
     "record_filings": lambda t: record.recent(_pairs(t), t.fundamental_snapshot(), 4, "filing_date_effective", "period_end").select("ticker", "on", "period_end", F.col("rn").cast("long"), "newest"),
@@ -96,10 +218,10 @@ QUERIES = {
     "universe_asof": lambda t: _round(asof.universe_as_of(t.security_daily(), DAY), 2),
     "members_asof": lambda t: _round(asof.members_as_of(t.security_daily(), DAY), 2),
     "epochs_in_range": lambda t: asof.epochs(t.security_daily(), FIRST, LAST),
-    "epoch_map": lambda t: asof.epoch_map(asof.sessions(t.price_daily(), FIRST, LAST), asof.epochs(t.security_daily(), FIRST, LAST)),
+    "epoch_map": lambda t: asof.epoch_map(_sessions(t), t.security_daily().select("date")),
     "range_members": lambda t: _round(_members(t), 2),
-    "sessions": lambda t: asof.sessions(t.price_daily(), FIRST, LAST),
-    "param_asof": lambda t: asof.param_as_of(config_rows(t.spark).crossJoin(F.broadcast(asof.sessions(t.price_daily(), LAST, LAST).agg(F.count("*").alias("n")))).drop("n"), "1998-12-31"),
+    "sessions": lambda t: asof.sessions(t.price_daily()),
+    "param_asof": lambda t: asof.params_on(config_rows(t.spark), _sessions(t)),
     "filing_dates": lambda t: filings.resolve_filing_dates(t.raw_filings()).select("ticker", "period_end", "filing_date", "filing_date_unknown_reason", F.col("gap").cast("long"), F.col("widest_gap").cast("long"), "filing_date_effective"),
     "filing_quality": lambda t: filings.filing_quality(t.fundamental_snapshot(), widest=75),
     "readable_filings": lambda t: filings.readable_at(t.fundamental_snapshot(), DAY).select("ticker", "period_end", F.col("rank").cast("long")),
@@ -107,25 +229,25 @@ QUERIES = {
     "frontier": lambda t: universe.frontier(t.price_daily()),
     "just_reported": lambda t: universe.just_reported(t.events_calendar(), DAY, 20),
     "rotation": lambda t: universe.rotation(t.security_daily(), t.trade_outcome().select("ticker", F.col("exit_date").alias("attempted_at")), asof.members_as_of(t.security_daily(), DAY), universe.just_reported(t.events_calendar(), DAY, 20), 25),
-    "evaluation_dates": lambda t: universe.evaluation_dates(t.spark, FIRST, LAST).join(F.broadcast(t.price_daily().agg(F.max("date").alias("newest"))), F.col("date") <= F.col("newest")).select("date"),
+    "evaluation_dates": lambda t: _sundays(t),
     "liquidity": lambda t: _round(universe.liquidity(t.price_daily(), DAY, min_price=101, min_volume=2500, history=200)),
     "universe_waterfall": lambda t: _round(_waterfall(t), 2),
-    "departures": lambda t: universe.departures(asof.members_as_of(t.security_daily(), FIRST), asof.members_as_of(t.security_daily(), DAY)),
+    "departures": lambda t: universe.departures(asof.members_as_of(t.security_daily(), FIRST), asof.members_as_of(t.security_daily(), "1999-07-15")),
     "delisted_on": lambda t: universe.delisted_on(t.price_daily(), _delisted(t)),
     "delisted_pool": lambda t: universe.delisted_pool(t.price_daily(), _delisted(t), FIRST, "1999-01-31"),
-    "dist_200dma": lambda t: _round(_year(_bars(t)).select("ticker", "date", "dist_20dma", "dist_200dma")),
-    "high_and_volume": lambda t: _round(_year(_bars(t)).select("ticker", "date", "dist_52w_high", "dist_52w_high_20d_change", "volume_vs_50d_avg")),
-    "ma_slope_breakout": lambda t: _round(_year(_bars(t)).select("ticker", "date", "ma50_200_slope", "base_breakout_flag"), 8),
-    "median_dollar_volume": lambda t: _round(_year(_bars(t)).select("ticker", "date", "median_dollar_volume_20d"), 4),
-    "relative_strength": lambda t: _round(_year(_bars(t)).select("ticker", "date", "rs_change_21d", "rs_change_63d", "rs_21d_63d_change", "rs_20d_slope"), 8),
+    "dist_200dma": lambda t: _round(_bars(t).select("ticker", "date", "dist_20dma", "dist_200dma")),
+    "high_and_volume": lambda t: _round(_bars(t).select("ticker", "date", "dist_52w_high", "dist_52w_high_20d_change", "volume_vs_50d_avg")),
+    "ma_slope_breakout": lambda t: _round(_bars(t).select("ticker", "date", "ma50_200_slope", "base_breakout_flag"), 8),
+    "median_dollar_volume": lambda t: _round(_bars(t).select("ticker", "date", "median_dollar_volume_20d"), 7),
+    "relative_strength": lambda t: _round(_bars(t).select("ticker", "date", "rs_change_21d", "rs_change_63d", "rs_21d_63d_change", "rs_20d_slope"), 8),
     "sector_composite": lambda t: _round(_composite(t).select("sector", "date", "mean_return", "members", "composite")),
-    "rs_vs_sector": lambda t: _round(_year(technical.relative_to_sector(t.price_daily(), _member_sectors(t), _composite(t)))),
+    "rs_vs_sector": lambda t: _round(technical.relative_to_sector(t.prices(), _member_sectors(t), _composite(t))),
     "wilder_atr_adx": lambda t: _round(technical.wilder(t.price_daily())),
     "carried_indicators": lambda t: _round(_features(t).select("ticker", "date", "dist_200dma", "base_breakout_flag")),
     "fundamentals_readable": lambda t: _round(valuation.fundamentals(t.fundamental_snapshot())),
-    "valuation_priced": lambda t: _round(valuation.priced(_year(t.price_daily()).select("ticker", "date", F.col("close").cast("double").alias("close")), valuation.fundamentals(t.fundamental_snapshot())).select("ticker", "date", "fcf_yield", "ev_ebit")),
+    "valuation_priced": lambda t: _round(valuation.priced(t.price_daily().select("ticker", "date", F.col("close").cast("double").alias("close")), valuation.fundamentals(t.fundamental_snapshot())).select("ticker", "date", "fcf_yield", "ev_ebit")),
     "month_ends": lambda t: _round(valuation.month_ends(t.price_daily()).drop("month")),
-    "ev_ebit_own_history": lambda t: _round(valuation.own_history(t.price_daily(), valuation.fundamentals(t.fundamental_snapshot()), _year(t.price_daily()).select("ticker", "date"), OWN_POINTS)),
+    "ev_ebit_own_history": lambda t: _round(valuation.own_history(t.prices(), t.keep("basics", lambda: valuation.fundamentals(t.fundamental_snapshot())), t.prices().select("ticker", "date"), OWN_POINTS)),
     "surprises": lambda t: valuation.last_surprises(t.earnings_history(), DAY),
     "insider_flow": lambda t: _round(flow.insider(t.insider_transaction(), _event_days(t)), 2),
     "ownership_change": lambda t: _round(flow.ownership_change(t.institutional_holding(), _sundays(t))),
@@ -134,15 +256,15 @@ QUERIES = {
     "breadth": lambda t: _round(market.breadth(_features(t))),
     "benchmark_trend": lambda t: market.benchmark_trend(t.benchmark_daily()),
     "market_regime": lambda t: _round(_market(t).select("date", "breadth", "benchmark_above", "regime_label")),
-    "sector_strength": lambda t: _year(market.sector_strength(_composite(t))).select("date", F.explode("sector_relative_strength").alias("sector", "strength")),
+    "sector_strength": lambda t: market.sector_strength(_composite(t)).select("date", F.explode("sector_relative_strength").alias("sector", "strength")),
     "percentile_cells": lambda t: _round(_ranked(t).select("date", "ticker", *(f"{m}_{k}" for m in METRICS[:2] for k in ("pctile", "scope")))),
     "cell_ledger": lambda t: percentile.cell_ledger(_features(t), METRICS[:2], FLOOR),
     "fallback_report": lambda t: percentile.fallback_report(_ranked(t), METRICS[:2]),
     "screen_scores": lambda t: _round(_scored(t), 3),
-    "screen_states": lambda t: screens.screen_states(asof.param_as_of(config_rows(t.spark), DAY, "screens.")).crossJoin(F.broadcast(_scored(t).agg(F.count("score").alias("scored_rows")))),
+    "screen_states": lambda t: _states(t).select("date", "screen_id", "state"),
     "screen_floor": lambda t: _round(screens.floors(_scored(t), LOOKBACK, 0.98), 3),
     "screen_rank": lambda t: _screened(t).select("screen_id", "date", "ticker", F.col("rank").cast("long")),
-    "screen_coverage": lambda t: screens.coverage(_scored(t).filter("score is not null"), asof.sessions(t.price_daily(), FIRST, LAST)),
+    "screen_coverage": lambda t: screens.coverage(_scored(t).filter("score is not null"), _sessions(t)),
     "gate_labels": lambda t: _gate(t),
     "candidates": lambda t: _chosen(t).select("date", "screen_id", "size_bucket", "ticker"),
     "candidate_set": lambda t: selection.candidate_set(_chosen(t)),
@@ -156,12 +278,12 @@ QUERIES = {
     "overlap": lambda t: _round(measure.overlap(selection.candidate_set(_chosen(t)), _screened(t))),
     "completeness": lambda t: measure.completeness(selection.candidate_set(_chosen(t)), _attribution(t)),
     "seats": lambda t: measure.seats(selection.candidate_set(_chosen(t))),
-    "persistence": lambda t: _round(measure.persistence(_screened(t), _scored(t).filter("score is not null").select("screen_id", "date"))),
+    "persistence": lambda t: _round(measure.persistence(_screened(t), _scored(t).filter("score is not null").select("screen_id", "date").distinct())),
     "news_window": lambda t: news.in_window(t.headline(), NEWS_DAY).select("article_id", "ticker", "published_at", "in_window"),
     "article_budget": lambda t: news.budgeted(news.in_window(t.headline(), NEWS_DAY).filter("in_window"), 1200).select("ticker", "article_id", F.col("rn").cast("long"), F.col("upto").cast("long")),
     "digest_input": lambda t: news.rendered(news.budgeted(news.in_window(t.headline(), NEWS_DAY).filter("in_window"), 1200)).select("ticker", F.md5("digest_input").alias("md5"), F.col("tokens").cast("long")),
     "hash_rotation": lambda t: news.rotate(t.sentiment_daily(), 2).select("date", "ticker", F.col("rn").cast("long")),
-    "token_cost": lambda t: _round(news.token_cost(t.headline().select("article_id", F.lit("a").alias("kind"), F.ceil(F.length("content") / 3.5).alias("tokens")), asof.param_as_of(config_rows(t.spark), DAY, "news.rates"))),
+    "token_cost": lambda t: _round(news.token_cost(t.headline().select("article_id", F.when(F.col("article_id") % 2 == 0, "small").otherwise("large").alias("model"), F.when(F.col("article_id") % 3 == 0, "output").otherwise("input").alias("kind"), F.ceil(F.length("content") / 3.5).alias("tokens")), asof.param_as_of(config_rows(t.spark), DAY, "news.rates"))),
 }
 
 
@@ -171,11 +293,12 @@ def _delisted(t: Tables) -> DataFrame:
 
 def _waterfall(t: Tables) -> DataFrame:
     listing = t.read("supplier").filter("s_suppkey % 17 <> 0").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"))
-    return universe.waterfall(t.price_daily(), t.fundamental_snapshot(), listing, universe.delisted_on(t.price_daily(), _delisted(t)), DAY, window=60, min_cap=1e8, min_gaps=4, large=1.16e8, mid=1.12e8, min_price=101, min_volume=2000, history=150)
+    return universe.waterfall(t.prices(), t.fundamental_snapshot(), listing, universe.delisted_on(t.prices(), _delisted(t)), DAY, window=60, min_cap=1e8, min_gaps=4, large=1.16e8, mid=1.12e8, min_price=101, min_volume=2000, history=150)
 
 
 def _sundays(t: Tables) -> DataFrame:
-    return universe.evaluation_dates(t.spark, FIRST, LAST)
+    a, b = t.prices().agg(F.min("date"), F.max("date")).first()
+    return universe.evaluation_dates(t.spark, str(a), str(b))
 
 
 def _query(build):

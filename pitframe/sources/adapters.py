@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitframe.plans.stages import stage
+
 SPLIT = "1998-07-01"
 
 
 class Tables:
-    """The model tables over one folder of Parquet tables, each built when asked for."""
+    """The model tables over one folder of Parquet tables, each built when asked for; what ``keep`` is given is built once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.kept: dict[str, DataFrame] = {}
+        self._suppliers: int | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def keep(self, name: str, build) -> DataFrame:
+        """A stage table: written when first asked for, read after that."""
+        if name not in self.kept:
+            self.kept[name] = stage(build(), name)
+        return self.kept[name]
+
     def suppliers(self) -> int:
-        return self.read("supplier").count()
+        if self._suppliers is None:
+            self._suppliers = self.read("supplier").count()
+        return self._suppliers
+
+    def prices(self) -> DataFrame:
+        """The daily bars as a stage table, for queries that read them more than once."""
+        return self.keep("price_daily", self.price_daily)
 
     def price_daily(self) -> DataFrame:
         """One bar a ticker and date, raw prices twice the adjusted ones before a two-for-one split."""
@@ -30,7 +46,7 @@ class Tables:
 
     def benchmark_daily(self) -> DataFrame:
         """Mean adjusted close of all tickers on each date."""
-        return self.price_daily().groupBy("date").agg((F.sum("adj_close").cast("double") / F.count("*")).alias("adj_close"))
+        return self.prices().groupBy("date").agg((F.sum("adj_close").cast("double") / F.count("*")).alias("adj_close"))
 
     def epochs(self) -> DataFrame:
         """First Sunday of each quarter of the price history, numbered."""
@@ -111,8 +127,8 @@ class Tables:
 
     def _trades(self) -> DataFrame:
         n = self.suppliers()
-        o = self.read("orders").filter("o_custkey % 50 = 0")
-        return o.select(F.concat(F.lit("T"), 1 + F.col("o_custkey") % n).alias("ticker"), F.col("o_orderkey").alias("trade_id"), "o_orderstatus", F.to_date("o_orderdate").alias("opened"), F.date_add(F.to_date("o_orderdate"), 40).alias("closed"))
+        o = self.read("orders")
+        return o.select(F.concat(F.lit("T"), 1 + F.col("o_custkey") % n).alias("ticker"), F.col("o_orderkey").alias("trade_id"), "o_orderstatus", F.to_date("o_orderdate").alias("opened"), F.date_add(F.to_date("o_orderdate"), 2).alias("closed"))
 
     def position(self) -> DataFrame:
         return self._trades().filter("o_orderstatus = 'O'").select("ticker", "trade_id", "opened", "closed")
@@ -130,7 +146,7 @@ class Tables:
 CONFIG = [
     ("gate.gap", 1, "0.08", "1994-01-01 12:00:00"), ("gate.gap", 2, "0.05", "1998-01-01 03:00:00"), ("gate.gap", 3, "0.06", "1999-06-01 12:00:00"),
     ("gate.cooldown", 1, "30", "1994-01-01 12:00:00"), ("screens.S1.state", 1, "live", "1994-01-01 12:00:00"), ("screens.S2.state", 1, "live", "1994-01-01 12:00:00"),
-    ("screens.S2.state", 2, "shadow", "1999-01-01 04:30:00"), ("screens.S3.state", 1, "retired", "1994-01-01 12:00:00"), ("news.rates", 1, '{"a": 3.0, "b": 15.0}', "1994-01-01 12:00:00"), ("news.rates", 2, '{"a": 2.0, "b": 10.0}', "2000-01-01 12:00:00"),
+    ("screens.S2.state", 2, "shadow", "1999-01-01 04:30:00"), ("screens.S3.state", 1, "retired", "1994-01-01 12:00:00"), ("news.rates", 1, '{"small": {"input": 1.0, "output": 5.0}, "large": {"input": 3.0, "output": 15.0}}', "1994-01-01 12:00:00"), ("news.rates", 2, '{"small": {"input": 0.5, "output": 2.0}}', "2000-01-01 12:00:00"),
 ]
 
 

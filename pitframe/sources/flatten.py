@@ -44,21 +44,27 @@ def day(name: str, of: str = "element") -> Column:
     return F.try_to_date(F.substring(text(name, of), 1, 10), "yyyy-MM-dd")
 
 
+def array_body(landed: DataFrame) -> DataFrame:
+    """The landed rows; a body that is no array is an error."""
+    fault = F.raise_error(F.concat(F.lit("no array: "), F.substring(F.coalesce("body", F.lit("null")), 1, 80)))
+    return landed.withColumn("body", F.when(F.try_parse_json("body").isNull() | ~F.ltrim("body").startswith("["), fault).otherwise(F.col("body")))
+
+
 def _bar() -> list[Column]:
     return [*(number(c, "decimal(20,6)").alias(c) for c in ("open", "high", "low", "close")), number("adjusted_close", "decimal(20,6)").alias("adj_close"), number("volume", "decimal(38,6)").cast("long").alias("volume")]
 
 
 def bulk_prices(landed: DataFrame) -> DataFrame:
-    """A1: all tickers of one day; a row without key or of another day is an error."""
-    rows = elements(landed, F.col("body"))
-    right = text("code").isNotNull() & text("exchange_short_name").isNotNull() & day("date").eqNullSafe(F.col("request_date"))
-    checked = F.when(right, F.concat_ws(".", text("code"), text("exchange_short_name"))).otherwise(F.raise_error(F.concat(F.lit("bad bar: "), F.col("element"))))
+    """A1: all tickers of one day; a body that is no array, an element that is no object, a row without key or of another day is an error."""
+    rows = array_body(landed).select("*", F.explode(F.from_json("body", "array<string>")).alias("element"))
+    right = F.coalesce(F.ltrim("element").startswith("{"), F.lit(False)) & text("code").isNotNull() & text("exchange_short_name").isNotNull() & day("date").eqNullSafe(F.col("request_date"))
+    checked = F.when(right, F.concat_ws(".", text("code"), text("exchange_short_name"))).otherwise(F.raise_error(F.concat(F.lit("bad bar: "), F.coalesce("element", F.lit("null")))))
     return rows.select(checked.alias("ticker"), day("date").alias("date"), *_bar())
 
 
 def price_series(landed: DataFrame) -> DataFrame:
-    """A2: one ticker's whole series."""
-    return elements(landed, F.col("body")).select("ticker", day("date").alias("date"), *_bar()).orderBy("ticker", "date")
+    """A2: one ticker's whole series, in order of date within the ticker."""
+    return elements(landed, F.col("body")).select("ticker", day("date").alias("date"), *_bar()).repartition("ticker").sortWithinPartitions("ticker", "date")
 
 
 def _entries(landed: DataFrame, path: str) -> DataFrame:
@@ -149,8 +155,9 @@ def news(landed: DataFrame) -> DataFrame:
 
 
 def symbols(landed: DataFrame) -> DataFrame:
-    """Common stocks as code.US; a list without any is an error."""
-    rows = elements(landed, F.col("body")).filter(text("Type") == "Common Stock").select(F.concat(text("Code"), F.lit(".US")).alias("ticker"), F.coalesce(text("Name"), text("Code")).alias("name"))
+    """Common stocks as code.US, one row a code, the last of repeated ones; a row without code is left out, a list without any is an error."""
+    stocks = elements(landed, F.col("body")).filter((text("Type") == "Common Stock") & text("Code").isNotNull())
+    rows = stocks.select(F.concat(text("Code"), F.lit(".US")).alias("ticker"), F.coalesce(text("Name"), text("Code")).alias("name"), "pos").groupBy("ticker").agg(F.max_by("name", "pos").alias("name"))
     if rows.isEmpty():
         raise ValueError("the symbol list has no common stock")
     return rows
@@ -162,9 +169,11 @@ def sector(landed: DataFrame) -> DataFrame:
 
 
 def exchange_sessions(landed: DataFrame, first: str, last: str) -> DataFrame:
-    """Working weekdays of a range that are no holidays."""
+    """Working weekdays of a range that are no holidays; a payload without working days is an error."""
     days = landed.sparkSession.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS date")
-    working = landed.select(F.explode(F.split(F.get_json_object("body", "$.TradingHours.WorkingDays"), ",")).alias("d")).select(F.trim("d").alias("d")).distinct()
+    named = F.array_compact(F.transform(F.split(F.get_json_object("body", "$.TradingHours.WorkingDays"), ","), lambda d: F.when(F.trim(d) != "", F.trim(d))))
+    checked = F.when(F.size(F.coalesce(named, F.array().cast("array<string>"))) > 0, named).otherwise(F.raise_error(F.lit("the calendar has no working days")).cast("array<string>"))
+    working = landed.select(F.explode(checked).alias("d")).distinct()
     holidays = _entries(landed, "$.ExchangeHolidays").select(day("Date").alias("date"))
     return days.withColumn("d", F.date_format("date", "E")).join(F.broadcast(working), "d", "left_semi").select("date").join(F.broadcast(holidays), "date", "left_anti")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitframe import queries
 from pitframe.functions.series import jaccard, slot_quota, token_estimate
-from pitframe.operators import asof, filings, flow, measure, news, percentile, screens, universe
+from pitframe.operators import asof, filings, flow, measure, news, percentile, screens, selection, universe, valuation
 from pitframe.operators.technical import wilder_arrays
 from pitframe.plans import upsert as writes
 from pitframe.sources import flatten
@@ -142,10 +142,18 @@ def _landed(spark, body, ticker="AAA.US", day=D(2020, 1, 2)):
 
 def test_flatten_prices(spark):
     bar = {"code": "AAA", "exchange_short_name": "US", "date": "2020-01-02", "open": 1.5, "high": 2, "low": "1", "close": 1.75, "adjusted_close": 1.75, "volume": 10.9}
-    r = flatten.bulk_prices(_landed(spark, [bar, 7, "text", None])).collect()
+    r = flatten.bulk_prices(_landed(spark, [bar])).collect()
     assert [(x.ticker, float(x.open), x.low, x.volume) for x in r] == [("AAA.US", 1.5, None, 10)]
     with pytest.raises(Exception, match="bad bar"):
         flatten.bulk_prices(_landed(spark, [{**bar, "date": "2020-01-03"}])).collect()
+    for wrong in (7, "text", None, {**bar, "code": None}):
+        with pytest.raises(Exception, match="bad bar"):
+            flatten.bulk_prices(_landed(spark, [bar, wrong])).collect()
+    for body in ({"a": 1}, "x", None):
+        with pytest.raises(Exception, match="no array"):
+            flatten.bulk_prices(_landed(spark, body)).collect()
+    series = flatten.price_series(_landed(spark, [{**bar, "date": "2020-01-03"}, 7, None, bar])).collect()
+    assert [x.date for x in series] == [D(2020, 1, 2), D(2020, 1, 3)]
 
 
 def test_flatten_fundamentals(spark):
@@ -176,9 +184,131 @@ def test_flatten_others(spark):
     two = flatten.ticker_actions(_landed(spark, [{"date": "2020-02-01"}], "A.US"), "dividend_ex")
     assert [r.announced_date for r in flatten.merge_events(one, two).collect()] == [D(2020, 1, 20)]
     assert flatten.symbols(_landed(spark, [{"Code": "A", "Type": "Common Stock"}, {"Code": "F", "Type": "Fund", "Name": "f"}])).collect()[0].ticker == "A.US"
+    twice = [{"Code": "A", "Type": "Common Stock", "Name": "old"}, {"Type": "Common Stock", "Name": "no code"}, {"Code": "A", "Type": "Common Stock", "Name": "new"}]
+    assert [tuple(x) for x in flatten.symbols(_landed(spark, twice)).collect()] == [("A.US", "new")]
     with pytest.raises(ValueError):
         flatten.symbols(_landed(spark, []))
+    for hours in ({}, {"WorkingDays": " , "}):
+        with pytest.raises(Exception, match="no working days"):
+            flatten.exchange_sessions(_landed(spark, {"TradingHours": hours}), "2019-12-30", "2020-01-05").collect()
     calendar = _landed(spark, {"TradingHours": {"WorkingDays": "Mon,Tue,Wed,Thu,Fri"}, "ExchangeHolidays": {"0": {"Date": "2020-01-01"}}})
     days = flatten.exchange_sessions(calendar, "2019-12-30", "2020-01-05")
     assert sorted(r.date.day for r in days.collect()) == [2, 3, 30, 31]
     assert flatten.most_recent_session(days, "2020-01-05").first()[0] == D(2020, 1, 3)
+
+
+def test_gates_reasons_and_state(spark):
+    """All five reasons in their fixed order; a date without bars halts everybody; the state belongs to the date."""
+    days = [D(2020, 1, d) for d in (2, 3, 6, 7)]
+    members = spark.createDataFrame([(d, t) for d in days for t in ("A", "B")], "date date, ticker string")
+    bars = [("A", D(2020, 1, 2), 10.0, 10.0, 5), ("A", D(2020, 1, 3), 12.0, 12.0, 0), ("B", D(2020, 1, 2), 10.0, 10.0, 5), ("B", D(2020, 1, 3), 10.0, 10.0, 5), ("A", D(2020, 1, 7), 12.0, 12.0, 9), ("B", D(2020, 1, 7), 10.0, 10.0, None)]
+    prices = spark.createDataFrame(bars, "ticker string, date date, open double, close double, volume long")
+    calendar = spark.createDataFrame([("A", "earnings", D(2020, 1, 5)), ("B", "split", D(2020, 1, 3))], "ticker string, event_type string, event_date date")
+    positions = spark.createDataFrame([("A", D(2020, 1, 3), None), ("B", D(2020, 1, 3), D(2020, 1, 6))], "ticker string, opened date, closed date")
+    outcomes = spark.createDataFrame([("A", D(2020, 1, 1))], "ticker string, exit_date date")
+    got = {(r.date.day, r.ticker): (r.reasons, r.passed, r.state) for r in selection.gates(members, prices, calendar, positions, outcomes, cooldown=4).collect()}
+    assert got[3, "A"] == (["earnings_blackout", "gap", "halt", "already_held", "cooldown"], False, "passed")
+    assert got[3, "B"] == (["already_held"], False, "passed")
+    assert got[2, "B"] == ([], True, "passed_partial")  # nothing is held on that date: that reason could not fire
+    assert got[6, "B"] == (["halt"], False, "passed_partial") and "halt" in got[6, "A"][0]
+    assert got[7, "A"] == (["earnings_blackout", "already_held"], False, "passed_partial") and got[7, "B"][0] == ["halt"]
+    none = positions.limit(0)
+    assert {r.state for r in selection.gates(members, prices, calendar, none, outcomes).collect()} == {"passed_partial"}
+
+
+def test_digest_outcomes(spark):
+    rows = [(False, None), (None, "x"), (True, None), (True, "NO MATERIAL NEWS"), (True, "no material news"), (True, "NO MATERIAL NEWS."), (True, "")]
+    out = news.outcome(spark.createDataFrame(rows, "digest_exists boolean, digest string")).collect()
+    assert [r.outcome for r in out] == ["no_row", "no_row", "no_articles", "no_material_news", "prose", "prose", "prose"]
+
+
+def test_token_cost_by_model(spark):
+    rates = spark.createDataFrame([('{"m": {"input": 2.0, "output": 8.0}}',)], "value string")
+    usage = spark.createDataFrame([("m", "input", 500_000), ("m", "output", None)], "model string, kind string, tokens long")
+    assert sorted(r.cost for r in news.token_cost(usage, rates).collect()) == [0.0, 1.0]
+    for row in (("x", "input", 1), ("m", "cache", 1)):
+        with pytest.raises(Exception, match="no rate for"):
+            news.token_cost(spark.createDataFrame([row], "model string, kind string, tokens long"), rates).collect()
+
+
+def test_range_members_by_brute_force(spark):
+    r = np.random.default_rng(6)
+    epochs = [D(2020, 1, 5), D(2020, 1, 12), D(2020, 1, 19)]
+    rows = [(f"T{k}", d, bool(r.random() < 0.6)) for k in range(12) for d in epochs if r.random() < 0.7]
+    s = spark.createDataFrame([(t, d, "x", "large", 1.0, a) for t, d, a in rows], "ticker string, date date, sector string, size_bucket string, market_cap double, is_active boolean")
+    days = [D(2020, 1, d) for d in range(1, 29)]
+    expected = set()
+    for d in days:
+        for t in {t for t, _, _ in rows}:
+            seen = [(e, a) for u, e, a in rows if u == t and e <= d]
+            if seen and max(seen)[1]:
+                expected.add((d, t))
+    got = asof.range_members(s, spark.createDataFrame([(d,) for d in days], "date date"))
+    assert {(x.date, x.ticker) for x in got.collect()} == expected
+
+
+def test_floors_by_brute_force(spark):
+    r = np.random.default_rng(7)
+    rows = [("S", D(2020, 1, 1) + dt.timedelta(int(d)), f"T{k}", None if r.random() < 0.1 else float(np.float32(r.choice([50.0, r.normal(50, 20)])))) for d in range(25) for k in range(int(r.integers(0, 9)))]
+    scored = spark.createDataFrame(rows, "screen_id string, date date, ticker string, score float")
+    dates = sorted({d for _, d, _, s in rows if s is not None})
+    for lookback, q in ((5, 0.98), (7, 0.5), (3, 0.0), (4, 1.0)):
+        got = {x.date: x.floor for x in screens.floors(scored, lookback, q).collect()}
+        assert sorted(got) == dates
+        for i, d in enumerate(dates):
+            if i + 1 < lookback:
+                assert got[d] is None
+            else:
+                own = [s for _, e, _, s in rows if s is not None and dates[i - lookback + 1] <= e <= d]
+                assert got[d] == pytest.approx(np.quantile(own, q))
+
+
+def test_percentile_registry_shares_one_pass(spark):
+    assert sum(len(m) for m in percentile.REGISTRY.values()) == 30
+    r = np.random.default_rng(8)
+    rows = [(D(2020, 1, 1), f"T{k}", ["large", "small", None][k % 3], ["x", "y", None][k % 4 % 3], float(r.integers(0, 6)), None if k % 5 == 0 else float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "date date, ticker string, size_bucket string, sector string, a double, b double")
+    got = {(x.ticker, x.metric): (x.pctile, x.scope) for x in percentile.long_percentiles(df, ["a", "b"], 6).collect()}
+    for _, t, size, sector, *values in rows:
+        for m, name in enumerate("ab"):
+            if values[m] is None:
+                assert (t, name) not in got
+                continue
+            cell = [x[4 + m] for x in rows if x[2] == size and x[3] == sector and x[4 + m] is not None]
+            bucket = [x[4 + m] for x in rows if x[2] == size and x[4 + m] is not None]
+            scope = None if size is None else "cell" if sector is not None and len(cell) >= 6 else "bucket" if len(bucket) >= 6 else "none"
+            of = {"cell": cell, "bucket": bucket}.get(scope)
+            assert got[t, name] == (pytest.approx(100 * sum(v < values[m] for v in of) / (len(of) - 1)) if of else None, scope)
+
+
+def test_own_history_by_brute_force(spark):
+    r = np.random.default_rng(9)
+    start, rows = D(2013, 1, 1), []
+    for k in range(2):
+        d = start
+        while d < D(2019, 12, 31):
+            d += dt.timedelta(int(r.integers(1, 25)))
+            rows.append((f"T{k}", d, round(float(r.uniform(50, 150)), 2)))
+    prices = spark.createDataFrame(rows, "ticker string, date date, close double")
+    basics = spark.createDataFrame([(f"T{k}", D(2012, 1, 1), 10.0, 1.0, 0.0, 0.0, 0.0) for k in range(2)], "ticker string, at date, ttm_ebit double, shares double, net_debt double, ttm_cash double, ttm_capex double")
+    got = {(x.ticker, x.date): x.ev_ebit_vs_own_5y for x in valuation.own_history(prices, basics, prices.select("ticker", "date"), 6).collect()}
+    ends = {}
+    for t, d, c in rows:
+        ends[t, d.year, d.month] = max(ends.get((t, d.year, d.month), (d, c)), (d, c))
+    for t, d, c in rows:
+        edge = dt.date(d.year - 5, d.month, 28 if (d.month, d.day) == (2, 29) else d.day)
+        own = [x / 10 for (u, _, _), (e, x) in ends.items() if u == t and edge <= e < d]
+        assert got[t, d] == (pytest.approx(c / 10 / np.median(own)) if len(own) >= 6 else None)
+
+
+def test_halt_on_fault(spark):
+    floor = spark.createDataFrame([("S1", D(2020, 1, 1), 1.0), ("S2", D(2020, 1, 2), 1.0), ("S1", D(2020, 1, 3), None)], "screen_id string, date date, floor double")
+    states = spark.createDataFrame([("S1", "live"), ("S2", "shadow")], "screen_id string, state string")
+    ranked = spark.createDataFrame([("S2", D(2020, 1, 1))], "screen_id string, date date")
+    assert [r.date for r in screens.unranked_dates(floor, ranked, states).collect()] == [D(2020, 1, 1)]
+    with pytest.raises(ValueError, match="2020-01-01"):
+        screens.halt_on_fault(floor, ranked, states)
+    screens.halt_on_fault(floor, ranked.unionByName(spark.createDataFrame([("S1", D(2020, 1, 1))], "screen_id string, date date")), states)
+    with pytest.raises(ValueError, match="stands already"):
+        selection.refuse_standing(ranked, "2020-01-01", "2020-01-31")
+    selection.refuse_standing(ranked, "2021-01-01", "2021-01-31")
