@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitframe import queries
 from pitframe.functions.series import jaccard, slot_quota, token_estimate
-from pitframe.operators import asof, filings, flow, measure, news, percentile, screens, selection, universe, valuation
+from pitframe.operators import asof, filings, flow, measure, news, percentile, screens, selection, technical, universe, valuation
 from pitframe.operators.technical import wilder_arrays
 from pitframe.plans import upsert as writes
 from pitframe.sources import flatten
@@ -312,3 +312,22 @@ def test_halt_on_fault(spark):
     with pytest.raises(ValueError, match="stands already"):
         selection.refuse_standing(ranked, "2020-01-01", "2020-01-31")
     selection.refuse_standing(ranked, "2021-01-01", "2021-01-31")
+
+
+def test_range_equals_one_night(spark):
+    """What a range gives for a date is what one night gives that knows nothing later."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    day = "1999-09-20"
+    known = lambda df: df.filter(F.col("date") <= F.lit(day).cast("date"))
+    prices = known(t.prices())
+    members = asof.range_members(known(t.security_daily()), asof.sessions(prices, day, day))
+    names = [*queries.METRICS, "base_breakout_flag"]
+    night = technical.carry_forward(members, technical.indicators(prices, known(t.benchmark_daily())), names)
+    night = screens.scores(percentile.percentiles(night, queries.METRICS, queries.FLOOR), [queries.S1, queries.S2])
+    whole = queries._scored(t)
+    same = whole.filter(F.col("date") == F.lit(day).cast("date"))
+    assert night.count() == same.count() > 0
+    assert night.exceptAll(same).count() == same.exceptAll(night).count() == 0
+    floor = screens.floors(known(whole), 20, 0.7).filter(F.col("date") == F.lit(day).cast("date"))
+    later = screens.floors(whole, 20, 0.7).filter(F.col("date") == F.lit(day).cast("date"))
+    assert sorted(map(tuple, floor.collect())) == sorted(map(tuple, later.collect()))
