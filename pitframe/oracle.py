@@ -137,7 +137,7 @@ BODIES = {
     "config_versions": "SELECT date, CASE WHEN count(*) FILTER (since <= date) > 0 THEN 1 + count(*) FILTER (since <= date AND version > 1) END AS config_version FROM days, config GROUP BY date",
     "liquid_pool": "SELECT ticker FROM liquid WHERE last_close >= 101 AND median_dollar_volume >= 2500 AND bars >= 200 AND ticker IN (SELECT ticker FROM listed)",
     "identity_rollup": "SELECT ticker, min(f) AS first_seen, max(l) AS last_seen, max(name) AS name FROM (" + " UNION ALL ".join(f"SELECT ticker, f, l, '{d[:7]} ' || ticker AS name FROM (SELECT ticker, arg_max(close, date)::DOUBLE AS c, quantile_cont(close::DOUBLE * volume, 0.5) FILTER (rn <= 20) AS m, min(date) AS f, max(date) AS l, count(*) AS bars FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_daily WHERE date <= DATE '{d}') GROUP BY ticker) WHERE c >= 101 AND m >= 2000 AND bars >= 150" for d in ("1999-03-15", "1999-09-15")) + ") GROUP BY ticker",
-    "flow_by_ticker": "SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(insider_net_90d_usd, 4) AS insider_net_90d_usd, distinct_buyer_count, round(inst_ownership_change, 4) AS inst_ownership_change FROM insider_days a FULL JOIN owner_days b ON a.date = b.date AND a.ticker = b.ticker",
+    "flow_by_ticker": "SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(insider_net_90d_usd, 8) AS insider_net_90d_usd, distinct_buyer_count, round(inst_ownership_change, 8) AS inst_ownership_change FROM insider_days a FULL JOIN owner_days b ON a.date = b.date AND a.ticker = b.ticker",
     "eligible_scores": "SELECT ticker, date, articles_7d, CASE WHEN d % 11 <> 0 AND d * 3 >= 20 AND d * 2 <= 50 AND (d % 5 > 2 OR (d % 3 <> 0 AND d % 4 > 2)) AND (coalesce(articles_7d, 0) < 2 OR (z < 1 AND delta >= -0.05)) THEN d::DOUBLE END AS score FROM derived",
     "screen_faults": "SELECT DISTINCT f.date FROM floor_70 f WHERE f.screen_id = 'S1' AND floor IS NOT NULL AND f.date NOT IN (SELECT date FROM screened WHERE screen_id = 'S1' AND day(date) <> 13)",
     "candidate_rows": "SELECT a.date, a.ticker, state AS gate_state FROM attributed a LEFT JOIN gate g ON g.date = a.date AND g.ticker = a.ticker WHERE is_candidate",
@@ -150,7 +150,7 @@ BODIES = {
     "record_membership": "SELECT p.ticker, p.date, s.date AS since, sector, size_bucket, round(market_cap, 2) AS market_cap, is_active FROM pairs p ASOF LEFT JOIN security_daily s ON p.ticker = s.ticker AND p.date >= s.date",
     "record_recent_bars": 'SELECT ticker, "on", date, rn, rn = 1 AS newest, volume FROM (SELECT p.ticker, p.date AS "on", b.date, volume, row_number() OVER (PARTITION BY p.ticker, p.date ORDER BY b.date DESC) AS rn FROM pairs p JOIN price_daily b ON p.ticker = b.ticker AND b.date <= p.date) WHERE rn <= 5',
     "record_filings": 'SELECT ticker, "on", period_end, rn, rn = 1 AS newest FROM (SELECT p.ticker, p.date AS "on", period_end, row_number() OVER (PARTITION BY p.ticker, p.date ORDER BY period_end DESC) AS rn FROM pairs p JOIN snapshot b ON p.ticker = b.ticker AND filing_date_effective <= p.date) WHERE rn <= 4',
-    "record_metrics": "SELECT p.ticker, p.date, metric, round(value, 4) AS value, round(pctile, 4) AS pctile, ranked_in, CASE WHEN sector IS NOT NULL THEN cn END AS cell_members, bn AS bucket_members FROM pairs p JOIN (SELECT date, ticker, sector, 'dist_200dma' AS metric, dist_200dma AS value, dist_200dma_pctile AS pctile, dist_200dma_scope AS ranked_in, dist_200dma_cn AS cn, dist_200dma_bn AS bn FROM ranked UNION ALL SELECT date, ticker, sector, 'median_dollar_volume_20d', median_dollar_volume_20d, median_dollar_volume_20d_pctile, median_dollar_volume_20d_scope, median_dollar_volume_20d_cn, median_dollar_volume_20d_bn FROM ranked) r ON p.date = r.date AND p.ticker = r.ticker",
+    "record_metrics": "SELECT p.ticker, p.date, metric, round(value, 7) AS value, round(pctile, 7) AS pctile, ranked_in, CASE WHEN sector IS NOT NULL THEN cn END AS cell_members, bn AS bucket_members FROM pairs p JOIN (SELECT date, ticker, sector, 'dist_200dma' AS metric, dist_200dma AS value, dist_200dma_pctile AS pctile, dist_200dma_scope AS ranked_in, dist_200dma_cn AS cn, dist_200dma_bn AS bn FROM ranked UNION ALL SELECT date, ticker, sector, 'median_dollar_volume_20d', median_dollar_volume_20d, median_dollar_volume_20d_pctile, median_dollar_volume_20d_scope, median_dollar_volume_20d_cn, median_dollar_volume_20d_bn FROM ranked) r ON p.date = r.date AND p.ticker = r.ticker",
     "price_daily": "SELECT * FROM price_daily",
     "universe_asof": "SELECT s.* FROM (SELECT s.ticker, s.date, s.sector, s.size_bucket, round(s.market_cap, 2) AS market_cap, s.is_active FROM universe) s",
     "members_asof": "SELECT s.* FROM (SELECT s.ticker, s.date, s.sector, s.size_bucket, round(s.market_cap, 2) AS market_cap, s.is_active FROM universe) s WHERE is_active",

@@ -198,7 +198,7 @@ QUERIES = {
     "config_versions": lambda t: asof.config_versions_on(config_rows(t.spark), _sessions(t)),
     "liquid_pool": lambda t: universe.liquid_pool(t.price_daily(), _listed(t), DAY, min_price=101, min_volume=2500, history=200),
     "identity_rollup": lambda t: universe.identity(_evaluations(t)),
-    "flow_by_ticker": lambda t: _round(flow.flow(t.insider_transaction(), t.institutional_holding(), _event_days(t).unionByName(_sundays(t))), 4),
+    "flow_by_ticker": lambda t: _round(flow.flow(t.insider_transaction(), t.institutional_holding(), _event_days(t).unionByName(_sundays(t))), 8),
     "percentile_registry": lambda t: _round(percentile.long_percentiles(_registry(t), [m for of in percentile.REGISTRY.values() for m in of], FLOOR).groupBy("date", "metric", "scope").agg(F.count("*").alias("n"), F.avg("pctile").alias("mean_pctile"))),
     "eligible_scores": lambda t: _round(_eligible(t)),
     "screen_faults": lambda t: screens.unranked_dates(screens.floors(_scored(t), LOOKBACK, 0.7), _screened(t).filter("dayofmonth(date) <> 13"), _states(t).groupBy("screen_id").agg(F.max_by("state", "date").alias("state"))),
@@ -213,7 +213,7 @@ QUERIES = {
     "record_membership": lambda t: _round(record.membership(_pairs(t), t.security_daily()), 2),
     "record_recent_bars": lambda t: record.recent(_pairs(t), t.price_daily(), 5).select("ticker", "on", "date", F.col("rn").cast("long"), "newest", "volume"),
     "record_filings": lambda t: record.recent(_pairs(t), t.fundamental_snapshot(), 4, "filing_date_effective", "period_end").select("ticker", "on", "period_end", F.col("rn").cast("long"), "newest"),
-    "record_metrics": lambda t: _round(record.metrics(_pairs(t), _ranked(t), METRICS[:2], percentile.cell_ledger(_features(t), METRICS[:2], FLOOR)), 4),
+    "record_metrics": lambda t: _round(record.metrics(_pairs(t), _ranked(t), METRICS[:2], percentile.cell_ledger(_features(t), METRICS[:2], FLOOR)), 7),
     "price_daily": lambda t: t.price_daily(),
     "universe_asof": lambda t: _round(asof.universe_as_of(t.security_daily(), DAY), 2),
     "members_asof": lambda t: _round(asof.members_as_of(t.security_daily(), DAY), 2),
