@@ -7,8 +7,10 @@
    repeated throughout, and the distinct strings of a minimiser meet in one bucket, where sorting finds equal windows.
 4. The verdicts go back to the places of each string, and from there to their contents and rows.
 
-A minimiser in more than ``hot`` contents is not a bucket: its windows are counted one by one by a 128-bit digest, which
-splits it over all tasks. Every step is a join or an aggregate that combines before the shuffle; nothing is dropped.
+A minimiser whose runs hold more than ``heavy`` bytes, each content counted once, is no bucket for one task: its windows go to
+all tasks, each by a 128-bit digest of itself, and are counted there. The sides of the joins on minimisers, strings and
+contents are plain shuffles, so that adaptive execution splits the partition of a frequent key. Long texts are read in
+blocks of ``BLOCK`` symbols. Every step is a join or an aggregate that combines before the shuffle; nothing is dropped.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Contents above which a minimiser's windows are counted one by one.
-HOT = 20_000
+#: Bytes of a minimiser's runs above which its windows are counted one by one, over all tasks.
+HEAVY = 8 << 20
+#: Symbols of a text that are looked at together.
+BLOCK = 1 << 17
 #: Bytes of distinct strings that are sorted together.
 CHUNK = 256_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -70,17 +74,21 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(symbols: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of each run of windows that share a minimiser at one place."""
-    n = len(symbols)
-    if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.arange(n - gram + 1)
-    grams = span_hashes(symbols, starts, starts + gram)
-    # the upper half of the hash, then the place: the first of the least grams, alike in equal windows wherever they stand
-    least = window_minima(grams & np.uint64(0xFFFFFFFF00000000) | starts.astype(np.uint64), window - gram + 1)
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    place = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return grams[place].view(np.int64), first, np.diff(np.append(first, len(least)))
+    """Minimiser, first window and number of windows of each run of windows that share a minimiser at one place.
+
+    Runs end where blocks of ``BLOCK`` windows end; that cuts a string in two and changes no verdict.
+    """
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, len(symbols) - window + 1, BLOCK):
+        part = symbols[at : at + BLOCK + window - 1]
+        starts = np.arange(len(part) - gram + 1)
+        grams = span_hashes(part, starts, starts + gram)
+        # the upper half of the hash, then the place: the first of the least grams, alike in equal windows wherever they stand
+        least = window_minima(grams & np.uint64(0xFFFFFFFF00000000) | starts.astype(np.uint64), window - gram + 1)
+        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        place = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        parts.append((grams[place].view(np.int64), first + at, np.diff(np.append(first, len(least)))))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
 @dataclass(frozen=True)
@@ -89,7 +97,8 @@ class Units:
 
     window: int
     gram: int
-    symbols: Callable[[bytes], np.ndarray]
+    #: content -> symbols, and where each begins and ends in bytes (None: one byte each)
+    symbols: Callable[[bytes], tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]
     #: content, [(first window, windows)] -> packed strings
     pack: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
     #: packed strings -> for each its repeated windows, as sorted offsets
@@ -122,7 +131,12 @@ def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + window).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, the columns in ``carry``, then ``units.columns``) of every row of ``docs``, a null text being empty."""
     common.session(docs)
     # never null, so that no use of the contents gets a filter of its own and one shuffle of the texts serves all
@@ -133,39 +147,55 @@ def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", tex
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, parts = [], []
-            for k, text in enumerate(batch.column("content").to_pylist()):
-                found = runs(units.symbols(text), units.window, units.gram)
-                which.append(np.full(len(found[0]), k))
-                parts.append(found)
-            h, first, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-            where = np.concatenate(which) if which else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(h), batch.column("digest").take(pa.array(where)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "digest", "first", "n"])
-
-    found = contents.mapInArrow(find, "h long, digest binary, first int, n int")
-    twice = found.groupBy("h").agg(F.count("*").alias("seen")).filter("seen > 1")
-    candidates = found.join(twice, "h").select("digest", F.struct("first", "n", "h", (F.col("seen") > hot).alias("hot")).alias("run"))
+            parts, rows = [], 0
+            for k, text in enumerate(batch.column("content")):
+                symbols, begin, end = units.symbols(text.as_py())
+                h, first, n = runs(symbols, units.window, units.gram)
+                size = n + (units.window - 1) if begin is None else end[first + n + units.window - 2] - begin[first]
+                parts.append((h, np.full(len(h), k), first, n, size))
+                rows += len(h)
+                if rows > 100_000 or k + 1 == len(batch):
+                    h, which, *rest = (np.concatenate([p[i] for p in parts]) for i in range(5))
+                    yield pa.record_batch([pa.array(h), batch.column("digest").take(pa.array(which)), *(pa.array(x.astype(np.int32)) for x in rest)], ["h", "digest", "first", "n", "size"])
+                    parts, rows = [], 0
+
+    parts = common.partitions(docs.sparkSession)
+    found = contents.mapInArrow(find, "h long, digest binary, first int, n int, size int")
+    twice = found.groupBy("h").agg(F.count("*").alias("seen"), F.sum("size").alias("bytes")).filter("seen > 1").select("h", (F.col("bytes") > heavy).alias("hot"))
+    candidates = found.drop("size").join(twice.repartition(parts, "h"), "h").select("digest", F.struct("first", "n", "h", "hot").alias("run"))
     candidates = candidates.groupBy("digest").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "sid", "string", "windows", "digest", "first"]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
-            for key, text, own in zip(*(batch.column(c).to_pylist() for c in ("digest", "content", "runs")), strict=True):
-                warm = [r for r in own if not r["hot"]]
-                for r, s in zip(warm, units.pack(text, [(r["first"], r["n"]) for r in warm]), strict=True):
-                    out.append((r["h"], digest(s), s, r["n"], key, r["first"]))
-                    if len(out) >= 20_000:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _types, strict=True)], names)
-                        out = []
-                single = [(f, 1) for r in own if r["hot"] for f in range(r["first"], r["first"] + r["n"])]
-                for at in range(0, len(single), 4096):
-                    part = single[at : at + 4096]
-                    out += [(None, digest(s), None, 1, key, f) for (f, _), s in zip(part, units.pack(text, part), strict=True)]
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _types, strict=True)], names)
-
-    _types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+            own = batch.column("runs")
+            ends = own.offsets.to_numpy() - own.offsets[0].as_py()
+            flat = own.flatten()
+            first, n, h, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n", "h", "hot"))
+            for k, (key, text) in enumerate(zip(batch.column("digest"), batch.column("content"), strict=True)):
+                key, text, at = key.as_py(), text.as_py(), slice(ends[k], ends[k + 1])
+                warm = ~hot[at]
+                fs, ns = first[at][warm].tolist(), n[at][warm].tolist()
+                for s, x, f, m in zip(units.pack(text, list(zip(fs, ns, strict=True))), h[at][warm].tolist(), fs, ns, strict=True):
+                    out.append((x, digest(s), s, m, key, f))
+                    size += 200 + len(s)
+                    if size > 8 << 20:
+                        yield _batch(out, types, names)
+                        out, size = [], 0
+                if hot[at].any():
+                    single = [(f, 1) for a, m in zip(first[at][~warm].tolist(), n[at][~warm].tolist(), strict=True) for f in range(a, a + m)]
+                    for s, (f, _) in zip(units.pack(text, single), single, strict=True):
+                        out.append((None, digest(s), None, 1, key, f))
+                        size += 200
+                        if size > 8 << 20:
+                            yield _batch(out, types, names)
+                            out, size = [], 0
+        if out:
+            yield _batch(out, types, names)
+
     strings = contents.join(candidates, "digest").mapInArrow(pack, "h long, sid binary, string binary, windows int, digest binary, first int")
     distinct = strings.filter("string is not null").groupBy("h", "sid").agg(F.first("string").alias("string"), F.first("windows").alias("windows"), F.count("*").alias("seen"))
 
@@ -175,8 +205,7 @@ def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", tex
 
         def judge() -> pa.RecordBatch:
             out = [(sid, *zip(*covered(at, units.window), strict=True)) if len(at) else None for (_, sid, _, seen), at in zip(held, units.repeated([x[2] for x in held]), strict=True) if seen == 1]
-            out = [x for x in out if x]
-            return pa.record_batch([pa.array([x[0] for x in out], pa.binary()), pa.array([list(x[1]) for x in out], pa.list_(pa.int32())), pa.array([list(x[2]) for x in out], pa.list_(pa.int32()))], ["sid", "a", "b"])
+            return _batch([x for x in out if x], [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())], ["sid", "a", "b"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "sid", "string", "seen")), strict=True):
@@ -188,8 +217,7 @@ def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", tex
         if held:
             yield judge()
 
-    n = common.partitions(docs.sparkSession)
-    bucketed = distinct.select("h", "sid", "string", "seen").repartition(n, "h").sortWithinPartitions("h")
+    bucketed = distinct.select("h", "sid", "string", "seen").repartition(parts, "h").sortWithinPartitions("h")
     partly = bucketed.mapInArrow(meet, "sid binary, a array<int>, b array<int>")
     wholly = distinct.filter("seen > 1").select("sid", F.array(F.lit(0)).alias("a"), F.array(F.col("windows") + (units.window - 1)).alias("b"))
     counted = strings.filter("string is null").groupBy("sid").agg(F.count("*").alias("seen")).filter("seen > 1").select("sid", F.array(F.lit(0)).alias("a"), F.array(F.lit(units.window)).alias("b"))
@@ -204,9 +232,10 @@ def remove_repeats(docs: DataFrame, units: Units, *, id_col: str = "doc_id", tex
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, copies, firsts, a, b in zip(*(batch.column(c).to_pylist() for c in ("content", "copies", "firsts", "a", "b")), strict=True):
-                gone = [(f + x, f + y) for f, xs, ys in zip(firsts or [], a or [], b or [], strict=True) for x, y in zip(xs, ys, strict=True)]
-                out.append(units.finish(text, merged(gone), copies))
+            for text, copies, firsts, a, b in zip(*(batch.column(c) for c in ("content", "copies", "firsts", "a", "b")), strict=True):
+                firsts, a, b = (x.as_py() or [] for x in (firsts, a, b))
+                gone = [(f + x, f + y) for f, xs, ys in zip(firsts, a, b, strict=True) for x, y in zip(xs, ys, strict=True)]
+                out.append(units.finish(text.as_py(), merged(gone), copies.as_py()))
             yield pa.record_batch([batch.column("digest"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], ["digest", *names])
 
     done = contents.join(removed, "digest", "left").mapInArrow(finish, f"digest binary, {units.columns}")

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 
 from .repeats import Units, remove_repeats, span_hashes
 
-#: Contents above which a minimiser's windows are counted one by one: its strings still fit a task in classes of hashes.
-HOT = 400_000
+#: Bytes of a minimiser's runs that one task compares; the windows of a heavier one are counted over all tasks.
+HEAVY = 256 << 20
 #: Bytes whose hashes are made at once, and bytes of one minimiser's strings beyond which classes of hashes take turns.
-BLOCK, LARGE = 4 << 20, 8 << 20
+BLOCK, LARGE = 1 << 20, 8 << 20
 
 
 def suffix_order(text: bytes, depth: int) -> np.ndarray:
@@ -171,9 +171,9 @@ def _finish(window: int):
 
 
 def units(window: int = 400, gram: int = 32) -> Units:
-    return Units(window, gram, lambda text: np.frombuffer(text, np.uint8), lambda text, runs: [text[a : a + n + window - 1] for a, n in runs], _repeated(window), _finish(window), "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return Units(window, gram, lambda text: (np.frombuffer(text, np.uint8), None, None), lambda text, runs: (text[a : a + n + window - 1] for a, n in runs), _repeated(window), _finish(window), "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeated_bytes(docs: DataFrame, *, window: int = 400, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, window: int = 400, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    return remove_repeats(docs, units(window, gram), id_col=id_col, text_col=text_col, hot=hot)
+    return remove_repeats(docs, units(window, gram), id_col=id_col, text_col=text_col, heavy=heavy)

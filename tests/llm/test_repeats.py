@@ -42,22 +42,45 @@ def fixture(seed, words):
     return out
 
 
-def compare(spark, texts, words, window, gram, hot):
+def compare(spark, texts, words, window, gram, heavy):
     df = spark.createDataFrame([(i, t, "clash", 7) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     run = remove_repeated_words if words else remove_repeated_bytes
-    got = run(df, window=window, gram=gram, hot=hot)
+    got = run(df, window=window, gram=gram, heavy=heavy)
     assert [tuple(r)[1:] for r in got.orderBy("doc_id").collect()] == brute(texts, window, words)
 
 
 @pytest.mark.parametrize("words,window,gram", [(True, 8, 2), (False, 20, 4)])
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_small(spark, words, window, gram, hot, monkeypatch):
+@pytest.mark.parametrize("heavy,block", [(1 << 20, 1 << 18), (60, 16)])
+def test_small(spark, words, window, gram, heavy, block, monkeypatch):
+    from pitframe.llm import substrings
+
     monkeypatch.setattr(repeats, "CHUNK", 500)
-    compare(spark, fixture(1, words), words, window, gram, hot)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    compare(spark, fixture(1, words), words, window, gram, heavy)
+
+
+def test_hot_contents_passages_and_strings(spark):
+    """One content, one passage and one string of windows in most rows."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(14))
+    texts = ["copy " * 3 + passage + " end"] * 60 + [f"{word()} {passage} {word()}" for _ in range(60)] + [f"{word()} {word()} {passage} {word()} {word()}" for _ in range(20)] + [None] * 30
+    for words, window, gram in ((True, 8, 2), (False, 40, 6)):
+        for heavy in (1 << 20, 200):
+            compare(spark, texts, words, window, gram, heavy)
+
+
+def test_words_longer_than_a_block(spark, monkeypatch):
+    from pitframe.llm import substrings
+
+    monkeypatch.setattr(substrings, "BLOCK", 10)
+    long = "a b c " + "x" * 50 + " d e f g h i"
+    compare(spark, [long, "q " + long + " z", "x" * 51 + " d e f g h i", long.replace("x", "y")], True, 4, 2, 1 << 20)
 
 
 def test_many_strings_of_one_minimiser(monkeypatch):
-    from pitframe.llm import suffixes
+    from pitframe.llm import substrings, suffixes
 
     r = random.Random(5)
     strings = ["".join(r.choices("ab", k=r.randint(5, 60))).encode() for _ in range(40)]
@@ -67,6 +90,10 @@ def test_many_strings_of_one_minimiser(monkeypatch):
         monkeypatch.setattr(suffixes, "BLOCK", block)
         monkeypatch.setattr(suffixes, "LARGE", large)
         assert [x.tolist() for x in suffixes._repeated(12)(strings)] == expected
+    words = [b" ".join(bytes([c]) for c in s) for s in strings]
+    assert [x.tolist() for x in substrings._repeated(12)(words)] == expected
+    monkeypatch.setattr(substrings, "span_hashes", lambda symbols, starts, ends: (starts * 0).astype("uint64"))  # all hashes collide
+    assert [x.tolist() for x in substrings._repeated(12)(words)] == expected
 
 
 def test_production_windows(spark):
