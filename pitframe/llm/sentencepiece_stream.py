@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Stretches and pairs of pieces that a worker remembers; beyond that the older half goes.
-REMEMBERED = 300_000
+#: Stretches and pairs of pieces that a worker remembers, beyond which the older half goes; stretches that run side by side.
+REMEMBERED, TOGETHER = 100_000, 4096
 _ONE = (1,)
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -194,8 +194,9 @@ class Codec:
                 long[x] = None
             else:
                 fresh.append(x)
-        if fresh:
-            self.words.update(zip(fresh, self.arrays.encode(fresh), strict=True))
+        for at in range(0, len(fresh), TOGETHER):
+            part = fresh[at : at + TOGETHER]
+            self.words.update(zip(part, self.arrays.encode(part), strict=True))
         if not long:
             return [list(chain.from_iterable(map(self.words.__getitem__, x))) for x in stretches]
         return [[i for x in own for i in (chain.from_iterable(self.stream(iter(x))) if x in long else self.words[x])] for own in stretches]
