@@ -9,7 +9,7 @@ left out, which again loses no pair and ends, as each level fixes about half of
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
 use their whole word sequence; repeated rows and ties fall together; an empty table gives an empty result; columns
-other than id and text are not carried. Rows with a null id take the component of their fingerprint, or null if only
+other than id and text are not carried. Ids are whole numbers. Rows with a null id take the component of their fingerprint, or null if only
 such rows have it.
 """
 

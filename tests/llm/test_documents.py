@@ -137,11 +137,14 @@ def test_kernel_tolerates_gaps():
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     scored = toxicity.score(docs.join(labels, "doc_id"), model).filter(toxicity.held_out()).collect()
     right = sum(r._predicted == r.toxic for r in scored)
-    assert right / len(scored) > 0.88
+    toxic = [r._predicted for r in scored if r.toxic == 1]
+    clean = [r._predicted for r in scored if r.toxic == 0]
+    assert sum(toxic) / len(toxic) > 0.83 and sum(clean) / len(clean) < 0.03  # calling everything clean, or toxic, fails
+    assert right / len(scored) > 0.96
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) + 1 and all(0 <= r._score <= 1 for r in odd)
     assert toxicity.score(frame(spark, []).limit(0), model).collect() == []
@@ -385,6 +388,32 @@ def test_pipeline(spark):
     assert sorted(map(tuple, whole)) == sorted((r.doc_id, r.n_pieces) for r in rows)
 
 
+def test_pipeline_defined_cases(spark):
+    """Null, empty and long texts, repeated rows, null ids, an empty table, and columns with clashing names."""
+    import corpus_pipeline
+
+    own = "doc_id long, text string, lang string, source string, n_chars long, _rows long, _score string, _matches string, kept_text string, piece_ids string, decoded long, digest string, h long"
+    texts = [None, "", " \n ", "a b", "lone words " * 9 + "end", "tale " * 30_000, "é漢 🙂 x", "lone words " * 9 + "end"]
+    rows = [(i, t, None, "s", 1, 2, "x", "y", "z", "p", 3, "d", 4) for i, t in enumerate(texts)]
+    rows += [rows[4], (4, "another text of that id", None, "s", 1, 2, "x", "y", "z", "p", 3, "d", 4), (None, "no id", None, None, None, 2, "x", "y", "z", "p", 3, "d", 4)]
+    docs = spark.createDataFrame(rows, own).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        none = stage(spark, docs.limit(0), SMALL)
+        if name != "sentencepiece":
+            assert out.columns == none.columns == docs.columns
+        got = out.collect()
+        assert none.collect() == [] and all(r._rows == 2 and r.kept_text == "z" and r.decoded == 3 and r.h == 4 for r in got)
+        if name in ("toxicity", "benchmark_decontamination", "sentencepiece"):
+            assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r[0]), str(r[1])) for r in rows)
+        if name == "simhash_near_dedup":
+            ids = [r.doc_id for r in got]
+            assert len(ids) == len(set(ids)) and {0, 3, 5, 6, None} <= set(ids) and not {1, 2, 7} & set(ids)
+        if name == "substring_dedup":
+            assert len(got) == len(rows) and {r.doc_id: r.text for r in got}[5] == "" and {r.doc_id: r.text for r in got}[None] == "no id"
+    assert got[0].piece_ids is not None and all(r.exact for r in got)
+
+
 def test_sha_of_kept_text_is_that_of_words():
     from pitframe.llm.substrings import kept_text
 
