@@ -2,6 +2,10 @@
 benchmark passages go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of ``documents``.
+
+Defined cases, for every stage: null and empty texts are texts without words (they are not toxic, near copies of each other, lose
+nothing, hold no item and have no ids); long texts are read whole; an empty table gives an empty table; further columns stay,
+whatever their names. Rows that repeat an id are kept by all stages but the second, for which they are one document.
 """
 
 from __future__ import annotations
@@ -15,44 +19,58 @@ from pitframe.llm.queries import tokenizer_path
 from pitframe.llm.substrings import remove_repeated_words
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("_predicted = 0").select(docs.columns)
+    score, predicted = _free(docs, "_score"), _free(docs, "_predicted")
+    return toxicity.score(docs, model, score_col=score, predicted_col=predicted).filter(F.col(predicted) == 0).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each SimHash component; of rows that repeat an id one stays, rows without id all stay."""
+    """The document of least id of each SimHash component; of rows that repeat that id the one with the least digest of its text.
+
+    Rows without id all stay: they have no document that could stand for them.
+    """
     found = simhash.near_duplicates(docs)
-    kept = common.cut(found.filter("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    rows = docs.join(kept, "doc_id")
-    once = rows.filter("_rows = 1").select(docs.columns)
-    if kept.filter("_rows > 1").isEmpty():
-        out = once
-    else:
-        out = once.unionByName(rows.filter("_rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.filter("doc_id is null"))
+    kept = common.cut(found.filter("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("n")))
+    out = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    if not kept.filter("n > 1").isEmpty():
+        again = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+        row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+        one = again.groupBy("doc_id").agg(F.min_by(row, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("row"))
+        out = out.unionByName(one.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
+    return out
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words under repeated windows; ``n_chars`` counts what is left."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = remove_repeated_words(docs, text=True, carry=others)
-    return out.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    out = remove_repeated_words(plain, text=True, carry=tuple(f"c{i}" for i in range(len(others))))
+    out = out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(others)))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
-    found = with_matches(docs, common.table(spark, sf_dir, "benchmark"), to="_matches")
-    return found.filter(F.size("_matches") == 0).select(docs.columns)
+    to = _free(docs, "_matches")
+    return with_matches(docs, common.table(spark, sf_dir, "benchmark"), to=to).filter(F.size(to) == 0).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces, and whether decoding gives the text back."""
+    """The documents with the ids of their pieces, and whether decoding gives the text back; columns of these names are replaced."""
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = sentencepiece_stream.encode(docs, model)
-    back = sentencepiece_stream.decode(coded, model)
-    return back.select(*docs.columns, "piece_ids", F.size("piece_ids").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    decoded = _free(docs, "decoded")
+    back = sentencepiece_stream.decode(sentencepiece_stream.encode(docs, model), model, text_col=decoded)
+    own = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "exact")]
+    return back.select(*own, "piece_ids", F.size("piece_ids").alias("n_pieces"), (F.col(decoded) == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
 STAGES = [
