@@ -36,7 +36,7 @@ from . import common
 
 MARK = "▁"
 #: Stretches and pairs of pieces that a worker remembers, beyond which the older half goes; stretches that run side by side.
-REMEMBERED, TOGETHER = 100_000, 4096
+REMEMBERED, TOGETHER = 60_000, 4096
 _ONE = (1,)
 _codecs: dict[tuple[str, str], Codec] = {}
 

@@ -133,7 +133,7 @@ class Model:
         while at < len(by_length):  # blocks of like length, of bounded size
             longest = len(words[by_length[at]]) * 5 // 4 + 8
             to = at
-            while to < len(by_length) and len(words[by_length[to]]) <= longest and (to - at) * longest < 1 << 18:
+            while to < len(by_length) and len(words[by_length[to]]) <= longest and (to - at) * longest < 1 << 16:
                 to += 1
             block = by_length[at:to]
             codes, norm = occurrences([words[i] for i in block])
@@ -262,9 +262,6 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     return Model(model.table, _logistic(seen[["a", "b", "c", "d"]].to_numpy(), seen["y"].to_numpy()))
 
 
-_known: dict[int, dict[str, float]] = {}
-
-
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, text_col: str = "text", score_col: str = "_score", predicted_col: str = "_predicted") -> DataFrame:
     """``docs`` with score and predicted added; other columns stay as they are, and those that have the names of the new ones are replaced."""
     spark = common.session(docs)
@@ -273,7 +270,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, text_col: st
     @F.arrow_udf("double")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        known = _known.setdefault(hash(model.table.tobytes()), {})
+        known: dict[str, float] = {}  # of this task only, so that later stages of the worker have the memory
         for t in texts:
             rows = np.array([_top(model, known, x.as_py()) for x in t], float).reshape(-1, 4)
             yield pa.array(model.score(rows))
