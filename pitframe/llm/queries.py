@@ -49,8 +49,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    cache = f"{common.shared_folder(spark).rstrip('/')}/token-counts"  # stays: a second run finds its counts there
-    return token_counts(docs, tokenizer_path("word_bpe_49k.json"), cache, limit=2048, by_word=True)
+    # a cache of this run, so that all distinct texts are encoded in it; the rows come from a second pass, which finds every count stored
+    cache = common.new_path(spark, "token-counts")
+    count = lambda: token_counts(docs, tokenizer_path("word_bpe_49k.json"), cache, limit=2048, by_word=True)
+    count()
+    return count()
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CACHE = "content_digest string, n_tokens long, tokenizer_digest string"
-#: Missing digests that are broadcast; more of them are joined by a shuffle.
-FEW = 200_000
+#: Missing digests that are broadcast, some 50 MB; more of them are joined by a shuffle of the missing texts.
+FEW = 500_000
 #: Distinct words that a worker remembers between texts; beyond that it forgets all and starts again.
 WORDS = 300_000
 
