@@ -50,3 +50,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(((letters_rate >> greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) << greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) >= lo AND ((letters_rate >> greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) << greatest(length(bin(letters_rate)) - 6, 0)::BIGINT) <= letters_rate_hi AND ((symbol_rate >> greatest(length(bin(symbol_rate)) - 6, 0)::BIGINT) << greatest(length(bin(symbol_rate)) - 6, 0)::BIGINT) <= symbol_rate_hi AND ((dup_line_rate >> greatest(length(bin(dup_line_rate)) - 6, 0)::BIGINT) << greatest(length(bin(dup_line_rate)) - 6, 0)::BIGINT) <= dup_line_rate_hi AND ((repeat_rate >> greatest(length(bin(repeat_rate)) - 6, 0)::BIGINT) << greatest(length(bin(repeat_rate)) - 6, 0)::BIGINT) <= repeat_rate_hi, FALSE) AS kept
 FROM t LEFT JOIN f ON t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source
 """
+
+LEXICAL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), c AS (
+  SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+), t AS (
+  SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, c GROUP BY term, n_docs
+), s AS (
+  SELECT item_id, rid, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN t USING (term), c GROUP BY item_id, rid, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""

@@ -9,6 +9,9 @@ from . import common, oracle, sentencepiece_stream, toxicity
 from .chat import prefix_tree, read_back
 from .decontaminate import contaminated
 from .html_text import extract
+from .importance import resample
+from .lexical import search
+from .neighbours import nearest
 from .quality import quality
 from .simhash import near_duplicates
 from .substrings import remove_repeated_words
@@ -73,9 +76,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(common.table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, min_words=20, seed=2024)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracle.QUALITY}
+    return {"op2_quality_rules": oracle.QUALITY, "op12_ranked_lexical_search": oracle.LEXICAL}
