@@ -179,13 +179,17 @@ def test_balls_lose_no_document(seed, m, width, leaf):
 
 
 def test_balls_prune():
-    """Far groups: only leaves near the item's own group are scored."""
+    """Groups within groups: only leaves of the group that the item asks for are scored."""
     r = np.random.default_rng(2)
-    cols = np.concatenate([np.sort(r.permutation(8)[:6]) + 8 * (i % 16) for i in range(1600)])
-    tree = lexical.BallTree(np.full(1600, 6), cols, r.integers(900, 1000, len(cols)), 128, 25)
-    by_col = np.zeros(128, np.int64)
-    by_col[[40, 41, 42]] = 7
-    assert tree.search(np.array([40, 41, 42]), np.full(3, 7), by_col, np.arange(1600), [], 10) <= 400
+    group = r.permutation(np.arange(1600) % 16)
+    # one coordinate for each group at each of four levels
+    cols = np.stack([(1 << level) - 1 + (group >> (4 - level)) for level in range(1, 5)], axis=1).ravel()
+    tree = lexical.BallTree(np.full(1600, 4), cols, np.tile([900, 700, 500, 300], 1600) + r.integers(0, 9, 6400), 31, 25)
+    weights, asked = np.zeros(31, np.int64), np.array([2, 5, 10, 20])
+    weights[asked] = 7
+    best: list = []
+    assert tree.search(asked, np.full(4, 7), weights, np.arange(1600), best, 10) <= 400
+    assert len(best) == 10 and all(group[-i] == 5 for _, i in best)
 
 
 # 13
