@@ -16,10 +16,9 @@ def bars_of_ticker():
 
 
 def adjusted(bars: DataFrame) -> DataFrame:
-    """Adjusted close, high, low and volume as doubles; null where the close is missing or not above zero."""
+    """Adjusted close, high, low and volume as doubles; a bar whose close is missing or not above zero has no factor, so only its adjusted close."""
     factor = F.when(F.col("close") > 0, F.col("adj_close").cast("double") / F.col("close").cast("double"))
-    good = F.when(F.col("close") > 0, F.col("adj_close").cast("double"))
-    return bars.select("ticker", "date", F.col("close").cast("double").alias("close"), F.col("volume"), good.alias("c"), (F.col("high").cast("double") * factor).alias("h"), (F.col("low").cast("double") * factor).alias("l"), F.try_divide(F.col("volume").cast("double"), factor).alias("v"), F.row_number().over(bars_of_ticker()).alias("bar"))
+    return bars.select("ticker", "date", F.col("close").cast("double").alias("close"), F.col("volume"), F.col("adj_close").cast("double").alias("c"), (F.col("high").cast("double") * factor).alias("h"), (F.col("low").cast("double") * factor).alias("l"), F.try_divide(F.col("volume").cast("double"), factor).alias("v"), F.row_number().over(bars_of_ticker()).alias("bar"))
 
 
 def median_dollar_volume(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -44,23 +43,6 @@ def indicators(bars: DataFrame, benchmark: DataFrame | None = None, base: int =
     return a
 
 
-def sector_composite(bars: DataFrame, membership: DataFrame, minimum: int = 5) -> DataFrame:
-    """(sector, date, composite, members): chained mean of members' daily returns, on dates with enough of them.
-
-    ``membership`` gives (ticker, date, sector) for the sessions that count.
-    """
-    r = adjusted(bars).select("ticker", "date", change(F.col("c"), bars_of_ticker(), 1).alias("r")).filter("r is not null")
-    daily = r.join(membership.select("ticker", "date", "sector").filter("sector is not null"), ["ticker", "date"]).groupBy("sector", "date").agg(F.avg("r").alias("mean_return"), F.count("r").alias("members")).filter(F.col("members") >= minimum)
-    by = W.partitionBy("sector").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    return daily.withColumn("composite", F.exp(F.sum(F.log1p("mean_return")).over(by)))
-
-
-def relative_to_sector(bars: DataFrame, membership: DataFrame, composite: DataFrame, n: int = 63) -> DataFrame:
-    """(ticker, date, rs_change_vs_sector): change of close over the sector's composite since ``n`` bars ago."""
-    rows = adjusted(bars).join(membership.select("ticker", "date", "sector"), ["ticker", "date"], "left").join(composite.select("sector", "date", "composite"), ["sector", "date"], "left")
-    return rows.select("ticker", "date", change(F.try_divide(F.col("c"), F.col("composite")), bars_of_ticker(), n).alias("rs_change_vs_sector"))
-
-
 def wilder(bars: DataFrame, warmup: int = 250, n: int = 14) -> DataFrame:
     """(ticker, date, atr_pct, adx14) for every bar.
 
@@ -118,4 +100,4 @@ def carry_forward(spine: DataFrame, per_bar: DataFrame, values: list[str]) -> Da
     return as_of_join(spine, per_bar, ["ticker"], values)
 
 
-__all__ = ["adjusted", "carry_forward", "indicators", "median_dollar_volume", "relative_to_sector", "sector_composite", "wilder", "wilder_arrays"]
+__all__ = ["adjusted", "carry_forward", "indicators", "median_dollar_volume", "wilder", "wilder_arrays"]

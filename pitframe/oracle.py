@@ -49,14 +49,23 @@ PARTS = {
     "spans": "SELECT *, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS until FROM security_daily",
     "members": "SELECT days.date, ticker, sector, size_bucket, market_cap FROM days JOIN spans ON spans.date <= days.date AND (until IS NULL OR days.date < until) WHERE is_active",
     "universe": f"SELECT arg_max(s, date) AS s FROM (SELECT date, ticker, {{'ticker': ticker, 'date': date, 'sector': sector, 'size_bucket': size_bucket, 'market_cap': market_cap, 'is_active': is_active}} AS s FROM security_daily WHERE date <= {DAY}) GROUP BY ticker",
-    "adj": "SELECT ticker, date, close::DOUBLE AS close, volume, CASE WHEN close > 0 THEN adj_close::DOUBLE END AS c, high::DOUBLE * (adj_close::DOUBLE / close::DOUBLE) AS h, low::DOUBLE * (adj_close::DOUBLE / close::DOUBLE) AS l, volume / (adj_close::DOUBLE / close::DOUBLE) AS v, row_number() OVER (PARTITION BY ticker ORDER BY date) AS bar FROM price_daily",
+    "adj": "SELECT ticker, date, close::DOUBLE AS close, volume, adj_close::DOUBLE AS c, high::DOUBLE * (adj_close::DOUBLE / close::DOUBLE) AS h, low::DOUBLE * (adj_close::DOUBLE / close::DOUBLE) AS l, volume / (adj_close::DOUBLE / close::DOUBLE) AS v, row_number() OVER (PARTITION BY ticker ORDER BY date) AS bar FROM price_daily",
     "ind1": f"SELECT a.*, b.adj_close AS b, c / nullif(b.adj_close, 0) AS ratio, {_full('avg', 'c', 20)} AS ma20, {_full('avg', 'c', 50)} AS ma50, {_full('avg', 'c', 200)} AS ma200, {_full('max', 'h', 252)} AS high252, {_full('avg', 'v', 50)} AS v50, {_full('max', 'h', 60, 'b', -1)} AS base_high, {_full('min', 'l', 60, 'b', -1)} AS base_low, quantile_cont(close * volume, 0.5) OVER (b ROWS 19 PRECEDING) AS median_dollar_volume_20d FROM adj a LEFT JOIN benchmark_daily b USING (date) WINDOW b AS (PARTITION BY ticker ORDER BY date)",
     "ind2": "SELECT *, (c - ma20) / ma20 AS dist_20dma, (c - ma200) / ma200 AS dist_200dma, (c - high252) / high252 AS dist_52w_high, v / v50 AS volume_vs_50d_avg, ma50 / ma200 AS ma_ratio, CASE WHEN base_low > 0 THEN base_high - base_low <= 0.25 * base_low AND c > base_high END AS base_breakout_flag FROM ind1",
     "ind": f"SELECT *, dist_52w_high - lag(dist_52w_high, 20) OVER b AS dist_52w_high_20d_change, CASE WHEN count(ma_ratio) OVER (b ROWS 19 PRECEDING) = 20 THEN regr_slope(ma_ratio, bar) OVER (b ROWS 19 PRECEDING) / avg(ma_ratio) OVER (b ROWS 19 PRECEDING) END AS ma50_200_slope, CASE WHEN count(ratio) OVER (b ROWS 19 PRECEDING) = 20 THEN regr_slope(ratio, bar) OVER (b ROWS 19 PRECEDING) / avg(ratio) OVER (b ROWS 19 PRECEDING) END AS rs_20d_slope, {_change('ratio', 21)} AS rs_change_21d, {_change('ratio', 63)} AS rs_change_63d FROM ind2 WINDOW b AS (PARTITION BY ticker ORDER BY date)",
     "features": "SELECT m.*, i.dist_200dma, i.median_dollar_volume_20d, i.dist_52w_high, i.ma50_200_slope, i.base_breakout_flag FROM members m ASOF LEFT JOIN ind i ON m.ticker = i.ticker AND m.date >= i.date",
-    "returns": f"SELECT ticker, date, {_change('c', 1)} AS r FROM adj WINDOW b AS (PARTITION BY ticker ORDER BY date)",
-    "sector_days": "SELECT sector, date, avg(r) AS mean_return, count(r) AS members FROM returns JOIN members USING (ticker, date) WHERE r IS NOT NULL AND sector IS NOT NULL GROUP BY ALL HAVING count(r) >= 2",
-    "composite": "SELECT *, exp(sum(ln(1 + mean_return)) OVER (PARTITION BY sector ORDER BY date)) AS composite FROM sector_days",
+    "epochs": "SELECT date AS epoch, lead(date) OVER (ORDER BY date) AS ends FROM (SELECT DISTINCT date FROM security_daily)",
+    "sectored": "SELECT ticker, date, sector FROM members WHERE sector IS NOT NULL",
+    "in_epoch": "SELECT epoch, ends, s.ticker, sector FROM epochs JOIN spans s ON s.date <= epoch AND (until IS NULL OR epoch < until) WHERE is_active AND sector IS NOT NULL",
+    "epoch_returns": "SELECT epoch, sector, p.date, adj_close::DOUBLE / lag(adj_close::DOUBLE) OVER (PARTITION BY epoch, p.ticker ORDER BY p.date) - 1 AS r FROM in_epoch e JOIN price_daily p ON p.ticker = e.ticker AND p.date >= epoch - 400 AND (ends IS NULL OR p.date < ends) WHERE adj_close > 0",
+    "sector_days": "SELECT epoch, sector, date, avg(r) AS mean_return, count(r) AS members FROM epoch_returns GROUP BY ALL HAVING count(r) >= 2",
+    "composite": "SELECT *, exp(sum(ln(1 + mean_return)) OVER (PARTITION BY epoch, sector ORDER BY date)) AS composite FROM sector_days",
+    "held_bars": "SELECT ticker, date, adj_close::DOUBLE AS c, lag(adj_close::DOUBLE, 63) OVER b AS c0, lag(date, 63) OVER b AS date0 FROM price_daily WINDOW b AS (PARTITION BY ticker ORDER BY date)",
+    "carried": "SELECT m.ticker, m.date, m.sector, b.date AS date1, c, c0, date0, epoch FROM sectored m ASOF LEFT JOIN held_bars b ON m.ticker = b.ticker AND m.date >= b.date JOIN epochs ON epoch <= m.date AND (ends IS NULL OR m.date < ends)",
+    "numbered_bars": "SELECT ticker, date, row_number() OVER b AS i, adj_close::DOUBLE / lag(adj_close::DOUBLE) OVER b - 1 AS r FROM price_daily WHERE adj_close > 0 WINDOW b AS (PARTITION BY ticker ORDER BY date)",
+    "on_day": "SELECT m.date AS day, m.ticker, m.sector, i FROM sectored m ASOF JOIN numbered_bars b ON m.ticker = b.ticker AND m.date >= b.date",
+    "day_means": "SELECT day, sector, b.date, avg(r) AS mean_return FROM on_day o JOIN numbered_bars b ON b.ticker = o.ticker AND b.i BETWEEN o.i - 62 AND o.i WHERE r IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
+    "day_universe": "SELECT day, sum(ln(1 + u)) AS level FROM (SELECT day, date, avg(mean_return) AS u FROM day_means GROUP BY ALL) GROUP BY day HAVING count(*) >= 63",
     "points": "SELECT p.ticker, p.at, f.* EXCLUDE (ticker), row_number() OVER (PARTITION BY p.ticker, p.at ORDER BY period_end DESC) AS rank, coalesce(reported_debt, total_debt - cash_eq - short_term_inv) AS net_debt, coalesce(gross_profit, total_revenue - cost_of_revenue) / total_revenue AS margin, total_assets - current_liabilities - goodwill - intangibles AS invested FROM (SELECT DISTINCT ticker, filing_date_effective AS at FROM snapshot WHERE filing_date_effective IS NOT NULL) p JOIN snapshot f ON f.ticker = p.ticker AND f.filing_date_effective <= p.at AND f.period_end > p.at - INTERVAL 84 MONTHS",
     "pivots": "SELECT ticker, at, " + ", ".join(f"CASE WHEN count({c}) FILTER (rank BETWEEN {s} AND {s + 3}) = 4 THEN sum({c}) FILTER (rank BETWEEN {s} AND {s + 3}) END AS {c}_t{s}" for c, s in (("ebit", 1), ("ebitda", 1), ("operating_cash", 1), ("capex", 1), ("net_income", 1), ("tax", 1), ("pretax", 1), ("ebit", 5), ("tax", 5), ("pretax", 5))) + ", " + ", ".join(f"max({c}) FILTER (rank = {r}) AS {c}_{r}" for c, r in (("net_debt", 1), ("shares", 1), ("shares", 5), ("invested", 1), ("invested", 5), ("margin", 1), ("margin", 5), ("total_assets", 1), ("total_assets", 5), ("cash_eq", 1), ("short_term_inv", 1), ("operating_cash", 1), ("investing_cash", 1), *(("total_revenue", r) for r in range(1, 9)))) + " FROM points GROUP BY ticker, at",
     "basics": "SELECT *, roic - roic_b AS roic_4q_change FROM (SELECT ticker, at, ebit_t1 AS ttm_ebit, operating_cash_t1 AS ttm_cash, capex_t1 AS ttm_capex, net_debt_1 AS net_debt, shares_1 AS shares, " + ", ".join(f"ebit_t{s} * (1 - CASE WHEN tax_t{s} / nullif(pretax_t{s}, 0) IS NULL THEN NULL ELSE least(greatest(tax_t{s} / nullif(pretax_t{s}, 0), 0), 0.5) END) / (CASE WHEN invested_{s} > 0 THEN invested_{s} END) AS {n}" for s, n in ((1, "roic"), (5, "roic_b"))) + ", margin_1 - margin_5 AS gross_margin_4q_change, net_debt_1 / (CASE WHEN ebitda_t1 > 0 THEN ebitda_t1 END) AS net_debt_ebitda, (net_income_t1 - operating_cash_t1) / ((total_assets_1 + total_assets_5) / 2) AS accruals, shares_1 / (CASE WHEN shares_5 > 0 THEN shares_5 END) - 1 AS share_count_change, (1.5 * (total_revenue_1 / total_revenue_5 - 1) + 0.5 * (total_revenue_2 / total_revenue_6 - 1) - 0.5 * (total_revenue_3 / total_revenue_7 - 1) - 1.5 * (total_revenue_4 / total_revenue_8 - 1)) / 5 AS revenue_growth_4q_trend, cash_eq_1 + coalesce(short_term_inv_1, 0) AS cash_on_hand, greatest(0, -(operating_cash_1 + investing_cash_1)) AS quarterly_burn_rate FROM pivots)",
@@ -105,7 +114,7 @@ PARTS |= {
     "flow_days": "SELECT date FROM event_days UNION SELECT date FROM sundays",
     "owner_days": "SELECT d.date, ticker, total / (CASE WHEN previous > 0 THEN previous END) - 1 AS inst_ownership_change FROM (SELECT *, lag(total) OVER w AS previous, lead(report_date) OVER w AS nxt FROM (SELECT ticker, report_date, sum(shares) AS total FROM holdings GROUP BY ALL HAVING count(*) = count(shares)) WINDOW w AS (PARTITION BY ticker ORDER BY report_date)) t JOIN flow_days d ON report_date <= d.date - 45 AND (nxt IS NULL OR nxt > d.date - 45)",
     "coverages": "SELECT 'prices' AS source, min(date) AS a, max(date) AS b FROM price_daily UNION ALL SELECT 'filings', min(filing_date_effective), max(filing_date_effective) FROM snapshot UNION ALL SELECT 'holdings', min(report_date), max(report_date) FROM holdings UNION ALL SELECT 'events', min(event_date), max(event_date) FROM calendar",
-    "strengths": "SELECT s.date, s.sector, round(sr / ur - 1, 6) AS strength FROM (SELECT sector, date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + mean_return)) OVER w) END AS sr FROM composite WINDOW w AS (PARTITION BY sector ORDER BY date ROWS 62 PRECEDING)) s JOIN (SELECT date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + u)) OVER w) END AS ur FROM (SELECT date, avg(mean_return) AS u FROM composite GROUP BY date) WINDOW w AS (ORDER BY date ROWS 62 PRECEDING)) u ON s.date = u.date",
+    "strengths": "SELECT s.day AS date, sector, round(exp(s.level - u.level) - 1, 6) AS strength FROM (SELECT day, sector, sum(ln(1 + mean_return)) AS level FROM day_means GROUP BY ALL HAVING count(*) >= 63) s JOIN day_universe u ON u.day = s.day",
     "derived": "SELECT ticker, date, day(date) AS d, sum(article_count) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)::BIGINT AS articles_7d, CASE WHEN n >= 10 AND 90 * s2 - s * s > 0 THEN (article_count - s / 90) / (sqrt(90 * s2 - s * s) / 90) END AS z, CASE WHEN n >= 10 THEN m7 - m30 END AS delta FROM (SELECT ticker, date, article_count, count(*) OVER p AS n, coalesce(sum(coalesce(article_count, 0)) OVER p, 0) AS s, coalesce(sum(coalesce(article_count, 0) * coalesce(article_count, 0)) OVER p, 0) AS s2, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS m7, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS m30 FROM sentiment_daily WINDOW p AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))",
 }
 
@@ -176,8 +185,8 @@ BODIES = {
     "ma_slope_breakout": "SELECT ticker, date, round(ma50_200_slope, 8) AS ma50_200_slope, base_breakout_flag FROM ind",
     "median_dollar_volume": "SELECT ticker, date, round(median_dollar_volume_20d, 7) AS median_dollar_volume_20d FROM ind",
     "relative_strength": "SELECT ticker, date, round(rs_change_21d, 8) AS rs_change_21d, round(rs_change_63d, 8) AS rs_change_63d, round(rs_change_21d - rs_change_63d, 8) AS rs_21d_63d_change, round(rs_20d_slope, 8) AS rs_20d_slope FROM ind",
-    "sector_composite": "SELECT sector, date, round(mean_return, 6) AS mean_return, members, round(composite, 6) AS composite FROM composite",
-    "rs_vs_sector": f"SELECT ticker, date, round(x / nullif(before, 0) - 1, 6) AS rs_change_vs_sector FROM (SELECT ticker, date, x, lag(x, 63) OVER (PARTITION BY ticker ORDER BY date) AS before FROM (SELECT a.ticker, a.date, c / composite AS x FROM adj a LEFT JOIN members m ON a.ticker = m.ticker AND a.date = m.date LEFT JOIN composite k ON k.sector = m.sector AND k.date = a.date))",
+    "sector_composite": "SELECT epoch, sector, date, round(mean_return, 6) AS mean_return, members, round(composite, 6) AS composite FROM composite",
+    "rs_vs_sector": "SELECT c.ticker, c.date, round((c / x.composite) / (c0 / y.composite) - 1, 6) AS rs_change_vs_sector FROM carried c LEFT JOIN composite x ON x.epoch = c.epoch AND x.sector = c.sector AND x.date = date1 LEFT JOIN composite y ON y.epoch = c.epoch AND y.sector = c.sector AND y.date = date0",
     "carried_indicators": "SELECT ticker, date, round(dist_200dma, 6) AS dist_200dma, base_breakout_flag FROM features",
     "fundamentals_readable": "SELECT ticker, at, " + ", ".join(f"CASE WHEN round({c}, 6) <> 0 THEN round({c}, 6) WHEN {c} IS NOT NULL THEN 0.0 END AS {c}" for c in ("ttm_ebit", "ttm_cash", "ttm_capex", "net_debt", "shares", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend", "cash_on_hand", "quarterly_burn_rate")) + " FROM basics",
     "valuation_priced": "SELECT ticker, date, round(fcf_yield, 6) AS fcf_yield, round(ev_ebit, 6) AS ev_ebit FROM now_priced",
@@ -191,7 +200,7 @@ BODIES = {
     "breadth": "SELECT date, round(breadth, 6) AS breadth FROM breadths",
     "benchmark_trend": "SELECT * FROM trend",
     "market_regime": "SELECT date, round(breadth, 6) AS breadth, benchmark_above, regime_label FROM market",
-    "sector_strength": f"SELECT date, sector, strength FROM (SELECT s.date, s.sector, round(sr / ur - 1, 6) AS strength FROM (SELECT sector, date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + mean_return)) OVER w) END AS sr FROM composite WINDOW w AS (PARTITION BY sector ORDER BY date ROWS 62 PRECEDING)) s JOIN (SELECT date, CASE WHEN count(*) OVER w = 63 THEN exp(sum(ln(1 + u)) OVER w) END AS ur FROM (SELECT date, avg(mean_return) AS u FROM composite GROUP BY date) WINDOW w AS (ORDER BY date ROWS 62 PRECEDING)) u ON s.date = u.date) WHERE strength IS NOT NULL",
+    "sector_strength": "SELECT date, sector, strength FROM strengths",
     "percentile_cells": "SELECT date, ticker, " + ", ".join(f"round({m}_pctile, 6) AS {m}_pctile, {m}_scope" for m in ("dist_200dma", "median_dollar_volume_20d")) + " FROM ranked",
     "cell_ledger": "SELECT date, size_bucket, sector, metric, CASE WHEN sector IS NOT NULL THEN n END AS cell_members, bucket_members, 5 AS floor, CASE WHEN sector IS NOT NULL AND n >= 5 THEN 'cell' WHEN bucket_members >= 5 THEN 'bucket' ELSE 'none' END AS scope FROM (SELECT *, sum(n) OVER (PARTITION BY date, size_bucket, metric)::BIGINT AS bucket_members FROM (SELECT date, size_bucket, sector, 'dist_200dma' AS metric, count(dist_200dma) AS n FROM features GROUP BY ALL UNION ALL SELECT date, size_bucket, sector, 'median_dollar_volume_20d', count(median_dollar_volume_20d) FROM features GROUP BY ALL))",
     "fallback_report": "SELECT date, metric, count(*) FILTER (scope = 'cell') AS in_cell, count(*) FILTER (scope = 'bucket') AS in_bucket, count(*) FILTER (scope = 'none') AS unranked, count(DISTINCT size_bucket || '/' || sector) FILTER (scope <> 'cell') AS thin_cells FROM (SELECT date, size_bucket, sector, 'dist_200dma' AS metric, dist_200dma_scope AS scope FROM ranked UNION ALL SELECT date, size_bucket, sector, 'median_dollar_volume_20d', median_dollar_volume_20d_scope FROM ranked) WHERE scope IS NOT NULL GROUP BY date, metric",
@@ -233,7 +242,7 @@ def _with(body: str) -> str:
                     need.append(name)
 
     add(body)
-    text = ("WITH " + ", ".join(f"{n} AS ({PARTS[n]})" for n in need) + " " if need else "") + body
+    text = ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in need) + " " if need else "") + body
     return re.sub(r"\bat\b", '"at"', text)  # a keyword there
 
 

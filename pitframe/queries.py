@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, selection, sentiment, technical, universe, valuation
+from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, sectors, selection, sentiment, technical, universe, valuation
 from pitframe.plans import upsert as writes
 from pitframe.sources import flatten, landing
 from pitframe.sources.adapters import Tables, config_rows
@@ -29,8 +29,12 @@ def _bars(t: Tables) -> DataFrame:
     return technical.indicators(t.prices(), t.benchmark_daily())
 
 
+def _security(t: Tables) -> DataFrame:
+    return t.keep("security", t.security_daily)
+
+
 def _members(t: Tables) -> DataFrame:
-    return t.keep("members", lambda: asof.range_members(t.security_daily(), asof.sessions(t.prices())))
+    return t.keep("members", lambda: asof.range_members(_security(t), asof.sessions(t.prices())))
 
 
 def _features(t: Tables) -> DataFrame:
@@ -58,16 +62,20 @@ def _chosen(t: Tables) -> DataFrame:
     return t.keep("chosen", lambda: selection.candidates(_screened(t), _gate(t), {"S1": 6, "S2": 4}))
 
 
-def _member_sectors(t: Tables) -> DataFrame:
-    return _members(t).select("ticker", "date", "sector")
+def _composite(t: Tables) -> DataFrame:
+    return t.keep("composite", lambda: sectors.sector_composite(t.prices(), _security(t), COMPOSITE_MIN))
+
 
+def _relative(t: Tables) -> DataFrame:
+    return sectors.relative_to_sector(t.prices(), _security(t), _members(t), _composite(t))
 
-def _composite(t: Tables) -> DataFrame:
-    return t.keep("composite", lambda: technical.sector_composite(t.prices(), _member_sectors(t), COMPOSITE_MIN))
+
+def _strength(t: Tables) -> DataFrame:
+    return t.keep("strength", lambda: sectors.sector_strength(t.prices(), _security(t), _sessions(t), COMPOSITE_MIN))
 
 
 def _market(t: Tables) -> DataFrame:
-    return t.keep("market", lambda: market.market_context(_features(t), t.benchmark_daily(), _composite(t)))
+    return t.keep("market", lambda: market.market_context(_features(t), t.benchmark_daily(), _strength(t)))
 
 
 def _event_days(t: Tables) -> DataFrame:
@@ -164,7 +172,7 @@ def _registry(t: Tables) -> DataFrame:
     i = percentile.REGISTRY["indicator_daily"]
     bars = _bars(t).join(technical.wilder(t.prices()), ["ticker", "date"])
     rows = technical.carry_forward(_members(t), bars, [m for m in i if m != "rs_change_vs_sector"])
-    rows = rows.join(technical.relative_to_sector(t.prices(), _member_sectors(t), _composite(t)), ["ticker", "date"], "left")
+    rows = rows.join(_relative(t), ["ticker", "date"], "left")
     basics = t.keep("basics", lambda: valuation.fundamentals(t.fundamental_snapshot()))
     close = t.prices().select("ticker", "date", F.col("close").cast("double").alias("close"))
     v = valuation.priced(_members(t).select("ticker", "date").join(close, ["ticker", "date"], "left"), basics).join(valuation.own_history(t.prices(), basics, t.prices().select("ticker", "date"), OWN_POINTS), ["ticker", "date"], "left")
@@ -240,8 +248,8 @@ QUERIES = {
     "ma_slope_breakout": lambda t: _round(_bars(t).select("ticker", "date", "ma50_200_slope", "base_breakout_flag"), 8),
     "median_dollar_volume": lambda t: _round(_bars(t).select("ticker", "date", "median_dollar_volume_20d"), 7),
     "relative_strength": lambda t: _round(_bars(t).select("ticker", "date", "rs_change_21d", "rs_change_63d", "rs_21d_63d_change", "rs_20d_slope"), 8),
-    "sector_composite": lambda t: _round(_composite(t).select("sector", "date", "mean_return", "members", "composite")),
-    "rs_vs_sector": lambda t: _round(technical.relative_to_sector(t.prices(), _member_sectors(t), _composite(t))),
+    "sector_composite": lambda t: _round(_composite(t).select("epoch", "sector", "date", "mean_return", "members", "composite")),
+    "rs_vs_sector": lambda t: _round(_relative(t)),
     "wilder_atr_adx": lambda t: _round(technical.wilder(t.price_daily())),
     "carried_indicators": lambda t: _round(_features(t).select("ticker", "date", "dist_200dma", "base_breakout_flag")),
     "fundamentals_readable": lambda t: _round(valuation.fundamentals(t.fundamental_snapshot())),
@@ -256,7 +264,7 @@ QUERIES = {
     "breadth": lambda t: _round(market.breadth(_features(t))),
     "benchmark_trend": lambda t: market.benchmark_trend(t.benchmark_daily()),
     "market_regime": lambda t: _round(_market(t).select("date", "breadth", "benchmark_above", "regime_label")),
-    "sector_strength": lambda t: market.sector_strength(_composite(t)).select("date", F.explode("sector_relative_strength").alias("sector", "strength")),
+    "sector_strength": lambda t: _strength(t).select("date", F.explode("sector_relative_strength").alias("sector", "strength")),
     "percentile_cells": lambda t: _round(_ranked(t).select("date", "ticker", *(f"{m}_{k}" for m in METRICS[:2] for k in ("pctile", "scope")))),
     "cell_ledger": lambda t: percentile.cell_ledger(_features(t), METRICS[:2], FLOOR),
     "fallback_report": lambda t: percentile.fallback_report(_ranked(t), METRICS[:2]),
