@@ -66,12 +66,12 @@ PARTS = {
     "on_day": "SELECT m.date AS day, m.ticker, m.sector, i FROM sectored m ASOF JOIN numbered_bars b ON m.ticker = b.ticker AND m.date >= b.date",
     "day_means": "SELECT day, sector, b.date, avg(r) AS mean_return FROM on_day o JOIN numbered_bars b ON b.ticker = o.ticker AND b.i BETWEEN o.i - 62 AND o.i WHERE r IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
     "day_universe": "SELECT day, sum(ln(1 + u)) AS level FROM (SELECT day, date, avg(mean_return) AS u FROM day_means GROUP BY ALL) GROUP BY day HAVING count(*) >= 63",
-    "points": "SELECT p.ticker, p.at, f.* EXCLUDE (ticker), row_number() OVER (PARTITION BY p.ticker, p.at ORDER BY period_end DESC) AS rank, coalesce(reported_debt, total_debt - cash_eq - short_term_inv) AS net_debt, coalesce(gross_profit, total_revenue - cost_of_revenue) / total_revenue AS margin, total_assets - current_liabilities - goodwill - intangibles AS invested FROM (SELECT DISTINCT ticker, filing_date_effective AS at FROM snapshot WHERE filing_date_effective IS NOT NULL) p JOIN snapshot f ON f.ticker = p.ticker AND f.filing_date_effective <= p.at AND f.period_end > p.at - INTERVAL 84 MONTHS",
-    "pivots": "SELECT ticker, at, " + ", ".join(f"CASE WHEN count({c}) FILTER (rank BETWEEN {s} AND {s + 3}) = 4 THEN sum({c}) FILTER (rank BETWEEN {s} AND {s + 3}) END AS {c}_t{s}" for c, s in (("ebit", 1), ("ebitda", 1), ("operating_cash", 1), ("capex", 1), ("net_income", 1), ("tax", 1), ("pretax", 1), ("ebit", 5), ("tax", 5), ("pretax", 5))) + ", " + ", ".join(f"max({c}) FILTER (rank = {r}) AS {c}_{r}" for c, r in (("net_debt", 1), ("shares", 1), ("shares", 5), ("invested", 1), ("invested", 5), ("margin", 1), ("margin", 5), ("total_assets", 1), ("total_assets", 5), ("cash_eq", 1), ("short_term_inv", 1), ("operating_cash", 1), ("investing_cash", 1), *(("total_revenue", r) for r in range(1, 9)))) + " FROM points GROUP BY ticker, at",
-    "basics": "SELECT *, roic - roic_b AS roic_4q_change FROM (SELECT ticker, at, ebit_t1 AS ttm_ebit, operating_cash_t1 AS ttm_cash, capex_t1 AS ttm_capex, net_debt_1 AS net_debt, shares_1 AS shares, " + ", ".join(f"ebit_t{s} * (1 - CASE WHEN tax_t{s} / nullif(pretax_t{s}, 0) IS NULL THEN NULL ELSE least(greatest(tax_t{s} / nullif(pretax_t{s}, 0), 0), 0.5) END) / (CASE WHEN invested_{s} > 0 THEN invested_{s} END) AS {n}" for s, n in ((1, "roic"), (5, "roic_b"))) + ", margin_1 - margin_5 AS gross_margin_4q_change, net_debt_1 / (CASE WHEN ebitda_t1 > 0 THEN ebitda_t1 END) AS net_debt_ebitda, (net_income_t1 - operating_cash_t1) / ((total_assets_1 + total_assets_5) / 2) AS accruals, shares_1 / (CASE WHEN shares_5 > 0 THEN shares_5 END) - 1 AS share_count_change, (1.5 * (total_revenue_1 / total_revenue_5 - 1) + 0.5 * (total_revenue_2 / total_revenue_6 - 1) - 0.5 * (total_revenue_3 / total_revenue_7 - 1) - 1.5 * (total_revenue_4 / total_revenue_8 - 1)) / 5 AS revenue_growth_4q_trend, cash_eq_1 + coalesce(short_term_inv_1, 0) AS cash_on_hand, greatest(0, -(operating_cash_1 + investing_cash_1)) AS quarterly_burn_rate FROM pivots)",
+    "points": "SELECT p.ticker, p.at, f.* EXCLUDE (ticker), row_number() OVER (PARTITION BY p.ticker, p.at ORDER BY period_end DESC) AS rank, coalesce(reported_debt, total_debt - cash_eq - short_term_inv) AS net_debt, coalesce(gross_profit, total_revenue - cost_of_revenue) / total_revenue AS margin, total_assets - current_liabilities - goodwill - intangibles AS invested FROM {POINTS} p LEFT JOIN snapshot f ON f.ticker = p.ticker AND f.filing_date_effective <= p.at AND f.period_end > p.at - INTERVAL 24 MONTHS",
+    "pivots": "SELECT ticker, at, count(period_end) FILTER (rank <= 8) AS periods, " + ", ".join(f"CASE WHEN count({c}) FILTER (rank BETWEEN {s} AND {s + 3}) = 4 THEN sum({c}) FILTER (rank BETWEEN {s} AND {s + 3}) END AS {c}_t{s}" for c, s in (("ebit", 1), ("ebitda", 1), ("operating_cash", 1), ("capex", 1), ("net_income", 1), ("tax", 1), ("pretax", 1), ("ebit", 5), ("tax", 5), ("pretax", 5))) + ", " + ", ".join(f"max({c}) FILTER (rank = {r}) AS {c}_{r}" for c, r in (("net_debt", 1), ("shares", 1), ("shares", 5), ("invested", 1), ("invested", 5), ("margin", 1), ("margin", 5), ("total_assets", 1), ("total_assets", 5), ("cash_eq", 1), ("short_term_inv", 1), ("operating_cash", 1), ("investing_cash", 1), *(("total_revenue", r) for r in range(1, 9)))) + " FROM points GROUP BY ticker, at",
+    "basics": "SELECT *, roic - roic_b AS roic_4q_change FROM (SELECT ticker, at, periods, ebit_t1 AS ttm_ebit, operating_cash_t1 AS ttm_cash, capex_t1 AS ttm_capex, net_debt_1 AS net_debt, shares_1 AS shares, " + ", ".join(f"ebit_t{s} * (1 - CASE WHEN tax_t{s} / nullif(pretax_t{s}, 0) IS NULL THEN NULL ELSE least(greatest(tax_t{s} / nullif(pretax_t{s}, 0), 0), 0.5) END) / (CASE WHEN invested_{s} > 0 THEN invested_{s} END) AS {n}" for s, n in ((1, "roic"), (5, "roic_b"))) + ", margin_1 - margin_5 AS gross_margin_4q_change, net_debt_1 / (CASE WHEN ebitda_t1 > 0 THEN ebitda_t1 END) AS net_debt_ebitda, (net_income_t1 - operating_cash_t1) / ((total_assets_1 + total_assets_5) / 2) AS accruals, shares_1 / (CASE WHEN shares_5 > 0 THEN shares_5 END) - 1 AS share_count_change, (1.5 * (total_revenue_1 / total_revenue_5 - 1) + 0.5 * (total_revenue_2 / total_revenue_6 - 1) - 0.5 * (total_revenue_3 / total_revenue_7 - 1) - 1.5 * (total_revenue_4 / total_revenue_8 - 1)) / 5 AS revenue_growth_4q_trend, cash_eq_1 + coalesce(short_term_inv_1, 0) AS cash_on_hand, CASE WHEN operating_cash_1 IS NOT NULL THEN greatest(0, -(operating_cash_1 + investing_cash_1)) END AS quarterly_burn_rate FROM pivots)",
     "month_end": "SELECT ticker, max(date) AS date, arg_max(close, date)::DOUBLE AS close FROM price_daily GROUP BY ticker, date_trunc('month', date)",
-    "then_priced": "SELECT m.ticker, m.date AS at, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS x FROM month_end m ASOF JOIN basics b ON m.ticker = b.ticker AND m.date >= b.at",
-    "now_priced": f"SELECT m.ticker, m.date, (ttm_cash - ttm_capex) / (CASE WHEN shares * close > 0 THEN shares * close END) AS fcf_yield, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS ev_ebit FROM (SELECT ticker, date, close::DOUBLE AS close FROM price_daily) m ASOF LEFT JOIN basics b ON m.ticker = b.ticker AND m.date >= b.at",
+    "then_priced": "SELECT m.ticker, m.date AS at, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS x FROM month_end m JOIN basics_daily b ON m.ticker = b.ticker AND m.date = b.at",
+    "now_priced": f"SELECT m.ticker, m.date, (ttm_cash - ttm_capex) / (CASE WHEN shares * close > 0 THEN shares * close END) AS fcf_yield, (CASE WHEN shares * close > 0 THEN shares * close END + net_debt) / (CASE WHEN ttm_ebit > 0 THEN ttm_ebit END) AS ev_ebit FROM (SELECT ticker, date, close::DOUBLE AS close FROM price_daily) m JOIN basics_daily b ON m.ticker = b.ticker AND m.date = b.at WHERE periods > 0",
     "event_days": "SELECT DISTINCT ts::DATE AS date FROM events",
     "sundays": "SELECT d::DATE AS date FROM (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM (SELECT min(date) AS a, max(date) AS b FROM price_daily)) WHERE dayofweek(d) = 0",
     "counts": "SELECT date, n, quantile_cont(n, 0.5) OVER w AS median, count(n) OVER w AS prior FROM (SELECT date, count(*) AS n FROM price_daily GROUP BY date) WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
@@ -118,6 +118,11 @@ PARTS |= {
     "derived": "SELECT ticker, date, day(date) AS d, sum(article_count) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)::BIGINT AS articles_7d, CASE WHEN n >= 10 AND 90 * s2 - s * s > 0 THEN (article_count - s / 90) / (sqrt(90 * s2 - s * s) / 90) END AS z, CASE WHEN n >= 10 THEN m7 - m30 END AS delta FROM (SELECT ticker, date, article_count, count(*) OVER p AS n, coalesce(sum(coalesce(article_count, 0)) OVER p, 0) AS s, coalesce(sum(coalesce(article_count, 0) * coalesce(article_count, 0)) OVER p, 0) AS s2, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS m7, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS m30 FROM sentiment_daily WINDOW p AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))",
 }
 
+#: Filings as read on the dates on which one becomes readable or expires, and, with no use of such dates, on the date of every bar.
+_POINTS = {"": "(SELECT DISTINCT ticker, unnest([filing_date_effective, (period_end + INTERVAL 24 MONTHS)::DATE]) AS at FROM snapshot WHERE filing_date_effective < period_end + INTERVAL 24 MONTHS)", "_daily": "(SELECT ticker, date AS at FROM price_daily)"}
+_FILED = {k: PARTS.pop(k) for k in ("points", "pivots", "basics")}
+PARTS |= {f"{k}{x}": re.sub(r"FROM (points|pivots)\b", rf"FROM \1{x}", v.replace("{POINTS}", p)) for x, p in _POINTS.items() for k, v in _FILED.items()}
+
 _SYMBOLS = "SELECT code || '.US' AS ticker, coalesce(name, code) AS name FROM (SELECT CASE WHEN s_suppkey % 29 <> 0 THEN 'T' || s_suppkey END AS code, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS name FROM supplier WHERE s_suppkey % 17 <> 0) WHERE code IS NOT NULL"
 _SESSIONS = "SELECT d::DATE AS date FROM (SELECT unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d::DATE IN (SELECT date FROM days)"
 
@@ -188,7 +193,7 @@ BODIES = {
     "sector_composite": "SELECT epoch, sector, date, round(mean_return, 6) AS mean_return, members, round(composite, 6) AS composite FROM composite",
     "rs_vs_sector": "SELECT c.ticker, c.date, round((c / x.composite) / (c0 / y.composite) - 1, 6) AS rs_change_vs_sector FROM carried c LEFT JOIN composite x ON x.epoch = c.epoch AND x.sector = c.sector AND x.date = date1 LEFT JOIN composite y ON y.epoch = c.epoch AND y.sector = c.sector AND y.date = date0",
     "carried_indicators": "SELECT ticker, date, round(dist_200dma, 6) AS dist_200dma, base_breakout_flag FROM features",
-    "fundamentals_readable": "SELECT ticker, at, " + ", ".join(f"CASE WHEN round({c}, 6) <> 0 THEN round({c}, 6) WHEN {c} IS NOT NULL THEN 0.0 END AS {c}" for c in ("ttm_ebit", "ttm_cash", "ttm_capex", "net_debt", "shares", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend", "cash_on_hand", "quarterly_burn_rate")) + " FROM basics",
+    "fundamentals_readable": "SELECT ticker, at, periods, " + ", ".join(f"CASE WHEN round({c}, 6) <> 0 THEN round({c}, 6) WHEN {c} IS NOT NULL THEN 0.0 END AS {c}" for c in ("ttm_ebit", "ttm_cash", "ttm_capex", "net_debt", "shares", "roic", "roic_4q_change", "gross_margin_4q_change", "net_debt_ebitda", "accruals", "share_count_change", "revenue_growth_4q_trend", "cash_on_hand", "quarterly_burn_rate")) + " FROM basics",
     "valuation_priced": "SELECT ticker, date, round(fcf_yield, 6) AS fcf_yield, round(ev_ebit, 6) AS ev_ebit FROM now_priced",
     "month_ends": "SELECT ticker, date, round(close, 6) AS close FROM month_end",
     "ev_ebit_own_history": "SELECT p.ticker, p.date, round(CASE WHEN count(x) >= 6 AND quantile_cont(x, 0.5) > 0 THEN any_value(ev_ebit) / quantile_cont(x, 0.5) END, 6) AS ev_ebit_vs_own_5y FROM now_priced p LEFT JOIN then_priced h ON h.ticker = p.ticker AND h.at < p.date AND h.at >= p.date - INTERVAL 60 MONTHS GROUP BY p.ticker, p.date",

@@ -13,7 +13,7 @@ from pitframe.sources.adapters import Tables, config_rows
 DAY, FIRST, LAST = "1999-03-15", "1999-01-04", "1999-12-31"
 NEWS_DAY = "2024-01-30"
 #: Settings under which small tables still rank and gate.
-FLOOR, LOOKBACK, COMPOSITE_MIN, OWN_POINTS = 5, 20, 2, 6
+FLOOR, LOOKBACK, COMPOSITE_MIN, OWN_POINTS, FILING_YEARS = 5, 20, 2, 6, 2
 METRICS = ["dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope"]
 S1 = screens.parse_screen("S1", '[{"metric":"dist_200dma","direction":"high","weight":2},{"metric":"median_dollar_volume_20d","direction":"high","weight":1},{"metric":"ma50_200_slope","direction":"high","weight":1}]', {*METRICS}, 2)
 S2 = screens.parse_screen("S2", '[{"metric":"dist_52w_high","direction":"low","weight":1},{"metric":"dist_200dma","direction":"low","weight":1},{"metric":"base_breakout_flag","kind":"bonus","points":10}]', {*METRICS, "base_breakout_flag"}, 2)
@@ -78,6 +78,10 @@ def _market(t: Tables) -> DataFrame:
     return t.keep("market", lambda: market.market_context(_features(t), t.benchmark_daily(), _strength(t)))
 
 
+def _basics(t: Tables) -> DataFrame:
+    return t.keep("basics", lambda: valuation.fundamentals(t.fundamental_snapshot(), FILING_YEARS))
+
+
 def _event_days(t: Tables) -> DataFrame:
     return t.read("events").select(F.to_date("ts").alias("date")).distinct()
 
@@ -173,7 +177,7 @@ def _registry(t: Tables) -> DataFrame:
     bars = _bars(t).join(technical.wilder(t.prices()), ["ticker", "date"])
     rows = technical.carry_forward(_members(t), bars, [m for m in i if m != "rs_change_vs_sector"])
     rows = rows.join(_relative(t), ["ticker", "date"], "left")
-    basics = t.keep("basics", lambda: valuation.fundamentals(t.fundamental_snapshot()))
+    basics = _basics(t)
     close = t.prices().select("ticker", "date", F.col("close").cast("double").alias("close"))
     v = valuation.priced(_members(t).select("ticker", "date").join(close, ["ticker", "date"], "left"), basics).join(valuation.own_history(t.prices(), basics, t.prices().select("ticker", "date"), OWN_POINTS), ["ticker", "date"], "left")
     rows = rows.join(v.select("ticker", "date", *percentile.REGISTRY["valuation_daily"]), ["ticker", "date"], "left")
@@ -252,10 +256,10 @@ QUERIES = {
     "rs_vs_sector": lambda t: _round(_relative(t)),
     "wilder_atr_adx": lambda t: _round(technical.wilder(t.price_daily())),
     "carried_indicators": lambda t: _round(_features(t).select("ticker", "date", "dist_200dma", "base_breakout_flag")),
-    "fundamentals_readable": lambda t: _round(valuation.fundamentals(t.fundamental_snapshot())),
-    "valuation_priced": lambda t: _round(valuation.priced(t.price_daily().select("ticker", "date", F.col("close").cast("double").alias("close")), valuation.fundamentals(t.fundamental_snapshot())).select("ticker", "date", "fcf_yield", "ev_ebit")),
+    "fundamentals_readable": lambda t: _round(_basics(t)),
+    "valuation_priced": lambda t: _round(valuation.priced(t.price_daily().select("ticker", "date", F.col("close").cast("double").alias("close")), _basics(t)).select("ticker", "date", "fcf_yield", "ev_ebit")),
     "month_ends": lambda t: _round(valuation.month_ends(t.price_daily()).drop("month")),
-    "ev_ebit_own_history": lambda t: _round(valuation.own_history(t.prices(), t.keep("basics", lambda: valuation.fundamentals(t.fundamental_snapshot())), t.prices().select("ticker", "date"), OWN_POINTS)),
+    "ev_ebit_own_history": lambda t: _round(valuation.own_history(t.prices(), _basics(t), t.prices().select("ticker", "date"), OWN_POINTS)),
     "surprises": lambda t: valuation.last_surprises(t.earnings_history(), DAY),
     "insider_flow": lambda t: _round(flow.insider(t.insider_transaction(), _event_days(t)), 2),
     "ownership_change": lambda t: _round(flow.ownership_change(t.institutional_holding(), _sundays(t))),
