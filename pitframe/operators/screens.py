@@ -66,10 +66,29 @@ def eligible(quality: Column, quality_min: float, technical: Column, technical_m
     return [quality >= quality_min, technical <= technical_max, price_stabilising(), news_settled(min_articles, z_max, delta_min)]
 
 
-def article_counts(sentiment: DataFrame, days: int = 7) -> DataFrame:
-    """(ticker, date, articles_7d) on dates with a row."""
+def article_counts(sentiment: DataFrame, spine: DataFrame, days: int = 7) -> DataFrame:
+    """(ticker, date, articles_7d) on every date of ``spine`` (ticker, date), whether the name has a row that day or not; null without any row in the days."""
     w = W.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(1 - days, 0)
-    return sentiment.withColumn("articles_7d", F.sum("article_count").over(w)).select("ticker", "date", "articles_7d")
+    both = spine.select("ticker", "date").distinct().withColumn("asked", F.lit(True)).join(sentiment.select("ticker", "date", "article_count"), ["ticker", "date"], "full")
+    return both.withColumn("articles_7d", F.sum("article_count").over(w)).filter("asked").select("ticker", "date", "articles_7d")
+
+
+def scores_on(ranked: DataFrame, screens: DataFrame, metrics: list[str], flags: list[str]) -> DataFrame:
+    """J3 with screens as data: (screen_id, date, ticker, size_bucket, score) under the definitions of each date (``settings.screens_on``).
+
+    Definitions, one row a screen and date, are the broadcast side: names do not move. ``metrics`` have a column <metric>_pctile.
+    """
+    entries = lambda names, of: F.create_map(*(x for n in names for x in (F.lit(n), of(n)))) if names else F.create_map()
+    rows = ranked.select("date", "ticker", "size_bucket", entries(metrics, lambda m: F.col(f"{m}_pctile").cast("double")).alias("p"), entries(flags, lambda f: F.coalesce(F.col(f), F.lit(False))).alias("f"))
+    rows = rows.join(F.broadcast(screens.select("date", "screen_id", "min_inputs", "parts")), "date")
+    bonus = lambda x: F.coalesce(x["kind"] == "bonus", F.lit(False))
+    value = lambda x: F.when(x["direction"] == "high", F.try_element_at("p", x["metric"])).otherwise(100 - F.try_element_at("p", x["metric"]))
+    held = F.filter("parts", lambda x: ~bonus(x) & value(x).isNotNull())
+    total = F.aggregate(held, F.lit(0.0), lambda a, x: a + value(x) * x["weight"])
+    weight = F.aggregate(held, F.lit(0.0), lambda a, x: a + x["weight"])
+    points = F.aggregate(F.filter("parts", lambda x: bonus(x) & F.coalesce(F.try_element_at("f", x["metric"]), F.lit(False))), F.lit(0.0), lambda a, x: a + x["points"])
+    score = F.when(F.size(held) >= F.col("min_inputs"), F.try_divide(total, weight) + points).cast("float")
+    return rows.select("screen_id", "date", "ticker", "size_bucket", score.alias("score"))
 
 
 def scores(ranked: DataFrame, screens: list[dict]) -> DataFrame:
@@ -78,8 +97,9 @@ def scores(ranked: DataFrame, screens: list[dict]) -> DataFrame:
     return ranked.select("date", "ticker", "size_bucket", F.explode(each).alias("x")).select("x.screen_id", "date", "ticker", "size_bucket", "x.score")
 
 
-def floors(scored: DataFrame, lookback: int = 250, quantile: float = 0.98, width: float = 0.5) -> DataFrame:
-    """(screen_id, date, floor): exact quantile of all scores on the last scored dates, this one included.
+def floors(scored: DataFrame, lookback: int = 250, quantile: float = 0.98, width: float = 0.5, settings: DataFrame | None = None) -> DataFrame:
+    """(screen_id, date, floor): exact quantile of all scores on the last scored dates, this one included. ``settings`` (date, lookback,
+    quantile), one row a date, gives the two that are in force on each date.
 
     In two passes. Scores are first counted by date and bin of ``width``; sliding sums over the dates of each bin tell in
     which bins the two neighbours of the quantile lie. Then only scores of these bins are repeated for the dates that need them.
@@ -87,16 +107,21 @@ def floors(scored: DataFrame, lookback: int = 250, quantile: float = 0.98, width
     counted = scored.filter("score is not null").groupBy("screen_id", "date", F.col("score").cast("double").alias("score")).agg(F.count("*").alias("n"))
     counted = counted.withColumn("bin", F.floor(F.col("score") / width))
     dates = counted.select("screen_id", "date").distinct().withColumn("k", F.row_number().over(W.partitionBy("screen_id").orderBy("date")))
-    counted = counted.join(F.broadcast(dates), ["screen_id", "date"])  # one row a screen and date
+    if settings is None:
+        lookbacks, dates = [lookback], dates.withColumns({"lookback": F.lit(lookback), "quantile": F.lit(float(quantile))})
+    else:  # few versions, so few lookbacks
+        lookbacks, dates = [r.lookback for r in settings.select("lookback").distinct().collect()], dates.join(F.broadcast(settings.select("date", "lookback", "quantile")), "date")
+    counted = counted.join(F.broadcast(dates.select("screen_id", "date", "k")), ["screen_id", "date"])  # one row a screen and date
     binned = counted.groupBy("screen_id", "k", "bin").agg(F.sum("n").alias("n"))
     grid = dates.join(binned.select("screen_id", "bin").distinct(), "screen_id")  # dates by bins: no more with more names
-    window = W.partitionBy("screen_id", "bin").orderBy("k").rowsBetween(1 - lookback, 0)
-    sums = grid.join(binned, ["screen_id", "k", "bin"], "left").withColumn("n", F.coalesce(F.sum("n").over(window), F.lit(0)))
+    window = W.partitionBy("screen_id", "bin").orderBy("k")
+    within = F.coalesce(*(F.when(F.col("lookback") == n, F.sum("n").over(window.rowsBetween(1 - n, 0))) for n in lookbacks), F.lit(0)) if lookbacks else F.lit(0)
+    sums = grid.join(binned, ["screen_id", "k", "bin"], "left").withColumn("n", within)
     by = W.partitionBy("screen_id", "k")
-    sums = sums.withColumns({"all": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bin"))}).withColumn("at", (F.col("all") - 1) * quantile)
+    sums = sums.withColumns({"all": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy("bin"))}).withColumn("at", (F.col("all") - 1) * F.col("quantile"))
     holds = lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto"))
-    wanted = sums.filter((F.col("k") >= lookback) & (holds(F.floor("at")) | holds(F.ceil("at")))).select("screen_id", "date", "k", "bin", "at", (F.col("upto") - F.col("n")).alias("below"))
-    rows = wanted.withColumn("then", F.explode(F.sequence(F.col("k") - lookback + 1, F.col("k")))).join(counted.select("screen_id", F.col("k").alias("then"), "bin", "score", "n"), ["screen_id", "then", "bin"])
+    wanted = sums.filter((F.col("k") >= F.col("lookback")) & (holds(F.floor("at")) | holds(F.ceil("at")))).select("screen_id", "date", "k", "lookback", "bin", "at", (F.col("upto") - F.col("n")).alias("below"))
+    rows = wanted.withColumn("then", F.explode(F.sequence(F.col("k") - F.col("lookback") + 1, F.col("k")))).join(counted.select("screen_id", F.col("k").alias("then"), "bin", "score", "n"), ["screen_id", "then", "bin"])
     each = rows.groupBy("screen_id", "date", "bin", "at", "below", "score").agg(F.sum("n").alias("n"))
     each = each.withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy("screen_id", "date", "bin").orderBy("score")))
     value = lambda r: F.min(F.when(F.col("upto") > r, F.col("score")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pitframe.sources import adapters
+
 DAY, FIRST, LAST = "DATE '1999-03-15'", "DATE '1999-01-04'", "DATE '1999-12-31'"
 AMOUNTS = {"cost_of_revenue": 60, "ebit": 18, "ebitda": 24, "net_income": 11, "operating_cash": 16, "capex": 5, "tax": 3, "pretax": 15, "total_assets": 420, "current_liabilities": 60, "goodwill": 30, "intangibles": 20, "total_debt": 130, "cash_eq": 35, "short_term_inv": 12, "investing_cash": -7}
 
@@ -22,8 +24,12 @@ def _change(value: str, n: int) -> str:
     return f"({value} / nullif(lag({value}, {n}) OVER b, 0) - 1)"
 
 
-#: The settings of the adapter tables, with the days on which they were set in New York.
-CONFIG = [("gate.gap", 1, "0.08", "1994-01-01"), ("gate.gap", 2, "0.05", "1997-12-31"), ("gate.gap", 3, "0.06", "1999-06-01"), ("gate.cooldown", 1, "30", "1994-01-01"), ("screens.S1.state", 1, "live", "1994-01-01"), ("screens.S2.state", 1, "live", "1994-01-01"), ("screens.S2.state", 2, "shadow", "1998-12-31"), ("screens.S3.state", 1, "retired", "1994-01-01"), ("news.rates", 1, '{"small": {"input": 1.0, "output": 5.0}, "large": {"input": 3.0, "output": 15.0}}', "1994-01-01"), ("news.rates", 2, '{"small": {"input": 0.5, "output": 2.0}}', "2000-01-01")]
+#: The settings of the adapter tables, with the days on which they were set in New York; definitions of screens are in ``screen_parts``.
+CONFIG = [
+    *((key, 1, value, "1994-01-01") for key, value in {"gate.gap": "0.08", "gate.cooldown": "30", "gate.blackout_before": "5", "gate.blackout_after": "2", "screens.floor_lookback_days": "20", "screens.floor_percentile": "70", "tuner.slot_floor": "4", "tuner.slot_cap": "12", "screens.S1.state": "live", "screens.S1.min_inputs": "2", "screens.S1.slots": "6", "screens.S2.state": "live", "screens.S2.min_inputs": "2", "screens.S2.slots": "4", "screens.S3.state": "retired", "screens.S3.min_inputs": "1", "screens.S3.slots": "4", "news.rates": '{"small": {"input": 1.0, "output": 5.0}, "large": {"input": 3.0, "output": 15.0}}'}.items()),
+    ("gate.gap", 2, "0.05", "1997-12-31"), ("gate.gap", 3, "0.06", "1999-06-01"), ("gate.cooldown", 2, "2", "1996-01-01"), ("gate.blackout_after", 2, "1", "2000-06-01"), ("screens.floor_lookback_days", 2, "15", "2000-01-03"), ("screens.floor_percentile", 2, "60", "1999-03-01"), ("screens.S1.slots", 2, "9", "1999-09-01"), ("screens.S2.state", 2, "shadow", "1998-12-31"), ("news.rates", 2, '{"small": {"input": 0.5, "output": 2.0}}', "2000-01-01"),
+    ("screens.S1.metrics", 1, adapters._S1 % (2, 1), "1994-01-01"), ("screens.S1.metrics", 2, adapters._S1 % (1, 3), "2000-03-01"), ("screens.S2.metrics", 1, adapters._S2, "1994-01-01"), ("screens.S3.metrics", 1, adapters._S2, "1994-01-01"),
+]
 
 PARTS = {
     "nsup": "SELECT count(*) AS n FROM supplier",
@@ -82,23 +88,30 @@ PARTS = {
     "ranked": "SELECT *, " + ", ".join(f"CASE WHEN {m}_scope = 'cell' THEN CASE WHEN {m}_cn > 1 THEN ({m}_cr - 1) * 100.0::DOUBLE / ({m}_cn - 1) ELSE 0 END WHEN {m}_scope = 'bucket' THEN CASE WHEN {m}_bn > 1 THEN ({m}_br - 1) * 100.0::DOUBLE / ({m}_bn - 1) ELSE 0 END END AS {m}_pctile" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")) + " FROM scoped",
     "scoped": "SELECT *, " + ", ".join(f"CASE WHEN {m} IS NULL OR size_bucket IS NULL THEN NULL WHEN sector IS NOT NULL AND {m}_cn >= 5 THEN 'cell' WHEN {m}_bn >= 5 THEN 'bucket' ELSE 'none' END AS {m}_scope" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")) + " FROM windowed",
     "windowed": "SELECT *, " + ", ".join(f"count({m}) OVER (PARTITION BY date, size_bucket, sector) AS {m}_cn, rank() OVER (PARTITION BY date, size_bucket, sector ORDER BY {m}::REAL NULLS LAST) AS {m}_cr, count({m}) OVER (PARTITION BY date, size_bucket) AS {m}_bn, rank() OVER (PARTITION BY date, size_bucket ORDER BY {m}::REAL NULLS LAST) AS {m}_br" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")) + " FROM features",
-    "scored": "SELECT 'S1' AS screen_id, date, ticker, size_bucket, (CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2 THEN (coalesce(a * 2, 0) + coalesce(b, 0) + coalesce(c, 0)) / (CASE WHEN a IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN b IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c IS NOT NULL THEN 1.0 ELSE 0 END) END)::REAL AS score FROM (SELECT *, dist_200dma_pctile AS a, median_dollar_volume_20d_pctile AS b, ma50_200_slope_pctile AS c FROM ranked) UNION ALL SELECT 'S2', date, ticker, size_bucket, (CASE WHEN dist_52w_high_pctile IS NOT NULL AND dist_200dma_pctile IS NOT NULL THEN ((100 - dist_52w_high_pctile) + (100 - dist_200dma_pctile)) / 2 + CASE WHEN base_breakout_flag THEN 10 ELSE 0 END END)::REAL FROM ranked",
+    "settings_on": "SELECT date, " + ", ".join(f"max(value) FILTER (key = '{k}')::{kind} AS {n}" for n, k, kind in (("gap", "gate.gap", "DOUBLE"), ("cooldown", "gate.cooldown", "INTEGER"), ("before", "gate.blackout_before", "INTEGER"), ("after", "gate.blackout_after", "INTEGER"), ("lookback", "screens.floor_lookback_days", "INTEGER"), ("percent", "screens.floor_percentile", "INTEGER"), ("cap", "tuner.slot_cap", "INTEGER"), ("s1", "screens.S1.slots", "INTEGER"), ("s2", "screens.S2.slots", "INTEGER"), ("live2", "screens.S2.state", "VARCHAR"))) + " FROM params GROUP BY date",
+    "screen_parts": "SELECT * FROM (VALUES ('S1', 1, 'dist_200dma', 1, 2), ('S1', 1, 'median_dollar_volume_20d', 1, 1), ('S1', 1, 'ma50_200_slope', 1, 1), ('S1', 2, 'dist_200dma', 1, 1), ('S1', 2, 'median_dollar_volume_20d', 1, 3), ('S1', 2, 'ma50_200_slope', 1, 1), ('S2', 1, 'dist_52w_high', -1, 1), ('S2', 1, 'dist_200dma', -1, 1)) t(screen_id, version, metric, direction, weight)",
+    "pct_long": " UNION ALL ".join(f"SELECT date, ticker, '{m}' AS metric, {m}_pctile AS pctile FROM ranked WHERE {m}_pctile IS NOT NULL" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")),
+    "weighed": "SELECT p.screen_id, l.date, ticker, count(*) AS n, sum(CASE WHEN direction > 0 THEN pctile ELSE 100 - pctile END * weight) / sum(weight) AS mean FROM pct_long l JOIN params v ON v.date = l.date AND v.key LIKE 'screens.%.metrics' JOIN screen_parts p ON v.key = 'screens.' || p.screen_id || '.metrics' AND v.version = p.version AND p.metric = l.metric GROUP BY ALL",
+    "scored": "SELECT s.screen_id, r.date, r.ticker, r.size_bucket, (CASE WHEN n >= 2 THEN mean + CASE WHEN s.screen_id = 'S2' AND base_breakout_flag THEN 10 ELSE 0 END END)::REAL AS score FROM ranked r CROSS JOIN (SELECT unnest(['S1', 'S2']) AS screen_id) s LEFT JOIN weighed w ON w.screen_id = s.screen_id AND w.date = r.date AND w.ticker = r.ticker",
     "score_dates": "SELECT screen_id, date, row_number() OVER (PARTITION BY screen_id ORDER BY date) AS k FROM (SELECT DISTINCT screen_id, date FROM scored WHERE score IS NOT NULL)",
     "floor_98": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) >= 20 THEN quantile_cont(s.score::DOUBLE, 0.98) END AS floor FROM score_dates a JOIN score_dates b ON a.screen_id = b.screen_id AND b.k BETWEEN a.k - 19 AND a.k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
-    "floor_70": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) >= 20 THEN quantile_cont(s.score::DOUBLE, 0.7) END AS floor FROM score_dates a JOIN score_dates b ON a.screen_id = b.screen_id AND b.k BETWEEN a.k - 19 AND a.k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
-    "screened": "SELECT s.*, row_number() OVER (PARTITION BY s.screen_id, s.date ORDER BY score DESC, ticker) AS rank FROM scored s JOIN floor_70 f ON s.screen_id = f.screen_id AND s.date = f.date WHERE score::DOUBLE >= floor",
+    "floor_set": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) < any_value(lookback) THEN NULL WHEN any_value(percent) = 70 THEN quantile_cont(s.score::DOUBLE, 0.7) ELSE quantile_cont(s.score::DOUBLE, 0.6) END AS floor FROM score_dates a JOIN settings_on x ON x.date = a.date JOIN score_dates b ON a.screen_id = b.screen_id AND b.k BETWEEN a.k - lookback + 1 AND a.k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
+    "screened": "SELECT s.*, row_number() OVER (PARTITION BY s.screen_id, s.date ORDER BY score DESC, ticker) AS rank FROM scored s JOIN floor_set f ON s.screen_id = f.screen_id AND s.date = f.date WHERE score::DOUBLE >= floor",
     "bars": "SELECT ticker, date, open::DOUBLE AS open, volume, lag(close::DOUBLE) OVER (PARTITION BY ticker ORDER BY date) AS previous FROM price_daily",
-    "blackouts": "SELECT DISTINCT ticker, unnest(generate_series((event_date - 2)::TIMESTAMP - INTERVAL 3 DAYS, (event_date + 2)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM calendar WHERE event_type = 'earnings'",
+    "blackouts": "SELECT DISTINCT ticker, date FROM calendar JOIN settings_on ON date BETWEEN event_date - before AND event_date + after WHERE event_type = 'earnings'",
     "helds": "SELECT DISTINCT ticker, unnest([opened, opened + 1]) AS date FROM trades WHERE s = 'O'",
-    "colds": "SELECT DISTINCT ticker, unnest([closed, closed + 1]) AS date FROM trades WHERE s = 'F'",
-    "flags": "SELECT m.date, m.ticker, e.ticker IS NOT NULL AS f1, coalesce(abs((open - previous) / nullif(previous, 0)) > 0.05, FALSE) AS f2, volume IS NULL OR volume = 0 AS f3, h.ticker IS NOT NULL AS f4, c.ticker IS NOT NULL AS f5, m.date IN (SELECT date FROM blackouts) AND m.date IN (SELECT date FROM helds) AND m.date IN (SELECT date FROM colds) AS known FROM members m LEFT JOIN bars b ON m.ticker = b.ticker AND m.date = b.date LEFT JOIN blackouts e ON e.ticker = m.ticker AND e.date = m.date LEFT JOIN helds h ON h.ticker = m.ticker AND h.date = m.date LEFT JOIN colds c ON c.ticker = m.ticker AND c.date = m.date",
+    "colds": "SELECT DISTINCT ticker, date FROM trades JOIN settings_on ON date >= closed AND date < closed + cooldown WHERE s = 'F'",
+    "flags": "SELECT m.date, m.ticker, e.ticker IS NOT NULL AS f1, coalesce(abs((open - previous) / nullif(previous, 0)) > x.gap, FALSE) AS f2, volume IS NULL OR volume = 0 AS f3, h.ticker IS NOT NULL AS f4, c.ticker IS NOT NULL AS f5, m.date IN (SELECT date FROM blackouts) AND m.date IN (SELECT date FROM helds) AND m.date IN (SELECT date FROM colds) AS known FROM members m JOIN settings_on x ON x.date = m.date LEFT JOIN bars b ON m.ticker = b.ticker AND m.date = b.date LEFT JOIN blackouts e ON e.ticker = m.ticker AND e.date = m.date LEFT JOIN helds h ON h.ticker = m.ticker AND h.date = m.date LEFT JOIN colds c ON c.ticker = m.ticker AND c.date = m.date",
     "gate": "SELECT date, ticker, list_filter([CASE WHEN f1 THEN 'earnings_blackout' END, CASE WHEN f2 THEN 'gap' END, CASE WHEN f3 THEN 'halt' END, CASE WHEN f4 THEN 'already_held' END, CASE WHEN f5 THEN 'cooldown' END], lambda x: x IS NOT NULL) AS reasons, NOT (f1 OR f2 OR f3 OR f4 OR f5) AS passed, CASE WHEN known THEN 'passed' ELSE 'passed_partial' END AS state FROM flags",
-    "chosen": "SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.date, screen_id, size_bucket ORDER BY rank, s.ticker) AS seat FROM screened s JOIN gate g ON s.date = g.date AND s.ticker = g.ticker AND passed) WHERE seat <= CASE screen_id WHEN 'S1' THEN CASE size_bucket WHEN 'large' THEN 1 WHEN 'mid' THEN 2 ELSE 3 END ELSE CASE size_bucket WHEN 'large' THEN 1 WHEN 'mid' THEN 1 ELSE 2 END END",
+    "seated": "SELECT s.*, g.state AS gate_state, s.screen_id = 'S1' OR live2 = 'live' AS is_live, CASE WHEN s.screen_id = 'S1' THEN s1 WHEN live2 = 'live' THEN s2 ELSE cap END AS slots, row_number() OVER (PARTITION BY s.date, screen_id, size_bucket ORDER BY rank, s.ticker) AS seat FROM screened s JOIN gate g ON s.date = g.date AND s.ticker = g.ticker AND passed JOIN settings_on x ON x.date = s.date",
+    "taken": "SELECT * FROM (SELECT *, slots // 4 AS l, (slots - slots // 4) // 2 AS m FROM seated) WHERE seat <= CASE size_bucket WHEN 'large' THEN l WHEN 'mid' THEN m ELSE slots - l - m END",
+    "chosen": "SELECT * FROM taken WHERE is_live",
     "sets": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screens FROM chosen GROUP BY date, ticker",
     "breadths": "SELECT date, count(*) FILTER (dist_200dma > 0)::DOUBLE / nullif(count(dist_200dma), 0) AS breadth FROM features GROUP BY date",
     "trend": "SELECT date, adj_close > CASE WHEN count(*) OVER w = 200 THEN avg(adj_close) OVER w END AS benchmark_above FROM benchmark_daily WINDOW w AS (ORDER BY date ROWS 199 PRECEDING)",
     "market": "SELECT date, breadth, benchmark_above, CASE WHEN breadth >= 0.6 AND benchmark_above THEN 'risk_on' WHEN breadth <= 0.4 AND NOT benchmark_above THEN 'risk_off' ELSE 'mixed' END AS regime_label FROM breadths LEFT JOIN trend USING (date)",
-    "attributed": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screen_ids, bool_or(screen_id = 'S1') AS is_candidate FROM chosen GROUP BY date, ticker",
+    "attributed": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screen_ids, bool_or(is_live) AS is_candidate, min(size_bucket) AS size_bucket, min(gate_state) AS gate_state FROM taken GROUP BY date, ticker",
+    "config_versions": "SELECT date, CASE WHEN count(*) FILTER (since <= date) > 0 THEN 1 + count(*) FILTER (since <= date AND version > 1) END AS config_version FROM days, config GROUP BY date",
     "articles": "SELECT *, coalesce(published_at > DATE '2024-01-30' - 7 AND published_at <= DATE '2024-01-30', FALSE) AS in_window, ceil(length(content) / 3.5)::BIGINT AS tokens FROM headline",
     "budget": "SELECT * FROM (SELECT *, row_number() OVER w AS rn, sum(tokens) OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM articles WHERE in_window WINDOW w AS (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id)) WHERE rn = 1 OR upto <= 1200",
     "pairs": "SELECT m.ticker, m.date FROM members m WHERE m.date IN (SELECT min(date) FROM days GROUP BY year(date), quarter(date))",
@@ -148,13 +161,13 @@ BODIES = {
     "insert_absent_bars": "SELECT ticker, date, open, close, volume FROM old_bars UNION ALL SELECT ticker, date, close AS open, close, volume FROM staged_bars s WHERE NOT EXISTS (SELECT 1 FROM old_bars o WHERE o.ticker = s.ticker AND o.date = s.date)",
     "replace_dates_bars": "SELECT ticker, date, open, close, volume FROM old_bars WHERE date NOT IN (SELECT date FROM staged_bars) UNION ALL SELECT ticker, date, close AS open, close, volume FROM staged_bars",
     "coverage_intervals": "SELECT source, a AS covered_from, b + 5 AS covered_to FROM coverages",
-    "config_versions": "SELECT date, CASE WHEN count(*) FILTER (since <= date) > 0 THEN 1 + count(*) FILTER (since <= date AND version > 1) END AS config_version FROM days, config GROUP BY date",
+    "config_versions": "SELECT date, config_version FROM config_versions",
     "liquid_pool": "SELECT ticker FROM liquid WHERE last_close >= 101 AND median_dollar_volume >= 2500 AND bars >= 200 AND ticker IN (SELECT ticker FROM listed)",
     "identity_rollup": "SELECT ticker, min(f) AS first_seen, max(l) AS last_seen, max(name) AS name FROM (" + " UNION ALL ".join(f"SELECT ticker, f, l, '{d[:7]} ' || ticker AS name FROM (SELECT ticker, arg_max(close, date)::DOUBLE AS c, quantile_cont(close::DOUBLE * volume, 0.5) FILTER (rn <= 20) AS m, min(date) AS f, max(date) AS l, count(*) AS bars FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_daily WHERE date <= DATE '{d}') GROUP BY ticker) WHERE c >= 101 AND m >= 2000 AND bars >= 150" for d in ("1999-03-15", "1999-09-15")) + ") GROUP BY ticker",
     "flow_by_ticker": "SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(insider_net_90d_usd, 8) AS insider_net_90d_usd, distinct_buyer_count, round(inst_ownership_change, 8) AS inst_ownership_change FROM insider_days a FULL JOIN owner_days b ON a.date = b.date AND a.ticker = b.ticker",
     "eligible_scores": "SELECT ticker, date, articles_7d, CASE WHEN d % 11 <> 0 AND d * 3 >= 20 AND d * 2 <= 50 AND (d % 5 > 2 OR (d % 3 <> 0 AND d % 4 > 2)) AND (coalesce(articles_7d, 0) < 2 OR (z < 1 AND delta >= -0.05)) THEN d::DOUBLE END AS score FROM derived",
-    "screen_faults": "SELECT DISTINCT f.date FROM floor_70 f WHERE f.screen_id = 'S1' AND floor IS NOT NULL AND f.date NOT IN (SELECT date FROM screened WHERE screen_id = 'S1' AND day(date) <> 13)",
-    "candidate_rows": "SELECT a.date, a.ticker, state AS gate_state FROM attributed a LEFT JOIN gate g ON g.date = a.date AND g.ticker = a.ticker WHERE is_candidate",
+    "screen_faults": "SELECT DISTINCT f.date FROM floor_set f WHERE f.screen_id = 'S1' AND floor IS NOT NULL AND f.date NOT IN (SELECT date FROM screened WHERE screen_id = 'S1' AND day(date) <> 13)",
+    "candidate_rows": "SELECT date, ticker, gate_state FROM attributed WHERE is_candidate",
     "chance_overlap": "SELECT screen_id, round(r, 6) AS mean_ranked, round(s, 6) AS mean_scored, round(r / (2 * s - r), 6) AS chance_overlap FROM (SELECT screen_id, avg(n) AS r FROM (SELECT screen_id, date, count(*) AS n FROM screened GROUP BY ALL) GROUP BY screen_id) JOIN (SELECT screen_id, avg(n) AS s FROM (SELECT screen_id, date, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY ALL) GROUP BY screen_id) USING (screen_id)",
     "digest_outcomes": "SELECT ticker, CASE min(article_id) % 6 WHEN 0 THEN 'no_row' WHEN 1 THEN 'no_articles' WHEN 2 THEN 'no_material_news' ELSE CASE WHEN min(article_id) % 6 = 5 AND arg_min(content, article_id) IS NULL THEN 'no_articles' ELSE 'prose' END END AS outcome FROM headline GROUP BY ticker",
     "record_thresholds": "SELECT date, key, value, version FROM params WHERE key LIKE 'gate.%' AND date IN (SELECT date FROM pairs)",
@@ -218,7 +231,7 @@ BODIES = {
     "gate_labels": "SELECT * FROM gate",
     "candidates": "SELECT date, screen_id, size_bucket, ticker FROM chosen",
     "candidate_set": "SELECT * FROM sets",
-    "attribution": "SELECT a.date, a.ticker, screen_ids, is_candidate, regime_label, state AS gate_state, 3 AS config_version FROM attributed a LEFT JOIN market m ON m.date = a.date LEFT JOIN gate g ON g.date = a.date AND g.ticker = a.ticker",
+    "attribution": "SELECT a.date, a.ticker, screen_ids, CASE WHEN is_candidate THEN 'candidate' ELSE 'shadow' END AS surfaced_as, a.size_bucket, sector, regime_label, gate_state, config_version FROM attributed a LEFT JOIN market m ON m.date = a.date LEFT JOIN members u ON u.date = a.date AND u.ticker = a.ticker LEFT JOIN config_versions v ON v.date = a.date",
     "concentration": "SELECT (SELECT round(count(*) FILTER (size_bucket = 'large') / count(*), 6) FROM chosen WHERE date IN (SELECT DISTINCT date FROM chosen ORDER BY date DESC LIMIT 20)) AS megacap_share, (SELECT count(DISTINCT ticker) FROM chosen WHERE date IN (SELECT DISTINCT date FROM chosen ORDER BY date DESC LIMIT 60)) AS distinct_tickers",
     "concentration_alerts": "SELECT * FROM (SELECT 'megacap_share' AS alert_type, (SELECT round(count(*) FILTER (size_bucket = 'large') / count(*), 6) FROM chosen WHERE date IN (SELECT DISTINCT date FROM chosen ORDER BY date DESC LIMIT 20)) AS value) WHERE value > 0.2 UNION ALL SELECT * FROM (SELECT 'distinct_tickers', (SELECT count(DISTINCT ticker) FROM chosen WHERE date IN (SELECT DISTINCT date FROM chosen ORDER BY date DESC LIMIT 60))::DOUBLE AS v) WHERE v < 250",
     "candidates_per_night": "SELECT count(*) AS dates, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM (SELECT date, count(DISTINCT ticker) AS n FROM chosen GROUP BY date)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, sectors, selection, sentiment, technical, universe, valuation
+from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, sectors, selection, sentiment, settings, technical, universe, valuation
 from pitframe.plans import upsert as writes
 from pitframe.sources import flatten, landing
 from pitframe.sources.adapters import Tables, config_rows
@@ -46,20 +46,41 @@ def _ranked(t: Tables) -> DataFrame:
     return t.keep("ranked", lambda: percentile.percentiles(_features(t), METRICS, FLOOR))
 
 
+def _on_dates(t: Tables, **wanted: str) -> DataFrame:
+    """Settings in force on every session: name="key type"."""
+    return settings.on_dates(config_rows(t.spark), _sessions(t), {name: tuple(x.split()) for name, x in wanted.items()})
+
+
+def _screens(t: Tables) -> DataFrame:
+    return t.keep("screens", lambda: settings.screens_on(settings.check_screens(settings.screen_versions(config_rows(t.spark)), {*METRICS, "base_breakout_flag"}), _sessions(t)))
+
+
 def _scored(t: Tables) -> DataFrame:
-    return t.keep("scored", lambda: screens.scores(_ranked(t), [S1, S2]))
+    return t.keep("scored", lambda: screens.scores_on(_ranked(t), _screens(t), METRICS, ["base_breakout_flag"]))
+
+
+def _floor(t: Tables) -> DataFrame:
+    own = _on_dates(t, lookback="screens.floor_lookback_days int", percent="screens.floor_percentile double")
+    return t.keep("floor", lambda: screens.floors(_scored(t), settings=own.select("date", "lookback", (F.col("percent") / 100).alias("quantile"))))
 
 
 def _screened(t: Tables) -> DataFrame:
-    return t.keep("screened", lambda: screens.ranks(_scored(t), screens.floors(_scored(t), LOOKBACK, 0.7)))
+    return t.keep("screened", lambda: screens.ranks(_scored(t), _floor(t)))
 
 
 def _gate(t: Tables) -> DataFrame:
-    return t.keep("gate", lambda: selection.gates(_members(t), t.prices(), t.events_calendar(), t.position(), t.trade_outcome(), gap=0.05, cooldown=2))
+    own = _on_dates(t, before="gate.blackout_before int", after="gate.blackout_after int", gap="gate.gap double", cooldown="gate.cooldown int")
+    return t.keep("gate", lambda: selection.gates(_members(t), t.prices(), t.events_calendar(), t.position(), t.trade_outcome(), settings=own))
+
+
+def _taken(t: Tables) -> DataFrame:
+    """Allotments of live and shadow screens."""
+    seats = settings.seats(_screens(t), _on_dates(t, slot_floor="tuner.slot_floor int", slot_cap="tuner.slot_cap int"))
+    return t.keep("taken", lambda: selection.allocate(_screened(t), _gate(t), seats))
 
 
 def _chosen(t: Tables) -> DataFrame:
-    return t.keep("chosen", lambda: selection.candidates(_screened(t), _gate(t), {"S1": 6, "S2": 4}))
+    return selection.candidates(_taken(t))
 
 
 def _composite(t: Tables) -> DataFrame:
@@ -87,8 +108,7 @@ def _event_days(t: Tables) -> DataFrame:
 
 
 def _attribution(t: Tables) -> DataFrame:
-    c = _chosen(t)
-    return selection.attribution(c.filter("screen_id = 'S1'"), c.filter("screen_id = 'S2'"), _market(t), _gate(t), 3)
+    return t.keep("attribution", lambda: selection.attribution(_taken(t), _members(t), _market(t), asof.config_versions_on(config_rows(t.spark), _sessions(t))))
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -158,7 +178,7 @@ def _eligible(t: Tables) -> DataFrame:
     """Scores of the screens on the dates of the events, gated by price, composites and news."""
     rows = t.sentiment_daily()
     derived = sentiment.sentiment(rows, rows.select("ticker", "date"), min_days=10)
-    rows = derived.join(screens.article_counts(rows), ["ticker", "date"]).withColumn("day", F.dayofmonth("date"))
+    rows = derived.join(screens.article_counts(rows, derived), ["ticker", "date"]).withColumn("day", F.dayofmonth("date"))
     rows = rows.withColumns({"dist_20dma": (F.col("day") % 5 - 2) / 10, "rs_20d_slope": F.when(F.col("day") % 3 != 0, (F.col("day") % 4 - 2) / 10)})
     gate = screens.eligible(F.when(F.col("day") % 11 != 0, F.col("day") * 3.0), 20.0, F.col("day") * 2.0, 50.0, min_articles=2, z_max=1.0, delta_min=-0.05)
     return rows.select("ticker", "date", "articles_7d", screens.gated(F.col("day").cast("double"), *gate).alias("score"))
@@ -213,7 +233,7 @@ QUERIES = {
     "flow_by_ticker": lambda t: _round(flow.flow(t.insider_transaction(), t.institutional_holding(), _event_days(t).unionByName(_sundays(t))), 8),
     "percentile_registry": lambda t: _round(percentile.long_percentiles(_registry(t), [m for of in percentile.REGISTRY.values() for m in of], FLOOR).groupBy("date", "metric", "scope").agg(F.count("*").alias("n"), F.avg("pctile").alias("mean_pctile"))),
     "eligible_scores": lambda t: _round(_eligible(t)),
-    "screen_faults": lambda t: screens.unranked_dates(screens.floors(_scored(t), LOOKBACK, 0.7), _screened(t).filter("dayofmonth(date) <> 13"), _states(t).groupBy("screen_id").agg(F.max_by("state", "date").alias("state"))),
+    "screen_faults": lambda t: screens.unranked_dates(_floor(t), _screened(t).filter("dayofmonth(date) <> 13"), _states(t).groupBy("screen_id").agg(F.max_by("state", "date").alias("state"))),
     "candidate_rows": lambda t: selection.candidate_view(_attribution(t)).select("date", "ticker", "gate_state"),
     "chance_overlap": lambda t: _round(measure.chance(_screened(t), _scored(t))),
     "digest_outcomes": lambda t: _digests(t).select("ticker", "outcome"),
@@ -280,7 +300,7 @@ QUERIES = {
     "gate_labels": lambda t: _gate(t),
     "candidates": lambda t: _chosen(t).select("date", "screen_id", "size_bucket", "ticker"),
     "candidate_set": lambda t: selection.candidate_set(_chosen(t)),
-    "attribution": lambda t: _attribution(t).select("date", "ticker", F.map_keys("screens").alias("screen_ids"), "is_candidate", "regime_label", "gate_state", "config_version"),
+    "attribution": lambda t: _attribution(t).select("date", "ticker", F.map_keys("screens").alias("screen_ids"), "surfaced_as", "size_bucket", "sector", "regime_label", "gate_state", "config_version"),
     "concentration": lambda t: _round(measure.concentration(_chosen(t))),
     "concentration_alerts": lambda t: _round(measure.alerts(measure.concentration(_chosen(t)), 0.2, 250)),
     "candidates_per_night": lambda t: _round(measure.per_night(_chosen(t))),

@@ -142,11 +142,18 @@ class Tables:
         return d.select(F.concat(F.lit("T"), 1 + F.col("doc_id") % n).alias("ticker"), F.col("doc_id").alias("article_id"), F.when(F.col("doc_id") % 19 != 0, F.expr("date_sub(date'2024-01-30', cast(doc_id % 12 as int))")).alias("published_at"), F.substring("text", 1, 40).alias("title"), "source", F.col("text").alias("content"))
 
 
-#: Settings with versions: key, version, value, set at (UTC).
+_S1 = '[{"metric": "dist_200dma", "direction": "high", "weight": %d}, {"metric": "median_dollar_volume_20d", "direction": "high", "weight": %d}, {"metric": "ma50_200_slope", "direction": "high", "weight": 1}]'
+_S2 = '[{"metric": "dist_52w_high", "direction": "low", "weight": 1}, {"metric": "dist_200dma", "direction": "low", "weight": 1}, {"metric": "base_breakout_flag", "kind": "bonus", "points": 10}]'
+#: Settings with versions: key, version, value, set at (UTC). Several change within the price history, small enough that small tables still rank and gate.
 CONFIG = [
-    ("gate.gap", 1, "0.08", "1994-01-01 12:00:00"), ("gate.gap", 2, "0.05", "1998-01-01 03:00:00"), ("gate.gap", 3, "0.06", "1999-06-01 12:00:00"),
-    ("gate.cooldown", 1, "30", "1994-01-01 12:00:00"), ("screens.S1.state", 1, "live", "1994-01-01 12:00:00"), ("screens.S2.state", 1, "live", "1994-01-01 12:00:00"),
-    ("screens.S2.state", 2, "shadow", "1999-01-01 04:30:00"), ("screens.S3.state", 1, "retired", "1994-01-01 12:00:00"), ("news.rates", 1, '{"small": {"input": 1.0, "output": 5.0}, "large": {"input": 3.0, "output": 15.0}}', "1994-01-01 12:00:00"), ("news.rates", 2, '{"small": {"input": 0.5, "output": 2.0}}', "2000-01-01 12:00:00"),
+    *((key, 1, value, "1994-01-01 12:00:00") for key, value in {
+        "gate.gap": "0.08", "gate.cooldown": "30", "gate.blackout_before": "5", "gate.blackout_after": "2", "screens.floor_lookback_days": "20", "screens.floor_percentile": "70", "tuner.slot_floor": "4", "tuner.slot_cap": "12",
+        "screens.S1.state": "live", "screens.S1.metrics": _S1 % (2, 1), "screens.S1.min_inputs": "2", "screens.S1.slots": "6", "screens.S2.state": "live", "screens.S2.metrics": _S2, "screens.S2.min_inputs": "2", "screens.S2.slots": "4",
+        "screens.S3.state": "retired", "screens.S3.metrics": _S2, "screens.S3.min_inputs": "1", "screens.S3.slots": "4", "news.rates": '{"small": {"input": 1.0, "output": 5.0}, "large": {"input": 3.0, "output": 15.0}}',
+    }.items()),
+    ("gate.gap", 2, "0.05", "1998-01-01 03:00:00"), ("gate.gap", 3, "0.06", "1999-06-01 12:00:00"), ("gate.cooldown", 2, "2", "1996-01-01 12:00:00"), ("gate.blackout_after", 2, "1", "2000-06-01 12:00:00"),
+    ("screens.floor_lookback_days", 2, "15", "2000-01-03 12:00:00"), ("screens.floor_percentile", 2, "60", "1999-03-01 12:00:00"), ("screens.S1.metrics", 2, _S1 % (1, 3), "2000-03-01 12:00:00"), ("screens.S1.slots", 2, "9", "1999-09-01 12:00:00"),
+    ("screens.S2.state", 2, "shadow", "1999-01-01 04:30:00"), ("news.rates", 2, '{"small": {"input": 0.5, "output": 2.0}}', "2000-01-01 12:00:00"),
 ]
 
 
