@@ -46,7 +46,7 @@ class Grams:
     def __init__(self, texts: list[str | None], longest: int):
         split = [(t or "").encode().lower().translate(PARTS).split() for t in texts]
         self.n_words = np.array([len(w) for w in split], np.int64)
-        self.buffer = b" ".join(w for words in split for w in words)
+        self.buffer = b" ".join([b" ".join(words) for words in split if words])
         self.bytes = np.frombuffer(self.buffer, np.uint8)
         spaces = np.flatnonzero(self.bytes == 0x20)
         some = len(self.buffer) > 0
@@ -64,24 +64,54 @@ class Grams:
             yield self.doc[a : a + PART], Table(self, slice(a, a + PART), buckets)
 
 
+#: The fixed values of XXH64.
+PRIMES = [np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(grams: Grams, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64, seed 0, of byte ranges: those below 32 bytes all together, the rest by the library."""
+    p1, p2, p3, p4, p5 = PRIMES
+    length = ends - starts
+    h = p5 + length.astype(np.uint64)
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([grams.bytes, np.zeros(8, np.uint8)]), 8)
+    for lane in range(3):
+        at = np.flatnonzero(length >= 8 * (lane + 1))
+        k = lanes[starts[at] + 8 * lane].view("<u8")[:, 0]
+        h[at] = _turn(h[at] ^ (_turn(k * p2, 31) * p1), 27) * p1 + p4
+    at = np.flatnonzero(length & 4)
+    k = lanes[starts[at] + (length[at] & ~7)].view("<u4")[:, 0].astype(np.uint64)
+    h[at] = _turn(h[at] ^ (k * p1), 23) * p2 + p3
+    for last in range(3):
+        at = np.flatnonzero((length & 3) > last)
+        k = grams.bytes[starts[at] + (length[at] & ~3) + last].astype(np.uint64)
+        h[at] = _turn(h[at] ^ (k * p5), 11) * p1
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(length >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(grams.buffer[starts[i] : ends[i]])
+    return h
+
+
 class Table:
     """Open addressing with linear probing: ``owner`` is the occurrence whose bytes a slot stands for, -1 in free slots."""
 
     def __init__(self, grams: Grams, part: slice, buckets: int):
         self.bytes, self.starts, self.ends = grams.bytes, grams.starts[part], grams.ends[part]
-        buffer, digest = grams.buffer, xxhash.xxh64_intdigest
-        ranges = list(zip(self.starts.tolist(), self.ends.tolist(), strict=True))
-        self.keys = np.fromiter((self._key(digest, buffer[a:b]) for a, b in ranges), np.uint64, len(ranges))
-        size = 1 << max(1, (2 * len(ranges) - 1).bit_length())
+        self.keys = xxh64(grams, self.starts, self.ends)
+        size = 1 << max(1, (2 * len(self.keys) - 1).bit_length())
         self.owner = np.full(size, -1, np.int64)
         self.slots = self._intern(size)
         self.taken = np.flatnonzero(self.owner >= 0)
         self.count = np.bincount(self.slots, minlength=size)
         self.bucket = np.zeros(size, np.int64)
-        owners = [ranges[o] for o in self.owner[self.taken].tolist()]
-        self.bucket[self.taken] = np.fromiter((zlib.crc32(buffer[a:b]) % buckets for a, b in owners), np.int64, len(owners))
-
-    _key = staticmethod(lambda digest, gram: digest(gram))
+        owners, buffer, crc = self.owner[self.taken], grams.buffer, zlib.crc32
+        self.bucket[self.taken] = [crc(buffer[a:b]) for a, b in zip(self.starts[owners].tolist(), self.ends[owners].tolist(), strict=True)]
+        self.bucket[self.taken] %= buckets
 
     def _intern(self, size: int) -> np.ndarray:
         """The slot of each occurrence. Each round looks at one slot for all occurrences still without one."""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -237,9 +238,16 @@ def test_draw_defined_cases(spark, monkeypatch):
     assert as_rows(importance.resample(docs, target.limit(0), longest=1)) == brute_draw(rows, [], 1)
 
 
+def test_keys_are_those_of_the_library():
+    words = ["x" * n for n in range(1, 70)] + ["é漢" * n for n in range(1, 20)]
+    grams = importance.Grams([" ".join(words)], 2)
+    want = [xxhash.xxh64_intdigest(grams.buffer[a:b]) for a, b in zip(grams.starts.tolist(), grams.ends.tolist(), strict=True)]
+    assert importance.xxh64(grams, grams.starts, grams.ends).tolist() == want
+
+
 def test_equal_hashes_are_settled_by_bytes(monkeypatch):
     """All n-grams of a length under one hash: slots still belong to one n-gram each."""
-    monkeypatch.setattr(importance.Table, "_key", staticmethod(lambda digest, gram: len(gram)))
+    monkeypatch.setattr(importance, "xxh64", lambda grams, starts, ends: (ends - starts).astype(np.uint64))
     grams = importance.Grams(["ab cd ab ef cd ab", "ef gh ab", None, "abc"], 1)
     (doc, table), = grams.parts(10_000)
     words = [grams.buffer[a:b] for a, b in zip(grams.starts.tolist(), grams.ends.tolist(), strict=True)]
