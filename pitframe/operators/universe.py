@@ -34,10 +34,12 @@ def liquidity(prices: DataFrame, day, bars: int = 20, min_price: float = 5, min_
 
 
 def readiness(filings: DataFrame, day) -> DataFrame:
-    """Usable filing dates, newest share count and newest sector of each ticker, all visible on the day."""
+    """Usable filing dates, newest share count and newest sector of each ticker, all visible on the day. A ticker with neither a usable
+    date nor a share count has no fundamentals: its ``clean_gaps`` is null, not zero."""
     seen = filings.filter(F.col("filing_date_effective") <= F.lit(day).cast("date"))
+    clean = F.count_if(F.col("filing_date_unknown_reason") == "none")
     return seen.groupBy("ticker").agg(
-        F.count_if(F.col("filing_date_unknown_reason") == "none").alias("clean_gaps"),
+        F.when((clean > 0) | (F.count("shares") > 0), clean).alias("clean_gaps"),
         F.max_by("shares", F.when(F.col("shares").isNotNull(), F.col("period_end"))).alias("shares"),
         F.max_by("sector", F.when(F.col("sector").isNotNull(), F.struct("filing_date_effective", "period_end"))).alias("sector"),
     )
@@ -53,7 +55,7 @@ def waterfall(prices: DataFrame, filings: DataFrame, listing: DataFrame, deliste
     rows = rows.withColumn("market_cap", F.col("shares") * F.col("last_close"))
     criterion = (
         F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("listed").isNull(), "not_common_stock").when(F.col("delisted_on") < d, "delisted_on_date").when(F.col("clean_gaps").isNull(), "no_fundamentals")
-        .when(F.col("clean_gaps") < min_gaps, "below_clean_gaps").when(F.col("shares").isNull(), "no_share_count").when(F.col("market_cap") < min_cap, "below_market_cap")
+        .when(F.col("clean_gaps") < min_gaps, "below_clean_gaps").when(F.col("shares").isNull() | (F.col("shares") <= 0), "no_share_count").when(F.col("market_cap") < min_cap, "below_market_cap")
     )
     rows = rows.withColumn("criterion", criterion).filter(F.col("criterion").isNull() | (F.col("last_seen") > F.date_sub(d, window)))
     return rows.select("ticker", "criterion", "sector", F.when(F.col("criterion").isNull(), size_bucket(F.col("market_cap"), large, mid)).alias("size_bucket"), "market_cap", "first_seen", "last_seen")
@@ -101,6 +103,14 @@ def rotation(pool: DataFrame, attempts: DataFrame, universe: DataFrame, reported
     return rows.orderBy(F.col("attempted_at").isNotNull(), ~F.col("reported"), "attempted_at", ~F.col("in_universe"), "ticker").limit(n)
 
 
+def rotation_counts(pool: DataFrame, attempts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: the size of the pool, its tickers never tried, and of the chosen ones the new, the refreshed, and the oldest attempt refreshed."""
+    tried = attempts.select("ticker").distinct().withColumn("tried", F.lit(True))
+    a = pool.select("ticker").distinct().join(tried, "ticker", "left").agg(F.count("*").alias("pool"), F.count_if(F.col("tried").isNull()).alias("never_tried"))
+    b = chosen.agg(F.count_if(F.col("attempted_at").isNull()).alias("first_attempts"), F.count("attempted_at").alias("refreshed"), F.min("attempted_at").alias("oldest_refreshed"))
+    return a.crossJoin(b)
+
+
 def bar_counts(prices: DataFrame, window: int = 20) -> DataFrame:
     """Bars of each date with the median and number of the counts before; one row a date, so one window reads them."""
     w = W.partitionBy(F.lit(1)).orderBy("date").rowsBetween(-window, -1)
@@ -108,17 +118,17 @@ def bar_counts(prices: DataFrame, window: int = 20) -> DataFrame:
 
 
 def freshness(prices: DataFrame, session, abort: int = 40_000, alert: int = 45_000, fraction: float = 0.95, window: int = 20) -> DataFrame:
-    """One row (state, usable_date, rows, alert): stale, abort or fresh.
+    """One row (state, usable_date, rows, alert, unchecked): no_data, stale, abort, unsettled or fresh.
 
-    Newest first, dates below the fraction of the median before them are passed over; the first other one is usable.
+    Newest first, dates below the fraction of the median before them are passed over; the first other one is usable, or aborts if it is far too
+    short. ``unchecked`` tells that it was taken without ``window`` dates before it. If all dates are still filling, none is usable and nothing aborts.
     """
     c = bar_counts(prices, window).withColumn("state", F.when(F.col("n") < abort, "abort").when((F.col("prior") >= window) & (F.col("n") < F.col("median") * fraction), "skip").otherwise("fresh"))
     newest = c.agg(F.max("date").alias("newest"))
-    first = c.filter("state <> 'skip'").agg(F.max_by(F.struct("date", "n", "state"), "date").alias("x"))
-    stale = F.col("newest") < F.lit(session).cast("date")
-    state = F.when(stale, "stale").otherwise(F.coalesce("x.state", F.lit("abort")))
+    first = c.filter("state <> 'skip'").agg(F.max_by(F.struct("date", "n", "state", "prior"), "date").alias("x"))
+    state = F.when(F.col("newest").isNull(), "no_data").when(F.col("newest") < F.lit(session).cast("date"), "stale").otherwise(F.coalesce("x.state", F.lit("unsettled")))
     fresh = state == "fresh"
-    return newest.crossJoin(first).select(state.alias("state"), F.when(fresh, F.col("x.date")).alias("usable_date"), F.when(fresh, F.col("x.n")).alias("rows"), (fresh & (F.col("x.n") < alert)).alias("alert"))
+    return newest.crossJoin(first).select(state.alias("state"), F.when(fresh, F.col("x.date")).alias("usable_date"), F.when(fresh, F.col("x.n")).alias("rows"), (fresh & (F.col("x.n") < alert)).alias("alert"), (fresh & (F.col("x.prior") < window)).alias("unchecked"))
 
 
 def frontier(prices: DataFrame, fraction: float = 0.95, window: int = 20) -> DataFrame:

@@ -84,7 +84,7 @@ PARTS = {
     "reported": f"SELECT DISTINCT ticker FROM calendar WHERE event_type = 'earnings' AND event_date > {DAY} - 20 AND event_date <= {DAY}",
     "delisted": "SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE s_suppkey % 13 = 0",
     "liquid": f"SELECT ticker, last_close, median_dollar_volume, first_seen, last_seen, bars FROM (SELECT ticker, arg_max(close, date)::DOUBLE AS last_close, quantile_cont(close::DOUBLE * volume, 0.5) AS median_dollar_volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_daily WHERE date <= {DAY}) WHERE rn <= 20 GROUP BY ticker) JOIN (SELECT ticker, min(date) AS first_seen, max(date) AS last_seen, count(*) AS bars FROM price_daily WHERE date <= {DAY} GROUP BY ticker) USING (ticker) WHERE median_dollar_volume IS NOT NULL",
-    "ready": f"SELECT ticker, count(*) FILTER (filing_date_unknown_reason = 'none') AS clean_gaps, arg_max(shares, period_end) FILTER (shares IS NOT NULL) AS shares, arg_max(sector, {{'a': filing_date_effective, 'b': period_end}}) FILTER (sector IS NOT NULL) AS sector FROM snapshot WHERE filing_date_effective <= {DAY} GROUP BY ticker",
+    "ready": f"SELECT ticker, CASE WHEN bool_or(filing_date_unknown_reason = 'none' OR shares IS NOT NULL) THEN count(*) FILTER (filing_date_unknown_reason = 'none') END AS clean_gaps, arg_max(shares, period_end) FILTER (shares IS NOT NULL) AS shares, arg_max(sector, {{'a': filing_date_effective, 'b': period_end}}) FILTER (sector IS NOT NULL) AS sector FROM snapshot WHERE filing_date_effective <= {DAY} GROUP BY ticker",
     "ranked": "SELECT *, " + ", ".join(f"CASE WHEN {m}_scope = 'cell' THEN CASE WHEN {m}_cn > 1 THEN ({m}_cr - 1) * 100.0::DOUBLE / ({m}_cn - 1) ELSE 0 END WHEN {m}_scope = 'bucket' THEN CASE WHEN {m}_bn > 1 THEN ({m}_br - 1) * 100.0::DOUBLE / ({m}_bn - 1) ELSE 0 END END AS {m}_pctile" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")) + " FROM scoped",
     "scoped": "SELECT *, " + ", ".join(f"CASE WHEN {m} IS NULL OR size_bucket IS NULL THEN NULL WHEN sector IS NOT NULL AND {m}_cn >= 5 THEN 'cell' WHEN {m}_bn >= 5 THEN 'bucket' ELSE 'none' END AS {m}_scope" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")) + " FROM windowed",
     "windowed": "SELECT *, " + ", ".join(f"count({m}) OVER (PARTITION BY date, size_bucket, sector) AS {m}_cn, rank() OVER (PARTITION BY date, size_bucket, sector ORDER BY {m}::REAL NULLS LAST) AS {m}_cr, count({m}) OVER (PARTITION BY date, size_bucket) AS {m}_bn, rank() OVER (PARTITION BY date, size_bucket ORDER BY {m}::REAL NULLS LAST) AS {m}_br" for m in ("dist_200dma", "median_dollar_volume_20d", "dist_52w_high", "ma50_200_slope")) + " FROM features",
@@ -121,8 +121,8 @@ PARTS = {
 
 PARTS |= {
     "listed": "SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE s_suppkey % 3 <> 0",
-    "old_bars": "SELECT ticker, date, open, close, volume FROM price_daily WHERE date < DATE '2000-01-15'",
-    "staged_bars": "SELECT ticker, date, (close * 2)::DECIMAL(20,6) AS close, volume + 1 AS volume FROM price_daily WHERE date >= DATE '1999-12-01'",
+    "old_bars": "SELECT ticker, date, open, close, volume FROM price_daily",
+    "staged_bars": "SELECT CASE WHEN day(date) % 2 = 0 THEN ticker ELSE 'N' || ticker END AS ticker, date, (close * 2)::DECIMAL(20,6) AS close, volume + 1 AS volume FROM price_daily WHERE date >= DATE '1999-12-01'",
     "insider_days": "SELECT s.date, s.ticker, CASE WHEN coalesce(unknown, 0) = 0 THEN coalesce(net, 0) END AS insider_net_90d_usd, CASE WHEN coalesce(nameless, 0) = 0 THEN coalesce(buyers, 0) END AS distinct_buyer_count FROM (SELECT DISTINCT d.date, i.ticker FROM insiders i JOIN flow_days d ON filed_at <= d.date) s LEFT JOIN (SELECT d.date, ticker, sum(CASE side WHEN 'A' THEN value ELSE -value END) AS net, count(*) FILTER (value IS NULL) AS unknown, count(DISTINCT owner) FILTER (code = 'P') AS buyers, count(*) FILTER (code = 'P' AND owner IS NULL) AS nameless FROM insiders JOIN flow_days d ON filed_at <= d.date AND transaction_date <= d.date AND transaction_date > d.date - 90 WHERE code IN ('P', 'S') GROUP BY ALL) g ON g.date = s.date AND g.ticker = s.ticker",
     "flow_days": "SELECT date FROM event_days UNION SELECT date FROM sundays",
     "owner_days": "SELECT d.date, ticker, total / (CASE WHEN previous > 0 THEN previous END) - 1 AS inst_ownership_change FROM (SELECT *, lag(total) OVER w AS previous, lead(report_date) OVER w AS nxt FROM (SELECT ticker, report_date, sum(shares) AS total FROM holdings GROUP BY ALL HAVING count(*) = count(shares)) WINDOW w AS (PARTITION BY ticker ORDER BY report_date)) t JOIN flow_days d ON report_date <= d.date - 45 AND (nxt IS NULL OR nxt > d.date - 45)",
@@ -157,7 +157,7 @@ BODIES = {
     "exchange_sessions": _SESSIONS,
     "recent_session": f"SELECT max(date) AS session FROM ({_SESSIONS}) WHERE date BETWEEN DATE '2000-04-20' AND DATE '2000-04-30'",
     "upsert_bars": "SELECT coalesce(o.ticker, s.ticker) AS ticker, coalesce(o.date, s.date) AS date, open, CASE WHEN s.ticker IS NOT NULL THEN s.close ELSE o.close END AS close, CASE WHEN s.ticker IS NOT NULL THEN s.volume ELSE o.volume END AS volume FROM old_bars o FULL JOIN staged_bars s ON o.ticker = s.ticker AND o.date = s.date",
-    "update_bars": "SELECT o.ticker, o.date, open, o.close, s.volume FROM old_bars o LEFT JOIN staged_bars s ON o.ticker = s.ticker AND o.date = s.date",
+    "update_bars": "SELECT o.ticker, o.date, open, o.close, CASE WHEN s.ticker IS NULL THEN o.volume ELSE s.volume END AS volume FROM old_bars o LEFT JOIN staged_bars s ON o.ticker = s.ticker AND o.date = s.date",
     "insert_absent_bars": "SELECT ticker, date, open, close, volume FROM old_bars UNION ALL SELECT ticker, date, close AS open, close, volume FROM staged_bars s WHERE NOT EXISTS (SELECT 1 FROM old_bars o WHERE o.ticker = s.ticker AND o.date = s.date)",
     "replace_dates_bars": "SELECT ticker, date, open, close, volume FROM old_bars WHERE date NOT IN (SELECT date FROM staged_bars) UNION ALL SELECT ticker, date, close AS open, close, volume FROM staged_bars",
     "coverage_intervals": "SELECT source, a AS covered_from, b + 5 AS covered_to FROM coverages",
@@ -188,13 +188,14 @@ BODIES = {
     "filing_dates": "SELECT ticker, period_end, filing_date, filing_date_unknown_reason, gap, widest_gap, filing_date_effective FROM snapshot",
     "filing_quality": "SELECT *, substituted > periods * 0.25 OR wide_tickers > 0 AS alert FROM (SELECT count(*) AS periods, count(*) FILTER (gap IS NULL AND filing_date_effective IS NOT NULL) AS substituted, count(DISTINCT ticker) FILTER (widest_gap > 75) AS wide_tickers FROM snapshot)",
     "readable_filings": f"SELECT ticker, period_end, row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC) AS rank FROM snapshot WHERE filing_date_effective <= {DAY}",
-    "freshness": "SELECT CASE WHEN newest < DATE '2001-11-01' THEN 'stale' ELSE coalesce(state, 'abort') END AS state, CASE WHEN newest >= DATE '2001-11-01' AND state = 'fresh' THEN date END AS usable_date, CASE WHEN newest >= DATE '2001-11-01' AND state = 'fresh' THEN n END AS rows, newest >= DATE '2001-11-01' AND state = 'fresh' AND n < 3 AS alert FROM (SELECT max(date) AS newest FROM counts), (SELECT date, n, CASE WHEN n < 1 THEN 'abort' ELSE 'fresh' END AS state FROM counts WHERE NOT (n >= 1 AND prior >= 20 AND n < median * 0.95) ORDER BY date DESC LIMIT 1)",
+    "freshness": "SELECT CASE WHEN newest < DATE '2001-11-01' THEN 'stale' ELSE coalesce(state, 'unsettled') END AS state, CASE WHEN newest >= DATE '2001-11-01' AND state = 'fresh' THEN date END AS usable_date, CASE WHEN newest >= DATE '2001-11-01' AND state = 'fresh' THEN n END AS rows, newest >= DATE '2001-11-01' AND state = 'fresh' AND n < 3 AS alert, newest >= DATE '2001-11-01' AND state = 'fresh' AND prior < 20 AS unchecked FROM (SELECT max(date) AS newest FROM counts), (SELECT date, n, prior, CASE WHEN n < 1 THEN 'abort' ELSE 'fresh' END AS state FROM counts WHERE NOT (n >= 1 AND prior >= 20 AND n < median * 0.95) ORDER BY date DESC LIMIT 1)",
     "frontier": "SELECT max(date) AS frontier FROM counts WHERE prior < 20 OR n >= median * 0.95",
     "just_reported": "SELECT ticker FROM reported",
     "rotation": "SELECT p.ticker, attempted_at, r.ticker IS NOT NULL AS reported, u.ticker IS NOT NULL AS in_universe FROM (SELECT DISTINCT ticker FROM security_daily) p LEFT JOIN (SELECT ticker, max(closed) AS attempted_at FROM trades WHERE s = 'F' GROUP BY ticker) a USING (ticker) LEFT JOIN reported r USING (ticker) LEFT JOIN (SELECT s.ticker AS ticker FROM universe WHERE s.is_active) u USING (ticker) ORDER BY attempted_at IS NOT NULL, r.ticker IS NULL, attempted_at NULLS FIRST, u.ticker IS NULL, p.ticker LIMIT 25",
+    "rotation_counts": "SELECT (SELECT count(DISTINCT ticker) FROM security_daily) AS pool, (SELECT count(DISTINCT ticker) FROM security_daily WHERE ticker NOT IN (SELECT ticker FROM trades WHERE s = 'F')) AS never_tried, count(*) FILTER (attempted_at IS NULL) AS first_attempts, count(attempted_at) AS refreshed, min(attempted_at) AS oldest_refreshed FROM (ROTATION)",
     "evaluation_dates": "SELECT date FROM sundays",
     "liquidity": "SELECT ticker, round(last_close, 6) AS last_close, round(median_dollar_volume, 6) AS median_dollar_volume, first_seen, last_seen, bars, CASE WHEN last_close < 101 THEN 'below_min_price' WHEN median_dollar_volume < 2500 THEN 'below_min_dollar_volume' WHEN bars < 200 THEN 'insufficient_history' END AS verdict FROM liquid",
-    "universe_waterfall": f"SELECT ticker, criterion, sector, CASE WHEN criterion IS NULL THEN CASE WHEN cap >= 1.16e8 THEN 'large' WHEN cap >= 1.12e8 THEN 'mid' WHEN cap IS NOT NULL THEN 'small' END END AS size_bucket, round(cap, 2) AS market_cap, first_seen, last_seen FROM (SELECT q.ticker, r.sector, shares * last_close AS cap, first_seen, last_seen, CASE WHEN last_close < 101 THEN 'below_min_price' WHEN median_dollar_volume < 2000 THEN 'below_min_dollar_volume' WHEN bars < 150 THEN 'insufficient_history' WHEN substr(q.ticker, 2)::INT % 17 = 0 THEN 'not_common_stock' WHEN dl.d < {DAY} THEN 'delisted_on_date' WHEN clean_gaps IS NULL THEN 'no_fundamentals' WHEN clean_gaps < 4 THEN 'below_clean_gaps' WHEN shares IS NULL THEN 'no_share_count' WHEN shares * last_close < 1e8 THEN 'below_market_cap' END AS criterion FROM liquid q LEFT JOIN ready r USING (ticker) LEFT JOIN (SELECT ticker, max(date) AS d FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) GROUP BY ticker) dl USING (ticker)) WHERE criterion IS NULL OR last_seen > {DAY} - 60",
+    "universe_waterfall": f"SELECT ticker, criterion, sector, CASE WHEN criterion IS NULL THEN CASE WHEN cap >= 1.16e8 THEN 'large' WHEN cap >= 1.12e8 THEN 'mid' WHEN cap IS NOT NULL THEN 'small' END END AS size_bucket, round(cap, 2) AS market_cap, first_seen, last_seen FROM (SELECT q.ticker, r.sector, shares * last_close AS cap, first_seen, last_seen, CASE WHEN last_close < 101 THEN 'below_min_price' WHEN median_dollar_volume < 2000 THEN 'below_min_dollar_volume' WHEN bars < 150 THEN 'insufficient_history' WHEN substr(q.ticker, 2)::INT % 17 = 0 THEN 'not_common_stock' WHEN dl.d < {DAY} THEN 'delisted_on_date' WHEN clean_gaps IS NULL THEN 'no_fundamentals' WHEN clean_gaps < 4 THEN 'below_clean_gaps' WHEN shares IS NULL OR shares <= 0 THEN 'no_share_count' WHEN shares * last_close < 1e8 THEN 'below_market_cap' END AS criterion FROM liquid q LEFT JOIN ready r USING (ticker) LEFT JOIN (SELECT ticker, max(date) AS d FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) GROUP BY ticker) dl USING (ticker)) WHERE criterion IS NULL OR last_seen > {DAY} - 60",
     "departures": f"SELECT ticker, NULL::VARCHAR AS sector, NULL::VARCHAR AS size_bucket, NULL::DOUBLE AS market_cap, FALSE AS is_active FROM (SELECT ticker, arg_max(is_active, date) FILTER (date <= {FIRST}) AS a, arg_max(is_active, date) FILTER (date <= DATE '1999-07-15') AS b FROM security_daily GROUP BY ticker) WHERE a AND NOT b",
     "delisted_on": "SELECT ticker, max(date) AS delisted_on FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) GROUP BY ticker",
     "delisted_pool": f"SELECT DISTINCT ticker FROM price_daily WHERE ticker IN (SELECT ticker FROM delisted) AND date BETWEEN {FIRST} AND DATE '1999-01-31'",
@@ -241,7 +242,7 @@ BODIES = {
     "overlap": "SELECT (SELECT round(count(*) FILTER (len(screens) > 1) / count(*), 6) FROM sets) AS candidate_overlap, (SELECT round(count(*) FILTER (n > 1) / count(*), 6) FROM (SELECT date, ticker, count(DISTINCT screen_id) AS n FROM screened GROUP BY ALL)) AS ranked_overlap",
     "completeness": "SELECT 0::BIGINT AS unattributed, 0::BIGINT AS unstamped, (SELECT count(*) FROM attributed WHERE NOT is_candidate) AS shadow_rows",
     "seats": "SELECT date, screen_id, count(DISTINCT ticker) AS seats FROM chosen GROUP BY date, screen_id",
-    "persistence": "SELECT screen_id, " + ", ".join(f"round(avg(CASE WHEN s IS NOT NULL AND p{n} IS NOT NULL THEN len(list_intersect(s, p{n})) / len(list_distinct(list_concat(s, p{n}))) END), 6) AS jaccard_{n}" for n in (1, 5, 21)) + ", round(avg(len(s)), 6) AS mean_size, round(sum(large) / sum(n), 6) AS large_share FROM (SELECT *, " + ", ".join(f"lag(s, {n}) OVER (PARTITION BY screen_id ORDER BY date) AS p{n}" for n in (1, 5, 21)) + " FROM score_dates LEFT JOIN (SELECT screen_id, date, list(ticker) AS s, count(*) FILTER (size_bucket = 'large') AS large, count(*) AS n FROM screened GROUP BY ALL) USING (screen_id, date)) GROUP BY screen_id",
+    "persistence": "SELECT screen_id, " + ", ".join(f"round(avg(CASE WHEN s IS NOT NULL AND p{n} IS NOT NULL THEN len(list_intersect(s, p{n})) / len(list_distinct(list_concat(s, p{n}))) END), 6) AS jaccard_{n}" for n in (1, 5, 21)) + ", count(*) FILTER (s IS NOT NULL AND p1 IS NOT NULL) AS pairs, round(avg(len(s)), 6) AS mean_ranked, round(avg(scored_names), 6) AS mean_scored, count(s) AS dates_ranked, count(*) AS dates_scored, round(sum(large) / sum(n), 6) AS large_share FROM (SELECT *, " + ", ".join(f"lag(s, {n}) OVER (PARTITION BY screen_id ORDER BY date) AS p{n}" for n in (1, 5, 21)) + " FROM (SELECT screen_id, date, count(*) AS scored_names FROM scored WHERE score IS NOT NULL GROUP BY ALL) LEFT JOIN (SELECT screen_id, date, list(ticker) AS s, count(*) FILTER (size_bucket = 'large') AS large, count(*) AS n FROM screened GROUP BY ALL) USING (screen_id, date)) GROUP BY screen_id",
     "news_window": "SELECT article_id, ticker, published_at, in_window FROM articles",
     "article_budget": "SELECT ticker, article_id, rn, upto FROM budget",
     "digest_input": "SELECT ticker, md5(string_agg(title || chr(10) || content, chr(10) || chr(10) ORDER BY rn)) AS md5, sum(tokens)::BIGINT AS tokens FROM budget GROUP BY ticker",
@@ -270,6 +271,8 @@ def _rejections() -> str:
 
 
 BODIES["record_rejection"] = _rejections()
+BODIES["rotation_counts"] = BODIES["rotation_counts"].replace("ROTATION", BODIES["rotation"])
+BODIES |= {f"stored_{k}": BODIES[f"{k}{x}_bars"] for k, x in (("upsert", ""), ("update", ""), ("replace", "_dates"))}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Keyed writes (A16-A20): merges of staged rows, idempotent on their key."""
+"""Keyed writes (A16-A20): merges of staged rows, idempotent on their key; ``stored`` applies them to partitioned tables."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ def upsert(existing: DataFrame, staged: DataFrame, keys: list[str], columns: lis
 
 
 def update_columns(existing: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns of ``values`` set on rows that exist; rows and other columns stay."""
+    """Columns of ``values`` set on rows that exist under their key, nulls being values; other rows and other columns stay."""
     own = [c for c in values.columns if c not in keys]
-    return existing.drop(*own).join(values, keys, "left")
+    both = existing.join(values.select(*keys, F.struct(*own).alias("_new")), keys, "left")
+    return both.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in existing.columns))
 
 
 def insert_absent(existing: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,11 +33,6 @@ def replace_dates(existing: DataFrame, staged: DataFrame, dates: DataFrame) -> D
     return existing.join(F.broadcast(dates.select("date").distinct()), "date", "left_anti").select(existing.columns).unionByName(staged)
 
 
-def write_dates(staged: DataFrame, path: str) -> None:
-    """A19 on files: only the date partitions in ``staged`` are overwritten."""
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-
-
 def coverage(existing: DataFrame, staged: DataFrame) -> DataFrame:
     """(source, covered_from, covered_to) widened by new intervals."""
     return existing.unionByName(staged).groupBy("source").agg(F.min("covered_from").alias("covered_from"), F.max("covered_to").alias("covered_to"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitframe.operators import asof, filings, flow, market, measure, news, percentile, record, screens, sectors, selection, sentiment, settings, technical, universe, valuation
 from pitframe.plans import upsert as writes
+from pitframe.plans.stages import shared_folder
+from pitframe.plans.stored import Stored
 from pitframe.sources import flatten, landing
 from pitframe.sources.adapters import Tables, config_rows
 
@@ -150,12 +154,22 @@ def _actions(t: Tables) -> DataFrame:
 
 
 def _staged(t: Tables) -> DataFrame:
-    """Bars from December 1999 on with a new close and volume."""
-    return t.prices().filter("date >= '1999-12-01'").select("ticker", "date", (F.col("close") * 2).cast("decimal(20,6)").alias("close"), (F.col("volume") + 1).alias("volume"))
+    """Bars from December 1999 on with a new close and volume, on odd days of the month under names that are not there yet."""
+    name = F.when(F.dayofmonth("date") % 2 == 0, F.col("ticker")).otherwise(F.concat(F.lit("N"), "ticker"))
+    return t.prices().filter("date >= '1999-12-01'").select(name.alias("ticker"), "date", (F.col("close") * 2).cast("decimal(20,6)").alias("close"), (F.col("volume") + 1).alias("volume"))
 
 
 def _old(t: Tables) -> DataFrame:
-    return t.prices().filter("date < '2000-01-15'").select("ticker", "date", "open", "close", "volume")
+    return t.prices().select("ticker", "date", "open", "close", "volume")
+
+
+def _stored(t: Tables, write) -> DataFrame:
+    """The bars as a stored table, after ``write`` has been applied to it twice: the second time must change nothing."""
+    table = Stored(t.spark, f"{shared_folder(t.spark).rstrip('/')}/bars-{uuid.uuid4().hex}", _old(t).schema, "month")
+    table.write(_old(t))
+    for _ in range(2):
+        write(table)
+    return table.read()
 
 
 def _news_pairs(t: Tables) -> DataFrame:
@@ -226,6 +240,9 @@ QUERIES = {
     "update_bars": lambda t: writes.update_columns(_old(t), _staged(t).select("ticker", "date", "volume"), ["ticker", "date"]),
     "insert_absent_bars": lambda t: writes.insert_absent(_old(t), _staged(t).withColumn("open", F.col("close")), ["ticker", "date"]),
     "replace_dates_bars": lambda t: writes.replace_dates(_old(t), _staged(t).withColumn("open", F.col("close")), _staged(t)),
+    "stored_upsert": lambda t: _stored(t, lambda table: table.upsert(_staged(t), ["ticker", "date"], ["close", "volume"])),
+    "stored_update": lambda t: _stored(t, lambda table: table.update(_staged(t).select("ticker", "date", "volume"), ["ticker", "date"])),
+    "stored_replace": lambda t: _stored(t, lambda table: table.replace(_staged(t).withColumn("open", F.col("close")), _staged(t))),
     "coverage_intervals": lambda t: writes.coverage(_coverages(t), _coverages(t).withColumn("covered_to", F.date_add("covered_to", 5))),
     "config_versions": lambda t: asof.config_versions_on(config_rows(t.spark), _sessions(t)),
     "liquid_pool": lambda t: universe.liquid_pool(t.price_daily(), _listed(t), DAY, min_price=101, min_volume=2500, history=200),
@@ -260,7 +277,8 @@ QUERIES = {
     "freshness": lambda t: universe.freshness(t.price_daily(), "2001-11-01", 1, 3),
     "frontier": lambda t: universe.frontier(t.price_daily()),
     "just_reported": lambda t: universe.just_reported(t.events_calendar(), DAY, 20),
-    "rotation": lambda t: universe.rotation(t.security_daily(), t.trade_outcome().select("ticker", F.col("exit_date").alias("attempted_at")), asof.members_as_of(t.security_daily(), DAY), universe.just_reported(t.events_calendar(), DAY, 20), 25),
+    "rotation": lambda t: _rotation(t),
+    "rotation_counts": lambda t: universe.rotation_counts(t.security_daily(), _attempts(t), _rotation(t)),
     "evaluation_dates": lambda t: _sundays(t),
     "liquidity": lambda t: _round(universe.liquidity(t.price_daily(), DAY, min_price=101, min_volume=2500, history=200)),
     "universe_waterfall": lambda t: _round(_waterfall(t), 2),
@@ -310,7 +328,7 @@ QUERIES = {
     "overlap": lambda t: _round(measure.overlap(selection.candidate_set(_chosen(t)), _screened(t))),
     "completeness": lambda t: measure.completeness(selection.candidate_set(_chosen(t)), _attribution(t)),
     "seats": lambda t: measure.seats(selection.candidate_set(_chosen(t))),
-    "persistence": lambda t: _round(measure.persistence(_screened(t), _scored(t).filter("score is not null").select("screen_id", "date").distinct())),
+    "persistence": lambda t: _round(measure.persistence(_screened(t), _scored(t).filter("score is not null").groupBy("screen_id", "date").agg(F.count("*").alias("n")))),
     "news_window": lambda t: news.in_window(t.headline(), NEWS_DAY).select("article_id", "ticker", "published_at", "in_window"),
     "article_budget": lambda t: news.budgeted(news.in_window(t.headline(), NEWS_DAY).filter("in_window"), 1200).select("ticker", "article_id", F.col("rn").cast("long"), F.col("upto").cast("long")),
     "digest_input": lambda t: news.rendered(news.budgeted(news.in_window(t.headline(), NEWS_DAY).filter("in_window"), 1200)).select("ticker", F.md5("digest_input").alias("md5"), F.col("tokens").cast("long")),
@@ -323,6 +341,14 @@ def _delisted(t: Tables) -> DataFrame:
     return t.read("supplier").filter("s_suppkey % 13 = 0").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"))
 
 
+def _attempts(t: Tables) -> DataFrame:
+    return t.trade_outcome().select("ticker", F.col("exit_date").alias("attempted_at"))
+
+
+def _rotation(t: Tables) -> DataFrame:
+    return universe.rotation(t.security_daily(), _attempts(t), asof.members_as_of(t.security_daily(), DAY), universe.just_reported(t.events_calendar(), DAY, 20), 25)
+
+
 def _waterfall(t: Tables) -> DataFrame:
     listing = t.read("supplier").filter("s_suppkey % 17 <> 0").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"))
     return universe.waterfall(t.prices(), t.fundamental_snapshot(), listing, universe.delisted_on(t.prices(), _delisted(t)), DAY, window=60, min_cap=1e8, min_gaps=4, large=1.16e8, mid=1.12e8, min_price=101, min_volume=2000, history=150)
