@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from pitframe.functions.series import token_estimate
 
@@ -32,22 +29,24 @@ def rendered(selected: DataFrame) -> DataFrame:
     return selected.groupBy("ticker").agg(F.array_join(parts, "\n\n").alias("digest_input"), F.sum("tokens").alias("tokens"))
 
 
-@F.pandas_udf(DecimalType(20, 0))
-def fnv1a64(text: pd.Series) -> pd.Series:
-    """FNV-1a of the UTF-8 bytes, unsigned: all texts of a batch one byte at a time; SQL has no wrapping product."""
-    raw = [x.encode() for x in text.fillna("")]
-    width = max(map(len, raw), default=0)
-    padded = np.zeros((len(raw), width), np.uint64)
-    for i, b in enumerate(raw):
-        padded[i, : len(b)] = np.frombuffer(b, np.uint8)
-    sizes = np.array([len(b) for b in raw])
-    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
-    for k in range(width):
-        on = sizes > k
-        h[on] = (h[on] ^ padded[on, k]) * np.uint64(0x100000001B3)
-    from decimal import Decimal
-
-    return pd.Series([Decimal(int(x)) for x in h])
+#: Fixed values of 64-bit FNV-1a: both halves of the offset basis, and the prime, 2^40 + 435.
+BASIS_HIGH, BASIS_LOW, PRIME_LOW = 0xCBF29CE4, 0x84222325, 435
+_HALF = (1 << 32) - 1
+
+
+def fnv1a64(text: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes as a struct of its two halves (high, low), which sorts like the unsigned number; null hashes as the empty text.
+
+    The product wraps at 64 bits in halves of 32: low * 435 carries into high, and 2^40 moves low up by 8 bits there.
+    """
+    byte = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit("(..)"), F.lit(1))
+
+    def step(h: Column, pair: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        high = h["high"] * PRIME_LOW + F.shiftright(low * PRIME_LOW, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(F.lit(_HALF)).alias("high"), (low * PRIME_LOW).bitwiseAND(F.lit(_HALF)).alias("low"))
+
+    return F.aggregate(byte, F.struct(F.lit(BASIS_HIGH).cast("long").alias("high"), F.lit(BASIS_LOW).cast("long").alias("low")), step)
 
 
 def rotate(candidates: DataFrame, k: int = 2) -> DataFrame:

@@ -87,7 +87,7 @@ def wilder_arrays(h: np.ndarray, low: np.ndarray, c: np.ndarray, warmup: int, n:
                     adx = np.mean(seeds, axis=0)
             else:
                 adx = (adx * (n - 1) + dx()) / n
-        atr_out[warmup:] = st / c[warmup:]
+        atr_out[warmup:] = np.where(c[warmup:] > 0, st / c[warmup:], np.nan)
         if adx is not None:
             adx_out[warmup:] = np.where(zero, np.nan, adx)
     return atr_out, adx_out

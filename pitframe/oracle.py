@@ -112,6 +112,11 @@ PARTS = {
     "market": "SELECT date, breadth, benchmark_above, CASE WHEN breadth >= 0.6 AND benchmark_above THEN 'risk_on' WHEN breadth <= 0.4 AND NOT benchmark_above THEN 'risk_off' ELSE 'mixed' END AS regime_label FROM breadths LEFT JOIN trend USING (date)",
     "attributed": "SELECT date, ticker, list_sort(list(DISTINCT screen_id)) AS screen_ids, bool_or(is_live) AS is_candidate, min(size_bucket) AS size_bucket, min(gate_state) AS gate_state FROM taken GROUP BY date, ticker",
     "config_versions": "SELECT date, CASE WHEN count(*) FILTER (since <= date) > 0 THEN 1 + count(*) FILTER (since <= date AND version > 1) END AS config_version FROM days, config GROUP BY date",
+    "hashed": "SELECT date, ticker, list_reduce(list_prepend(14695981039346656037::HUGEINT, [unicode(c)::HUGEINT for c in string_split(strftime(date, '%Y-%m-%d') || ticker, '')]), lambda h, b: xor(h, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT) AS hash FROM (SELECT DISTINCT date, ticker FROM sentiment_daily)",
+    "moves": "SELECT ticker, date, c, bar, greatest(h - l, abs(h - before), abs(l - before)) AS t, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m FROM (SELECT *, lag(c) OVER w AS before, h - lag(h) OVER w AS up, lag(l) OVER w - l AS down FROM adj WINDOW w AS (PARTITION BY ticker ORDER BY date))",
+    "windows": "SELECT ticker, date, c, bar, list({'t': t, 'p': p, 'm': m, 'n': 0, 'a': 0.0::DOUBLE}) OVER w AS x FROM moves WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 249 PRECEDING)",
+    "smoothed": "SELECT ticker, date, c, list_reduce(list_prepend({'t': list_sum([y.t for y in x[1:14]]) / 14, 'p': list_sum([y.p for y in x[1:14]]) / 14, 'm': list_sum([y.m for y in x[1:14]]) / 14, 'n': 1, 'a': CASE WHEN list_sum([y.p + y.m for y in x[1:14]]) > 0 THEN 100 * abs(list_sum([y.p - y.m for y in x[1:14]])) / list_sum([y.p + y.m for y in x[1:14]]) ELSE 0 END}, x[15:250]), lambda s, y: {'t': (s.t * 13 + y.t) / 14, 'p': (s.p * 13 + y.p) / 14, 'm': (s.m * 13 + y.m) / 14, 'n': s.n + 1, 'a': (CASE WHEN s.n < 14 THEN s.a ELSE s.a * 13 END + CASE WHEN s.p * 13 + y.p + s.m * 13 + y.m > 0 THEN 100 * abs(s.p * 13 + y.p - s.m * 13 - y.m) / (s.p * 13 + y.p + s.m * 13 + y.m) ELSE 0 END) / CASE WHEN s.n >= 13 THEN 14 ELSE 1 END}) AS s FROM windows WHERE bar > 250",
+    "wilder": "SELECT a.ticker, a.date, s.t / s.c AS atr_pct, s.a AS adx14 FROM adj a LEFT JOIN (SELECT ticker, date, c, s.t AS t, s.a AS a FROM smoothed) s ON s.ticker = a.ticker AND s.date = a.date",
     "articles": "SELECT *, coalesce(published_at > DATE '2024-01-30' - 7 AND published_at <= DATE '2024-01-30', FALSE) AS in_window, ceil(length(content) / 3.5)::BIGINT AS tokens FROM headline",
     "budget": "SELECT * FROM (SELECT *, row_number() OVER w AS rn, sum(tokens) OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM articles WHERE in_window WINDOW w AS (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, title, article_id)) WHERE rn = 1 OR upto <= 1200",
     "pairs": "SELECT m.ticker, m.date FROM members m WHERE m.date IN (SELECT min(date) FROM days GROUP BY year(date), quarter(date))",
@@ -246,6 +251,8 @@ BODIES = {
     "news_window": "SELECT article_id, ticker, published_at, in_window FROM articles",
     "article_budget": "SELECT ticker, article_id, rn, upto FROM budget",
     "digest_input": "SELECT ticker, md5(string_agg(title || chr(10) || content, chr(10) || chr(10) ORDER BY rn)) AS md5, sum(tokens)::BIGINT AS tokens FROM budget GROUP BY ticker",
+    "hash_rotation": "SELECT date, ticker, rn FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY hash, ticker) AS rn FROM hashed) WHERE rn <= 2",
+    "wilder_atr_adx": "SELECT ticker, date, round(atr_pct, 6) AS atr_pct, round(adx14, 6) AS adx14 FROM wilder",
     "token_cost": "SELECT *, round(tokens * rate / 1e6, 6) AS cost FROM (SELECT article_id, CASE WHEN article_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CASE WHEN article_id % 3 = 0 THEN 'output' ELSE 'input' END AS kind, tokens, CASE WHEN article_id % 6 = 0 THEN 5.0 WHEN article_id % 2 = 0 THEN 1.0 WHEN article_id % 3 = 0 THEN 15.0 ELSE 3.0 END::DOUBLE AS rate FROM articles)",
 }
 
@@ -272,6 +279,8 @@ def _rejections() -> str:
 
 BODIES["record_rejection"] = _rejections()
 BODIES["rotation_counts"] = BODIES["rotation_counts"].replace("ROTATION", BODIES["rotation"])
+BODIES["insider_flow_landed"] = BODIES["insider_flow"]
+BODIES["ownership_landed"] = f"SELECT * FROM ({BODIES['ownership_change']}) WHERE ticker IN (SELECT ticker FROM raw_filings)"
 BODIES |= {f"stored_{k}": BODIES[f"{k}{x}_bars"] for k, x in (("upsert", ""), ("update", ""), ("replace", "_dates"))}
 
 

@@ -11,7 +11,7 @@ from pitframe.operators import asof, filings, flow, market, measure, news, perce
 from pitframe.plans import upsert as writes
 from pitframe.plans.stages import shared_folder
 from pitframe.plans.stored import Stored
-from pitframe.sources import flatten, landing
+from pitframe.sources import contract, flatten, landing
 from pitframe.sources.adapters import Tables, config_rows
 
 DAY, FIRST, LAST = "1999-03-15", "1999-01-04", "1999-12-31"
@@ -300,6 +300,8 @@ QUERIES = {
     "ev_ebit_own_history": lambda t: _round(valuation.own_history(t.prices(), _basics(t), t.prices().select("ticker", "date"), OWN_POINTS)),
     "surprises": lambda t: valuation.last_surprises(t.earnings_history(), DAY),
     "insider_flow": lambda t: _round(flow.insider(t.insider_transaction(), _event_days(t)), 2),
+    "insider_flow_landed": lambda t: _round(flow.insider(flow.with_owner(flatten.insiders(landing.insiders(t.insider_transaction()))), _event_days(t)), 2),
+    "ownership_landed": lambda t: _round(flow.ownership_change(contract.conform(flatten.holders(_fundamentals(t)), "institutional_holding"), _sundays(t))),
     "ownership_change": lambda t: _round(flow.ownership_change(t.institutional_holding(), _sundays(t))),
     "flow_unknowns": lambda t: flow.unknown_counts(t.insider_transaction(), t.institutional_holding()),
     "article_sentiment": lambda t: _round(sentiment.sentiment(t.sentiment_daily(), t.sentiment_daily().select("ticker").distinct().crossJoin(F.broadcast(_event_days(t))), min_days=10)),

@@ -58,8 +58,8 @@ def fundamentals(filings: DataFrame, earnings: DataFrame, holdings: DataFrame) -
 
 
 def insiders(transactions: DataFrame) -> DataFrame:
-    """One response a ticker: each filing with a line of either side; the derivative side begins with a number, which counts as a place."""
-    line = F.struct(F.col("transaction_date").cast("string").alias("transaction_date"), "transaction_code", F.col("owner").alias("reporting_owner_name"), F.col("shares_amount").cast("string").alias("shares_amount"))
+    """One response a ticker: each filing with a line of either side, whose owner has a CIK or else a name; the derivative side begins with a number, which counts as a place."""
+    line = F.struct(F.col("transaction_date").cast("string").alias("transaction_date"), "transaction_code", F.when(F.col("accession_number") % 2 == 0, F.col("owner")).alias("reporting_owner_cik"), F.when(F.col("accession_number") % 2 == 1, F.col("owner")).when(F.col("owner").isNotNull(), "other").alias("reporting_owner_name"), "acquired_or_disposed", *(F.col(c).cast("string").alias(c) for c in ("shares_amount", "price_per_share", "total_value")))
     side = F.to_json(F.array(line))
     plain = F.col("acquired_or_disposed") == "A"
     filing = F.concat(F.lit('{"accession_number":"'), F.col("accession_number").cast("string"), F.lit('","filed_at":"'), F.col("filed_at").cast("string"), F.lit('T10:00:00Z","non_derivative":'), F.when(plain, side).otherwise("[]"), F.lit(',"derivative":'), F.when(plain, "[]").otherwise(F.concat(F.lit("[3,"), F.substr(side, F.lit(2)))), F.lit("}"))

@@ -55,8 +55,18 @@ def test_small_rules(spark):
 
 
 def test_fnv_vectors(spark):
-    df = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string")
-    assert [int(r[0]) for r in df.select(news.fnv1a64("t")).collect()] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    texts = ["", "a", "foobar", None, "2024-01-30T7", "é漢🙂", "x" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.h.high << 32) + r.h.low for r in df.select(news.fnv1a64(F.col("t")).alias("h")).collect()]
+    want = []
+    for t in texts:
+        h = 0xCBF29CE484222325
+        for b in (t or "").encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        want.append(h)
+    assert got == want and want[:3] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    plan = news.rotate(spark.createDataFrame([(D(2020, 1, 1), "A")], "date date, ticker string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_filing_dates_and_leak(spark):

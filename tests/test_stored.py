@@ -129,3 +129,16 @@ def test_rotation_counts(spark):
     none = pool.limit(0)
     chosen = universe.rotation(pool, attempts, none, none, 3)
     assert tuple(universe.rotation_counts(pool, attempts, chosen).first()) == (5, 2, 2, 1, D(2019, 1, 1))
+
+
+def test_features_of_landed_filings_equal_those_of_the_tables(spark):
+    from pitframe.sources import contract, flatten, landing
+    from pitframe.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    days = t.read("events").select(F.to_date("ts").alias("date")).distinct()
+    landed = flatten.insiders(landing.insiders(t.insider_transaction()))
+    assert rows(flow.insider(flow.with_owner(landed), days)) == rows(flow.insider(t.insider_transaction(), days))
+    with pytest.raises(ValueError, match="reporting_owner_cik is missing; filed_at is string, not day|filed_at is string, not day; reporting_owner_cik is missing"):
+        contract.conform(landed.drop("reporting_owner_cik").withColumn("filed_at", F.col("filed_at").cast("string")), "insider_transaction")
+    assert contract.conform(t.sentiment_daily().withColumn("article_count", F.col("article_count").cast("int")), "sentiment_daily").dtypes[2:] == [("article_count", "int"), ("sentiment_score", "double")]
