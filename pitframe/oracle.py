@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pitframe.operators.percentile import REGISTRY
 from pitframe.sources import adapters
 
 DAY, FIRST, LAST = "DATE '1999-03-15'", "DATE '1999-01-04'", "DATE '1999-12-31'"
@@ -133,7 +134,9 @@ PARTS |= {
     "owner_days": "SELECT d.date, ticker, total / (CASE WHEN previous > 0 THEN previous END) - 1 AS inst_ownership_change FROM (SELECT *, lag(total) OVER w AS previous, lead(report_date) OVER w AS nxt FROM (SELECT ticker, report_date, sum(shares) AS total FROM holdings GROUP BY ALL HAVING count(*) = count(shares)) WINDOW w AS (PARTITION BY ticker ORDER BY report_date)) t JOIN flow_days d ON report_date <= d.date - 45 AND (nxt IS NULL OR nxt > d.date - 45)",
     "coverages": "SELECT 'prices' AS source, min(date) AS a, max(date) AS b FROM price_daily UNION ALL SELECT 'filings', min(filing_date_effective), max(filing_date_effective) FROM snapshot UNION ALL SELECT 'holdings', min(report_date), max(report_date) FROM holdings UNION ALL SELECT 'events', min(event_date), max(event_date) FROM calendar",
     "strengths": "SELECT s.day AS date, sector, round(exp(s.level - u.level) - 1, 6) AS strength FROM (SELECT day, sector, sum(ln(1 + mean_return)) AS level FROM day_means GROUP BY ALL HAVING count(*) >= 63) s JOIN day_universe u ON u.day = s.day",
-    "derived": "SELECT ticker, date, day(date) AS d, sum(article_count) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)::BIGINT AS articles_7d, CASE WHEN n >= 10 AND 90 * s2 - s * s > 0 THEN (article_count - s / 90) / (sqrt(90 * s2 - s * s) / 90) END AS z, CASE WHEN n >= 10 THEN m7 - m30 END AS delta FROM (SELECT ticker, date, article_count, count(*) OVER p AS n, coalesce(sum(coalesce(article_count, 0)) OVER p, 0) AS s, coalesce(sum(coalesce(article_count, 0) * coalesce(article_count, 0)) OVER p, 0) AS s2, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS m7, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS m30 FROM sentiment_daily WINDOW p AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))",
+    "sent_then": "SELECT ticker, date - 9131 AS date, article_count, sentiment_score, 1 AS stored FROM sentiment_daily",
+    "sent_spine": "SELECT coalesce(m.ticker, x.ticker) AS ticker, coalesce(m.date, x.date) AS date, m.ticker IS NOT NULL AS wanted, stored, article_count, sentiment_score FROM members m FULL JOIN sent_then x ON m.ticker = x.ticker AND m.date = x.date",
+    "derived": "SELECT ticker, date, articles_7d, CASE WHEN n >= 10 AND 90 * s2 - s * s > 0 THEN (CASE WHEN stored IS NULL THEN 0 ELSE article_count END - s / 90) / (sqrt(90 * s2 - s * s) / 90) END AS z, CASE WHEN n >= 10 THEN m7 - m30 END AS delta, CASE WHEN n >= 10 THEN m7 END AS level FROM (SELECT *, count(stored) OVER p AS n, coalesce(sum(coalesce(article_count, 0)) OVER p, 0) AS s, coalesce(sum(coalesce(article_count, 0) * coalesce(article_count, 0)) OVER p, 0) AS s2, sum(article_count) OVER week::BIGINT AS articles_7d, avg(sentiment_score) OVER week AS m7, avg(sentiment_score) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS m30 FROM sent_spine WINDOW p AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), week AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)) WHERE wanted",
 }
 
 #: Filings as read on the dates on which one becomes readable or expires, and, with no use of such dates, on the date of every bar.
@@ -141,6 +144,17 @@ _POINTS = {"": "(SELECT DISTINCT ticker, unnest([filing_date_effective, (period_
 _FILED = {k: PARTS.pop(k) for k in ("points", "pivots", "basics")}
 PARTS |= {f"{k}{x}": re.sub(r"FROM (points|pivots)\b", rf"FROM \1{x}", v.replace("{POINTS}", p)) for x, p in _POINTS.items() for k, v in _FILED.items()}
 
+PARTS |= {
+    "insiders_then": "SELECT ticker, filed_at - 9131 AS filed_at, transaction_date - 9131 AS transaction_date, owner, code, side, value FROM insiders",
+    "insiders_then_days": re.sub(r"\bflow_days\b", "days", PARTS["insider_days"]).replace("insiders", "insiders_then"),
+    "owners_then_days": re.sub(r"\bflow_days\b", "days", PARTS["owner_days"]),
+    "registry": "SELECT m.date, m.ticker, m.size_bucket, m.sector, w.atr_pct, w.adx14, i.* EXCLUDE (ticker, date), rs_change_21d - rs_change_63d AS rs_21d_63d_change, rs_change_vs_sector, p.fcf_yield, p.ev_ebit, ev_ebit_vs_own_5y, b.* EXCLUDE (ticker), o.insider_net_90d_usd, o.distinct_buyer_count, q.inst_ownership_change, z AS article_count_z_own_90d, delta AS sentiment_delta_7v30, level AS sentiment_7d_level FROM members m ASOF LEFT JOIN ind i ON m.ticker = i.ticker AND m.date >= i.date ASOF LEFT JOIN wilder w ON m.ticker = w.ticker AND m.date >= w.date ASOF LEFT JOIN basics b ON m.ticker = b.ticker AND m.date >= b.at LEFT JOIN relative r ON r.ticker = m.ticker AND r.date = m.date LEFT JOIN now_priced p ON p.ticker = m.ticker AND p.date = m.date LEFT JOIN own_history h ON h.ticker = m.ticker AND h.date = m.date LEFT JOIN insiders_then_days o ON o.ticker = m.ticker AND o.date = m.date LEFT JOIN owners_then_days q ON q.ticker = m.ticker AND q.date = m.date LEFT JOIN derived d ON d.ticker = m.ticker AND d.date = m.date",
+    "registry_long": " UNION ALL ".join(f"SELECT date, ticker, size_bucket, sector, '{m}' AS metric, {m}::REAL AS value FROM registry WHERE {m} IS NOT NULL" for of in REGISTRY.values() for m in of),
+    "cell_values": "SELECT date, size_bucket, sector, metric, value, n, sum(n) OVER (PARTITION BY date, size_bucket, sector, metric) AS members, sum(n) OVER (PARTITION BY date, size_bucket, sector, metric ORDER BY value) - n AS less FROM (SELECT date, size_bucket, sector, metric, value, count(*) AS n FROM registry_long GROUP BY ALL)",
+    "bucket_values": "SELECT date, size_bucket, metric, value, n, sum(n) OVER (PARTITION BY date, size_bucket, metric) AS members, sum(n) OVER (PARTITION BY date, size_bucket, metric ORDER BY value) - n AS less FROM (SELECT date, size_bucket, metric, value, count(*) AS n FROM registry_long GROUP BY ALL)",
+    "registry_ranked": "SELECT l.date, l.ticker, l.size_bucket, l.metric, CASE WHEN l.size_bucket IS NULL THEN NULL WHEN l.sector IS NOT NULL AND c.members >= 5 THEN 'cell' WHEN b.members >= 5 THEN 'bucket' ELSE 'none' END AS scope, CASE WHEN l.sector IS NOT NULL AND c.members >= 5 THEN 100.0::DOUBLE * c.less / (c.members - 1) WHEN b.members >= 5 THEN 100.0::DOUBLE * b.less / (b.members - 1) END AS pctile FROM registry_long l JOIN bucket_values b ON b.date = l.date AND b.size_bucket = l.size_bucket AND b.metric = l.metric AND b.value = l.value LEFT JOIN cell_values c ON c.date = l.date AND c.size_bucket = l.size_bucket AND c.sector = l.sector AND c.metric = l.metric AND c.value = l.value",
+}
+
 _SYMBOLS = "SELECT code || '.US' AS ticker, coalesce(name, code) AS name FROM (SELECT CASE WHEN s_suppkey % 29 <> 0 THEN 'T' || s_suppkey END AS code, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS name FROM supplier WHERE s_suppkey % 17 <> 0) WHERE code IS NOT NULL"
 _SESSIONS = "SELECT d::DATE AS date FROM (SELECT unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d::DATE IN (SELECT date FROM days)"
 
@@ -170,7 +184,7 @@ BODIES = {
     "liquid_pool": "SELECT ticker FROM liquid WHERE last_close >= 101 AND median_dollar_volume >= 2500 AND bars >= 200 AND ticker IN (SELECT ticker FROM listed)",
     "identity_rollup": "SELECT ticker, min(f) AS first_seen, max(l) AS last_seen, max(name) AS name FROM (" + " UNION ALL ".join(f"SELECT ticker, f, l, '{d[:7]} ' || ticker AS name FROM (SELECT ticker, arg_max(close, date)::DOUBLE AS c, quantile_cont(close::DOUBLE * volume, 0.5) FILTER (rn <= 20) AS m, min(date) AS f, max(date) AS l, count(*) AS bars FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_daily WHERE date <= DATE '{d}') GROUP BY ticker) WHERE c >= 101 AND m >= 2000 AND bars >= 150" for d in ("1999-03-15", "1999-09-15")) + ") GROUP BY ticker",
     "flow_by_ticker": "SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(insider_net_90d_usd, 8) AS insider_net_90d_usd, distinct_buyer_count, round(inst_ownership_change, 8) AS inst_ownership_change FROM insider_days a FULL JOIN owner_days b ON a.date = b.date AND a.ticker = b.ticker",
-    "eligible_scores": "SELECT ticker, date, articles_7d, CASE WHEN d % 11 <> 0 AND d * 3 >= 20 AND d * 2 <= 50 AND (d % 5 > 2 OR (d % 3 <> 0 AND d % 4 > 2)) AND (coalesce(articles_7d, 0) < 2 OR (z < 1 AND delta >= -0.05)) THEN d::DOUBLE END AS score FROM derived",
+    "eligible_scores": "SELECT m.ticker, m.date, articles_7d, CASE WHEN a.score >= 30 AND b.score <= 80 AND (dist_20dma > 0 OR rs_20d_slope > 0) AND (coalesce(articles_7d, 0) < 40 OR (z < 1 AND delta >= -0.05)) THEN round(b.score::DOUBLE, 6) END AS score FROM members m ASOF LEFT JOIN ind i ON m.ticker = i.ticker AND m.date >= i.date LEFT JOIN scored a ON a.screen_id = 'S1' AND a.ticker = m.ticker AND a.date = m.date LEFT JOIN scored b ON b.screen_id = 'S2' AND b.ticker = m.ticker AND b.date = m.date JOIN derived d ON d.ticker = m.ticker AND d.date = m.date",
     "screen_faults": "SELECT DISTINCT f.date FROM floor_set f WHERE f.screen_id = 'S1' AND floor IS NOT NULL AND f.date NOT IN (SELECT date FROM screened WHERE screen_id = 'S1' AND day(date) <> 13)",
     "candidate_rows": "SELECT date, ticker, gate_state FROM attributed WHERE is_candidate",
     "chance_overlap": "SELECT screen_id, round(r, 6) AS mean_ranked, round(s, 6) AS mean_scored, round(r / (2 * s - r), 6) AS chance_overlap FROM (SELECT screen_id, avg(n) AS r FROM (SELECT screen_id, date, count(*) AS n FROM screened GROUP BY ALL) GROUP BY screen_id) JOIN (SELECT screen_id, avg(n) AS s FROM (SELECT screen_id, date, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY ALL) GROUP BY screen_id) USING (screen_id)",
@@ -225,6 +239,7 @@ BODIES = {
     "benchmark_trend": "SELECT * FROM trend",
     "market_regime": "SELECT date, round(breadth, 6) AS breadth, benchmark_above, regime_label FROM market",
     "sector_strength": "SELECT date, sector, strength FROM strengths",
+    "percentile_registry": "SELECT date, size_bucket, metric, scope, count(*) AS n, round(avg(pctile), 6) AS mean, round(avg(pctile * pctile), 6) AS mean_square, arg_max(ticker, {'a': pctile, 'b': ticker}) AS first FROM registry_ranked GROUP BY ALL",
     "percentile_cells": "SELECT date, ticker, " + ", ".join(f"round({m}_pctile, 6) AS {m}_pctile, {m}_scope" for m in ("dist_200dma", "median_dollar_volume_20d")) + " FROM ranked",
     "cell_ledger": "SELECT date, size_bucket, sector, metric, CASE WHEN sector IS NOT NULL THEN n END AS cell_members, bucket_members, 5 AS floor, CASE WHEN sector IS NOT NULL AND n >= 5 THEN 'cell' WHEN bucket_members >= 5 THEN 'bucket' ELSE 'none' END AS scope FROM (SELECT *, sum(n) OVER (PARTITION BY date, size_bucket, metric)::BIGINT AS bucket_members FROM (SELECT date, size_bucket, sector, 'dist_200dma' AS metric, count(dist_200dma) AS n FROM features GROUP BY ALL UNION ALL SELECT date, size_bucket, sector, 'median_dollar_volume_20d', count(median_dollar_volume_20d) FROM features GROUP BY ALL))",
     "fallback_report": "SELECT date, metric, count(*) FILTER (scope = 'cell') AS in_cell, count(*) FILTER (scope = 'bucket') AS in_bucket, count(*) FILTER (scope = 'none') AS unranked, count(DISTINCT size_bucket || '/' || sector) FILTER (scope <> 'cell') AS thin_cells FROM (SELECT date, size_bucket, sector, 'dist_200dma' AS metric, dist_200dma_scope AS scope FROM ranked UNION ALL SELECT date, size_bucket, sector, 'median_dollar_volume_20d', median_dollar_volume_20d_scope FROM ranked) WHERE scope IS NOT NULL GROUP BY date, metric",
@@ -257,6 +272,8 @@ BODIES = {
 }
 
 
+PARTS |= {"relative": BODIES["rs_vs_sector"], "own_history": BODIES["ev_ebit_own_history"]}
+
 def _with(body: str) -> str:
     need: list[str] = []
 

@@ -188,14 +188,19 @@ def _evaluations(t: Tables) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def _then(df: DataFrame, *dates: str) -> DataFrame:
+    """Rows of January 2024 moved to January 1999, so that they meet the sessions of the price history."""
+    return df.withColumns({d: F.date_sub(d, 9131) for d in dates})
+
+
 def _eligible(t: Tables) -> DataFrame:
-    """Scores of the screens on the dates of the events, gated by price, composites and news."""
-    rows = t.sentiment_daily()
-    derived = sentiment.sentiment(rows, rows.select("ticker", "date"), min_days=10)
-    rows = derived.join(screens.article_counts(rows, derived), ["ticker", "date"]).withColumn("day", F.dayofmonth("date"))
-    rows = rows.withColumns({"dist_20dma": (F.col("day") % 5 - 2) / 10, "rs_20d_slope": F.when(F.col("day") % 3 != 0, (F.col("day") % 4 - 2) / 10)})
-    gate = screens.eligible(F.when(F.col("day") % 11 != 0, F.col("day") * 3.0), 20.0, F.col("day") * 2.0, 50.0, min_articles=2, z_max=1.0, delta_min=-0.05)
-    return rows.select("ticker", "date", "articles_7d", screens.gated(F.col("day").cast("double"), *gate).alias("score"))
+    """Every member on every session: the score of S2 where the composites of both screens, the price and the news let it through."""
+    daily = _then(t.sentiment_daily(), "date")
+    scored = _scored(t).groupBy("ticker", "date").agg(*(F.max(F.when(F.col("screen_id") == s, F.col("score"))).alias(s) for s in ("S1", "S2")))
+    rows = technical.carry_forward(_members(t).select("date", "ticker"), _bars(t), ["dist_20dma", "rs_20d_slope"]).join(scored, ["ticker", "date"])
+    rows = rows.join(sentiment.sentiment(daily, _members(t), min_days=10), ["ticker", "date"]).join(screens.article_counts(daily, _members(t)), ["ticker", "date"])
+    gate = screens.eligible(F.col("S1"), 30.0, F.col("S2"), 80.0, min_articles=40, z_max=1.0, delta_min=-0.05)
+    return rows.select("ticker", "date", "articles_7d", screens.gated(F.col("S2"), *gate).alias("score"))
 
 
 def _digests(t: Tables) -> DataFrame:
@@ -215,8 +220,8 @@ def _registry(t: Tables) -> DataFrame:
     close = t.prices().select("ticker", "date", F.col("close").cast("double").alias("close"))
     v = valuation.priced(_members(t).select("ticker", "date").join(close, ["ticker", "date"], "left"), basics).join(valuation.own_history(t.prices(), basics, t.prices().select("ticker", "date"), OWN_POINTS), ["ticker", "date"], "left")
     rows = rows.join(v.select("ticker", "date", *percentile.REGISTRY["valuation_daily"]), ["ticker", "date"], "left")
-    rows = rows.join(flow.flow(t.insider_transaction(), t.institutional_holding(), _sessions(t)), ["ticker", "date"], "left")
-    return rows.join(sentiment.sentiment(t.sentiment_daily(), _members(t).select("ticker", "date"), min_days=10), ["ticker", "date"], "left")
+    rows = rows.join(flow.flow(_then(t.insider_transaction(), "filed_at", "transaction_date"), t.institutional_holding(), _sessions(t)), ["ticker", "date"], "left")
+    return rows.join(sentiment.sentiment(_then(t.sentiment_daily(), "date"), _members(t).select("ticker", "date"), min_days=10), ["ticker", "date"], "left")
 
 
 QUERIES = {
@@ -248,7 +253,7 @@ QUERIES = {
     "liquid_pool": lambda t: universe.liquid_pool(t.price_daily(), _listed(t), DAY, min_price=101, min_volume=2500, history=200),
     "identity_rollup": lambda t: universe.identity(_evaluations(t)),
     "flow_by_ticker": lambda t: _round(flow.flow(t.insider_transaction(), t.institutional_holding(), _event_days(t).unionByName(_sundays(t))), 8),
-    "percentile_registry": lambda t: _round(percentile.long_percentiles(_registry(t), [m for of in percentile.REGISTRY.values() for m in of], FLOOR).groupBy("date", "metric", "scope").agg(F.count("*").alias("n"), F.avg("pctile").alias("mean_pctile"))),
+    "percentile_registry": lambda t: _round(percentile.long_percentiles(_registry(t), [m for of in percentile.REGISTRY.values() for m in of], FLOOR).groupBy("date", "size_bucket", "metric", "scope").agg(F.count("*").alias("n"), F.avg("pctile").alias("mean"), F.avg(F.col("pctile") * F.col("pctile")).alias("mean_square"), F.max_by("ticker", F.struct("pctile", "ticker")).alias("first"))),
     "eligible_scores": lambda t: _round(_eligible(t)),
     "screen_faults": lambda t: screens.unranked_dates(_floor(t), _screened(t).filter("dayofmonth(date) <> 13"), _states(t).groupBy("screen_id").agg(F.max_by("state", "date").alias("state"))),
     "candidate_rows": lambda t: selection.candidate_view(_attribution(t)).select("date", "ticker", "gate_state"),
