@@ -28,7 +28,7 @@ class Stored:
     schema: StructType
     grain: str = "day"
 
-    def _part(self, date: Column) -> Column:
+    def part_of(self, date: Column) -> Column:
         return F.date_format(date, GRAINS[self.grain])
 
     def _at(self, path: str):
@@ -49,14 +49,14 @@ class Stored:
         """What one night reads: the ``days`` days up to and with ``day``; partitions that hold none of them are not read."""
         last = F.lit(day).cast("date")
         first = F.date_sub(last, days)
-        return self.rows().filter(F.col("part").between(self._part(first), self._part(last)) & F.col("date").between(first, last)).drop("part")
+        return self.rows().filter(F.col("part").between(self.part_of(first), self.part_of(last)) & F.col("date").between(first, last)).drop("part")
 
     def write(self, rows: DataFrame) -> None:
         """The partitions of ``rows`` are overwritten, all others stay; each is written by one task."""
-        rows.select(*self.schema.fieldNames()).withColumn("part", self._part(F.col("date"))).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        rows.select(*self.schema.fieldNames()).withColumn("part", self.part_of(F.col("date"))).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
 
     def _parts(self, rows: DataFrame) -> list[str]:
-        return sorted(r.part for r in rows.select(self._part(F.col("date")).alias("part")).distinct().collect())
+        return sorted(r.part for r in rows.select(self.part_of(F.col("date")).alias("part")).distinct().collect())
 
     def _merge(self, staged: DataFrame, merge, keys: list[str] | None = None, dates: DataFrame | None = None) -> list[str]:
         staged = stage(staged, "staged")  # evaluated once, whatever it is made of
