@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitframe import queries
 from pitframe.operators import asof, flow, market, percentile, screens, sectors, sentiment, technical
 from pitframe.plans.nightly import Night, trailing_bars
+from pitframe.plans.stages import stage
 from pitframe.plans.stored import Stored
 from pitframe.sources.adapters import Tables
 
@@ -41,17 +42,20 @@ def test_a_night_equals_the_range(spark, t, stored):
     root, put = stored
     prices, security, benchmark = put("price_daily", t.prices()), t.keep("security", t.security_daily), t.benchmark_daily()
     day = "2000-05-15"
-    members = asof.range_members(security, asof.sessions(t.prices(), "2000-01-01", "2000-06-30"))
+    members = asof.range_members(security, asof.sessions(t.prices(), "2000-04-01", "2000-05-31"))
     filings, holdings, daily = queries._then(t.insider_transaction(), "filed_at", "transaction_date"), t.institutional_holding(), t.sentiment_daily().withColumn("date", F.date_sub("date", 8630))
+    benchmark, filings, holdings, daily, members = (stage(x, "given") for x in (benchmark, filings, holdings, daily, members))
     bars = technical.indicators(t.prices(), benchmark).join(technical.wilder(t.prices()), ["ticker", "date"])
     composite = sectors.sector_composite(t.prices(), security, MINIMUM)
     whole = {"indicator_daily": technical.carry_forward(members, bars, [*NAMES, "base_breakout_flag"]).join(sectors.relative_to_sector(t.prices(), security, members, composite), ["ticker", "date"], "left")}
+    whole["indicator_daily"] = stage(whole["indicator_daily"], "range")
     whole["flow_daily"] = flow.flow(filings, holdings, members.select("date").distinct())
     whole["sentiment_derived_daily"] = sentiment.sentiment(daily, members, min_days=3)
     whole["market_context_daily"] = market.market_context(whole["indicator_daily"], benchmark, sectors.sector_strength(t.prices(), security, members.select("date").distinct(), MINIMUM))
-    whole["percentile_daily"] = percentile.percentiles(whole["indicator_daily"], queries.METRICS, FLOOR)
+    whole["percentile_daily"] = stage(percentile.percentiles(whole["indicator_daily"], queries.METRICS, FLOOR), "range")
     on = queries._screens(t)
     whole["screen_score_daily"] = screens.scores_on(whole["percentile_daily"], on, queries.METRICS, ["base_breakout_flag"])
+    whole = {name: stage(rows, "range") for name, rows in whole.items()}
     before = F.col("date") < F.lit(day).cast("date")
     night = Night(day, prices, security, {name: put(name, rows.filter(before)) for name, rows in whole.items()})
     night.indicators(benchmark, MINIMUM)
@@ -66,9 +70,9 @@ def test_a_night_equals_the_range(spark, t, stored):
         assert not night.of(name).isEmpty()
     floors = screens.floors(whole["screen_score_daily"], 20, 0.7).filter(one)
     assert plain(night.floors(20, 0.7, 60)) == plain(floors) and floors.filter("floor is not null").count()
-    again = plain(night.stages["percentile_daily"].read())
+    again = plain(night.of("percentile_daily"))
     night.percentiles(queries.METRICS, FLOOR)
-    assert plain(night.stages["percentile_daily"].read()) == again  # the same night twice
+    assert plain(night.of("percentile_daily")) == again  # the same night twice
 
 
 def test_a_night_reads_its_partitions(spark, stored):

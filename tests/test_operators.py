@@ -300,7 +300,7 @@ def test_own_history_by_brute_force(spark):
             d += dt.timedelta(int(r.integers(1, 25)))
             rows.append((f"T{k}", d, round(float(r.uniform(50, 150)), 2)))
     prices = spark.createDataFrame(rows, "ticker string, date date, close double")
-    basics = spark.createDataFrame([(f"T{k}", D(2012, 1, 1), 10.0, 1.0, 0.0, 0.0, 0.0) for k in range(2)], "ticker string, at date, ttm_ebit double, shares double, net_debt double, ttm_cash double, ttm_capex double")
+    basics = spark.createDataFrame([(f"T{k}", D(2012, 1, 1), 8, 10.0, 1.0, 0.0, 0.0, 0.0) for k in range(2)], "ticker string, at date, periods long, ttm_ebit double, shares double, net_debt double, ttm_cash double, ttm_capex double")
     got = {(x.ticker, x.date): x.ev_ebit_vs_own_5y for x in valuation.own_history(prices, basics, prices.select("ticker", "date"), 6).collect()}
     ends = {}
     for t, d, c in rows:
