@@ -96,7 +96,7 @@ PARTS = {
     "scored": "SELECT s.screen_id, r.date, r.ticker, r.size_bucket, (CASE WHEN n >= 2 THEN mean + CASE WHEN s.screen_id = 'S2' AND base_breakout_flag THEN 10 ELSE 0 END END)::REAL AS score FROM ranked r CROSS JOIN (SELECT unnest(['S1', 'S2']) AS screen_id) s LEFT JOIN weighed w ON w.screen_id = s.screen_id AND w.date = r.date AND w.ticker = r.ticker",
     "score_dates": "SELECT screen_id, date, row_number() OVER (PARTITION BY screen_id ORDER BY date) AS k FROM (SELECT DISTINCT screen_id, date FROM scored WHERE score IS NOT NULL)",
     "floor_98": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) >= 20 THEN quantile_cont(s.score::DOUBLE, 0.98) END AS floor FROM score_dates a JOIN score_dates b ON a.screen_id = b.screen_id AND b.k BETWEEN a.k - 19 AND a.k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
-    "floor_set": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) < any_value(lookback) THEN NULL WHEN any_value(percent) = 70 THEN quantile_cont(s.score::DOUBLE, 0.7) ELSE quantile_cont(s.score::DOUBLE, 0.6) END AS floor FROM score_dates a JOIN settings_on x ON x.date = a.date JOIN score_dates b ON a.screen_id = b.screen_id AND b.k BETWEEN a.k - lookback + 1 AND a.k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
+    "floor_set": "SELECT a.screen_id, a.date, CASE WHEN any_value(a.k) < any_value(lookback) THEN NULL WHEN any_value(percent) = 70 THEN quantile_cont(s.score::DOUBLE, [0.6, 0.7])[2] ELSE quantile_cont(s.score::DOUBLE, [0.6, 0.7])[1] END AS floor FROM (SELECT d.screen_id, d.date, k, lookback, percent, unnest(range(k - lookback + 1, k + 1)) AS then_k FROM score_dates d JOIN settings_on x ON x.date = d.date) a JOIN score_dates b ON a.screen_id = b.screen_id AND b.k = a.then_k JOIN scored s ON s.screen_id = b.screen_id AND s.date = b.date AND s.score IS NOT NULL GROUP BY a.screen_id, a.date",
     "screened": "SELECT s.*, row_number() OVER (PARTITION BY s.screen_id, s.date ORDER BY score DESC, ticker) AS rank FROM scored s JOIN floor_set f ON s.screen_id = f.screen_id AND s.date = f.date WHERE score::DOUBLE >= floor",
     "bars": "SELECT ticker, date, open::DOUBLE AS open, volume, lag(close::DOUBLE) OVER (PARTITION BY ticker ORDER BY date) AS previous FROM price_daily",
     "blackouts": "SELECT DISTINCT ticker, date FROM calendar JOIN settings_on ON date BETWEEN event_date - before AND event_date + after WHERE event_type = 'earnings'",
@@ -272,7 +272,8 @@ BODIES = {
 }
 
 
-PARTS |= {"relative": BODIES["rs_vs_sector"], "own_history": BODIES["ev_ebit_own_history"]}
+PARTS |= {"relative": BODIES["rs_vs_sector"].replace("round((c / x.composite) / (c0 / y.composite) - 1, 6)", "(c / x.composite) / (c0 / y.composite) - 1"), "own_history": BODIES["ev_ebit_own_history"].replace("round(CASE", "(CASE").replace("END, 6)", "END)")}
+assert "round" not in PARTS["relative"] + PARTS["own_history"]
 
 def _with(body: str) -> str:
     need: list[str] = []
