@@ -66,11 +66,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces, and whether decoding gives the text back; columns of these names are replaced."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    decoded = _free(docs, "decoded")
-    back = sentencepiece_stream.decode(sentencepiece_stream.encode(docs, model), model, text_col=decoded)
+    to = _free(docs, "_encoded")
     own = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "exact")]
-    return back.select(*own, "piece_ids", F.size("piece_ids").alias("n_pieces"), (F.col(decoded) == F.coalesce("text", F.lit(""))).alias("exact"))
+    out = sentencepiece_stream.encode_checked(docs, tokenizer_path("piece_bpe_32k.model"), to=to)
+    return out.select(*own, F.col(f"{to}.ids").alias("piece_ids"), F.size(f"{to}.ids").alias("n_pieces"), F.col(f"{to}.exact").alias("exact"))
 
 
 STAGES = [

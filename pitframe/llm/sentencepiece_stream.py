@@ -365,6 +365,23 @@ def decode(docs: DataFrame, model: str, *, kind: str = "bpe", ids_col: str = "pi
     return docs.withColumn(text_col, run(F.col(ids_col)))
 
 
+def encode_checked(docs: DataFrame, model: str, *, kind: str = "bpe", text_col: str = "text", to: str = "encoded") -> DataFrame:
+    """``docs`` with a struct (ids, exact) of each text added: its ids, and whether decoding them gives the text back. One worker does both."""
+    common.session(docs)
+    row = pa.struct([("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
+
+    @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(model, kind)
+        for t in texts:
+            plain = t.to_pylist()
+            ids = own.encode_all(plain)
+            exact = [own.decode(i) == (x or "") for x, i in zip(plain, ids, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], fields=list(row))
+
+    return docs.withColumn(to, run(F.col(text_col)))
+
+
 def round_trip(docs: DataFrame, model: str, *, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids_sha256, decoded_sha256, n_chars, exact) of every row.
 
