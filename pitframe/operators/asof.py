@@ -61,18 +61,24 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[
     return both.select(*keys, date, *(f"l.{c}" for c in rest), *(f"found.{v}" for v in values))
 
 
+def with_history(near: DataFrame, far: DataFrame, need: int) -> DataFrame:
+    """Recent bars of all names, and of ``far``, the bars before these, those of names with fewer than ``need`` recent ones or none at all."""
+    full = near.groupBy("ticker").count().filter(F.col("count") >= need).select("ticker")
+    return near.unionByName(far.join(full, "ticker", "left_anti"))
+
+
 def range_members(security: DataFrame, days: DataFrame) -> DataFrame:
     """(date, ticker, sector, size_bucket, market_cap) of the members of every session.
 
-    Epochs are numbered, a ticker's row is repeated for each epoch that it is in force, and sessions meet members by the number of
-    their epoch: an equi-join in which sessions, one row a date, are the broadcast side, so that members do not move.
+    Epochs are one row with an array, in which both ends of a row's interval and each session have a place. A ticker's row is repeated for
+    each epoch that it is in force, and sessions, one row a date, meet members by the place of their epoch: an equi-join in which members do
+    not move. Sessions before the first epoch have no members.
     """
-    numbered = security.select(F.col("date").alias("epoch")).distinct().withColumn("no", F.row_number().over(W.orderBy("epoch")))
-    one, two = F.broadcast(numbered.select(F.col("epoch").alias("date"), F.col("no").alias("a"))), F.broadcast(numbered.select(F.col("epoch").alias("until"), F.col("no").alias("b")))
-    last = F.broadcast(numbered.agg(F.max("no").alias("last")))
-    spans = intervals(security, ["ticker"]).filter("is_active").join(one, "date").join(two, "until", "left").crossJoin(last)
-    members = spans.select("ticker", "sector", "size_bucket", "market_cap", F.explode(F.sequence("a", F.coalesce(F.col("b") - 1, F.col("last")))).alias("no"))
-    placed = epoch_map(days, numbered.select(F.col("epoch").alias("date"))).join(F.broadcast(numbered), "epoch").select("date", "no")
+    known = F.broadcast(security.agg(F.sort_array(F.collect_set("date")).alias("epochs")))
+    spans = intervals(security, ["ticker"]).filter("is_active").crossJoin(known)
+    last = F.coalesce(F.array_position("epochs", F.col("until")) - 1, F.size("epochs").cast("long"))
+    members = spans.select("ticker", "sector", "size_bucket", "market_cap", F.explode(F.sequence(F.array_position("epochs", F.col("date")), last)).alias("no"))
+    placed = days.select("date").distinct().crossJoin(known).select("date", F.size(F.filter("epochs", lambda e: e <= F.col("date"))).cast("long").alias("no"))
     return members.join(F.broadcast(placed), "no").select("date", "ticker", "sector", "size_bucket", "market_cap")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pitframe.functions.series import size_bucket
 
+from . import asof
+
 
 def newest_first():
     return W.partitionBy("ticker").orderBy(F.desc("date"))
@@ -19,13 +21,17 @@ def evaluation_dates(spark, first: str, last: str) -> DataFrame:
     return one.select("b", F.explode(F.expr("sequence(a, greatest(a, b), interval 7 days)")).alias("date")).filter("date <= b").select("date")
 
 
-def liquidity(prices: DataFrame, day, bars: int = 20, min_price: float = 5, min_volume: float = 2e6, history: int = 250) -> DataFrame:
+def liquidity(prices: DataFrame, day, bars: int = 20, min_price: float = 5, min_volume: float = 2e6, history: int = 250, days: int = 45) -> DataFrame:
     """Each ticker's last close, median dollar volume over its last bars, first and last bar and the first failed test.
 
-    A ticker with no close and volume among its last bars has no row. History and spans come with the same aggregate.
+    A ticker with no close and volume among its last bars has no row. The last bars are looked for within ``days`` days, and further back only for
+    tickers that have fewer there; only dates are read of the whole history, for spans and counts, which tasks aggregate before the shuffle.
     """
-    seen = prices.filter(F.col("date") <= F.lit(day).cast("date"))
-    recent = seen.withColumn("rn", F.row_number().over(newest_first())).filter(F.col("rn") <= bars)
+    d = F.lit(day).cast("date")
+    seen = prices.filter(F.col("date") <= d)
+    read = seen.select("ticker", "date", "close", "volume")
+    near = F.col("date") > F.date_sub(d, days)
+    recent = asof.with_history(read.filter(near), read.filter(~near), bars).withColumn("rn", F.row_number().over(newest_first())).filter(F.col("rn") <= bars)
     pair = F.col("close").cast("double") * F.col("volume")
     r = recent.groupBy("ticker").agg(F.max_by("close", "date").cast("double").alias("last_close"), F.percentile(pair, 0.5).alias("median_dollar_volume")).filter("median_dollar_volume is not null")
     spans = seen.groupBy("ticker").agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count("*").alias("bars"))

@@ -2,7 +2,7 @@
 
 The same operators compute a range and a night; here their inputs are the partitions that a night can see, and their
 output replaces one date of a stored table. Names that trade on few days need a longer look-back in days for the same
-number of bars: the bars of those that have fewer than ``need`` within ``days`` are read further back, and only theirs.
+number of bars: the bars of those that have fewer than ``need`` within ``days``, or none, are read further back, and only theirs.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ NEED, DAYS = 272, 420
 
 
 def trailing_bars(prices: Stored, day: str, need: int = NEED, days: int = DAYS) -> DataFrame:
-    """Bars up to the day: ``days`` days of all names, and the whole history of those that have had fewer than ``need`` bars in them."""
-    near = prices.look_back(day, days)
-    short = near.groupBy("ticker").count().filter(F.col("count") < need).select("ticker")
+    """Bars up to the day: ``days`` days of all names, and the whole history of those that have had fewer than ``need`` bars in them, or none."""
     first = F.date_sub(F.lit(day).cast("date"), days)
     far = prices.rows().filter((F.col("part") <= prices.part_of(first)) & (F.col("date") < first)).drop("part")
-    return near.unionByName(far.join(F.broadcast(short), "ticker", "left_semi"))
+    return asof.with_history(prices.look_back(day, days), far, need)
 
 
 @dataclass

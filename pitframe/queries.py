@@ -38,7 +38,7 @@ def _security(t: Tables) -> DataFrame:
 
 
 def _members(t: Tables) -> DataFrame:
-    return t.keep("members", lambda: asof.range_members(_security(t), asof.sessions(t.prices())))
+    return t.keep("members", lambda: asof.range_members(_security(t), _sessions(t)))
 
 
 def _features(t: Tables) -> DataFrame:
@@ -117,12 +117,12 @@ def _attribution(t: Tables) -> DataFrame:
 
 def _pairs(t: Tables) -> DataFrame:
     """The pairs asked for: every member on the first session of each quarter of the whole history."""
-    first = asof.sessions(t.prices()).groupBy(F.year("date"), F.quarter("date")).agg(F.min("date").alias("date")).select("date")
+    first = _sessions(t).groupBy(F.year("date"), F.quarter("date")).agg(F.min("date").alias("date")).select("date")
     return t.keep("pairs", lambda: _members(t).join(F.broadcast(first), "date").select("ticker", "date"))
 
 
 def _sessions(t: Tables) -> DataFrame:
-    return asof.sessions(t.prices())
+    return t.sessions()
 
 
 def _states(t: Tables) -> DataFrame:
@@ -184,7 +184,7 @@ def _coverages(t: Tables) -> DataFrame:
 
 def _evaluations(t: Tables) -> DataFrame:
     """Two evaluations of the universe, half a year apart, with the names that they admitted."""
-    rows = [universe.liquidity(t.prices(), day, min_price=101, min_volume=2000, history=150).filter("verdict is null").select("ticker", F.lit(day).cast("date").alias("date"), F.concat(F.lit(day[:7]), F.lit(" "), "ticker").alias("name"), "first_seen", "last_seen") for day in (DAY, "1999-09-15")]
+    rows = [universe.liquidity(t.prices(), day, min_price=101, min_volume=2000, history=150, days=150).filter("verdict is null").select("ticker", F.lit(day).cast("date").alias("date"), F.concat(F.lit(day[:7]), F.lit(" "), "ticker").alias("name"), "first_seen", "last_seen") for day in (DAY, "1999-09-15")]
     return rows[0].unionByName(rows[1])
 
 
@@ -250,7 +250,7 @@ QUERIES = {
     "stored_replace": lambda t: _stored(t, lambda table: table.replace(_staged(t).withColumn("open", F.col("close")), _staged(t))),
     "coverage_intervals": lambda t: writes.coverage(_coverages(t), _coverages(t).withColumn("covered_to", F.date_add("covered_to", 5))),
     "config_versions": lambda t: asof.config_versions_on(config_rows(t.spark), _sessions(t)),
-    "liquid_pool": lambda t: universe.liquid_pool(t.price_daily(), _listed(t), DAY, min_price=101, min_volume=2500, history=200),
+    "liquid_pool": lambda t: universe.liquid_pool(t.price_daily(), _listed(t), DAY, min_price=101, min_volume=2500, history=200, days=150),
     "identity_rollup": lambda t: universe.identity(_evaluations(t)),
     "flow_by_ticker": lambda t: _round(flow.flow(t.insider_transaction(), t.institutional_holding(), _event_days(t).unionByName(_sundays(t))), 8),
     "percentile_registry": lambda t: _round(percentile.long_percentiles(_registry(t), [m for of in percentile.REGISTRY.values() for m in of], FLOOR).groupBy("date", "size_bucket", "metric", "scope").agg(F.count("*").alias("n"), F.avg("pctile").alias("mean"), F.avg(F.col("pctile") * F.col("pctile")).alias("mean_square"), F.max_by("ticker", F.struct("pctile", "ticker")).alias("first"))),
@@ -285,7 +285,7 @@ QUERIES = {
     "rotation": lambda t: _rotation(t),
     "rotation_counts": lambda t: universe.rotation_counts(t.security_daily(), _attempts(t), _rotation(t)),
     "evaluation_dates": lambda t: _sundays(t),
-    "liquidity": lambda t: _round(universe.liquidity(t.price_daily(), DAY, min_price=101, min_volume=2500, history=200)),
+    "liquidity": lambda t: _round(universe.liquidity(t.price_daily(), DAY, min_price=101, min_volume=2500, history=200, days=150)),
     "universe_waterfall": lambda t: _round(_waterfall(t), 2),
     "departures": lambda t: universe.departures(asof.members_as_of(t.security_daily(), FIRST), asof.members_as_of(t.security_daily(), "1999-07-15")),
     "delisted_on": lambda t: universe.delisted_on(t.price_daily(), _delisted(t)),
@@ -358,7 +358,7 @@ def _rotation(t: Tables) -> DataFrame:
 
 def _waterfall(t: Tables) -> DataFrame:
     listing = t.read("supplier").filter("s_suppkey % 17 <> 0").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"))
-    return universe.waterfall(t.prices(), t.fundamental_snapshot(), listing, universe.delisted_on(t.prices(), _delisted(t)), DAY, window=60, min_cap=1e8, min_gaps=4, large=1.16e8, mid=1.12e8, min_price=101, min_volume=2000, history=150)
+    return universe.waterfall(t.prices(), t.fundamental_snapshot(), listing, universe.delisted_on(t.prices(), _delisted(t)), DAY, window=60, min_cap=1e8, min_gaps=4, large=1.16e8, mid=1.12e8, min_price=101, min_volume=2000, history=150, days=150)
 
 
 def _sundays(t: Tables) -> DataFrame:

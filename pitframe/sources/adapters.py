@@ -44,6 +44,10 @@ class Tables:
         times = F.when(F.col("date") < SPLIT, 2).otherwise(1)
         return days.select("ticker", "date", *((F.col(c) * times).cast("decimal(20,6)").alias(c) for c in ("open", "high", "low", "close")), F.col("close").alias("adj_close"), "volume")
 
+    def sessions(self) -> DataFrame:
+        """Dates with a bar, read from what bars are made of, so that no bar is made for them."""
+        return self.keep("sessions", lambda: self.read("lineitem").select(F.to_date("l_shipdate").alias("date")).distinct())
+
     def benchmark_daily(self) -> DataFrame:
         """Mean adjusted close of all tickers on each date."""
         return self.prices().groupBy("date").agg((F.sum("adj_close").cast("double") / F.count("*")).alias("adj_close"))

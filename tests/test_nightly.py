@@ -79,10 +79,11 @@ def test_a_night_reads_its_partitions(spark, stored):
     """Dense names come from the look-back alone; the one with too few bars there brings its own history, and no other name's."""
     _, put = stored
     days = [datetime.date(2018, 1, 1) + datetime.timedelta(i) for i in range(900)]
-    rows = [(k, d, float(i)) for i, d in enumerate(days) for k in ("A", "B")] + [("S", d, 1.0) for d in days[::9]]
+    rows = [(k, d, float(i)) for i, d in enumerate(days) for k in ("A", "B")] + [("S", d, 1.0) for d in days[::9]] + [("Q", d, 2.0) for d in days[:40]]
     table = put("some", spark.createDataFrame(rows, "ticker string, date date, close double"))
     got = trailing_bars(table, "2020-03-01", 300, 365)
     seen = {r.ticker: (r.a, r.n) for r in got.groupBy("ticker").agg(F.min("date").alias("a"), F.count("*").alias("n")).collect()}
     assert seen["A"] == seen["B"] == (datetime.date(2019, 3, 2), 366) and seen["S"] == (days[0], len([d for d in days[::9] if d <= datetime.date(2020, 3, 1)]))
+    assert seen["Q"] == (days[0], 40)  # silent for the whole look-back, but its last bar is still carried forward
     parts = {r.f.split("part=")[1].split("/")[0] for r in table.look_back("2020-03-01", 31).select(F.input_file_name().alias("f")).distinct().collect()}
     assert parts == {"2020-01", "2020-02", "2020-03"}

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pitframe.operators import flow, universe
+from pitframe.operators import asof, flow, universe
 from pitframe.plans import upsert as writes
 from pitframe.plans.stored import Stored
 
@@ -113,6 +113,43 @@ def test_reasons_of_names_without_fundamentals(spark):
     assert got == {"A": None, "B": "no_fundamentals", "C": "below_clean_gaps", "D": "no_share_count", "E": "no_share_count", "F": "no_fundamentals"}
 
 
+def test_last_bars_do_not_depend_on_the_days_looked_at_first(spark):
+    """Dense, thin and long silent names, and one without closes, against sorted lists."""
+    d = D(2020, 6, 1)
+    step = {"A": (1, 0), "B": (5, 3), "C": (2, 300), "D": (40, 0), "E": (1, 44), "N": (1, 0)}
+    held = {t: [(d - datetime.timedelta(back + every * i), None if t == "N" or i % 7 == 3 else 5.0 + (i * 37 + every) % 11, 1000 * (i % 13)) for i in range(-3, 60)] for t, (every, back) in step.items()}
+    prices = spark.createDataFrame([(t, *x) for t, xs in held.items() for x in xs], "ticker string, date date, close double, volume long").withColumn("date_", F.lit("clash"))
+    want = {}
+    for t, xs in held.items():
+        seen = sorted((x for x in xs if x[0] <= d), reverse=True)
+        pairs = sorted(c * v for _, c, v in seen[:20] if c is not None)
+        if pairs:
+            n = len(pairs)
+            want[t] = (next((c for x, c, _ in seen[:1]), None), (pairs[(n - 1) // 2] + pairs[n // 2]) / 2, seen[-1][0], seen[0][0], len(seen))
+    for days in (0, 1, 45, 120, 5000):
+        got = {r.ticker: (r.last_close, r.median_dollar_volume, r.first_seen, r.last_seen, r.bars) for r in universe.liquidity(prices, str(d), days=days).collect()}
+        assert got == want, days
+    assert universe.liquidity(prices.limit(0), str(d)).isEmpty()
+
+
+def test_members_of_sessions_against_each_date_on_its_own(spark):
+    """Epochs of some names only, names that leave and come back, sessions before, on and after epochs."""
+    first = D(2020, 1, 5)
+    epochs = [first + datetime.timedelta(7 * i) for i in range(9)]
+    rows = [(t, e, f"S{(i + k) % 3}", "large", float(i), (i + k) % 4 != 0) for k, t in enumerate("ABCDE") for i, e in enumerate(epochs) if (i * 5 + k) % 3 != 1]
+    security = spark.createDataFrame(rows, "ticker string, date date, sector string, size_bucket string, market_cap double, is_active boolean")
+    days = [first + datetime.timedelta(i) for i in range(-4, 75, 3)]
+    want = set()
+    for day in days:
+        for t in "ABCDE":
+            last = max((r for r in rows if r[0] == t and r[1] <= day), key=lambda r: r[1], default=None)
+            if last and last[5]:
+                want.add((day, t, last[2], last[3], last[4]))
+    got = asof.range_members(security, spark.createDataFrame([(x,) for x in days + days[:3]], "date date")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert asof.range_members(security.limit(0), spark.createDataFrame([(first,)], "date date")).isEmpty()
+
+
 def test_freshness_states(spark):
     bars = lambda counts: spark.createDataFrame([(f"T{k}", D(2020, 1, 1) + datetime.timedelta(i)) for i, n in enumerate(counts) for k in range(n)], "ticker string, date date")
     one = lambda counts, day, **more: tuple(universe.freshness(bars(counts), day, 3, 6, 0.9, more.get("window", 3)).first())
