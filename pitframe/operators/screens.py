@@ -137,10 +137,14 @@ def ranks(scored: DataFrame, floor: DataFrame) -> DataFrame:
 
 
 def unranked_dates(floor: DataFrame, ranked: DataFrame, states: DataFrame) -> DataFrame:
-    """Dates on which some live screen had a floor and none of the live screens ranked anything; shadow screens do not count."""
-    live = states.filter("state = 'live'").select("screen_id")
-    with_floor = floor.filter("floor is not null").join(F.broadcast(live), "screen_id", "left_semi").select("date").distinct()
-    return with_floor.join(ranked.join(F.broadcast(live), "screen_id", "left_semi").select("date").distinct(), "date", "left_anti")
+    """Dates on which some live screen had a floor and none of the live screens ranked anything; shadow screens do not count.
+
+    ``states`` (screen_id, state), or with ``date`` where states change within the range: a screen then counts on the dates on which it is live.
+    """
+    keys = ["date", "screen_id"] if "date" in states.columns else ["screen_id"]
+    live = F.broadcast(states.filter("state = 'live'").select(*keys).distinct())  # a few rows a date
+    with_floor = floor.filter("floor is not null").join(live, keys, "left_semi").select("date").distinct()
+    return with_floor.join(ranked.join(live, keys, "left_semi").select("date").distinct(), "date", "left_anti")
 
 
 def halt_on_fault(floor: DataFrame, ranked: DataFrame, states: DataFrame) -> None:

@@ -104,6 +104,7 @@ PARTS = {
     "colds": "SELECT DISTINCT ticker, date FROM trades JOIN settings_on ON date >= closed AND date < closed + cooldown WHERE s = 'F'",
     "flags": "SELECT m.date, m.ticker, e.ticker IS NOT NULL AS f1, coalesce(abs((open - previous) / nullif(previous, 0)) > x.gap, FALSE) AS f2, volume IS NULL OR volume = 0 AS f3, h.ticker IS NOT NULL AS f4, c.ticker IS NOT NULL AS f5, m.date IN (SELECT date FROM blackouts) AND m.date IN (SELECT date FROM helds) AND m.date IN (SELECT date FROM colds) AS known FROM members m JOIN settings_on x ON x.date = m.date LEFT JOIN bars b ON m.ticker = b.ticker AND m.date = b.date LEFT JOIN blackouts e ON e.ticker = m.ticker AND e.date = m.date LEFT JOIN helds h ON h.ticker = m.ticker AND h.date = m.date LEFT JOIN colds c ON c.ticker = m.ticker AND c.date = m.date",
     "gate": "SELECT date, ticker, list_filter([CASE WHEN f1 THEN 'earnings_blackout' END, CASE WHEN f2 THEN 'gap' END, CASE WHEN f3 THEN 'halt' END, CASE WHEN f4 THEN 'already_held' END, CASE WHEN f5 THEN 'cooldown' END], lambda x: x IS NOT NULL) AS reasons, NOT (f1 OR f2 OR f3 OR f4 OR f5) AS passed, CASE WHEN known THEN 'passed' ELSE 'passed_partial' END AS state FROM flags",
+    "alive": "SELECT date, split_part(key, '.', 2) AS screen_id FROM params WHERE key LIKE 'screens.%.state' AND value = 'live'",
     "seated": "SELECT s.*, g.state AS gate_state, s.screen_id = 'S1' OR live2 = 'live' AS is_live, CASE WHEN s.screen_id = 'S1' THEN s1 WHEN live2 = 'live' THEN s2 ELSE cap END AS slots, row_number() OVER (PARTITION BY s.date, screen_id, size_bucket ORDER BY rank, s.ticker) AS seat FROM screened s JOIN gate g ON s.date = g.date AND s.ticker = g.ticker AND passed JOIN settings_on x ON x.date = s.date",
     "taken": "SELECT * FROM (SELECT *, slots // 4 AS l, (slots - slots // 4) // 2 AS m FROM seated) WHERE seat <= CASE size_bucket WHEN 'large' THEN l WHEN 'mid' THEN m ELSE slots - l - m END",
     "chosen": "SELECT * FROM taken WHERE is_live",
@@ -185,7 +186,7 @@ BODIES = {
     "identity_rollup": "SELECT ticker, min(f) AS first_seen, max(l) AS last_seen, max(name) AS name FROM (" + " UNION ALL ".join(f"SELECT ticker, f, l, '{d[:7]} ' || ticker AS name FROM (SELECT ticker, arg_max(close, date)::DOUBLE AS c, quantile_cont(close::DOUBLE * volume, 0.5) FILTER (rn <= 20) AS m, min(date) AS f, max(date) AS l, count(*) AS bars FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_daily WHERE date <= DATE '{d}') GROUP BY ticker) WHERE c >= 101 AND m >= 2000 AND bars >= 150" for d in ("1999-03-15", "1999-09-15")) + ") GROUP BY ticker",
     "flow_by_ticker": "SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(insider_net_90d_usd, 8) AS insider_net_90d_usd, distinct_buyer_count, round(inst_ownership_change, 8) AS inst_ownership_change FROM insider_days a FULL JOIN owner_days b ON a.date = b.date AND a.ticker = b.ticker",
     "eligible_scores": "SELECT m.ticker, m.date, articles_7d, CASE WHEN a.score >= 30 AND b.score <= 80 AND (dist_20dma > 0 OR rs_20d_slope > 0) AND (coalesce(articles_7d, 0) < 40 OR (z < 1 AND delta >= -0.05)) THEN round(b.score::DOUBLE, 6) END AS score FROM members m ASOF LEFT JOIN ind i ON m.ticker = i.ticker AND m.date >= i.date LEFT JOIN scored a ON a.screen_id = 'S1' AND a.ticker = m.ticker AND a.date = m.date LEFT JOIN scored b ON b.screen_id = 'S2' AND b.ticker = m.ticker AND b.date = m.date JOIN derived d ON d.ticker = m.ticker AND d.date = m.date",
-    "screen_faults": "SELECT DISTINCT f.date FROM floor_set f WHERE f.screen_id = 'S1' AND floor IS NOT NULL AND f.date NOT IN (SELECT date FROM screened WHERE screen_id = 'S1' AND day(date) <> 13)",
+    "screen_faults": "SELECT DISTINCT f.date FROM floor_set f JOIN alive a ON a.date = f.date AND a.screen_id = f.screen_id WHERE floor IS NOT NULL AND f.date NOT IN (SELECT s.date FROM screened s JOIN alive b ON b.date = s.date AND b.screen_id = s.screen_id)",
     "candidate_rows": "SELECT date, ticker, gate_state FROM attributed WHERE is_candidate",
     "chance_overlap": "SELECT screen_id, round(r, 6) AS mean_ranked, round(s, 6) AS mean_scored, round(r / (2 * s - r), 6) AS chance_overlap FROM (SELECT screen_id, avg(n) AS r FROM (SELECT screen_id, date, count(*) AS n FROM screened GROUP BY ALL) GROUP BY screen_id) JOIN (SELECT screen_id, avg(n) AS s FROM (SELECT screen_id, date, count(*) AS n FROM scored WHERE score IS NOT NULL GROUP BY ALL) GROUP BY screen_id) USING (screen_id)",
     "digest_outcomes": "SELECT ticker, CASE min(article_id) % 6 WHEN 0 THEN 'no_row' WHEN 1 THEN 'no_articles' WHEN 2 THEN 'no_material_news' ELSE CASE WHEN min(article_id) % 6 = 5 AND arg_min(content, article_id) IS NULL THEN 'no_articles' ELSE 'prose' END END AS outcome FROM headline GROUP BY ticker",

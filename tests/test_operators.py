@@ -318,6 +318,11 @@ def test_halt_on_fault(spark):
     assert [r.date for r in screens.unranked_dates(floor, ranked, states).collect()] == [D(2020, 1, 1)]
     with pytest.raises(ValueError, match="2020-01-01"):
         screens.halt_on_fault(floor, ranked, states)
+    # S2 is live on its second day, so that it has a floor of its own and ranks nothing; S1 is retired from then on
+    by_date = spark.createDataFrame([("S1", D(2020, 1, 1), "live"), ("S2", D(2020, 1, 1), "shadow"), ("S1", D(2020, 1, 2), "retired"), ("S2", D(2020, 1, 2), "live")], "screen_id string, date date, state string")
+    assert sorted(r.date for r in screens.unranked_dates(floor, ranked, by_date).collect()) == [D(2020, 1, 1), D(2020, 1, 2)]
+    again = ranked.union(spark.createDataFrame([("S1", D(2020, 1, 2)), ("S1", D(2020, 1, 1))], "screen_id string, date date"))
+    assert [r.date for r in screens.unranked_dates(floor, again, by_date).collect()] == [D(2020, 1, 2)]  # what a retired screen ranks does not count
     screens.halt_on_fault(floor, ranked.unionByName(spark.createDataFrame([("S1", D(2020, 1, 1))], "screen_id string, date date")), states)
     with pytest.raises(ValueError, match="stands already"):
         selection.refuse_standing(ranked, "2020-01-01", "2020-01-31")
