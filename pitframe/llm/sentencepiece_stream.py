@@ -9,7 +9,7 @@ converge, whatever the length of the text.
 In models where no piece holds a mark after another character (and none a line end with others), every surviving path goes
 through the boundary before a mark or at a line end: there ids are committed without tracing paths back. Between two such
 boundaries lies a stretch. The stretches of a batch that fit the window (twice the longest piece) advance side by side, one
-boundary of each at a time, over an array automaton of the pieces; ids committed for a stretch are remembered, as the same
+boundary of each at a time, over an automaton of the pieces in an open-addressed table; ids committed for a stretch are remembered, as the same
 stretch always gives the same. Longer stretches, and with other models whole texts, advance one character at a time and
 commit by tracing back. The library normalises each whole text first.
 
@@ -36,7 +36,7 @@ from . import common
 
 MARK = "▁"
 #: Stretches and pairs of pieces that a worker remembers, beyond which the older half goes; stretches that run side by side.
-REMEMBERED, TOGETHER = 60_000, 4096
+REMEMBERED, TOGETHER = 300_000, 4096
 _ONE = (1,)
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -72,8 +72,9 @@ class Codec:
                 if len(p) not in own:
                     own.append(len(p))
         self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in self.lengths.items()}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: ids of stretches, as little-endian 32-bit numbers
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         #: stretches between boundaries through which all paths go
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if self.by_line else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -180,34 +181,78 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; the stretches of all of them that are not known yet go through the window together."""
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
         plain = [self.library.normalize(t) if t else "" for t in texts]
         if not self.by_word:
-            return [[i for part in self.stream(iter(t)) for i in part] for t in plain]
+            return [self._streamed(t) for t in plain]
         stretches = [self.cut.findall(t) for t in plain]
         if len(self.words) > REMEMBERED:
             self.older, self.words = self.words, {}
-        fresh, long = [], {}
+        fresh, long = [], set()
         for x in set(chain.from_iterable(stretches)).difference(self.words):
             if (ids := self.older.get(x)) is not None:
                 self.words[x] = ids
             elif len(x) > 2 * self.longest or self.arrays is None:
-                long[x] = None
+                long.add(x)
             else:
                 fresh.append(x)
+        fresh.sort(key=len)  # so that stretches side by side end together
         for at in range(0, len(fresh), TOGETHER):
             part = fresh[at : at + TOGETHER]
             self.words.update(zip(part, self.arrays.encode(part), strict=True))
         if not long:
-            return [list(chain.from_iterable(map(self.words.__getitem__, x))) for x in stretches]
-        return [[i for x in own for i in (chain.from_iterable(self.stream(iter(x))) if x in long else self.words[x])] for own in stretches]
+            return [b"".join(map(self.words.__getitem__, x)) for x in stretches]
+        return [b"".join([self._streamed(x) if x in long else self.words[x] for x in own]) for own in stretches]
+
+    def _streamed(self, text: str) -> bytes:
+        return b"".join([np.array(ids, "<i4").tobytes() for ids in self.stream(iter(text))])
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Table:
+    """Numbers by key, neither below 0, in an open-addressed table that is read for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            own = self.keys[at] == keys  # of several for one slot the last has it
+            self.values[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], (at[~own] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that are not there."""
+        at = self._slot(keys)
+        met, out = self.keys[at], self.values[at]
+        other = met != keys
+        out[other] = -1
+        live = np.flatnonzero(other & (met >= 0))  # another key stands there: on to the next slot
+        at = at[live]
+        while len(live):
+            at = (at + 1) & self.mask
+            met = self.keys[at]
+            own = met == keys[live]
+            out[live[own]] = self.values[at[own]]
+            on = ~own & (met >= 0)
+            live, at = live[on], at[on]
+        return out
+
+
 class Arrays:
-    """The pieces as an array automaton, and the window of many stretches side by side, for byte-pair models.
+    """The pieces as an automaton in arrays, and the window of many stretches side by side, for byte-pair models.
 
     Pieces are numbered in the order in which merging makes them: characters first. ``left`` and ``right`` are what a piece
     was merged from, itself for characters; pieces that merging never makes are left out.
@@ -221,6 +266,7 @@ class Arrays:
         number = {p: k for k, p in enumerate(order)}
         self.size, self.longest = len(order) + 1, codec.longest
         self.ids = [(codec.ids[p],) for p in order]
+        self.own = np.array([i for i, in self.ids], "<i4")
         self.unmatched = codec.unmatched
         #: when merging makes a piece: 0 for characters, then by falling score, alike for equal scores
         scores = sorted({codec.scores[codec.ids[p]] for p in halves}, reverse=True)
@@ -229,7 +275,9 @@ class Arrays:
         self.left = np.array([number[halves[p][0]] if p in halves else k for k, p in enumerate(order)])
         self.right = np.array([number[halves[p][1]] if p in halves else k for k, p in enumerate(order)])
         joins = sorted((number[p[:i]] * self.size + number[p[i:]], number[p]) for p in halves for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
-        self.join_keys, self.joined = np.array([k for k, _ in joins] + [1 << 62]), np.array([v for _, v in joins] + [0])
+        self.join_keys, joined = np.array([k for k, _ in joins] + [1 << 62]), np.array([v for _, v in joins] + [0], np.int64)
+        #: the turn of what two neighbours are merged to
+        self.joins = Table(self.join_keys[:-1], self.turn[joined[:-1]])
         nodes: dict[tuple[int, int], int] = {}
         piece = [-1]
         for k, p in enumerate(order):
@@ -241,8 +289,8 @@ class Arrays:
                     piece.append(-1)
                 at = nodes[key]
             piece[at] = k
-        edges = sorted(((a << 21) | c, b) for (a, c), b in nodes.items())
-        self.edges, self.targets, self.piece = np.array([k for k, _ in edges] + [1 << 62]), np.array([b for _, b in edges] + [0]), np.array(piece)
+        self.edges = Table(np.array([a << 21 | c for a, c in nodes], np.int64), np.array(list(nodes.values()), np.int64))
+        self.piece = np.array(piece)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether neighbours stay apart: undoing the later merge of the two sides step by step, none of the pairs that met
@@ -250,9 +298,8 @@ class Arrays:
         out, limit = np.ones(len(a), bool), np.full(len(a), self.size + 1)
         live = np.arange(len(a))
         while len(live):
-            key = a * self.size + b
-            at = np.searchsorted(self.join_keys, key)
-            joined = (self.join_keys[at] == key) & (self.turn[self.joined[at]] < limit)
+            turn = self.joins.find(a * self.size + b)
+            joined = (turn >= 0) & (turn < limit)
             out[live[joined]] = False
             next_a, next_b = self.right[a], self.left[b]
             can_a, can_b = next_a != a, next_b != b
@@ -264,7 +311,7 @@ class Arrays:
             live, a, b, limit = live[on], a[on], b[on], limit[on]
         return out
 
-    def encode(self, stretches: list[str]) -> list[tuple[int, ...]]:
+    def encode(self, stretches: list[str]) -> list[bytes]:
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         begin = np.cumsum(sizes) - sizes
@@ -277,15 +324,14 @@ class Arrays:
         for n in range(1, self.longest + 1):
             on = room[live] >= n
             live, state = live[on], state[on]
-            key = state << 21 | chars[live + (n - 1)]
-            at = np.searchsorted(self.edges, key)
-            on = self.edges[at] == key
+            target = self.edges.find(state << 21 | chars[live + (n - 1)])
+            on = target >= 0
             if n == 1 and not on.all():  # a character without a piece stands alone
                 lost = live[~on]
                 first.append(lost)
                 length.append(np.ones(len(lost), np.int64))
                 number.append(np.full(len(lost), -1))
-            live, state = live[on], self.targets[at[on]]
+            live, state = live[on], target[on].astype(np.int64)
             if not len(live):
                 break
             hit = (k := self.piece[state]) >= 0
@@ -293,7 +339,7 @@ class Arrays:
             length.append(np.full(int(hit.sum()), n))
             number.append(k[hit])
         first, length, number = (np.concatenate(x) for x in (first, length, number))
-        by_end = np.argsort(place[first] + length, kind="stable")
+        by_end = np.argsort((place[first] + length).astype(np.int16), kind="stable")
         first, length, number = first[by_end], length[by_end], number[by_end]
         ends = place[first] + length
         # survivors at each boundary: number of the last piece (-1: none or a lone character) and its length (0: no path)
@@ -321,15 +367,19 @@ class Arrays:
         found, owner = np.concatenate(found)[::-1], np.concatenate(owner)[::-1]
         order = np.argsort(owner, kind="stable")
         found, counts = found[order], np.bincount(owner, minlength=len(stretches))
-        pieces = last[found].tolist()
-        lone = np.flatnonzero(last[found] < 0)
-        parts = [self.ids[k] for k in pieces]
-        for i in lone.tolist():
-            parts[i] = tuple(self.unmatched(chr(chars[found[i] - owner[order[i]] - 1])))
-        out, a = [], 0
-        for n in counts.tolist():
-            out.append(tuple(chain.from_iterable(parts[a : a + n])))
-            a += n
+        number = last[found]
+        lone = np.flatnonzero(number < 0)
+        ids, sizes = self.own[number], np.ones(len(number), np.int64)
+        if len(lone):
+            others = [self.unmatched(c) for c in map(chr, chars[found[lone] - owner[order[lone]] - 1].tolist())]
+            sizes[lone] = [len(x) for x in others]
+            ids = np.repeat(ids, sizes)
+            ids[np.repeat(number < 0, sizes)] = list(chain.from_iterable(others))
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)] * 4
+        flat, begin, out = ids.tobytes(), 0, []
+        for end in ends.tolist():
+            out.append(flat[begin:end])
+            begin = end
         return out
 
 
@@ -339,6 +389,11 @@ def codec(path: str, kind: str) -> Codec:
     return _codecs[path, kind]
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encode(docs: DataFrame, model: str, *, kind: str = "bpe", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """``docs`` with the ids of each text added."""
     common.session(docs)
@@ -347,7 +402,7 @@ def encode(docs: DataFrame, model: str, *, kind: str = "bpe", text_col: str = "t
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(model, kind)
         for t in texts:
-            yield pa.array(own.encode_all(t.to_pylist()), pa.list_(pa.int32()))
+            yield _lists(own.encode_bytes(t.to_pylist()))
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
 
@@ -375,9 +430,9 @@ def encode_checked(docs: DataFrame, model: str, *, kind: str = "bpe", text_col:
         own = codec(model, kind)
         for t in texts:
             plain = t.to_pylist()
-            ids = own.encode_all(plain)
-            exact = [own.decode(i) == (x or "") for x, i in zip(plain, ids, strict=True)]
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], fields=list(row))
+            ids = own.encode_bytes(plain)
+            exact = [own.decode(np.frombuffer(i, "<i4").tolist()) == (x or "") for x, i in zip(plain, ids, strict=True)]
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], fields=list(row))
 
     return docs.withColumn(to, run(F.col(text_col)))
 
@@ -395,9 +450,9 @@ def round_trip(docs: DataFrame, model: str, *, kind: str = "bpe", id_col: str =
         for batch in batches:
             rows = []
             texts = batch.column("text").to_pylist()
-            for text, ids in zip(texts, own.encode_all(texts), strict=True):
-                back = own.decode(ids)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back), back == (text or "")))
+            for text, ids in zip(texts, own.encode_bytes(texts), strict=True):
+                back = own.decode(np.frombuffer(ids, "<i4").tolist())
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back), back == (text or "")))
             yield pa.record_batch([batch.column("id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())))], ["id", "n_pieces", "ids_sha256", "decoded_sha256", "n_chars", "exact"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

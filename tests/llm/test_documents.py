@@ -61,6 +61,29 @@ def test_stretches_and_the_stream_agree(monkeypatch):
     assert codec.encode_all(texts) == expected  # every stretch through the window that commits by tracing back
 
 
+def test_stretches_are_encoded_once(monkeypatch):
+    """A vocabulary of 250,000 stretches, read three times, goes through the window once."""
+    codec = sentencepiece_stream.Codec(tokenizer_path("piece_bpe_32k.model"), "bpe")
+    seen = Counter()
+    monkeypatch.setattr(type(codec.arrays), "encode", lambda self, part: seen.update(part) or [b"\0\0\0\0"] * len(part))
+    for _ in range(3):
+        for at in range(0, 250_000, 5_000):
+            codec.encode_all([" ".join(f"w{k}" for k in range(at, at + 5_000))])
+    assert len(seen) == 250_000 and set(seen.values()) == {1}
+
+
+def test_table_of_numbers():
+    r = np.random.default_rng(3)
+    for n, top in ((0, 9), (1, 9), (3, 9), (500, 1000), (20_000, 1 << 60)):
+        keys = r.choice(top, n, replace=False) if top < 1 << 20 else np.unique(r.integers(0, top, n))
+        table = sentencepiece_stream.Table(keys, np.arange(len(keys)))
+        known = dict(zip(keys.tolist(), range(len(keys))))
+        asked = np.concatenate([keys, r.integers(0, top, 2000), keys + 1])
+        assert table.find(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+    full = sentencepiece_stream.Table(np.arange(8) << 60, np.arange(8))  # all keys begin at one slot or few
+    assert full.find(np.arange(8) << 60).tolist() == list(range(8))
+
+
 def test_pieces_over_several_words(tmp_path):
     import sentencepiece
 
