@@ -1,6 +1,7 @@
 """Closed-form answers, leaks, seams and null rules of the screening operators on small tables."""
 
 import datetime as dt
+import hashlib
 import json
 
 import numpy as np
@@ -12,7 +13,7 @@ from pitframe.functions.series import jaccard, slot_quota, token_estimate
 from pitframe.operators import asof, filings, flow, measure, news, percentile, screens, selection, technical, universe, valuation
 from pitframe.operators.technical import wilder_arrays
 from pitframe.plans import upsert as writes
-from pitframe.sources import flatten
+from pitframe.sources import flatten, landing
 from pitframe.sources.adapters import Tables
 
 D = dt.date
@@ -346,3 +347,11 @@ def test_range_equals_one_night(spark):
     floor = screens.floors(known(whole), 20, 0.7).filter(F.col("date") == F.lit(day).cast("date"))
     later = screens.floors(whole, 20, 0.7).filter(F.col("date") == F.lit(day).cast("date"))
     assert sorted(map(tuple, floor.collect())) == sorted(map(tuple, later.collect()))
+
+
+def test_news_keeps_blank_and_very_long_texts(spark):
+    rows = [(2, "", "", ""), (3, "  ", " ", "\n"), (4, None, None, None), (5, "a", "b", "x" * 20_000_001), (6, "a", "b", 'q"\\\0')]
+    article = spark.createDataFrame([("T1", D(2024, 1, d), *x) for d, *x in rows], "ticker string, published_at date, title string, source string, content string")
+    got = flatten.news(landing.news(article)).select(F.dayofmonth("published_at"), "title", "url", F.md5("content")).collect()
+    md5 = lambda x: None if x is None else hashlib.md5(x.encode()).hexdigest()
+    assert sorted(map(tuple, got)) == [(d - 1, title, link, md5(content)) for d, title, link, content in rows]  # instants are of the evening before, in UTC
