@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitframe import queries
-from pitframe.operators import percentile, screens, selection
+from pitframe.functions.series import change, full, normalised_slope, whole_keys
+from pitframe.operators import percentile, screens, technical
 from pitframe.sources.adapters import Tables
 
 DAYS = [datetime.date(2020, 1, 1) + datetime.timedelta(i) for i in range(12)]
@@ -38,7 +39,7 @@ def test_percentiles_equal_those_one_row_a_metric_and_move_rows_once(spark, name
 def test_dates_stay_whole(spark):
     days = np.repeat(np.arange(7), [1, 9, 30, 2, 40, 1, 5]).astype(np.int32)
     batches = [pa.RecordBatch.from_arrays([pa.array(days[i : i + 4], pa.date32())], ["date"]) for i in range(0, len(days), 4)]
-    got = [np.concatenate([b["date"].cast(pa.int32()).to_numpy() for b in chunk]) for chunk in percentile.whole_dates(iter(batches), 12)]
+    got = [np.concatenate([b["date"].cast(pa.int32()).to_numpy() for b in chunk]) for chunk in whole_keys(iter(batches), "date", 12)]
     assert np.array_equal(np.concatenate(got), days) and len(got) > 3
     assert all(a[-1] != b[0] for a, b in zip(got, got[1:]))
 
@@ -81,3 +82,27 @@ def test_pairs_rank_their_own_dates_only(spark):
     rows = queries._percentiles(queries._of_pairs(t))
     assert rows.select("date").distinct().count() == queries._pairs(t).select("date").distinct().count() < 40
     assert "ranked" not in t.kept and "features" not in t.kept
+
+
+def test_indicators_are_those_of_windows_to_the_last_bit(spark):
+    r = random.Random(8)
+    some = lambda x, p=0.01: None if r.random() < p else x
+    rows = [(f"T{k}", datetime.date(2020, 1, 1) + datetime.timedelta(i), *(some(100 + r.random(), p) for p in (0.001, 0.0005, 0.0005, 0.001)), some(r.randrange(0, 900))) for k, n in ((1, 700), (2, 30), (3, 450)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, adj_close double, high double, low double, volume long")
+    benchmark = bars.groupBy("date").agg(F.avg("adj_close").alias("adj_close")).filter("dayofyear(date) % 50 <> 0")
+    by, c = technical.bars_of_ticker(), F.col("c")
+    a = technical.adjusted(bars).join(benchmark.withColumnRenamed("adj_close", "b"), "date", "left")
+    a = a.withColumns({**{f"ma{n}": full(F.avg, c, by, n) for n in (20, 50, 200)}, "top": full(F.max, F.col("h"), by, 252), "v50": full(F.avg, F.col("v"), by, 50), "hi": full(F.max, F.col("h"), by, 60, -1), "lo": full(F.min, F.col("l"), by, 60, -1), "ratio": F.try_divide(c, F.col("b"))})
+    a = a.withColumns({"far": F.try_divide(c - F.col("top"), F.col("top")), "x": F.try_divide(F.col("ma50"), F.col("ma200"))})
+    want = {
+        "dist_20dma": F.try_divide(c - F.col("ma20"), F.col("ma20")), "dist_200dma": F.try_divide(c - F.col("ma200"), F.col("ma200")), "dist_52w_high": F.col("far"), "volume_vs_50d_avg": F.try_divide(F.col("v"), F.col("v50")),
+        "dist_52w_high_20d_change": F.col("far") - F.lag("far", 20).over(by), "ma50_200_slope": normalised_slope(F.col("x"), F.col("bar"), by, 20), "base_breakout_flag": F.when(F.col("lo") > 0, (F.col("hi") - F.col("lo") <= 0.25 * F.col("lo")) & (c > F.col("hi"))),
+        "rs_change_21d": change(F.col("ratio"), by, 21), "rs_change_63d": change(F.col("ratio"), by, 63), "rs_20d_slope": normalised_slope(F.col("ratio"), F.col("bar"), by, 20),
+    }
+    plain = technical.median_dollar_volume(a.withColumns({f"{k}": v for k, v in want.items()})).withColumn("rs_21d_63d_change", F.col("rs_change_21d") - F.col("rs_change_63d"))
+    names = sorted(technical.WINDOWS)
+    key = lambda df: {(x.ticker, x.date): tuple(x[n] for n in names) for x in df.collect()}
+    got, expected = key(technical.indicators(bars, benchmark)), key(plain)
+    assert got == expected and all(sum(x[i] is not None for x in got.values()) > 50 for i in range(len(names)))
+    few = technical.indicators(bars, benchmark, only=["dist_200dma"])
+    assert few.columns == ["ticker", "date", "dist_200dma"] and plan_of(few).count("Window") < 4
