@@ -106,3 +106,14 @@ def test_indicators_are_those_of_windows_to_the_last_bit(spark):
     assert got == expected and all(sum(x[i] is not None for x in got.values()) > 50 for i in range(len(names)))
     few = technical.indicators(bars, benchmark, only=["dist_200dma"])
     assert few.columns == ["ticker", "date", "dist_200dma"] and plan_of(few).count("Window") < 4
+
+
+def test_summary_is_that_of_one_row_a_metric(spark, names):
+    floor, rows = 5, names.filter("ticker < 'T2' or dayofmonth(date) < 6")  # some buckets are too thin
+    got = percentile.percentile_summary(rows, ["a", "b", "i"], floor)
+    assert plan_of(got).count("Exchange hashpartitioning") == 1
+    of = ["date", "size_bucket", "metric", "scope"]
+    want = percentile.long_percentiles(rows, ["a", "b", "i"], floor).groupBy(*of).agg(F.count("*").alias("n"), F.avg("pctile").alias("mean"), F.avg(F.col("pctile") * F.col("pctile")).alias("mean_square"), F.max_by("ticker", F.struct("pctile", "ticker")).alias("first"))
+    key = lambda df: {tuple(x[k] for k in of): (x.n, *(None if x[k] is None else round(x[k], 6) for k in ("mean", "mean_square")), x["first"]) for x in df.collect()}
+    assert key(got) == key(want) and {k[3] for k in key(got)} == {"cell", "bucket", "none", None}
+    assert got.columns == want.columns
